@@ -1,0 +1,29 @@
+"""Exact and near duplicate selection over ``documents``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lexiloom.session import table
+
+
+def exact_dedup_documents(spark, sf_dir):
+    """One row per distinct text: its hash, the smallest doc_id and the number of copies.
+
+    Null texts count as empty. Only the 64-digit hash is shuffled, after partial aggregation.
+    """
+    return (
+        table(spark, sf_dir, "documents")
+        .select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), "doc_id")
+        .groupBy("content_hash")
+        .agg(F.min("doc_id").alias("kept_doc_id"), F.count(F.lit(1)).alias("copies"))
+    )
+
+
+QUERIES = {
+    "exact_dedup_documents": (
+        exact_dedup_documents,
+        """SELECT sha256(coalesce(text, '')) AS content_hash, min(doc_id) AS kept_doc_id, count(*) AS copies
+           FROM documents GROUP BY 1""",
+    ),
+}
