@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lexiloom.registry import collect
 
-MODULES = ("hosts", "chat", "digest")
+MODULES = ("hosts", "chat", "digest", "simhash")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
