@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lexiloom.registry import collect
 
-MODULES = ("hosts", "chat", "digest", "simhash")
+MODULES = ("hosts", "chat", "digest", "simhash", "substring")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
