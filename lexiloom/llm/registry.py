@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lexiloom.registry import collect
 
-MODULES = ("hosts", "chat", "digest", "simhash", "substring")
+MODULES = ("hosts", "chat", "digest", "simhash", "substring", "decontaminate")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
