@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lexiloom.registry import collect
 
-MODULES = ("hosts", "chat", "digest", "simhash", "substring", "decontaminate")
+MODULES = ("hosts", "chat", "digest", "simhash", "substring", "decontaminate", "quality")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
