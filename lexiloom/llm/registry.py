@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lexiloom.registry import collect
 
-MODULES = ("hosts", "chat", "digest", "simhash", "substring", "decontaminate", "quality", "pii", "bpe")
+MODULES = ("hosts", "chat", "digest", "simhash", "substring", "decontaminate", "quality", "pii", "bpe", "pages")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
