@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -193,18 +194,22 @@ def _matches(raw: bytes, index: Index):
         yield (item, *best[item])
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per (document, item) leak: doc_id, item_id, score, question_overlap, answer_overlap."""
+def _indexes(docs: DataFrame, items: DataFrame, threshold: float):
+    """Broadcast indexes of the items: one, or as many as keep each within ``INDEX_LIMIT``."""
     rows = items.select("item_id", "text").where("text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = -(-size // INDEX_LIMIT)
+    slices = max(1, -(-size // INDEX_LIMIT))
+    for k in range(slices):
+        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).orderBy("item_id", "text").collect()
+        yield docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in part], threshold))
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per (document, item) leak: doc_id, item_id, score, question_overlap, answer_overlap."""
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()),
-                        ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
-    ddl = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    out = None
-    for k in range(max(1, slices)):
-        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(max(1, slices))) == k).orderBy("item_id", "text").collect()
-        index = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in part], threshold))
+                        ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
+    found = []
+    for index in _indexes(docs, items, threshold):
 
         def run(batches, index=index):
             for batch in batches:
@@ -215,15 +220,22 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
 
-        found = docs.select("doc_id", "text").mapInArrow(run, ddl)
-        out = found if out is None else out.unionByName(found)
-    return out
+        ddl = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+        found.append(docs.select("doc_id", "text").mapInArrow(run, ddl))
+    return reduce(DataFrame.unionByName, found)
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that leak no item, with all their columns; nothing is shuffled."""
+    for index in _indexes(docs, items, threshold):
 
+        def run(batches, index=index):
+            for batch in batches:
+                clean = [next(_matches(normalized(t.as_py()), index.value), None) is None for t in batch["text"]]
+                yield batch.filter(pa.array(clean, pa.bool_()))
 
-def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that leak no item, with all their columns; documents with a null id stay."""
-    leaks = find_leaks(docs, items).select(F.col("doc_id").alias("leaked_doc_id")).distinct()
-    return docs.join(leaks, docs["doc_id"] == F.col("leaked_doc_id"), "left_anti")
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op4_bm25_decontamination(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lexiloom.registry import collect
 
 MODULES = ("hosts", "chat", "digest", "simhash", "substring", "decontaminate", "quality", "pii", "bpe", "pages")
@@ -10,3 +11,7 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 collect("lexiloom.llm", MODULES, QUERIES, ORACLES)
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

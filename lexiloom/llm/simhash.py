@@ -20,8 +20,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiloom.llm.components import connected_components
 from lexiloom.session import materialize, table
@@ -65,6 +66,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def with_fingerprint(docs: DataFrame) -> DataFrame:
+    """The rows with all their columns and their fingerprint as ``row_fp``."""
+
+    def run(batches):
+        for batch in batches:
+            fp = np.array([simhash(t.as_py()) for t in batch["text"]], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], [*batch.schema.names, "row_fp"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("row_fp", T.LongType())]))
+
+
 def _half(fp, which: int):
     return F.shiftrightunsigned(fp, 32 * which).bitwiseAND(F.lit(0x7FFFFFFF))
 
@@ -194,6 +206,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The document with the smallest id of every group of near-duplicates, with all its columns.
+
+    Of repeated rows of one id the smallest text stays; a row without an id stays if nothing in its
+    group has one.
+    """
+    found = near_components(materialize(fingerprints(docs), "fingerprints"))
+    gone = found.where("doc_id IS NOT NULL AND component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    kept = docs.where("doc_id IS NOT NULL").join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    kept = kept.withColumn("nth_of_id", nth).where("nth_of_id = 1").drop("nth_of_id")
+    # Rows without an id, which are rare: one for each fingerprint that no document with an id is near.
+    lone = found.where("doc_id IS NULL AND component_id IS NULL").select(F.col("fp").alias("lone_fp")).distinct()
+    unnamed = with_fingerprint(docs.where("doc_id IS NULL")).join(lone, F.col("row_fp") == F.col("lone_fp"), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("row_fp").orderBy("text"))
+    unnamed = unnamed.withColumn("nth_of_fp", nth).where("nth_of_fp = 1").select(*docs.columns)
+    return kept.unionByName(unnamed)
+
+
 def op10_simhash_components(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
