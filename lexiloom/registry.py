@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("operators.dedup",)
+MODULES = ("operators.dedup", "operators.blocks", "operators.gates")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
