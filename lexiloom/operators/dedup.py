@@ -2,9 +2,145 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.session import table
+from lexiloom.session import materialize, table
+
+#: Tokens beyond this many do not count.
+TOKENS = 100_000
+
+
+def folded(text):
+    """Lower case with sharp s as ss."""
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+
+
+def normalized_fingerprint(text):
+    """Digest of the letters-and-digits tokens joined by one space."""
+    return F.sha2(F.array_join(F.regexp_extract_all(folded(text), F.lit(r"([\p{L}\p{N}]+)"), 1), " "), 256)
+
+
+def simhash64(docs: DataFrame) -> DataFrame:
+    """doc_id and a signed 64-bit SimHash: tokens weigh as often as they occur, ties set the bit.
+
+    Tokens are counted per document before their hashes are spread over the bits, in one aggregation.
+    """
+    tokens = F.slice(F.regexp_extract_all(folded("text"), F.lit(r"([\p{L}\p{N}]+)"), 1), 1, TOKENS)
+    counted = docs.select("doc_id", F.explode_outer(tokens).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    hashed = counted.withColumn("h", F.expr("cast(conv(substr(sha2(token, 256), 1, 16), 16, -10) as bigint)"))
+    sums = hashed.groupBy("doc_id").agg(*[
+        F.expr(f"sum(CASE WHEN token IS NULL THEN 0 WHEN (shiftrightunsigned(h, {b}) & 1) = 1 THEN n ELSE -n END)").alias(f"b{b}") for b in range(64)
+    ])
+    bits = " | ".join(f"CASE WHEN b{b} >= 0 THEN shiftleft(1L, {b}) ELSE 0L END" for b in range(64))
+    return sums.select("doc_id", F.expr(bits).alias("simhash"))
+
+
+def similarity(a, b):
+    return F.round(1 - F.bit_count(a.bitwiseXOR(b)) / 64, 6)
+
+
+def near_pairs(hashes: DataFrame, threshold: float = 0.92) -> DataFrame:
+    """(a, b, similarity) of all pairs at or above the threshold.
+
+    At most h bits differ, so of h + 1 bands one is equal: candidates come from an equi-join of
+    bands. Documents with one and the same hash are one row until the last step, so copies do not
+    multiply the candidates.
+    """
+    h = max(d for d in range(65) if round(1 - d / 64, 6) >= threshold)
+    width, left = divmod(64, h + 1)
+    bands, at = [], 0
+    for k in range(h + 1):
+        size = width + (k < left)
+        bands.append(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("simhash", at).bitwiseAND(F.lit((1 << size) - 1)).alias("key")))
+        at += size
+    distinct = hashes.groupBy("simhash").agg(F.min("doc_id").alias("id"))
+    keyed = distinct.select("simhash", F.explode(F.array(*bands)).alias("k")).select("simhash", "k.band", "k.key")
+    left_side, right = keyed.alias("l"), keyed.withColumnRenamed("simhash", "other").alias("r")
+    pairs = left_side.join(right, ["band", "key"]).where(
+        (F.col("simhash") < F.col("other")) & (F.bit_count(F.col("simhash").bitwiseXOR(F.col("other"))) <= h)
+    ).select("simhash", "other").distinct()
+    return pairs.withColumn("similarity", similarity(F.col("simhash"), F.col("other")))
+
+
+def select_canonical(rows: DataFrame, threshold: float | None = None) -> DataFrame:
+    """Greedy selection in priority order: a row is compared with retained rows only.
+
+    ``rows`` has identity, pinned, connector_rank, stable_order, raw_hash, cleaned_hash,
+    normalized_hash and simhash. The first exact match in priority order wins, else the best near
+    score. Rows without any link are retained at once; the others are decided within their
+    connected component, which holds no texts, only hashes.
+    """
+    from lexiloom.operators.components import components
+
+    rows = rows.withColumn("rank_key", F.struct(F.when(F.col("pinned"), 0).otherwise(1).alias("a"), "connector_rank", "stable_order", "identity"))
+    # Copies of one hash are linked to their first row: a star, not all pairs.
+    links = None
+    for key in ("raw_hash", "cleaned_hash", "normalized_hash"):
+        first = F.min("identity").over(Window.partitionBy(key))
+        star = rows.select(F.col("identity").alias("a"), first.alias("b")).where("a <> b")
+        links = star if links is None else links.unionByName(star)
+    if threshold is not None:
+        pairs = near_pairs(rows.select(F.col("identity").alias("doc_id"), "simhash"), threshold)
+        heads = rows.groupBy("simhash").agg(F.min("identity").alias("head"))
+        near = (
+            pairs.join(heads, "simhash").withColumnRenamed("head", "a").drop("simhash")
+            .join(heads.select(F.col("simhash").alias("other"), F.col("head").alias("b")), "other").select("a", "b")
+        )
+        same = rows.select(F.col("identity").alias("a"), F.min("identity").over(Window.partitionBy("simhash")).alias("b")).where("a <> b")
+        links = links.unionByName(near).unionByName(same)
+    part = components(links)
+    joined = rows.join(part, F.col("identity") == F.col("node"), "left")
+    alone = joined.where("component IS NULL").select(
+        "identity", F.lit("retained").alias("outcome"), F.col("identity").alias("retained_identity"), F.lit("unique").alias("method"), F.lit(1.0).alias("similarity")
+    )
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["p", "connector_rank", "stable_order", "identity"])
+        kept, out = [], []
+        first = [{}, {}, {}]  # hash to the place of the first retained row with it
+        names = ("exact_raw_sha256", "exact_cleaned_sha256", "normalized_sections_sha256")
+        for row in pdf.itertuples(index=False):
+            hashes = (row.raw_hash, row.cleaned_hash, row.normalized_hash)
+            exact = min(((seen[h], k) for k, (seen, h) in enumerate(zip(first, hashes, strict=True)) if h in seen), default=None)
+            match, method, score = None, "unique", 1.0
+            if exact:
+                match, method = kept[exact[0]][0], names[exact[1]]
+            elif threshold is not None:
+                best = 0.0
+                for identity, other in kept:
+                    near = round(1 - ((row.simhash ^ other) & (2**64 - 1)).bit_count() / 64, 6)
+                    if near >= threshold and near > best:
+                        match, method, best = identity, "simhash64", near
+                score = best if match is not None else 1.0
+            if match is None:
+                for seen, h in zip(first, hashes, strict=True):
+                    seen.setdefault(h, len(kept))
+                kept.append((row.identity, int(row.simhash)))
+            out.append((row.identity, "retained" if match is None else "excluded", row.identity if match is None else match, method, score))
+        return pd.DataFrame(out, columns=["identity", "outcome", "retained_identity", "method", "similarity"])
+
+    linked = joined.where("component IS NOT NULL").select(
+        "component", F.col("rank_key.a").alias("p"), "connector_rank", "stable_order", "identity", "raw_hash", "cleaned_hash", "normalized_hash", "simhash"
+    )
+    decided = linked.groupBy("component").applyInPandas(decide, "identity long, outcome string, retained_identity long, method string, similarity double")
+    return alone.unionByName(decided)
+
+
+def with_provenance(decisions: DataFrame, sources: DataFrame) -> DataFrame:
+    """Retained rows with the sources of what they stand for, sorted; (identity, source) given."""
+    also = decisions.where("outcome = 'excluded'").join(sources, "identity").groupBy("retained_identity").agg(F.array_sort(F.collect_set("source")).alias("also_found"))
+    kept = decisions.where("outcome = 'retained'").select("identity")
+    return kept.join(also, F.col("identity") == F.col("retained_identity"), "left").select("identity", F.array_join(F.coalesce("also_found", F.array()), ",").alias("also_found"))
+
+
+def distinct_items(items: DataFrame) -> DataFrame:
+    """Drops an item whose normalised text lies within a better-ranked one of the same query."""
+    clean = F.trim(F.regexp_replace("text", r"\s+", " "))
+    rows = items.withColumn("t", clean)
+    better = rows.select(F.col("query_id").alias("q"), F.col("rank").alias("r"), F.col("t").alias("whole"))
+    return rows.join(better, (F.col("query_id") == F.col("q")) & (F.col("r") < F.col("rank")) & F.col("whole").contains(F.col("t")), "left_anti").drop("t")
 
 
 def exact_dedup_documents(spark, sf_dir):
@@ -20,10 +156,123 @@ def exact_dedup_documents(spark, sf_dir):
     )
 
 
+def q_normalized(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", normalized_fingerprint("text").alias("fingerprint"))
+    return docs.groupBy("fingerprint").agg(F.min("doc_id").alias("kept_doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+def q_simhash(spark, sf):
+    return simhash64(table(spark, sf, "documents"))
+
+
+def q_near_pairs(spark, sf):
+    hashes = materialize(simhash64(table(spark, sf, "documents")), "simhash")
+    return near_pairs(hashes)
+
+
+def q_canonical(spark, sf):
+    """Connector priority: src3 before src1 before the rest, then doc_id."""
+    rank = F.when(F.col("source") == "src3", 0).when(F.col("source") == "src1", 1).otherwise(2)
+    docs = table(spark, sf, "documents").select(F.sha2("text", 256).alias("content_hash"), "doc_id", rank.alias("connector_rank"))
+    best = docs.groupBy("content_hash").agg(F.min(F.struct("connector_rank", "doc_id")).alias("m"))
+    return best.select("content_hash", F.col("m.doc_id").alias("canonical_doc_id"))
+
+
+def _candidates(spark, sf):
+    docs = table(spark, sf, "documents")
+    rank = F.when(F.col("source") == "src3", 0).when(F.col("source") == "src1", 1).otherwise(2)
+    clean = F.trim(F.regexp_replace("text", r"\s+", " "))
+    rows = docs.select(
+        F.col("doc_id").alias("identity"), (F.col("doc_id") == 11).alias("pinned"), rank.alias("connector_rank"), F.col("doc_id").alias("stable_order"),
+        F.sha2("text", 256).alias("raw_hash"), F.sha2(clean, 256).alias("cleaned_hash"), normalized_fingerprint("text").alias("normalized_hash"), "source",
+    )
+    return rows.join(simhash64(docs), F.col("identity") == F.col("doc_id")).drop("doc_id")
+
+
+def q_select_exact(spark, sf):
+    return select_canonical(_candidates(spark, sf).drop("source"))
+
+
+def q_select_near(spark, sf):
+    return select_canonical(materialize(_candidates(spark, sf).drop("source"), "candidates"), 0.92)
+
+
+def q_provenance(spark, sf):
+    rows = _candidates(spark, sf)
+    return with_provenance(select_canonical(rows.drop("source")), rows.select("identity", "source"))
+
+
+def q_crawl(spark, sf):
+    """Pages whose text repeats an earlier one of 200 characters or more are duplicates of its owner."""
+    text = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
+    pages = table(spark, sf, "documents").select("doc_id", F.sha2(text, 256).alias("h"), F.length(text).alias("n"))
+    owner = F.min("doc_id").over(Window.partitionBy("h"))
+    return pages.select("doc_id", F.when(F.col("n") >= 200, owner).otherwise(F.col("doc_id")).alias("owner")).withColumn("outcome", F.when(F.col("owner") == F.col("doc_id"), "kept").otherwise("content_duplicate"))
+
+
+def q_same_item(spark, sf):
+    """The newest document of each (source, length) stands for the item; then one per cleaned hash."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "n_chars", F.sha2(F.trim(F.regexp_replace("text", r"\s+", " ")), 256).alias("h"))
+    latest = docs.withColumn("n", F.row_number().over(Window.partitionBy("source", "n_chars").orderBy(F.desc("doc_id")))).where("n = 1")
+    first = F.row_number().over(Window.partitionBy("h").orderBy("doc_id"))
+    return latest.withColumn("m", first).where("m = 1").select("doc_id", "source")
+
+
+def q_distinct_items(spark, sf):
+    """Turns of a conversation as its ranked items."""
+    items = table(spark, sf, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), "text").where("text <> ''")
+    return distinct_items(items).select("query_id", "rank")
+
+
+_NORM = r"sha256(array_to_string(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+'), ' '))"
+_SIMHASH = r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+')[1:100000]) AS token FROM documents),
+  h AS (SELECT doc_id, CAST(('0x' || left(sha256(token), 16)) AS UBIGINT) AS h, count(*) AS n FROM t GROUP BY 1, 2),
+  b AS (SELECT doc_id, b, sum(CASE WHEN ((h >> b) & 1) = 1 THEN n ELSE -n END) AS w FROM h, (SELECT unnest(range(64))::UBIGINT AS b) GROUP BY 1, 2),
+  s AS (SELECT doc_id, bit_or(CASE WHEN w >= 0 THEN (1::UBIGINT << b) ELSE 0::UBIGINT END) AS u FROM b GROUP BY 1),
+  simhash AS (SELECT doc_id, CAST(CASE WHEN u >= 9223372036854775808 THEN u::HUGEINT - 18446744073709551616 ELSE u::HUGEINT END AS BIGINT) AS simhash FROM s)"""
+_RANK = "CASE source WHEN 'src3' THEN 0 WHEN 'src1' THEN 1 ELSE 2 END"
+
 QUERIES = {
     "exact_dedup_documents": (
         exact_dedup_documents,
         """SELECT sha256(coalesce(text, '')) AS content_hash, min(doc_id) AS kept_doc_id, count(*) AS copies
            FROM documents GROUP BY 1""",
     ),
+    "normalized_fingerprint_groups": (q_normalized, f"SELECT {_NORM} AS fingerprint, min(doc_id) AS kept_doc_id, count(*) AS copies FROM documents GROUP BY 1"),
+    "simhash64_documents": (q_simhash, f"{_SIMHASH} SELECT doc_id, simhash FROM simhash"),
+    "near_duplicate_pairs": (
+        q_near_pairs,
+        f"""{_SIMHASH}, d AS (SELECT DISTINCT simhash FROM simhash)
+        SELECT a.simhash, b.simhash AS other, round(1 - bit_count(xor(a.simhash, b.simhash)) / 64, 6) AS similarity FROM d a JOIN d b ON a.simhash < b.simhash
+        WHERE bit_count(xor(a.simhash, b.simhash)) <= 5""",
+    ),
+    "canonical_document_per_hash": (q_canonical, f"SELECT sha256(text) AS content_hash, arg_min(doc_id, {_RANK} * 1000000000 + doc_id) AS canonical_doc_id FROM documents GROUP BY 1"),
+    "greedy_duplicates_exact": (
+        q_select_exact,
+        f"""WITH c AS (SELECT doc_id, sha256(text) AS raw, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS clean, {_NORM} AS norm, CASE WHEN doc_id = 11 THEN 0 ELSE 1 END AS p, {_RANK} AS r FROM documents),
+        k AS (SELECT *, first_value(doc_id) OVER w AS kept, first_value(raw) OVER w AS kept_raw, first_value(clean) OVER w AS kept_clean FROM c WINDOW w AS (PARTITION BY norm ORDER BY p, r, doc_id))
+        SELECT doc_id AS identity, CASE WHEN kept = doc_id THEN 'retained' ELSE 'excluded' END AS outcome, kept AS retained_identity,
+        CASE WHEN kept = doc_id THEN 'unique' WHEN raw = kept_raw THEN 'exact_raw_sha256' WHEN clean = kept_clean THEN 'exact_cleaned_sha256' ELSE 'normalized_sections_sha256' END AS method, 1.0::DOUBLE AS similarity FROM k""",
+    ),
+    "greedy_duplicates_near": (q_select_near, None),
+    "duplicate_provenance": (
+        q_provenance,
+        f"""WITH k AS (SELECT doc_id, source, first_value(doc_id) OVER (PARTITION BY {_NORM} ORDER BY CASE WHEN doc_id = 11 THEN 0 ELSE 1 END, {_RANK}, doc_id) AS kept FROM documents)
+        SELECT kept AS identity, coalesce(string_agg(DISTINCT source, ',' ORDER BY source) FILTER (doc_id <> kept), '') AS also_found FROM k GROUP BY 1""",
+    ),
+    "crawl_content_duplicates": (
+        q_crawl,
+        """WITH p AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents), o AS (SELECT doc_id, CASE WHEN length(t) >= 200 THEN min(doc_id) OVER (PARTITION BY sha256(t)) ELSE doc_id END AS owner FROM p)
+        SELECT doc_id, owner, CASE WHEN owner = doc_id THEN 'kept' ELSE 'content_duplicate' END AS outcome FROM o""",
+    ),
+    "same_item_then_cleaned_duplicates": (
+        q_same_item,
+        """WITH a AS (SELECT *, row_number() OVER (PARTITION BY source, n_chars ORDER BY doc_id DESC) AS n FROM documents),
+        b AS (SELECT *, row_number() OVER (PARTITION BY sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) ORDER BY doc_id) AS m FROM a WHERE n = 1) SELECT doc_id, source FROM b WHERE m = 1""",
+    ),
+    "distinct_retrieved_items": (
+        q_distinct_items,
+        """WITH c AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations WHERE text <> '')
+        SELECT conv_id AS query_id, turn AS rank FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.conv_id = a.conv_id AND b.turn < a.turn AND contains(b.t, a.t))""",
+    ),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("operators.dedup", "operators.blocks", "operators.gates")
+MODULES = ("operators.dedup", "operators.blocks", "operators.gates", "operators.sensitive", "operators.chunks")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
