@@ -29,7 +29,7 @@ def canonical(text: Column) -> Column:
     icu = "com.ibm.icu."
     nfkc = lambda c: F.reflect(F.lit(icu + "text.Normalizer"), F.lit("compose"), c, F.lit(True))
     folded = nfkc(F.reflect(F.lit(icu + "lang.UCharacter"), F.lit("foldCase"), nfkc(text), F.lit(True)))
-    return F.trim(F.regexp_replace(folded, r"[\s\x85   ]+", " "))
+    return F.trim(F.regexp_replace(folded, r"[\s\x{85}\x{1680}\x{2028}\x{2029}]+", " "))
 
 
 def fingerprint(canon: Column) -> Column:
@@ -38,7 +38,10 @@ def fingerprint(canon: Column) -> Column:
 
 
 def with_next_text(docs: DataFrame) -> DataFrame:
-    """doc_id, text, span and the text of the next document; after the last comes the first.
+    """doc_id, text, again and the text of the next document; after the last comes the first.
+
+    ``again`` marks documents whose fingerprint occurs more than once. It is joined per span, on the
+    partitioning that the window already has, so whole texts are shuffled once.
 
     Ids are ordered within spans of ``SPAN``; the last row of a span looks into the next span that
     has rows, found through a table of spans and one of groups of spans. No task orders all ids.
@@ -47,10 +50,12 @@ def with_next_text(docs: DataFrame) -> DataFrame:
         "span", F.coalesce(F.floor(F.col("doc_id") / SPAN), F.lit(-(2**62)))
     )
     order = Window.partitionBy("span").orderBy("doc_id", "text")
-    led = rows.select(
-        "*",
-        F.lead("text").over(order).alias("next_text"),
-        F.row_number().over(order).alias("nth"),
+    known = F.coalesce("doc_id", F.lit(-(2**62)))
+    led = (
+        rows.select("*", F.lead("text").over(order).alias("next_text"), F.row_number().over(order).alias("nth"))
+        .join(repeated_ids(docs).withColumnRenamed("span", "r_span"), F.col("span") == F.col("r_span"), "left")
+        .withColumn("again", F.coalesce(F.array_contains("ids", known), F.lit(False)))
+        .drop("ids", "r_span")
     )
     spans = rows.groupBy("span").agg(F.count(F.lit(1)).alias("size")).withColumn("group", F.floor(F.col("span") / SPAN))
     groups = spans.groupBy("group").agg(F.min("span").alias("head"))
@@ -69,9 +74,9 @@ def with_next_text(docs: DataFrame) -> DataFrame:
         led.where("next_text IS NULL")
         .join(follows, F.col("span") == F.col("s"))
         .join(firsts, F.col("next_span") == F.col("first_span"))
-        .select("doc_id", "text", "span", F.col("first_text").alias("next_text"))
+        .select("doc_id", "text", "again", F.col("first_text").alias("next_text"))
     )
-    return led.where("next_text IS NOT NULL").select("doc_id", "text", "span", "next_text").unionByName(lasts)
+    return led.where("next_text IS NOT NULL").select("doc_id", "text", "again", "next_text").unionByName(lasts)
 
 
 def repeated_ids(docs: DataFrame) -> DataFrame:
@@ -90,16 +95,12 @@ def canonical_digests(docs: DataFrame) -> DataFrame:
 
     ``class_id`` is the smallest doc_id with the same canonical bytes and ``copies`` their number.
     """
-    marked = with_next_text(docs)
-    repeated = repeated_ids(docs).withColumnRenamed("span", "r_span")
-    n, cut = F.length("text"), F.floor(F.length("text") / 4).cast("int")
     rows = (
-        marked.join(repeated, F.col("span") == F.col("r_span"), "left")
-        .withColumn("again", F.coalesce(F.array_contains("ids", F.coalesce("doc_id", F.lit(-(2**62)))), F.lit(False)))
+        with_next_text(docs)
         .select(
             "doc_id",
             "again",
-            n.cast("long").alias("n_chars"),
+            F.length("text").cast("long").alias("n_chars"),
             canonical(F.col("text")).alias("canon"),
             canonical(F.col("next_text")).alias("next_canon"),
             F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) AS int))"),
