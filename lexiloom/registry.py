@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("operators.dedup", "operators.blocks", "operators.gates", "operators.sensitive", "operators.chunks")
+MODULES = ("operators.dedup", "operators.blocks", "operators.gates", "operators.sensitive", "operators.chunks", "operators.retrieval", "operators.evaluation", "operators.usage")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
