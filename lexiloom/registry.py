@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("operators.dedup", "operators.blocks", "operators.gates", "operators.sensitive", "operators.chunks", "operators.retrieval", "operators.evaluation", "operators.usage", "operators.changes", "sources.urls", "sources.markup", "sources.delimited")
+MODULES = ("operators.dedup", "operators.blocks", "operators.gates", "operators.sensitive", "operators.chunks", "operators.retrieval", "operators.evaluation", "operators.usage", "operators.changes", "sources.urls", "sources.markup", "sources.delimited", "streaming.events")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
