@@ -236,6 +236,24 @@ def q_controls(spark, sf):
     return out.select("doc_id", F.col("removed").cast("long").alias("removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def _whole(spark, sf):
+    """Whole texts as one paragraph each, with hyphens put at the line breaks of every second one."""
+    text = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", r"(\p{Ll}) (\p{Ll})", "$1-\n$2")).otherwise(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.lit(0).cast("long").alias("ordinal"), F.lit("paragraph").alias("type"), text.alias("text"))
+
+
+def q_reflow(spark, sf):
+    return _digest(reflow(_whole(spark, sf)), "doc_id")
+
+
+def q_dehyphenate(spark, sf):
+    return _digest(dehyphenate(_whole(spark, sf)), "doc_id")
+
+
+def q_compounds(spark, sf):
+    return _digest(dehyphenate_compounds(_whole(spark, sf)), "doc_id")
+
+
 def q_literals(spark, sf):
     return remove_literals(table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", "removed", F.length("text").cast("long").alias("n_chars_left")
@@ -356,6 +374,13 @@ QUERIES = {
         """WITH c AS (SELECT doc_id, text, regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}\\x{AD}\\x{600}-\\x{605}\\x{61C}\\x{6DD}\\x{70F}\\x{180E}\\x{200B}\\x{200E}\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{206F}\\x{FEFF}]', '', 'g') AS t FROM documents)
            SELECT doc_id, length(text) - length(t) AS removed, sha256(t) AS text_sha256 FROM c""",
     ),
+    "reflow_lines": (q_reflow, None),
+    "dehyphenate_conservative": (
+        q_dehyphenate,
+        """WITH w AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '(\\p{Ll}) (\\p{Ll})', '\\1-' || chr(10) || '\\2', 'g') ELSE text END AS text FROM documents)
+        SELECT doc_id, sha256(regexp_replace(text, '(\\p{Ll})-\\s*\\n\\s*(\\p{Ll})', '\\1\\2', 'g')) AS text_sha256 FROM w""",
+    ),
+    "dehyphenate_compounds": (q_compounds, None),
     "literal_boilerplate_removed": (q_literals, f"SELECT doc_id, {_COUNT} AS removed, length({_LITERAL}) AS n_chars_left FROM documents"),
     "repeated_source_lines": (q_repeated_source_lines, f"SELECT source, sha256(fp) AS fingerprint, pages, total FROM {_REPEATED}"),
     "chrome_owner_page": (

@@ -161,6 +161,47 @@ def parent_child_chunks(blocks: DataFrame, child=(240, 320, 40), parent=(900, 12
     return sections(blocks).select("doc_id", "ordinal", "section", "text").groupBy("doc_id").applyInPandas(_packed(*child, parent), _CHUNKS)
 
 
+def table_rows(docs: DataFrame) -> DataFrame:
+    """Data rows of each document's table with its header; (doc_id, row, cells, header)."""
+    from lexiloom.sources.delimited import bounded_grid, tables_of
+
+    grid = bounded_grid(tables_of(docs))
+    header = grid.where("row = 0").select(F.col("doc_id").alias("h_id"), F.col("cells").alias("header"))
+    return grid.where("row > 0").join(header, F.col("doc_id") == F.col("h_id")).select("doc_id", "row", "cells", "header")
+
+
+def row_passages(rows: DataFrame) -> DataFrame:
+    """One passage a table row: ``column: value`` for every cell that is not empty."""
+    pairs = F.filter(F.arrays_zip(F.col("header").alias("h"), F.col("cells").alias("c")), lambda z: F.trim(z["c"]) != "")
+    return rows.select("doc_id", "row", F.array_join(F.transform(pairs, lambda z: F.concat(F.trim(z["h"]), F.lit(": "), F.trim(z["c"]))), "; ").alias("text"))
+
+
+def table_pieces(docs: DataFrame, budget: int = 800) -> DataFrame:
+    """Tables cut into pieces under a byte budget, each with the header line again."""
+    from lexiloom.sources.delimited import bounded_grid, markdown_line, row_groups, tables_of
+
+    grid = bounded_grid(tables_of(docs))
+    groups = row_groups(grid, budget).select(F.col("doc_id").alias("g_id"), F.col("group").alias("piece"), "first_row", "last_row")
+    lines = grid.select("doc_id", "row", markdown_line("cells").alias("line"))
+    body = lines.join(groups, (F.col("doc_id") == F.col("g_id")) & F.col("row").between(F.col("first_row"), F.col("last_row")))
+    body = body.groupBy("doc_id", "piece").agg(F.array_join(F.array_sort(F.collect_list(F.struct("row", "line"))).getField("line"), "\n").alias("body"))
+    header = lines.where("row = 0").select(F.col("doc_id").alias("h_id"), F.col("line").alias("header"))
+    return body.join(header, F.col("doc_id") == F.col("h_id")).select("doc_id", "piece", F.concat("header", F.lit("\n"), "body").alias("text"))
+
+
+def embedding_batches(chunks: DataFrame, rows: int = 64, size: int = 192_000, shard: int = 1024) -> DataFrame:
+    """Batches of at most ``rows`` chunks and ``size`` bytes; a batch always takes its first chunk.
+
+    Ids are batched within shards of consecutive ids, so no task folds over the whole index.
+    """
+    shards = chunks.groupBy(F.floor(F.col("chunk_id") / shard).alias("shard")).agg(F.array_sort(F.collect_list(F.struct("chunk_id", "bytes"))).alias("r"))
+    fits = f"a.n > 0 AND a.n < {rows} AND a.used + x.bytes <= {size}"
+    fold = f"""aggregate(r, named_struct('n', 0, 'used', 0L, 'batch', -1, 'out', cast(array() AS array<struct<chunk_id: bigint, batch: int>>)),
+      (a, x) -> CASE WHEN {fits} THEN named_struct('n', a.n + 1, 'used', a.used + x.bytes, 'batch', a.batch, 'out', array_append(a.out, named_struct('chunk_id', x.chunk_id, 'batch', a.batch)))
+      ELSE named_struct('n', 1, 'used', x.bytes, 'batch', a.batch + 1, 'out', array_append(a.out, named_struct('chunk_id', x.chunk_id, 'batch', a.batch + 1))) END).out"""
+    return shards.select("shard", F.explode(F.expr(fold)).alias("o")).select("o.chunk_id", "shard", F.col("o.batch").cast("long").alias("batch"))
+
+
 def size_summary(chunks: DataFrame) -> DataFrame:
     """Count, upper median, min, max, short, oversize and total bytes over all chunks.
 
@@ -257,6 +298,19 @@ def q_embedding_text(spark, sf):
     return docs.select("doc_id", F.sha2(embedding_text(F.col("path"), F.col("text")), 256).alias("text_sha256"))
 
 
+def q_row_passages(spark, sf):
+    return row_passages(table_rows(table(spark, sf, "documents"))).select("doc_id", "row", F.sha2("text", 256).alias("text_sha256"))
+
+
+def q_table_pieces(spark, sf):
+    return table_pieces(table(spark, sf, "documents")).select("doc_id", "piece", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def q_embedding_batches(spark, sf):
+    chunks = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.octet_length("text").cast("long").alias("bytes"))
+    return embedding_batches(chunks, 16, 40_000)
+
+
 _WIN = """(SELECT doc_id, start_char, least(start_char + 500, n) AS end_char, start_char // 400 AS ordinal, substr(text, start_char + 1, 500) AS text
   FROM (SELECT doc_id, text, length(text) AS n, unnest(range(0, CAST(greatest(ceil((length(text) - 500) / 400), 0) * 400 AS BIGINT) + 1, 400)) AS start_char FROM documents WHERE trim(text) <> ''))"""
 _HEAD = f"""(SELECT *, last_value(CASE WHEN ordinal = 0 OR (length(text) < 40 AND ends_with(text, '.')) THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading, ordinal // 10 AS page FROM {SQL_BLOCKS})"""
@@ -278,6 +332,21 @@ QUERIES = {
     "section_token_chunks": (q_section_chunks, None),
     "parent_child_chunks": (q_parent_child, None),
     "child_parent_lookup": (q_parent_text, None),
+    "table_row_passages": (
+        q_row_passages,
+        """WITH l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS row, string_split(t, ' | ') AS c FROM (SELECT doc_id, unnest(range(len(l))) AS n, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE contains(t, ' | ')),
+        g AS (SELECT doc_id, row, list_resize(c, max(len(c)) OVER (PARTITION BY doc_id), '') AS c FROM l),
+        p AS (SELECT g.doc_id, g.row, unnest(range(len(g.c))) AS i, unnest(h.c) AS k, unnest(g.c) AS v FROM g JOIN g h ON h.doc_id = g.doc_id AND h.row = 0 WHERE g.row > 0)
+        SELECT doc_id, row, sha256(coalesce(string_agg(trim(k) || ': ' || trim(v), '; ' ORDER BY i) FILTER (trim(v) <> ''), '')) AS text_sha256 FROM p GROUP BY 1, 2""",
+    ),
+    "table_pieces": (q_table_pieces, None),
+    "embedding_batches": (
+        q_embedding_batches,
+        """WITH RECURSIVE t AS (SELECT doc_id, doc_id // 1024 AS shard, strlen(text) AS b, row_number() OVER (PARTITION BY doc_id // 1024 ORDER BY doc_id) AS n FROM documents),
+        w AS (SELECT doc_id, shard, n, 1 AS k, b AS used, 0 AS batch FROM t WHERE n = 1 UNION ALL
+          SELECT t.doc_id, t.shard, t.n, CASE WHEN k < 16 AND used + b <= 40000 THEN k + 1 ELSE 1 END, CASE WHEN k < 16 AND used + b <= 40000 THEN used + b ELSE b END, CASE WHEN k < 16 AND used + b <= 40000 THEN batch ELSE batch + 1 END
+          FROM w JOIN t ON t.shard = w.shard AND t.n = w.n + 1) SELECT doc_id AS chunk_id, shard, batch FROM w""",
+    ),
     "embed_size_gate": (q_embed_gate, f"SELECT doc_id, max(strlen(text)) AS largest, max(strlen(text)) <= 8191 AS accepted FROM {SQL_BLOCKS} GROUP BY 1"),
     "chunk_size_summary": (
         q_summary,

@@ -6,6 +6,8 @@ checked size, never as pairs of all rows with all rows. Every ranking ends in a
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,27 @@ QUERY_LIMIT = 1000
 QUERY_IDS = (3, 57, 211)
 
 
+@dataclass(frozen=True)
+class Settings:
+    """Retrieval settings within their ranges; anything else is refused."""
+
+    mode: str = "hybrid"
+    top_k: int = 5
+    candidates: int = 50
+    vector_weight: float = 0.5
+    maximum_distance: float | None = None
+
+    def __post_init__(self):
+        bad = [
+            name for name, ok in (
+                ("mode", self.mode in ("vector", "keyword", "hybrid")), ("top_k", 1 <= self.top_k <= 50), ("candidates", self.top_k <= self.candidates <= 200),
+                ("vector_weight", 0 <= self.vector_weight <= 1), ("maximum_distance", self.maximum_distance is None or 0 <= self.maximum_distance <= 2),
+            ) if not ok
+        ]
+        if bad:
+            raise ValueError(f"out of range: {', '.join(bad)}")
+
+
 def doubles(v) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
@@ -296,6 +319,14 @@ def q_markup(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.sha2(passage_markup("html"), 256).alias("escaped_sha256"))
 
 
+def q_prompt(spark, sf):
+    """The message payload of each question about its first two turns."""
+    turns = table(spark, sf, "conversations").where("turn < 2")
+    context = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: passage_markup(s["text"])), "\n").alias("context"))
+    filled = prompt("Context: {context} Question: {question}", F.concat(F.lit("q"), F.col("conv_id").cast("string")), F.col("context"))
+    return context.select("conv_id", F.sha2(filled, 256).alias("prompt_sha256"))
+
+
 def q_chain(spark, sf):
     """The whole chain with a model that cites its first passage."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -370,5 +401,9 @@ QUERIES = {
         """SELECT conv_id, turn, CASE turn % 4 WHEN 1 THEN 'S1,S2' ELSE 'S2' END AS valid, CASE turn % 4 WHEN 0 THEN 'S0' WHEN 3 THEN 'S3' ELSE '' END AS invalid, false AS missing FROM conversations""",
     ),
     "passage_markup_escape": (q_markup, "SELECT page_id, sha256(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped_sha256 FROM pages"),
+    "prompt_payload": (
+        q_prompt,
+        """SELECT conv_id, sha256('Context: ' || string_agg(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10) ORDER BY turn) || ' Question: q' || conv_id) AS prompt_sha256 FROM conversations WHERE turn < 2 GROUP BY conv_id""",
+    ),
     "answer_chain": (q_chain, None),
 }
