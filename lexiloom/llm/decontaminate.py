@@ -5,13 +5,16 @@ that any text as long as the longest item lies whole in one of them. An item's s
 score for the passage's words divided by its score for its own words, so one threshold
 (``THRESHOLD``) suits items of every length. All items at or above it are retrieved:
 
-* The words that most items share are "non-essential": no item reaches the threshold on them alone.
-  A passage whose essential words cannot lift it to the threshold, even with the greatest
-  contribution of each word in the whole index, is skipped without reading a posting.
+* The words that most items share are "non-essential": no item gets far on them alone. A passage
+  whose essential words cannot lift it to the threshold, even with the greatest contribution of
+  each word in the whole index, is skipped without reading a posting.
+* Items of similar words are neighbours, in blocks of ``BLOCK``. For the passages left, the greatest
+  contributions of their words in each block are summed, for all blocks at once; a passage no block
+  of which can reach the threshold is skipped.
 * The others run document-at-a-time WAND: cursors ordered by item, a pivot from the words' greatest
-  contributions, blocks of ``BLOCK`` postings skipped by their own maxima, exact scores last.
+  contributions, blocks skipped by their own maxima, exact scores last.
 
-Both steps only use upper bounds, so nothing at or above the threshold is lost. Retrieved items are
+All steps only use upper bounds, so nothing at or above the threshold is lost. Retrieved items are
 then verified: three-word runs of the item's question part and of its answer part must each be
 covered by the document's passage to ``OVERLAP`` or more. An item's question is its text up to the
 last question mark, else its first half of words; its answer is the rest.
@@ -29,6 +32,7 @@ on either side gives no rows. Only doc_id and text, item_id and text are read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from functools import reduce
 from heapq import heapify, heappop, heappush
@@ -42,8 +46,10 @@ from lexiloom.llm.arrays import word_hashes
 from lexiloom.session import table
 
 K1, B = 1.2, 0.75
-THRESHOLD, OVERLAP, RUN = 0.5, 0.5, 3
-BLOCK = 64
+THRESHOLD, OVERLAP, RUN = 0.65, 0.5, 3
+BLOCK = 2
+#: Cells of the passage by block table that is summed at a time.
+TABLE = 1 << 20
 #: Bytes of item text that one index may hold.
 INDEX_LIMIT = 64 << 20
 #: ASCII bytes that separate words; all others, and every non-ASCII byte, belong to words.
@@ -81,6 +87,9 @@ class Index:
         self.threshold = threshold
         parts = [(i, *_parts(t)) for i, t in items]
         parts = [p for p in parts if p[1] or p[2]]
+        # Items with the same most shared word, mostly of one language, become neighbours.
+        shared = Counter(w for p in parts for w in {*p[1], *p[2]})
+        parts.sort(key=lambda p: sorted(((-shared[w], w) for w in {*p[1], *p[2]}))[:3])
         self.ids = [p[0] for p in parts]
         self.question = [_runs(p[1]) for p in parts]
         self.answer = [_runs(p[2]) for p in parts]
@@ -103,13 +112,24 @@ class Index:
         order = self.terms.tolist()
         self.items = [np.array([i for i, _ in postings[t]]) for t in order]
         self.shares = [np.array([x for _, x in postings[t]]) for t in order]
-        self.block_max = [[float(x[i : i + BLOCK].max()) for i in range(0, len(x), BLOCK)] for x in self.shares]
+        self.lists, self.weights = [x.tolist() for x in self.items], [x.tolist() for x in self.shares]
+        self.blocks = -(-len(bags) // BLOCK) or 1
+        # Greatest contribution of each word in each block of items that has it.
+        heads, maxima = [], []
+        for items_of, x in zip(self.items, self.shares, strict=True):
+            block, first = np.unique(items_of // BLOCK, return_index=True)
+            heads.append(block)
+            maxima.append(np.maximum.reduceat(x, first))
+        self.block_max = [dict(zip(h.tolist(), m.tolist(), strict=True)) for h, m in zip(heads, maxima, strict=True)]
+        self.block_ptr = np.concatenate(([0], np.cumsum([len(h) for h in heads]))).astype(np.int64)
+        self.block_of = np.concatenate([*heads, np.empty(0, dtype=np.int64)])
+        self.block_top = np.concatenate([*maxima, np.empty(0)])
         self.top = np.array([float(x.max()) for x in self.shares])
         # Non-essential: the most shared words, as long as no item reaches the threshold on them alone.
         held, self.base, essential = [0.0] * len(bags), 0.0, np.ones(len(order), dtype=bool)
         for at in sorted(range(len(order)), key=lambda k: -len(self.items[k])):
             most = max(held[i] + x for i, x in zip(self.items[at].tolist(), self.shares[at].tolist(), strict=True))
-            if most > 0.4 * threshold:
+            if most > 0.2 * threshold:
                 break
             essential[at] = False
             self.base = max(self.base, most)
@@ -124,9 +144,43 @@ class Index:
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
         return np.where(self.terms[at] == hashes, at, -1)
 
+    def passages(self, terms: np.ndarray) -> list[tuple[int, int]]:
+        """Word ranges whose bounds reach the threshold.
+
+        Words are dealt into cells as long as the longest item; a passage is two neighbouring cells.
+        """
+        hits, need = np.flatnonzero(terms >= 0), self.threshold - 1e-9
+        span, width = self.longest, len(self.terms)
+        if not len(hits) or self.lift[terms[hits]].sum() + self.base < need:
+            return []
+        key = np.unique(hits // span * width + terms[hits])
+        cell, term = key // width, key % width
+        cells = -(-len(terms) // span)
+        lift = np.bincount(cell, weights=self.lift[term], minlength=cells + 1)
+        heads = np.flatnonzero(lift[:-1] + lift[1:] + self.base >= need)
+        if cells > 1:
+            heads = heads[heads < cells - 1]
+        out, step = [], max(2, TABLE // self.blocks)
+        for at in range(0, cells, step):
+            part = heads[(heads >= at) & (heads < at + step)]
+            if not len(part):
+                continue
+            # Sum the blocks' maxima of the essential words of these cells and one more.
+            used = np.zeros(cells + 1, dtype=bool)
+            used[part] = used[part + 1] = True
+            of = np.flatnonzero(used[cell] & (self.lift[term] > 0))
+            many = self.block_ptr[term[of] + 1] - self.block_ptr[term[of]]
+            where = np.repeat(self.block_ptr[term[of]] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+            row = np.repeat(cell[of] - at, many)
+            total = np.bincount(row * self.blocks + self.block_of[where], weights=self.block_top[where], minlength=(step + 1) * self.blocks)
+            total = total.reshape(-1, self.blocks)
+            best = (total[part - at] + total[part - at + 1]).max(axis=1)
+            out += [(int(k) * span, min((int(k) + 2) * span, len(terms))) for k in part[best + self.base >= need]]
+        return out
+
     def wand(self, terms: list[int]) -> list[tuple[int, float]]:
         """All (item, score) at or above the threshold for a passage with these distinct terms."""
-        cursors = [(int(self.items[t][0]), t, 0) for t in terms]
+        cursors = [(self.lists[t][0], t, 0) for t in terms]
         heapify(cursors)
         found = []
         while cursors:
@@ -140,21 +194,20 @@ class Index:
             pivot = taken[-1][0]
             while cursors and cursors[0][0] == pivot:
                 taken.append(heappop(cursors))
-            at = [(t, int(np.searchsorted(self.items[t], pivot))) for _, t, _ in taken]
-            at = [(t, p) for t, p in at if p < len(self.items[t])]
-            beyond = pivot + 1
-            if sum(self.block_max[t][p // BLOCK] for t, p in at) >= self.threshold - 1e-9:
-                score = sum(float(self.shares[t][p]) for t, p in at if self.items[t][p] == pivot)
+            block = pivot // BLOCK
+            if sum(self.block_max[t].get(block, 0.0) for _, t, _ in taken) >= self.threshold - 1e-9:
+                at = [(t, bisect_left(self.lists[t], pivot)) for _, t, _ in taken]
+                score = sum(self.weights[t][p] for t, p in at if p < len(self.lists[t]) and self.lists[t][p] == pivot)
                 if score >= self.threshold - 1e-9:
                     found.append((pivot, score))
+                beyond = pivot + 1
             else:
-                # No item up to the end of the nearest block, or to the next cursor, can reach it.
-                ends = [int(self.items[t][min((p // BLOCK + 1) * BLOCK, len(self.items[t])) - 1]) for t, p in at]
-                beyond = max(beyond, min([e + 1 for e in ends] + [c[0] for c in cursors[:1]]))
-            for t, p in at:
-                p = int(np.searchsorted(self.items[t], beyond))
-                if p < len(self.items[t]):
-                    heappush(cursors, (int(self.items[t][p]), t, p))
+                # No item of the block can reach it with these words, up to the next cursor.
+                beyond = max(pivot + 1, min([(block + 1) * BLOCK] + [c[0] for c in cursors[:1]]))
+            for _, t, _ in taken:
+                p = bisect_left(self.lists[t], beyond)
+                if p < len(self.lists[t]):
+                    heappush(cursors, (self.lists[t][p], t, p))
         return found
 
 
@@ -165,18 +218,8 @@ def _hashed(raw: bytes) -> np.ndarray:
 def _matches(raw: bytes, index: Index):
     """(item, score, question share, answer share) of every verified item of one text."""
     starts, ends, hashes = word_hashes(raw)
-    terms = index.lookup(hashes)
-    hits = np.flatnonzero(terms >= 0)
-    if not len(hits) or index.lift[terms[hits]].sum() + index.base < index.threshold - 1e-9:
-        return
-    span = index.longest
-    # Passages of two spans at every span; a passage's bound counts every occurrence.
-    lift = np.concatenate(([0.0], np.cumsum(np.where(terms >= 0, index.lift[terms], 0.0))))
-    heads = np.arange(0, max(1, len(terms) - span), span)
-    tails = np.minimum(heads + 2 * span, len(terms))
-    best: dict[int, tuple] = {}
-    for k in np.flatnonzero(lift[tails] - lift[heads] + index.base >= index.threshold - 1e-9).tolist():
-        s, e = int(heads[k]), int(tails[k])
+    terms, best = index.lookup(hashes), {}
+    for s, e in index.passages(terms):
         distinct = np.unique(terms[s:e])
         found = index.wand(distinct[distinct >= 0].tolist())
         if not found:
