@@ -237,8 +237,8 @@ def q_controls(spark, sf):
 
 
 def _whole(spark, sf):
-    """Whole texts as one paragraph each, with hyphens put at the line breaks of every second one."""
-    text = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", r"(\p{Ll}) (\p{Ll})", "$1-\n$2")).otherwise(F.col("text"))
+    """Whole texts as one paragraph each, with a hyphen and a line break in place of spaces between lower-case letters."""
+    text = F.regexp_replace("text", r"(\p{Ll}) (\p{Ll})", "$1-\n$2")
     return table(spark, sf, "documents").select("doc_id", F.lit(0).cast("long").alias("ordinal"), F.lit("paragraph").alias("type"), text.alias("text"))
 
 
@@ -377,7 +377,7 @@ QUERIES = {
     "reflow_lines": (q_reflow, None),
     "dehyphenate_conservative": (
         q_dehyphenate,
-        """WITH w AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '(\\p{Ll}) (\\p{Ll})', '\\1-' || chr(10) || '\\2', 'g') ELSE text END AS text FROM documents)
+        """WITH w AS (SELECT doc_id, regexp_replace(text, '(\\p{Ll}) (\\p{Ll})', '\\1-' || chr(10) || '\\2', 'g') AS text FROM documents)
         SELECT doc_id, sha256(regexp_replace(text, '(\\p{Ll})-\\s*\\n\\s*(\\p{Ll})', '\\1\\2', 'g')) AS text_sha256 FROM w""",
     ),
     "dehyphenate_compounds": (q_compounds, None),

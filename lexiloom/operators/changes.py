@@ -50,13 +50,13 @@ def next_due(last, zone, at_hour: int):
 
 
 def _snapshots(spark, sf):
-    """Two snapshots of documents: the first lacks every fifth, the second every seventh, and its
-    documents divisible by three have an edited text, those by eleven another configuration."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("item"), "source", "text", "n_chars")
-    config = F.when(F.col("item") % 11 == 0, "v2").otherwise("v1")
-    before = docs.where("item % 5 <> 0").select("item", "source", F.sha2("text", 256).alias("content_hash"), F.lit("v1").alias("config_hash"))
-    text = F.when(F.col("item") % 3 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))
-    after = docs.where("item % 7 <> 0").select("item", "source", F.sha2(text, 256).alias("content_hash"), config.alias("config_hash"), "n_chars")
+    """Two snapshots of documents: the first lacks one source, the second another; German texts were
+    edited between them and Spanish ones are processed with another configuration."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("item"), "source", "lang", "text", "n_chars")
+    before = docs.where("source <> 'src5'").select("item", "source", "lang", "n_chars", F.sha2("text", 256).alias("content_hash"), F.lit("v1").alias("config_hash"))
+    text = F.when(F.col("lang") == "de", F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    config = F.when(F.col("lang") == "es", "v2").otherwise("v1")
+    after = docs.where("source <> 'src7'").select("item", "source", "lang", "n_chars", F.sha2(text, 256).alias("content_hash"), config.alias("config_hash"))
     return before, after
 
 
@@ -67,7 +67,7 @@ def q_classify(spark, sf):
 def q_removed(spark, sf):
     before, after = _snapshots(spark, sf)
     sources = before.select("source").distinct().where("source IN ('src3', 'src4')")
-    return removed(before, after, before.where("item % 13 = 0"), before.where("item % 17 = 0"), sources).select("item", "source")
+    return removed(before, after, before.where("n_chars > 8000"), before.where("n_chars < 300"), sources).select("item", "source")
 
 
 def q_snapshot(spark, sf):
@@ -147,7 +147,7 @@ def q_claim(spark, sf):
 
 
 def q_run_summary(spark, sf):
-    return classify_changes(*_snapshots(spark, sf)).join(table(spark, sf, "documents").select("doc_id", "lang"), F.col("item") == F.col("doc_id")).groupBy("lang").pivot("outcome", ["new", "changed", "unchanged", "removed"]).count().na.fill(0)
+    return classify_changes(*_snapshots(spark, sf)).join(table(spark, sf, "documents").select("doc_id", F.col("lang").alias("of_lang")), F.col("item") == F.col("doc_id")).groupBy(F.col("of_lang").alias("lang")).pivot("outcome", ["new", "changed", "unchanged", "removed"]).count().na.fill(0)
 
 
 def q_frontier(spark, sf):
@@ -170,13 +170,13 @@ def q_carry(spark, sf):
     """Last good items of failed sources, split by whether their configuration is current."""
     before, after = _snapshots(spark, sf)
     failed = before.where("source IN ('src1', 'src2')")
-    return failed.join(after.where("item % 2 = 0").select("item"), "item", "left_anti").select("item", F.when(F.col("item") % 11 == 0, "stale").otherwise("current").alias("carried"))
+    return failed.join(after.where("lang = 'en'").select("item"), "item", "left_anti").select("item", F.when(F.col("lang") == "es", "stale").otherwise("current").alias("carried"))
 
 
 def q_source_outcomes(spark, sf):
     before, after = _snapshots(spark, sf)
     a = after.groupBy(F.col("source").alias("a_s")).agg(F.count(F.lit(1)).alias("kept"))
-    f = before.where("item % 13 = 0").groupBy(F.col("source").alias("f_s")).agg(F.count(F.lit(1)).alias("failed"))
+    f = before.where("n_chars > 8000").groupBy(F.col("source").alias("f_s")).agg(F.count(F.lit(1)).alias("failed"))
     rows = table(spark, sf, "documents").select("source").distinct().join(a, F.col("source") == F.col("a_s"), "left").join(f, F.col("source") == F.col("f_s"), "left").na.fill(0, ["kept", "failed"])
     outcome = F.when((F.col("kept") == 0) & (F.col("failed") == 0), "skipped").when(F.col("kept") == 0, "failed").when(F.col("failed") > 0, "partial").otherwise("succeeded")
     return rows.select("source", "kept", "failed", outcome.alias("outcome"))
@@ -201,7 +201,7 @@ def q_provenance(spark, sf):
 def q_unchanged_index(spark, sf):
     """Which sources have the same members in both snapshots: two empty differences, as set equality."""
     before, after = _snapshots(spark, sf)
-    members = lambda df, name: df.groupBy(F.col("source").alias(f"{name}_s")).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(F.col("item") % 2)), ","), 256).alias(name))
+    members = lambda df, name: df.groupBy(F.col("source").alias(f"{name}_s")).agg(F.sha2(F.array_join(F.array_sort(F.collect_set("lang")), ","), 256).alias(name))
     return members(before, "b").join(members(after, "a"), F.col("b_s") == F.col("a_s")).select(F.col("b_s").alias("source"), (F.col("a") == F.col("b")).alias("unchanged"))
 
 
@@ -261,8 +261,8 @@ def q_include_scope(spark, sf):
     return counts.select("host", F.when(F.col("below") * 2 >= F.col("n"), F.col("folder")).otherwise(F.regexp_replace("folder", r"[^/]*/$", "")).alias("scope"))
 
 
-_BEFORE = "(SELECT doc_id AS item, source, sha256(text) AS content_hash, 'v1' AS config_hash FROM documents WHERE doc_id % 5 <> 0)"
-_AFTER = "(SELECT doc_id AS item, source, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '.' ELSE text END) AS content_hash, CASE WHEN doc_id % 11 = 0 THEN 'v2' ELSE 'v1' END AS config_hash, n_chars FROM documents WHERE doc_id % 7 <> 0)"
+_BEFORE = "(SELECT doc_id AS item, source, lang, n_chars, sha256(text) AS content_hash, 'v1' AS config_hash FROM documents WHERE source <> 'src5')"
+_AFTER = "(SELECT doc_id AS item, source, lang, n_chars, sha256(CASE WHEN lang = 'de' THEN text || '.' ELSE text END) AS content_hash, CASE WHEN lang = 'es' THEN 'v2' ELSE 'v1' END AS config_hash FROM documents WHERE source <> 'src7')"
 _CHANGES = f"""(SELECT coalesce(a.item, b.item) AS item, CASE WHEN b.item IS NULL THEN 'new' WHEN a.item IS NULL THEN 'removed' WHEN a.content_hash = b.content_hash AND a.config_hash = b.config_hash THEN 'unchanged' ELSE 'changed' END AS outcome
   FROM {_AFTER} a FULL JOIN {_BEFORE} b ON a.item = b.item)"""
 _LATEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS nth FROM orders) WHERE nth = 1)"
@@ -270,7 +270,7 @@ _HOSTS = "(SELECT page_id, url, regexp_extract(url, '://([^/?#]+)', 1) AS host,
 
 QUERIES = {
     "classify_changes": (q_classify, f"SELECT * FROM {_CHANGES}"),
-    "removed_items": (q_removed, f"SELECT item, source FROM {_BEFORE} WHERE item NOT IN (SELECT item FROM {_AFTER}) AND item % 13 <> 0 AND item % 17 <> 0 AND source NOT IN ('src3', 'src4')"),
+    "removed_items": (q_removed, f"SELECT item, source FROM {_BEFORE} WHERE item NOT IN (SELECT item FROM {_AFTER}) AND n_chars <= 8000 AND n_chars >= 300 AND source NOT IN ('src3', 'src4')"),
     "snapshot_counts": (
         q_snapshot,
         f"SELECT source, count(*) FILTER (outcome = 'new') AS new, count(*) FILTER (outcome = 'changed') AS changed, count(*) FILTER (outcome = 'unchanged') AS unchanged, CAST(sum(n_chars) AS BIGINT) AS total_chars, sha256(string_agg(DISTINCT content_hash, ',' ORDER BY content_hash)) AS provenance FROM {_AFTER} JOIN {_CHANGES} USING (item) GROUP BY 1",
@@ -305,10 +305,10 @@ QUERIES = {
     "frontier_status_counts": (q_frontier, "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1"),
     "retention_beyond_newest": (q_retain, "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders WHERE o_orderstatus = 'F') WHERE n > 3"),
     "redact_expired": (q_redact_expired, "SELECT o_orderkey, CASE WHEN o_orderdate >= '1995-01-01' THEN o_custkey END AS o_custkey, CASE WHEN o_orderdate >= '1995-01-01' THEN round(o_totalprice, 2) END AS o_totalprice, o_orderdate < '1995-01-01' AS redacted FROM orders"),
-    "carry_forward": (q_carry, f"SELECT item, CASE WHEN item % 11 = 0 THEN 'stale' ELSE 'current' END AS carried FROM {_BEFORE} WHERE source IN ('src1', 'src2') AND item NOT IN (SELECT item FROM {_AFTER} WHERE item % 2 = 0)"),
+    "carry_forward": (q_carry, f"SELECT item, CASE WHEN lang = 'es' THEN 'stale' ELSE 'current' END AS carried FROM {_BEFORE} WHERE source IN ('src1', 'src2') AND item NOT IN (SELECT item FROM {_AFTER} WHERE lang = 'en')"),
     "source_outcomes": (
         q_source_outcomes,
-        f"""WITH r AS (SELECT source, coalesce(kept, 0) AS kept, coalesce(failed, 0) AS failed FROM (SELECT DISTINCT source FROM documents) LEFT JOIN (SELECT source, count(*) AS kept FROM {_AFTER} GROUP BY 1) USING (source) LEFT JOIN (SELECT source, count(*) AS failed FROM {_BEFORE} WHERE item % 13 = 0 GROUP BY 1) USING (source))
+        f"""WITH r AS (SELECT source, coalesce(kept, 0) AS kept, coalesce(failed, 0) AS failed FROM (SELECT DISTINCT source FROM documents) LEFT JOIN (SELECT source, count(*) AS kept FROM {_AFTER} GROUP BY 1) USING (source) LEFT JOIN (SELECT source, count(*) AS failed FROM {_BEFORE} WHERE n_chars > 8000 GROUP BY 1) USING (source))
         SELECT *, CASE WHEN kept = 0 AND failed = 0 THEN 'skipped' WHEN kept = 0 THEN 'failed' WHEN failed > 0 THEN 'partial' ELSE 'succeeded' END AS outcome FROM r""",
     ),
     "origin_lanes": (
@@ -323,7 +323,7 @@ QUERIES = {
     ),
     "unchanged_index": (
         q_unchanged_index,
-        f"""SELECT source, a.m = b.m AS unchanged FROM (SELECT source, string_agg(DISTINCT item % 2, ',' ORDER BY item % 2) AS m FROM {_BEFORE} GROUP BY 1) b JOIN (SELECT source, string_agg(DISTINCT item % 2, ',' ORDER BY item % 2) AS m FROM {_AFTER} GROUP BY 1) a USING (source)""",
+        f"""SELECT source, a.m = b.m AS unchanged FROM (SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS m FROM {_BEFORE} GROUP BY 1) b JOIN (SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS m FROM {_AFTER} GROUP BY 1) a USING (source)""",
     ),
     "index_membership": (q_membership, "SELECT l_suppkey, count(*) AS members, max(l_linenumber) AS latest_version, max(l_linenumber) + 1 AS next_version FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1"),
     "vector_reuse": (q_vector_reuse, f"SELECT content_hash, uses, reused_from FROM (SELECT content_hash, count(*) AS uses FROM {_AFTER} GROUP BY 1) LEFT JOIN (SELECT content_hash, min(item) AS reused_from FROM {_BEFORE} GROUP BY 1) USING (content_hash)"),

@@ -15,9 +15,10 @@ from lexiloom.operators.dedup import folded
 from lexiloom.session import table
 
 K1, B, RRF = 1.2, 0.75, 60
-#: Query vectors that one pass may broadcast.
+#: Query vectors that one pass broadcasts; more are searched in as many passes as it takes.
 QUERY_LIMIT = 1000
-QUERY_IDS = (3, 57, 211)
+#: Searches take as queries every row whose id is divisible by this.
+QUERY_STEP = 20
 
 
 @dataclass(frozen=True)
@@ -67,17 +68,19 @@ def validate_vectors(df: DataFrame, dims: int = 64) -> DataFrame:
 def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, cutoff: float | None = None) -> DataFrame:
     """Exact cosine distances, the k least of each query; ties by vec_id.
 
-    The queries are broadcast once their number is checked; each partition keeps its own best rows
-    (the window's group limit) before the shuffle.
+    The queries are a stated set; blocks of at most ``QUERY_LIMIT`` of them are broadcast in turn.
+    Each partition keeps its own best rows (the window's group limit) before the shuffle.
     """
-    n = queries.limit(QUERY_LIMIT + 1).count()
-    if n > QUERY_LIMIT:
-        raise ValueError(f"at most {QUERY_LIMIT} query vectors in one pass")
+    blocks = max(1, -(-queries.count() // QUERY_LIMIT))
     q = queries.select(F.col("vec_id").alias("query_id"), doubles("embedding").alias("q"), norm(doubles("embedding")).alias("qn"))
     c = corpus.select("vec_id", doubles("embedding").alias("v")).withColumn("vn", norm(F.col("v")))
-    scored = c.join(F.broadcast(q), F.col("vec_id") >= F.lit(-(2**63))).select(
-        "query_id", "vec_id", (F.round(1 - dot("v", "q") / (F.col("vn") * F.col("qn")), 6) + 0.0).alias("distance")
-    )
+    scored = None
+    for nth in range(blocks):
+        block = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == nth)
+        part = c.join(F.broadcast(block), F.col("vec_id") >= F.lit(-(2**63))).select(
+            "query_id", "vec_id", (F.round(1 - dot("v", "q") / (F.col("vn") * F.col("qn")), 6) + 0.0).alias("distance")
+        )
+        scored = part if scored is None else scored.unionByName(part)
     if cutoff is not None:
         scored = scored.where(F.col("distance") <= cutoff)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
@@ -227,7 +230,7 @@ def q_norms(spark, sf):
 
 
 def _queries(spark, sf):
-    return table(spark, sf, "embeddings").where(F.col("vec_id").isin(*QUERY_IDS))
+    return table(spark, sf, "embeddings").where(F.col("vec_id") % QUERY_STEP == 0)
 
 
 def q_topk(spark, sf):
@@ -250,8 +253,8 @@ def q_centroid(spark, sf):
 
 
 def _questions(spark, sf, words: int = 6):
-    """The first words of every tenth benchmark item."""
-    items = table(spark, sf, "benchmark").where("item_id % 10 = 0")
+    """The first words of the benchmark items of the query set."""
+    items = table(spark, sf, "benchmark").where(F.col("item_id") % QUERY_STEP == 0)
     return items.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(tokens("text"), 1, words), " ").alias("query"))
 
 
@@ -269,10 +272,10 @@ def q_bm25(spark, sf):
 
 
 def _branches(spark, sf):
-    """Vector and keyword rankings of three questions over documents that have vectors."""
+    """Vector and keyword rankings of the query set: a document's own vector and first words."""
     vector = vector_topk(table(spark, sf, "embeddings"), _queries(spark, sf), k=30).select("query_id", F.col("vec_id").alias("item"), "rank")
     docs = table(spark, sf, "documents")
-    asked = docs.where(F.col("doc_id").isin(*QUERY_IDS)).select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(tokens("text"), 1, 8), " ").alias("query"))
+    asked = docs.where(F.col("doc_id") % QUERY_STEP == 0).select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(tokens("text"), 1, 8), " ").alias("query"))
     keyword = bm25(docs, asked, k=30).select("query_id", F.col("doc_id").alias("item"), "rank")
     return vector, keyword
 
@@ -320,8 +323,8 @@ def q_markup(spark, sf):
 
 
 def q_prompt(spark, sf):
-    """The message payload of each question about its first two turns."""
-    turns = table(spark, sf, "conversations").where("turn < 2")
+    """The message payload of a question about each conversation's turns."""
+    turns = table(spark, sf, "conversations")
     context = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: passage_markup(s["text"])), "\n").alias("context"))
     filled = prompt("Context: {context} Question: {question}", F.concat(F.lit("q"), F.col("conv_id").cast("string")), F.col("context"))
     return context.select("conv_id", F.sha2(filled, 256).alias("prompt_sha256"))
@@ -338,7 +341,7 @@ def q_chain(spark, sf):
 _T = r"regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+')"
 _COS = "round(1 - list_inner_product(a::DOUBLE[], b::DOUBLE[]) / (sqrt(list_inner_product(a::DOUBLE[], a::DOUBLE[])) * sqrt(list_inner_product(b::DOUBLE[], b::DOUBLE[]))), 6)"
 _VEC = f"""(SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM
-  (SELECT q.vec_id AS query_id, c.vec_id, {_COS.replace("a::", "c.embedding::").replace("b::", "q.embedding::")} + 0.0::DOUBLE AS distance FROM embeddings c, embeddings q WHERE q.vec_id IN {QUERY_IDS}))"""
+  (SELECT q.vec_id AS query_id, c.vec_id, {_COS.replace("a::", "c.embedding::").replace("b::", "q.embedding::")} + 0.0::DOUBLE AS distance FROM embeddings c, embeddings q WHERE q.vec_id % 20 = 0))"""
 
 
 def _bm25_sql(questions: str, k: int) -> str:
@@ -350,8 +353,8 @@ def _bm25_sql(questions: str, k: int) -> str:
       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= {k})"""
 
 
-_ASK = f"(SELECT item_id AS query_id, {_T}[1:6] AS t FROM benchmark WHERE item_id % 10 = 0)"
-_SELF = f"(SELECT doc_id AS query_id, {_T}[1:8] AS t FROM documents WHERE doc_id IN {QUERY_IDS})"
+_ASK = f"(SELECT item_id AS query_id, {_T}[1:6] AS t FROM benchmark WHERE item_id % 20 = 0)"
+_SELF = f"(SELECT doc_id AS query_id, {_T}[1:8] AS t FROM documents WHERE doc_id % 20 = 0)"
 _FUSED = f"""(SELECT query_id, item, vector_rank, keyword_rank, round(coalesce(0.6::DOUBLE / (60 + vector_rank), 0) + coalesce(0.4::DOUBLE / (60 + keyword_rank), 0), 9) AS score
   FROM (SELECT query_id, vec_id AS item, rank AS vector_rank FROM {_VEC} WHERE rank <= 30) FULL JOIN (SELECT query_id, doc_id AS item, rank AS keyword_rank FROM {_bm25_sql(_SELF, 30)}) USING (query_id, item))"""
 
@@ -403,7 +406,7 @@ QUERIES = {
     "passage_markup_escape": (q_markup, "SELECT page_id, sha256(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped_sha256 FROM pages"),
     "prompt_payload": (
         q_prompt,
-        """SELECT conv_id, sha256('Context: ' || string_agg(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10) ORDER BY turn) || ' Question: q' || conv_id) AS prompt_sha256 FROM conversations WHERE turn < 2 GROUP BY conv_id""",
+        """SELECT conv_id, sha256('Context: ' || string_agg(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10) ORDER BY turn) || ' Question: q' || conv_id) AS prompt_sha256 FROM conversations GROUP BY conv_id""",
     ),
     "answer_chain": (q_chain, None),
 }
