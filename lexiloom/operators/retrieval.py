@@ -259,7 +259,7 @@ def _questions(spark, sf, words: int = 6):
 
 
 def q_keyword(spark, sf):
-    return match_all(table(spark, sf, "documents"), _questions(spark, sf))
+    return match_all(table(spark, sf, "documents"), _questions(spark, sf, 2))
 
 
 def q_web(spark, sf):
@@ -375,7 +375,7 @@ QUERIES = {
     ),
     "keyword_all_terms": (
         q_keyword,
-        f"SELECT query_id, doc_id FROM (SELECT query_id, list_distinct(t) AS q FROM {_ASK}), (SELECT doc_id, {_T} AS t FROM documents) WHERE list_has_all(t, q) AND len(q) > 0",
+        f"SELECT query_id, doc_id FROM (SELECT query_id, list_distinct(t[1:2]) AS q FROM {_ASK}), (SELECT doc_id, {_T} AS t FROM documents) WHERE list_has_all(t, q) AND len(q) > 0",
     ),
     "web_style_search": (
         q_web,
