@@ -35,13 +35,17 @@ from lexiloom.session import table
 
 #: Characters taken at a time; a block ends before the next white space.
 BLOCK = 1 << 16
-CACHE = 200_000
+CACHE = 100_000
+#: Rows of a result batch, so that a worker holds few token lists at a time.
+ROWS = 512
 VOCABULARY = "word_bpe_49k.json"
 _SPACES = "\t\n\v\f\r \x85\xa0  -     　"
 #: The vocabulary's own word pattern, with white space spelled out.
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACES}\p{{L}}\p{{N}}]+")
 _CUT = re.compile(r"[ \n\t\r]")
 _MARK = "</w>"
+#: A merge is its rank above 32 bits of the token it makes; no merge is larger than any.
+_MASK, _NONE = (1 << 32) - 1, 1 << 62
 
 
 def _byte_symbols() -> list[str]:
@@ -77,7 +81,7 @@ class Codec:
         self.merges = {}
         for rank, (a, b) in enumerate(spec["merges"]):
             if a in vocab and b in vocab and a + b in vocab:
-                self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+                self.merges.setdefault((vocab[a], vocab[b]), rank << 32 | vocab[a + b])
         byte_of = {s: b for b, s in enumerate(symbols)}
         self._bytes, self.parts = {}, {}
         for token, i in vocab.items():
@@ -89,27 +93,23 @@ class Codec:
         self.lookahead = max(map(len, self.by_parts))
         self._compatible: dict = {}
         self._cache: dict = {}
+        self._older: dict = {}
 
     def merged(self, ids: list[int]) -> list[int]:
         """Merges symbols by rank, the leftmost first among equals."""
-        merges = self.merges
-        while len(ids) > 1:
-            best, at = None, None
-            for pair in zip(ids, ids[1:], strict=False):
-                found = merges.get(pair)
-                if found and (best is None or found < best):
-                    best, at = found, pair
-            if best is None:
+        get, none, mask = self.merges.get, _NONE, _MASK
+        ids, order = list(ids), [get(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+        while order:
+            best = min(order)
+            if best == none:
                 break
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and (ids[i], ids[i + 1]) == at:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = order.index(best)
+            ids[i : i + 2] = [best & mask]
+            del order[i]
+            if i:
+                order[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(order):
+                order[i] = get((ids[i], ids[i + 1]), none)
         return ids
 
     def compatible(self, a: int, b: int) -> bool:
@@ -170,10 +170,16 @@ class Codec:
 
     def _entry(self, piece: str):
         """Ids of a word, their decimal string, and the tokens' own strings joined by spaces."""
+        entry = self._older.get(piece)
+        if entry:
+            self._cache[piece] = entry
+            return entry
         ids = self.word(piece)
         entry = (ids, " ".join(map(str, ids)), " ".join([self.strings[i] for i in ids]))
         if len(piece) <= 48:
+            # Two generations: what was used since the last turn survives the next.
             if len(self._cache) >= CACHE:
+                self._older = dict(self._cache)
                 self._cache.clear()
             self._cache[piece] = entry
         return entry
@@ -250,13 +256,19 @@ class _Shared:
         return self.__dict__
 
 
+def _pieces(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids and the readable decoded text of every document."""
     shared = _Shared(docs.sparkSession, path or vocabulary_path())
 
     def run(batches):
         codec = _codec(shared)
-        for batch in batches:
+        for batch in _pieces(batches):
             ids = [codec.encode(t.as_py()) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())),
@@ -273,7 +285,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         codec = _codec(shared)
-        for batch in batches:
+        for batch in _pieces(batches):
             counts, ids_sha, decoded_sha = [], [], []
             for text in batch["text"]:
                 n, a, b = 0, hashlib.sha256(), hashlib.sha256()
