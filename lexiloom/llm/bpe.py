@@ -236,7 +236,7 @@ _codecs: dict = {}
 
 
 def _codec(shared) -> Codec:
-    """One codec for each broadcast vocabulary in a Python worker."""
+    """One codec for a vocabulary in a Python worker, whichever query it was built for."""
     if shared.id not in _codecs:
         _codecs.clear()
         _codecs[shared.id] = Codec(shared.value)
@@ -245,16 +245,14 @@ def _codec(shared) -> Codec:
 
 class _Shared:
     def __init__(self, spark, path):
-        self.value_of = spark.sparkContext.broadcast(load(path))
-        self.id = self.value_of._jbroadcast.id() if self.value_of._jbroadcast is not None else 0
+        spec = load(path)
+        self.value_of = spark.sparkContext.broadcast(spec)
+        self.id = hashlib.sha256(json.dumps(spec, sort_keys=True).encode()).hexdigest()
 
     @property
     def value(self):
         return self.value_of.value
 
-    def __getstate__(self):
-        return self.__dict__
-
 
 def _pieces(batches):
     for batch in batches:
