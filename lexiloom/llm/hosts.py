@@ -16,7 +16,10 @@ columns cannot clash.
 
 from __future__ import annotations
 
-from lexiloom.session import table
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lexiloom.session import materialize, table
 
 #: (verdict, rule): a rule is a host and the start of a path; it covers the host's subdomains.
 RULES = (
@@ -63,7 +66,7 @@ def _shrunk(level: str, parent_mean: str) -> str:
 
 
 def reputation_sql(pages: str, labels: str, rules=RULES, z: float = 1.645, threshold: float = 0.5) -> str:
-    """SQL of the whole operator, in the dialect that Spark and DuckDB share."""
+    """The whole operator as one SQL statement, for DuckDB."""
     host = "regexp_extract(rest, '^[^/?#]*', 0)"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
@@ -99,17 +102,66 @@ FROM parsed p LEFT JOIN host_bound b ON p.host = b.host
 """
 
 
-def filter_urls(pages, labels, rules=RULES, z: float = 1.645, threshold: float = 0.5):
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, host and path of every URL."""
+    at = F.instr("url", "://")
+    rest = F.when(at > 0, F.expr("substr(url, instr(url, '://') + 3)")).otherwise("")
+    host = F.translate(F.regexp_extract("rest", "^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return pages.select("page_id", rest.alias("rest")).select("page_id", host.alias("host"), F.regexp_extract("rest", "^[^/?#]*([^?#]*)", 1).alias("path"))
+
+
+def _correlation(level: DataFrame) -> float:
+    """Moment estimate of the intra-class correlation of (n, k, up) rows, kept within [0.02, 0.5]."""
+    n, k, up = F.col("n"), F.col("k"), F.col("up")
+    row = level.where("n > 0").agg(
+        F.sum(n * (k / n - up) * (k / n - up)).alias("spread"), F.sum(up * (1 - up)).alias("within"), F.sum(up * (1 - up) * (n - 1)).alias("excess")
+    ).first()
+    if not row.excess:
+        return 0.02
+    return min(0.5, max(0.02, (row.spread - row.within) / row.excess))
+
+
+def host_reputation(hosts: DataFrame) -> DataFrame:
+    """host, mean and weight of its posterior, from labelled pages n and good ones k of every host.
+
+    ``hosts`` is a table that is cheap to reread: one row a host. Only one mean and one correlation
+    a level pass through the driver.
+    """
+    split = hosts.withColumn("domain", F.regexp_extract("host", r"([^.]+[.])?[^.]*$", 0)).withColumn("suffix", F.regexp_extract("host", r"[^.]*$", 0))
+    whole = split.agg(F.coalesce((F.sum("k") + 0.5) / (F.sum("n") + 1), F.lit(0.5))).first()[0]
+    above, keys = None, ("suffix", "domain", "host")
+    for depth, key in enumerate(keys):
+        columns = keys[max(0, depth - 1) : depth + 1]
+        level = split.groupBy(*columns).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+        if above is None:
+            level = level.withColumn("up", F.lit(whole))
+        else:
+            up = above.select(F.col(keys[depth - 1]).alias("up_key"), F.col("mean").alias("up"))
+            level = level.join(up, F.col(keys[depth - 1]) == F.col("up_key"))
+        rho = _correlation(level)
+        kappa = 1 / rho - 1
+        above = level.select(key, ((F.col("k") + kappa * F.col("up")) / (F.col("n") + kappa)).alias("mean"), (F.col("n") + 1 / rho).alias("weight"))
+    return above
+
+
+def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, z: float = 1.645, threshold: float = 0.5) -> DataFrame:
     """Judges each row of ``pages`` (page_id, url) with ``labels`` (doc_id, quality) as outcomes.
 
     Every step but the last join aggregates before it shuffles, so a host with a third of all pages
     costs one row per map task; in the last join that host's pages are a skewed side that adaptive
     execution splits, the other side has one row per host.
     """
-    return pages.sparkSession.sql(
-        reputation_sql("{pages}", "{labels}", rules, z, threshold),
-        pages=pages.select("page_id", "url"),
-        labels=labels.select("doc_id", "quality"),
+    urls = parsed(pages)
+    outcomes = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.count("quality").alias("n"), F.sum("quality").alias("k"))
+    counted = urls.join(outcomes, F.col("page_id") == F.col("doc_id"), "left").groupBy("host").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n"), F.coalesce(F.sum("k"), F.lit(0)).cast("double").alias("k")
+    )
+    posterior = host_reputation(materialize(counted, "hosts"))
+    mean = F.col("mean")
+    bounds = posterior.select(F.col("host").alias("b_host"), (mean - z * F.sqrt(mean * (1 - mean) / F.col("weight"))).alias("bound"))
+    method = F.when(F.col("bound") >= threshold, "allow").otherwise("block")
+    return urls.join(bounds, F.col("host") == F.col("b_host"), "left").select(
+        "page_id", "host", "path", F.expr(_rule_case(rules, False)).cast("string").alias("rule"), F.coalesce(F.expr(_rule_case(rules, True)).cast("string"), method).alias("verdict")
     )
 
 
