@@ -21,7 +21,8 @@ last question mark, else its first half of words; its answer is the rest.
 
 The index of the test items is sent to every executor; its size follows the benchmark, not the
 corpus, and is checked against ``INDEX_LIMIT``: a larger benchmark is indexed in slices that fit,
-one pass each.
+one pass each. Word frequencies and the mean length are those of the whole benchmark in every slice,
+so slicing does not change a score.
 
 Edge cases: words are runs of letters, digits and underscores after lower-casing, so case,
 punctuation and white space do not matter; null and empty texts match nothing; empty items, and
@@ -43,10 +44,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.arrays import word_hashes
-from lexiloom.session import table
+from lexiloom.session import materialize, table
 
 K1, B = 1.2, 0.75
-THRESHOLD, OVERLAP, RUN = 0.65, 0.5, 3
+THRESHOLD, OVERLAP, RUN = 0.5, 0.5, 3
 BLOCK = 2
 #: Cells of the passage by block table that is summed at a time.
 TABLE = 1 << 20
@@ -83,7 +84,8 @@ def _runs(words: list[bytes]) -> set[bytes]:
 class Index:
     """Inverted index of items with normalised BM25 contributions and block maxima."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, whole: tuple[int, float, dict] | None = None):
+        """``whole``: number of items, mean length and items of each word, where ``items`` are a slice."""
         self.threshold = threshold
         parts = [(i, *_parts(t)) for i, t in items]
         parts = [p for p in parts if p[1] or p[2]]
@@ -96,16 +98,15 @@ class Index:
         bags = [Counter(_hashed(b" ".join(p[1] + p[2])).tolist()) for p in parts]
         lengths = [sum(b.values()) for b in bags]
         self.longest = max(lengths, default=1)
-        mean = sum(lengths) / max(1, len(lengths))
-        df = Counter(t for b in bags for t in b)
-        idf = {t: np.log1p((len(bags) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+        count, mean, df = whole or (len(bags), sum(lengths) / max(1, len(lengths)), Counter(t for b in bags for t in b))
+        idf = {t: np.log1p((count - n + 0.5) / (n + 0.5)) for t, n in df.items()}
         postings: dict[int, list] = {}
         shares = []
         for item, bag in enumerate(bags):
             norm = K1 * (1 - B + B * lengths[item] / mean)
             score = {t: idf[t] * n * (K1 + 1) / (n + norm) for t, n in bag.items()}
-            whole = sum(score.values())
-            shares.append({t: x / whole for t, x in score.items()})
+            own = sum(score.values())
+            shares.append({t: x / own for t, x in score.items()})
             for t, x in shares[-1].items():
                 postings.setdefault(t, []).append((item, x))
         self.terms = np.array(sorted(postings), dtype=np.uint64)
@@ -237,14 +238,40 @@ def _matches(raw: bytes, index: Index):
         yield (item, *best[item])
 
 
+def _words(items: DataFrame) -> DataFrame:
+    """The distinct words of every item as signed hashes, and one row with a null word and its length."""
+    schema = pa.schema([("term", pa.int64()), ("length", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            terms, lengths = [], []
+            for text in batch["text"].to_pylist():
+                question, answer = _parts(text)
+                if question or answer:
+                    hashes = _hashed(b" ".join(question + answer))
+                    distinct = np.unique(hashes).view(np.int64).tolist()
+                    terms += [None, *distinct]
+                    lengths += [len(hashes), *[None] * len(distinct)]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(lengths, pa.int64())], schema=schema)
+
+    return items.select("text").mapInArrow(run, "term long, length long")
+
+
 def _indexes(docs: DataFrame, items: DataFrame, threshold: float):
     """Broadcast indexes of the items: one, or as many as keep each within ``INDEX_LIMIT``."""
     rows = items.select("item_id", "text").where("text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = max(1, -(-size // INDEX_LIMIT))
+    slices, whole, counts = max(1, -(-size // INDEX_LIMIT)), None, None
+    if slices > 1:
+        count, total = _words(rows).where("term IS NULL").agg(F.count(F.lit(1)), F.sum("length")).first()
+        counts = materialize(_words(rows).where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("n")), "item-words")
     for k in range(slices):
-        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).orderBy("item_id", "text").collect()
-        yield docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in part], threshold))
+        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k)
+        if slices > 1:
+            used = counts.join(_words(part).select("term").distinct(), "term").collect()
+            whole = (count, (total or 0) / max(1, count), {r.term % 2**64: r.n for r in used})
+        items_of = [tuple(r) for r in part.orderBy("item_id", "text").collect()]
+        yield docs.sparkSession.sparkContext.broadcast(Index(items_of, threshold, whole))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -63,3 +63,30 @@ def test_documents_match_verbatim_search(spark):
     want = {(d, i) for d, t in docs for i, x in items if b" ".join(normalized(x).split()) in b" ".join(normalized(t).split())}
     got = {(r.doc_id, r.item_id) for r in op4_bm25_decontamination(spark, sf).collect()}
     assert got == want and want
+
+
+def test_truncated_and_edited_items_are_leaks(spark):
+    question, answer = [f"q{i}" for i in range(24)], [f"a{i}" for i in range(24)]
+    item = " ".join(question) + "? " + " ".join(answer)
+    filler = " ".join(f"word{i % 97}" for i in range(300))
+    truncated = " ".join(question[:14] + answer[:14])
+    edited = " ".join(question[:14] + ["other"] * 10 + answer[:14] + ["words"] * 10)
+    less = " ".join(question[:14] + answer[:8])
+    docs = spark.createDataFrame([(1, f"{filler} {truncated} {filler}"), (2, f"{filler} {edited}"), (3, f"{filler} {less}")], "doc_id long, text string")
+    items = spark.createDataFrame([(10, item), (11, "Rivers carry sand to the sea where waves grind it.")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in find_leaks(docs, items).collect()}
+    assert set(found) == {(1, 10), (2, 10)} and all(0.5 <= x < 0.65 for x in found.values())
+    assert [r.doc_id for r in without_leaks(docs, items).collect()] == [3]
+
+
+def test_slices_of_the_benchmark_score_like_one_index(spark, monkeypatch):
+    from lexiloom.llm import decontaminate
+
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(200)] + ["the", "of"] * 30
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(8, 60))) for _ in range(60)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(t.split()[: len(t.split()) * 4 // 5])) for i, t in enumerate(texts)], "doc_id long, text string")
+    one = {(r.doc_id, r.item_id): round(r.score, 9) for r in find_leaks(docs, items).collect()}
+    monkeypatch.setattr(decontaminate, "INDEX_LIMIT", sum(map(len, texts)) // 5)
+    assert {(r.doc_id, r.item_id): round(r.score, 9) for r in find_leaks(docs, items).collect()} == one and len(one) > 20
