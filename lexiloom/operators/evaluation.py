@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from lexiloom.session import table
 
+#: Words of the runs by which documents become candidates of an item.
+RUN = 5
+
 
 def precondition(items: DataFrame) -> DataFrame:
     """Why a metric cannot be scored, first reason first; null where it can."""
@@ -52,11 +55,14 @@ def paired(items: DataFrame) -> DataFrame:
     )
 
 
+def _clean(text):
+    return F.replace(F.regexp_replace(F.lower(text), r"\s+", " "), F.lit("­"), F.lit(""))
+
+
 def first_hit(ranked: DataFrame, phrases: DataFrame, top: int = 5) -> DataFrame:
     """Rank of the first text that holds all phrases of its question, within the top ranks."""
-    clean = lambda c: F.replace(F.regexp_replace(F.lower(c), r"\s+", " "), F.lit("­"), F.lit(""))
     hit = ranked.where(F.col("rank") <= top).join(phrases.withColumnRenamed("query_id", "p_q"), F.col("query_id") == F.col("p_q"))
-    hit = hit.withColumn("t", clean(F.col("text"))).where(F.forall("phrases", lambda p: F.col("t").contains(clean(p))))
+    hit = hit.withColumn("t", _clean(F.col("text"))).where(F.forall("phrases", lambda p: F.col("t").contains(_clean(p))))
     found = hit.groupBy(F.col("query_id").alias("f_q")).agg(F.min("rank").alias("first_hit"))
     return phrases.join(found, F.col("query_id") == F.col("f_q"), "left").select("query_id", "first_hit")
 
@@ -142,17 +148,38 @@ def q_paired(spark, sf):
     return paired(_items(spark, sf))
 
 
-def _hits(spark, sf):
-    """Documents that hold a benchmark item, ranked by length, as the results of the item's question."""
+def _run_hashes(words, first, last):
+    """Hashes of the distinct runs of ``RUN`` words from place ``first`` to place ``last``, counted from 0."""
+    starts = F.when(last - first >= RUN - 1, F.sequence(first, last - (RUN - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(RUN)])))
+
+
+def rank_by_runs(docs: DataFrame, items: DataFrame, top: int = 5) -> DataFrame:
+    """The ``top`` documents of each item (query_id, text) by shared word runs, then by length and doc_id.
+
+    A text that holds the item whole shares all runs of its inner words (the outer ones may end
+    within longer words), so it ranks before texts that hold fewer. Runs are equi-joined by hash;
+    only items of too few words are searched in every text.
+    """
     from pyspark.sql import Window
 
-    docs, items = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")
-    # Candidates share the item's first line; lines are equi-joined, so no pair is formed otherwise.
-    head = items.select(F.col("item_id").alias("query_id"), F.element_at(F.split("text", "\n"), 1).alias("line"), F.array("text").alias("phrases"))
-    lines = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    found = lines.join(head.select("query_id", "line"), "line")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.length("text"), "doc_id"))
-    return found.withColumn("rank", rank), head.select("query_id", "phrases")
+    texts = docs.select("doc_id", F.length("text").alias("n"), F.split(_clean(F.col("text")), " ").alias("w"))
+    runs = texts.select("doc_id", "n", F.explode(_run_hashes(F.col("w"), F.lit(0), F.size("w") - 1)).alias("run"))
+    asked = items.select("query_id", _clean(F.col("text")).alias("phrase")).withColumn("w", F.split("phrase", " "))
+    inner = asked.select("query_id", F.explode(_run_hashes(F.col("w"), F.lit(1), F.size("w") - 2)).alias("run"))
+    shared = runs.join(inner, "run").groupBy("query_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("shared"))
+    few = asked.where(F.size("w") < RUN + 2).select("query_id", "phrase")
+    plain = docs.select("doc_id", F.length("text").alias("n"), _clean(F.col("text")).alias("t"))
+    shared = shared.unionByName(plain.join(F.broadcast(few), F.col("t").contains(F.col("phrase"))).select("query_id", "doc_id", "n", F.lit(1).cast("long").alias("shared")))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("shared"), "n", "doc_id"))
+    best = shared.withColumn("rank", rank).where(F.col("rank") <= top)
+    return best.withColumnRenamed("doc_id", "b_id").join(docs, F.col("b_id").eqNullSafe(F.col("doc_id"))).select("query_id", "doc_id", "text", "rank")
+
+
+def _hits(spark, sf):
+    """Documents ranked for each benchmark item by the word runs they share, and the item as its phrase."""
+    docs, items = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return rank_by_runs(docs, items), items.select("query_id", F.array("text").alias("phrases"))
 
 
 def q_first_hit(spark, sf):
