@@ -17,6 +17,18 @@ def classify_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.join(b, F.col("item") == F.col("b_item"), "full_outer").select(F.coalesce("item", "b_item").alias("item"), outcome.alias("outcome"))
 
 
+def unchanged_sources(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Whether the sources of both sides have the same set of (item, content_hash, config_hash).
+
+    Each distinct member is one row that knows its sides; no set is collected.
+    """
+    key = ["source", "item", "content_hash", "config_hash"]
+    sides = before.select(*key, F.lit(True).alias("b"), F.lit(False).alias("a")).unionByName(after.select(*key, F.lit(False).alias("b"), F.lit(True).alias("a")))
+    members = sides.groupBy(*key).agg(F.bool_or("b").alias("b"), F.bool_or("a").alias("a"))
+    found = members.groupBy("source").agg(F.bool_or("b").alias("b"), F.bool_or("a").alias("a"), F.bool_and(F.col("a") & F.col("b")).alias("unchanged"))
+    return found.where("a AND b AND source IS NOT NULL").select("source", "unchanged")
+
+
 def removed(prior: DataFrame, included: DataFrame, failed: DataFrame, carried: DataFrame, skipped_sources: DataFrame) -> DataFrame:
     """Prior items that are neither included, failed nor carried, of sources that were not skipped."""
     out = prior
@@ -199,10 +211,8 @@ def q_provenance(spark, sf):
 
 
 def q_unchanged_index(spark, sf):
-    """Which sources have the same members in both snapshots: two empty differences, as set equality."""
-    before, after = _snapshots(spark, sf)
-    members = lambda df, name: df.groupBy(F.col("source").alias(f"{name}_s")).agg(F.sha2(F.array_join(F.array_sort(F.collect_set("lang")), ","), 256).alias(name))
-    return members(before, "b").join(members(after, "a"), F.col("b_s") == F.col("a_s")).select(F.col("b_s").alias("source"), (F.col("a") == F.col("b")).alias("unchanged"))
+    """Which sources of both snapshots have the same members in both."""
+    return unchanged_sources(*_snapshots(spark, sf))
 
 
 def q_membership(spark, sf):

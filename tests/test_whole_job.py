@@ -25,3 +25,14 @@ def test_every_verbatim_item_is_a_first_hit(spark):
     want = {r.item_id for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if any(clean(r.text) in t for t in texts)}
     got = {r.query_id for r in E.q_first_hit(spark, sf).where("first_hit IS NOT NULL").collect()}
     assert got == want and want
+
+
+def test_edited_added_and_removed_members_change_a_source(spark):
+    schema = "item long, source string, lang string, content_hash string, config_hash string"
+    same = [(1, "same", "en", "x", "v1"), (2, "same", "en", None, "v1")]
+    before = [*same, (3, "edited", "en", "x", "v1"), (4, "added", "en", "x", "v1"), (5, "lost", "en", "x", "v1"), (6, "lost", "en", "y", "v1"), (7, "config", "en", "x", "v1"), (8, "old", "en", "x", "v1")]
+    after = [*same, (3, "edited", "en", "z", "v1"), (4, "added", "en", "x", "v1"), (9, "added", "en", "y", "v1"), (5, "lost", "en", "x", "v1"), (7, "config", "en", "x", "v2"), (8, "new", "en", "x", "v1")]
+    from lexiloom.operators.changes import unchanged_sources
+
+    got = {r.source: r.unchanged for r in unchanged_sources(spark.createDataFrame(before, schema), spark.createDataFrame(after, schema)).collect()}
+    assert got == {"same": True, "edited": False, "added": False, "lost": False, "config": False}
