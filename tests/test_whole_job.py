@@ -36,3 +36,13 @@ def test_edited_added_and_removed_members_change_a_source(spark):
 
     got = {r.source: r.unchanged for r in unchanged_sources(spark.createDataFrame(before, schema), spark.createDataFrame(after, schema)).collect()}
     assert got == {"same": True, "edited": False, "added": False, "lost": False, "config": False}
+
+
+def test_repeated_site_chrome_goes(spark):
+    from lexiloom.sources.markup import website_main_content
+
+    page = "<div><p>Read  our Newsletter</p><p>Story {} of its own</p></div>"
+    rows = [(i, f"https://a.example/{i}", page.format(i)) for i in range(3)] + [(i, f"https://b.example/{i}", page.format(i)) for i in (3, 4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r.doc_id, r.text.split()[0]): r.reason for r in website_main_content(pages).collect()}
+    assert got == {(i, w): "repeated_site_chrome" if w == "Read" and i < 3 else None for i in range(5) for w in ("Read", "Story")}
