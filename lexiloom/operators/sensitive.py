@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from lexiloom.session import table
 
-LIMIT = 10_000
 #: Classes in the order in which they win overlaps, with their placeholders.
 CLASSES = ("api_secret", "payment_card", "government_id", "email", "ip_address", "phone")
 PLACEHOLDERS = {c: f"[{c.upper()}]" for c in CLASSES}
@@ -100,7 +99,7 @@ def findings(text: str, classes=CLASSES) -> list[tuple[int, int, str, str]]:
         if f[0] >= past:
             out.append(f)
             past = f[1]
-    return out[:LIMIT]
+    return out
 
 
 _FOUND = "struct<text: string, findings: array<struct<start_char: int, end_char: int, entity_class: string, detector: string>>>"

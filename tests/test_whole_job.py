@@ -46,3 +46,12 @@ def test_repeated_site_chrome_goes(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {(r.doc_id, r.text.split()[0]): r.reason for r in website_main_content(pages).collect()}
     assert got == {(i, w): "repeated_site_chrome" if w == "Read" and i < 3 else None for i in range(5) for w in ("Read", "Story")}
+
+
+def test_findings_have_no_limit(spark):
+    from lexiloom.operators.sensitive import findings, redact
+
+    text = "a@b.example " * 10_001 + "4111 1111 1111 1111"
+    assert len(findings(text)) == 10_002
+    got = redact(spark.createDataFrame([(1, text)], "doc_id long, text string"), actions={"payment_card": "drop_document"}).first()
+    assert got.dropped and "@" not in got.text and len(got.findings) == 10_002
