@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from lexiloom.session import materialize, table
 
-#: Tokens beyond this many do not count.
-TOKENS = 100_000
-
 
 def folded(text):
     """Lower case with sharp s as ss."""
@@ -27,7 +24,7 @@ def simhash64(docs: DataFrame) -> DataFrame:
 
     Tokens are counted per document before their hashes are spread over the bits, in one aggregation.
     """
-    tokens = F.slice(F.regexp_extract_all(folded("text"), F.lit(r"([\p{L}\p{N}]+)"), 1), 1, TOKENS)
+    tokens = F.regexp_extract_all(folded("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)
     counted = docs.select("doc_id", F.explode_outer(tokens).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
     hashed = counted.withColumn("h", F.expr("cast(conv(substr(sha2(token, 256), 1, 16), 16, -10) as bigint)"))
     sums = hashed.groupBy("doc_id").agg(*[

@@ -21,7 +21,6 @@ MARKERS = {
     "fr": ("le", "la", "de", "et", "en", "pour", "avec", "que"),
     "de": ("der", "die", "das", "und", "in", "für", "mit", "ist"),
 }
-SAMPLE = 50_000
 
 
 def measure(blocks: DataFrame, page_lines: int = 10) -> DataFrame:
@@ -87,8 +86,8 @@ def evaluate(measured: DataFrame, policy: str = "default-v1") -> DataFrame:
 
 
 def vote(text) -> dict:
-    """Columns of the stop-word vote over the first ``SAMPLE`` characters."""
-    words = F.transform(F.regexp_extract_all(F.substring(text, 1, SAMPLE), F.lit(r"([\p{L}]+)"), 1), lambda w: F.replace(F.lower(w), F.lit("ß"), F.lit("ss")))
+    """Columns of the stop-word vote over the whole text."""
+    words = F.transform(F.regexp_extract_all(text, F.lit(r"([\p{L}]+)"), 1), lambda w: F.replace(F.lower(w), F.lit("ß"), F.lit("ss")))
 
     def score(markers):
         return F.size(F.filter("words", lambda w: w.isin(*markers)))
@@ -114,8 +113,7 @@ SCRIPTS = {"ru": "Cyrillic", "ar": "Arabic", "hi": "Devanagari", "ja": "Hiragana
 
 def script_histogram(docs: DataFrame) -> DataFrame:
     """Letters of each script, the dominant one and whether two reach a fifth of all letters."""
-    sample = F.substring("text", 1, SAMPLE)
-    count = lambda cls: F.length(F.regexp_replace(sample, cls, ""))
+    count = lambda cls: F.length(F.regexp_replace("text", cls, ""))
     pattern = {code: rf"[^\p{{Is{name}}}]" for code, name in SCRIPTS.items()}
     pattern["ja"] = r"[^\p{IsHiragana}\p{IsKatakana}]"
     parts = F.array(*[F.struct(count(p).alias("n"), F.lit(code).alias("script")) for code, p in pattern.items()])

@@ -87,7 +87,7 @@ def publish_index(members: DataFrame, path: str) -> None:
 
 
 def q_grid(spark, sf):
-    grid = bounded_grid(tables_of(table(spark, sf, "documents")), max_rows=20, max_columns=12, max_cell=10)
+    grid = bounded_grid(tables_of(table(spark, sf, "documents")))
     return grid.select("doc_id", "row", "width", "limited", F.sha2(F.array_join("cells", "\t"), 256).alias("cells_sha256"))
 
 
@@ -106,7 +106,7 @@ def q_preview(spark, sf):
 
 
 def q_safe(spark, sf):
-    value = F.concat(F.element_at(F.array(F.lit(""), F.lit("="), F.lit(" +"), F.lit("\t"), F.lit("-")), (F.col("doc_id") % 5 + 1).cast("int")), F.substring("text", 1, 40))
+    value = F.concat(F.element_at(F.array(F.lit(""), F.lit("="), F.lit(" +"), F.lit("\t"), F.lit("-")), (F.col("doc_id") % 5 + 1).cast("int")), F.col("text"))
     return table(spark, sf, "documents").select("doc_id", safe_cell(value).alias("cell"))
 
 

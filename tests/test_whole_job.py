@@ -55,3 +55,30 @@ def test_findings_have_no_limit(spark):
     assert len(findings(text)) == 10_002
     got = redact(spark.createDataFrame([(1, text)], "doc_id long, text string"), actions={"payment_card": "drop_document"}).first()
     assert got.dropped and "@" not in got.text and len(got.findings) == 10_002
+
+
+def test_votes_scripts_hashes_and_error_rates_read_whole_texts(spark):
+    from pyspark.sql import functions as F
+
+    from lexiloom.operators.dedup import simhash64
+    from lexiloom.operators.gates import language_vote, script_histogram
+
+    late = spark.createDataFrame([(1, "the " * 13_000 + "und der " * 13_000)], "doc_id long, text string")
+    assert language_vote(late).first().language == "de"
+    mixed = spark.createDataFrame([(1, "a" * 50_000 + "я" * 50_000)], "doc_id long, text string")
+    assert script_histogram(mixed).first().mixed and script_histogram(mixed).first().letters == 100_000
+    long = spark.createDataFrame([(1, "x " * 100_000), (2, "x " * 100_000 + "y " * 150_000)], "doc_id long, text string")
+    assert len({r.simhash for r in simhash64(long).collect()}) == 2
+    texts = spark.createDataFrame([(1, "ab\nee" + "f" * 98), (2, "kitten"), (3, "")], "doc_id long, reference string")
+    rates = E.error_rate(texts.withColumn("hypothesis", F.expr("CASE doc_id WHEN 2 THEN 'sitting' ELSE replace(reference, 'e', '') END")), by_line=True)
+    assert [round(r.error_rate, 6) for r in rates.orderBy("doc_id").collect()] == [round(2 / 102, 6), round(2 / 6, 6), 0.0]
+
+
+def test_grids_and_cells_are_whole(spark, tmp_path):
+    from lexiloom.sources.delimited import q_grid, q_safe
+
+    line = " | ".join(f"a cell of some length {i}" for i in range(15))
+    spark.createDataFrame([(1, "\n".join([line] * 25))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = q_grid(spark, str(tmp_path)).collect()
+    assert len(rows) == 25 and {(r.width, r.limited) for r in rows} == {(15, False)}
+    assert q_safe(spark, str(tmp_path)).first().cell == "'=" + "\n".join([line] * 25)
