@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.session import materialize, table
+from lexiloom.session import discard, materialize, table
 
 
 def folded(text):
@@ -61,68 +60,72 @@ def near_pairs(hashes: DataFrame, threshold: float = 0.92) -> DataFrame:
     return pairs.withColumn("similarity", similarity(F.col("simhash"), F.col("other")))
 
 
+KEYS = {"raw_hash": "exact_raw_sha256", "cleaned_hash": "exact_cleaned_sha256", "normalized_hash": "normalized_sections_sha256"}
+
+
+def _first_of(rows: DataFrame, key: str) -> DataFrame:
+    """The best rank of each value of a key: (f_<key>, m_<key>)."""
+    return rows.groupBy(F.col(key).alias(f"f_{key}")).agg(F.min("rank_key").alias(f"m_{key}"))
+
+
 def select_canonical(rows: DataFrame, threshold: float | None = None) -> DataFrame:
     """Greedy selection in priority order: a row is compared with retained rows only.
 
     ``rows`` has identity, pinned, connector_rank, stable_order, raw_hash, cleaned_hash,
     normalized_hash and simhash. The first exact match in priority order wins, else the best near
-    score. Rows without any link are retained at once; the others are decided within their
-    connected component, which holds no texts, only hashes.
+    score. Rows equal in all hashes are one row while rounds of joins decide: a row is retained once
+    no undecided linked row ranks before it, and excluded once linked to a retained one. No task
+    gathers a group; the first undecided row is retained in every round, so rounds end.
     """
-    from lexiloom.operators.components import components
-
-    rows = rows.withColumn("rank_key", F.struct(F.when(F.col("pinned"), 0).otherwise(1).alias("a"), "connector_rank", "stable_order", "identity"))
-    # Copies of one hash are linked to their first row: a star, not all pairs.
-    links = None
-    for key in ("raw_hash", "cleaned_hash", "normalized_hash"):
-        first = F.min("identity").over(Window.partitionBy(key))
-        star = rows.select(F.col("identity").alias("a"), first.alias("b")).where("a <> b")
-        links = star if links is None else links.unionByName(star)
+    rank = F.struct(F.when(F.col("pinned"), 0).otherwise(1).alias("p"), "connector_rank", "stable_order", "identity")
+    rows = materialize(rows.select("identity", rank.alias("rank_key"), *[F.coalesce(k, F.lit("")).alias(k) for k in KEYS], "simhash"), "selection")
+    undecided = materialize(rows.groupBy(*KEYS, "simhash").agg(F.min("rank_key").alias("rank_key")), "undecided")
+    linked, near = list(KEYS), None
     if threshold is not None:
-        pairs = near_pairs(rows.select(F.col("identity").alias("doc_id"), "simhash"), threshold)
-        heads = rows.groupBy("simhash").agg(F.min("identity").alias("head"))
-        near = (
-            pairs.join(heads, "simhash").withColumnRenamed("head", "a").drop("simhash")
-            .join(heads.select(F.col("simhash").alias("other"), F.col("head").alias("b")), "other").select("a", "b")
-        )
-        same = rows.select(F.col("identity").alias("a"), F.min("identity").over(Window.partitionBy("simhash")).alias("b")).where("a <> b")
-        links = links.unionByName(near).unionByName(same)
-    part = components(links)
-    joined = rows.join(part, F.col("identity") == F.col("node"), "left")
-    alone = joined.where("component IS NULL").select(
-        "identity", F.lit("retained").alias("outcome"), F.col("identity").alias("retained_identity"), F.lit("unique").alias("method"), F.lit(1.0).alias("similarity")
-    )
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["p", "connector_rank", "stable_order", "identity"])
-        kept, out = [], []
-        first = [{}, {}, {}]  # hash to the place of the first retained row with it
-        names = ("exact_raw_sha256", "exact_cleaned_sha256", "normalized_sections_sha256")
-        for row in pdf.itertuples(index=False):
-            hashes = (row.raw_hash, row.cleaned_hash, row.normalized_hash)
-            exact = min(((seen[h], k) for k, (seen, h) in enumerate(zip(first, hashes, strict=True)) if h in seen), default=None)
-            match, method, score = None, "unique", 1.0
-            if exact:
-                match, method = kept[exact[0]][0], names[exact[1]]
-            elif threshold is not None:
-                best = 0.0
-                for identity, other in kept:
-                    near = round(1 - ((row.simhash ^ other) & (2**64 - 1)).bit_count() / 64, 6)
-                    if near >= threshold and near > best:
-                        match, method, best = identity, "simhash64", near
-                score = best if match is not None else 1.0
-            if match is None:
-                for seen, h in zip(first, hashes, strict=True):
-                    seen.setdefault(h, len(kept))
-                kept.append((row.identity, int(row.simhash)))
-            out.append((row.identity, "retained" if match is None else "excluded", row.identity if match is None else match, method, score))
-        return pd.DataFrame(out, columns=["identity", "outcome", "retained_identity", "method", "similarity"])
-
-    linked = joined.where("component IS NOT NULL").select(
-        "component", F.col("rank_key.a").alias("p"), "connector_rank", "stable_order", "identity", "raw_hash", "cleaned_hash", "normalized_hash", "simhash"
-    )
-    decided = linked.groupBy("component").applyInPandas(decide, "identity long, outcome string, retained_identity long, method string, similarity double")
-    return alone.unionByName(decided)
+        linked.append("simhash")
+        pairs = near_pairs(undecided.select(F.col("rank_key.identity").alias("doc_id"), "simhash"), threshold)
+        back = pairs.select(F.col("other").alias("simhash"), F.col("simhash").alias("other"), "similarity")
+        near = materialize(pairs.unionByName(back), "near")
+    kept = None
+    while not undecided.isEmpty():
+        best = undecided
+        for key in linked:
+            best = best.join(_first_of(undecided, key), F.col(key) == F.col(f"f_{key}")).where(F.col("rank_key") <= F.col(f"m_{key}")).drop(f"f_{key}", f"m_{key}")
+        if near is not None:
+            around = near.join(_first_of(undecided, "simhash"), F.col("other") == F.col("f_simhash")).groupBy(F.col("simhash").alias("n_simhash")).agg(F.min("m_simhash").alias("n"))
+            best = best.join(around, F.col("simhash") == F.col("n_simhash"), "left").where("n IS NULL OR rank_key < n").drop("n_simhash", "n")
+        best = materialize(best, "retained")
+        rest = undecided
+        for key in linked:
+            rest = rest.join(best.select(key).distinct(), key, "left_anti")
+        if near is not None:
+            gone = near.join(best.select(F.col("simhash").alias("b")), F.col("other") == F.col("b")).select("simhash").distinct()
+            rest = rest.join(gone, "simhash", "left_anti")
+        before, undecided = undecided, materialize(rest.select(*best.columns), "undecided")
+        kept = best if kept is None else kept.unionByName(best)  # one table a round
+        discard(before)
+    if kept is None:
+        kept = undecided
+    # A value of a key has one retained row at most, so these joins multiply nothing.
+    for key in KEYS:
+        rows = rows.join(_first_of(kept, key), F.col(key) == F.col(f"f_{key}"), "left").drop(f"f_{key}")
+    found = [F.when(F.col(f"m_{key}") < F.col("rank_key"), F.struct(F.col(f"m_{key}").alias("m"), F.lit(k).alias("k"))) for k, key in enumerate(KEYS)]
+    rows = rows.withColumn("exact", F.least(*found))
+    has = F.col("exact.m.identity").isNotNull()
+    method = F.when(has, F.element_at(F.array(*map(F.lit, KEYS.values())), F.col("exact.k") + 1))
+    match, score = F.col("exact.m.identity"), F.lit(1.0)
+    if near is not None:
+        own = kept.select("simhash", F.col("simhash").alias("other"), F.lit(1.0).alias("similarity"))
+        close = near.select("simhash", "other", "similarity").unionByName(own).join(_first_of(kept, "simhash"), F.col("other") == F.col("f_simhash"))
+        asked = rows.where(~has).select("identity", "rank_key", "simhash").join(close, "simhash").where("m_simhash < rank_key")
+        nearest = asked.groupBy(F.col("identity").alias("n_id")).agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("m_simhash").alias("m"))).alias("nearest"))
+        rows = rows.join(nearest, F.col("identity") == F.col("n_id"), "left")
+        method, match = F.coalesce(method, F.when(F.col("nearest.m.identity").isNotNull(), "simhash64")), F.coalesce(match, F.col("nearest.m.identity"))
+        score = F.coalesce(-F.col("nearest.s"), score)
+    return rows.select(
+        "identity", F.when(match.isNull(), "retained").otherwise("excluded").alias("outcome"), F.coalesce(match, F.col("identity")).alias("retained_identity"),
+        F.coalesce(method, F.lit("unique")).alias("method"), score.alias("similarity"),
+    )
 
 
 def with_provenance(decisions: DataFrame, sources: DataFrame) -> DataFrame:

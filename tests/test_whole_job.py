@@ -82,3 +82,33 @@ def test_grids_and_cells_are_whole(spark, tmp_path):
     rows = q_grid(spark, str(tmp_path)).collect()
     assert len(rows) == 25 and {(r.width, r.limited) for r in rows} == {(15, False)}
     assert q_safe(spark, str(tmp_path)).first().cell == "'=" + "\n".join([line] * 25)
+
+
+def test_selection_by_rounds_is_the_greedy_one(spark):
+    import inspect
+    import random
+
+    from lexiloom.operators import dedup
+
+    rng = random.Random(5)
+    sims = [0, 0b111, 0b111111, 0b111111111, -1, 1 << 40]
+    rows = [(i, i == 7, rng.randrange(3), i, rng.choice("abcdefgh") + str(i // 30), rng.choice("stuvwxyz") + str(i // 25), "n" + str(rng.randrange(60)), rng.choice(sims) ^ (rng.randrange(9) << 50)) for i in range(150)]
+    rows += [(1000 + i, False, 1, 1000 + i, "copy", "copy", "copy", 0b10101 << 20) for i in range(50)]
+    schema = "identity long, pinned boolean, connector_rank int, stable_order long, raw_hash string, cleaned_hash string, normalized_hash string, simhash long"
+    for threshold in (None, 0.92):
+        kept, want = [], {}
+        for r in sorted(rows, key=lambda r: (not r[1], r[2], r[3], r[0])):
+            exact = [(n, k) for n, o in enumerate(kept) for k in range(3) if o[4 + k] == r[4 + k]]
+            close = [(-round(1 - ((r[7] ^ o[7]) & (2**64 - 1)).bit_count() / 64, 6), n) for n, o in enumerate(kept)] if threshold else []
+            close = [c for c in close if -c[0] >= threshold]
+            if exact:
+                want[r[0]] = (kept[min(exact)[0]][0], list(dedup.KEYS.values())[min(exact)[1]], 1.0)
+            elif close:
+                want[r[0]] = (kept[min(close)[1]][0], "simhash64", -min(close)[0])
+            else:
+                want[r[0]] = (r[0], "unique", 1.0)
+                kept.append(r)
+        got = dedup.select_canonical(spark.createDataFrame(rows, schema), threshold).collect()
+        assert {r.identity: (r.retained_identity, r.method, r.similarity) for r in got} == want and len(got) == len(rows)
+        assert all((r.outcome == "retained") == (r.identity == r.retained_identity) for r in got)
+    assert "applyInPandas" not in inspect.getsource(dedup.select_canonical)
