@@ -5,53 +5,51 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import xxhash
 
 #: Words are runs of bytes outside space and \\t \\n \\v \\f \\r, which UTF-8 never uses inside a character.
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_SPACE = bytes(c in (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D) for c in range(256))
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 #: Bytes hashed at a time; a block ends at white space, so only a longer single word exceeds it.
-BLOCK = 1 << 20
-
-_rng = np.random.default_rng(20260101)
-_BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
-_BASES = [int(x) | 1 for x in _rng.integers(2**62, 2**63, 3, dtype=np.uint64)]
-_MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_powers: dict = {}
-
-
-def mix(h: np.ndarray) -> np.ndarray:
+BLOCK = 1 << 18
+#: Windows hashed at a time, so that the arrays stay in the cache.
+STEP = 1 << 14
+#: Words of more bytes are hashed one at a time.
+LONG = 64
+#: Bits of the first n bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+#: Odd multipliers and seeds of the two independent hashes.
+_KEYS = tuple(tuple(np.uint64(x) for x in key) for key in ((0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15), (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93)))
+
+
+def mix(h: np.ndarray, which: int = 0) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
-    h = (h ^ (h >> np.uint64(30))) * _MIX1
-    h = (h ^ (h >> np.uint64(27))) * _MIX2
-    return h ^ (h >> np.uint64(31))
-
-
-def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of an odd base and of its inverse modulo 2**64."""
-    have = _powers.get(which)
-    if have is None or len(have[0]) <= n:
-        size = max(n + 1, 1 << 16)
-        base, out = _BASES[which], []
-        for b in (base, pow(base, -1, 2**64)):
-            p = np.full(size, np.uint64(b))
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        have = tuple(out)
-        if size <= 2 * BLOCK:
-            _powers[which] = have
-    return have
-
-
-def _prefix(values: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values, out=out[1:])
-    return out
+    first, second, _ = _KEYS[which]
+    h = h ^ (h >> np.uint64(30))
+    h *= first
+    h ^= h >> np.uint64(27)
+    h *= second
+    h ^= h >> np.uint64(31)
+    return h
+
+
+def _join(a: np.ndarray, b: np.ndarray, which: int) -> np.ndarray:
+    """Hashes of two neighbours' hashes; for a fixed ``a`` it is one to one in ``b``."""
+    first, second, seed = _KEYS[which]
+    h = a * seed
+    h ^= h >> np.uint64(29)
+    h += b
+    h *= first
+    h ^= h >> np.uint64(32)
+    h *= second
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def _blocks(raw: bytes):
     start = 0
     while len(raw) - start > BLOCK:
-        found = re.compile(rb"[\x20\x09-\x0D]").search(raw, start + BLOCK)
+        found = _GAP.search(raw, start + BLOCK)
         if not found:
             break
         yield start, raw[start : found.end()]
@@ -61,32 +59,55 @@ def _blocks(raw: bytes):
 
 def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets of the words' starts and ends."""
-    buf = np.frombuffer(raw, dtype=np.uint8)
-    edge = np.diff(_SPACE[buf].astype(np.int8), prepend=1, append=1)
-    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    space = np.frombuffer(b"\1" + raw.translate(_SPACE) + b"\1", dtype=np.int8)
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    return edges[0::2], edges[1::2]
+
 
+def word_hashes(raw: bytes, seeds: int = 1) -> tuple[np.ndarray, ...]:
+    """Starts and ends of the words of ``raw``, and ``seeds`` (1 or 2) independent 64-bit hashes.
 
-def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of the words of ``raw``."""
+    A word is read eight bytes at a time; every step is one to one in the bytes read and nonlinear in
+    what came before, so no pattern of letters makes two words collide by construction.
+    """
     parts = []
     for offset, block in _blocks(raw):
         starts, ends = word_spans(block)
-        buf = np.frombuffer(block, dtype=np.uint8)
-        up, down = _power(0, len(buf))
-        total = _prefix(_BYTE[buf] * up[: len(buf)])
-        h = (total[ends] - total[starts]) * down[starts]
-        parts.append((starts + offset, ends + offset, mix(h ^ (ends - starts).astype(np.uint64))))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        length = ends - starts
+        lanes = np.ndarray(len(block) + 1, dtype="<u8", buffer=block + bytes(8), strides=(1,))
+        first = lanes[starts] & _FIRST[np.minimum(length, 8)]
+        out = [mix(first ^ length.astype(np.uint64) * _KEYS[k][2], k) for k in range(seeds)]
+        more, at = np.flatnonzero((length > 8) & (length <= LONG)), 8
+        while len(more):
+            lane = lanes[starts[more] + at] & _FIRST[np.minimum(length[more] - at, 8)]
+            for k in range(seeds):
+                out[k][more] = _join(out[k][more], lane, k)
+            at += 8
+            more = more[length[more] > at]
+        for i in np.flatnonzero(length > LONG).tolist():
+            for k in range(seeds):
+                out[k][i] = xxhash.xxh3_64_intdigest(block[starts[i] : ends[i]], k)
+        parts.append((starts + offset, ends + offset, *out))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if len(parts) > 1 else parts[0]
+
+
+def window_hashes(words: np.ndarray, size: int, which: int = 0) -> np.ndarray:
+    """The 64-bit hash of every run of ``size`` word hashes, from hashes of runs of 1, 2, 4, ... words."""
+    out = np.empty(max(0, len(words) - size + 1), dtype=np.uint64)
+    for at in range(0, len(out), STEP):
+        out[at : at + STEP] = _windows(words[at : at + STEP + size - 1], size, which)
+    return out
 
 
-def window_hashes(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of every run of ``size`` word hashes."""
+def _windows(words: np.ndarray, size: int, which: int) -> np.ndarray:
     n = len(words) - size + 1
-    if n <= 0:
-        return (np.empty(0, dtype=np.uint64),) * 2
-    out = []
-    for which in (1, 2):
-        up, down = _power(which, len(words))
-        total = _prefix((words if which == 1 else mix(words)) * up[: len(words)])
-        out.append(mix((total[size:] - total[:-size]) * down[:n]))
-    return tuple(out)
+    run, span, taken, out = words, 1, 0, None
+    while True:
+        if size & span:
+            part = run[taken : taken + n]
+            out = part if out is None else _join(out, part, which)
+            taken += span
+        if taken == size:
+            return out
+        run = _join(run[:-span], run[span:], which)
+        span *= 2

@@ -1,8 +1,8 @@
 """Substring dedup with a count-min prefilter.
 
-A window is ``size`` consecutive words of one document. Texts are dealt into chunks by document;
-every exchange below is between chunks and shards of the hash space, so a window that a third of
-all documents share is one entry per chunk.
+A window is ``size`` consecutive words of one document. Rows are dealt into chunks by their id and
+text; every exchange below is between chunks and shards of the hash space, so a window that a third
+of all documents share is one entry per chunk.
 
 1. Sketch: each chunk adds its windows to a partial count-min sketch of ``ROWS`` rows, split into
    shards and sent as the sorted cells that are not zero (the width grows with the corpus, so the
@@ -11,21 +11,25 @@ all documents share is one entry per chunk.
    too low, so no repeated window is lost.
 2. Exact count: a chunk sends only windows estimated repeated, as 128-bit hashes with the smallest
    document that starts them; shards group them and answer with one bit: is there a smaller
-   document elsewhere?
+   document elsewhere? The chunk's own estimates travel along as bits and are not computed again.
 3. Removal: a chunk marks the words of windows that a smaller document has.
 
-Chunks hold about ``CHUNK_BYTES`` of text (or one longer document); their number follows the table.
+The identity of a window is a 128-bit hash of two independent halves, built from 128 bits of every
+word by nonlinear steps (no sums of powers, so no pattern of letters or words collides by construction).
+
+A chunk holds 2 MB of text at least and a shard a million windows; both grow with the square root of
+the corpus, to ``MOST`` times that, so that messages between chunks and shards do not become tiny.
+A longer document is a chunk of its own size.
 
 Edge cases: a null text has no words; texts shorter than a window keep every word; windows repeated
 within one document only are kept; repeated rows with one doc_id never remove each other's words;
-a null doc_id counts as larger than every id; an empty table gives no rows. Only doc_id and text
-are read.
+a null doc_id counts as larger than every id; an empty table gives no rows. Many rows of one id, or
+of none, are dealt by their texts; rows equal in id and text share a chunk. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from itertools import compress
 
 import numpy as np
@@ -37,239 +41,257 @@ from lexiloom.llm.arrays import mix, window_hashes, word_hashes
 from lexiloom.session import table
 
 SIZE = 50
-CHUNK_BYTES = 2 << 20
-#: Rows of the sketch, cells in a row of one shard, and windows a shard is planned for.
-ROWS, WIDTH, LOAD = 2, 1 << 22, 1 << 20
+ROWS = 2
+#: Bytes of text in a chunk, bytes of text a shard is planned for, and the most that both grow.
+CHUNK_BYTES, SHARD_BYTES, MOST = 2 << 20, 4 << 20, 16
+#: Cells of a sketch row for each byte of text, so that a word of 4 bytes or more has 4 cells or more.
+CELLS = 1
 _LAST = np.iinfo(np.int64).max
+_ONE = np.uint64(1)
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Sorted unique unsigned values as compressed differences, low and high bytes apart."""
+    """Sorted unique unsigned values as differences of 1, 2, 4 or 8 bytes."""
     gaps = np.diff(values, prepend=values.dtype.type(0))
-    wide = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)
-    used = int(np.flatnonzero(wide.any(axis=0)).max(initial=0)) + 1
-    return bytes([used]) + zlib.compress(np.ascontiguousarray(wide[:, :used].T).tobytes(), 1)
+    used = next(n for n in (1, 2, 4, 8) if n == 8 or int(gaps.max(initial=0)) >> 8 * n == 0)
+    return bytes([used]) + gaps.astype(f"<u{used}").tobytes()
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(blob[1:]), dtype=np.uint8).reshape(blob[0], -1)
-    wide = np.zeros((planes.shape[1], 8), dtype=np.uint8)
-    wide[:, : blob[0]] = planes.T
-    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(np.frombuffer(blob, f"<u{blob[0]}", -1, 1), dtype=np.uint64).astype(np.int64)
+
+
+def _bits(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes()
+
+
+def _flags(blob: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(blob, dtype=np.uint8), count=n).view(bool)
+
+
+class _Plan:
+    """Window size, shards as a power of two, and the bits of a shard's cell."""
+
+    def __init__(self, total: int, size: int):
+        grown = min(MOST, max(1.0, (total / (64 * CHUNK_BYTES)) ** 0.5))
+        self.size, self.chunks = size, max(1, int(-(-total // (grown * CHUNK_BYTES))))
+        self.shard_bits = max(0, int(-(-total // (grown * SHARD_BYTES)) - 1).bit_length())
+        self.cell_bits = int(grown * SHARD_BYTES * CELLS - 1).bit_length()
+        self.shards = 1 << self.shard_bits
+
+    def cells(self, hashes: np.ndarray) -> np.ndarray:
+        """The shard and the cell within it: the high bits of a hash."""
+        return hashes >> np.uint64(64 - self.shard_bits - self.cell_bits)
+
+    def cuts(self, sorted_cells: np.ndarray) -> np.ndarray:
+        edges = np.arange(1, self.shards, dtype=np.uint64) << np.uint64(self.cell_bits)
+        return np.concatenate(([0], np.searchsorted(sorted_cells, edges), [len(sorted_cells)])).tolist()
 
 
 class _Chunk:
-    """The windows of one chunk's documents."""
-
-    def __init__(self, ids, texts, size: int, shards: int):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.size = ids[order], size
-        self.raws = [(texts[i] or "").encode("utf-8", "surrogatepass") for i in order.tolist()]
-        first, second, counts, self.words = [], [], [], []
-        for raw in self.raws:
-            hashes = word_hashes(raw)[2]
-            a, b = window_hashes(hashes, size)
-            first.append(a)
-            second.append(b)
-            counts.append(len(a))
-            self.words.append(len(hashes))
-        empty = [np.empty(0, dtype=np.uint64)]
-        self.a, self.b = np.concatenate(first + empty), np.concatenate(second + empty)
-        self.doc = np.repeat(np.arange(len(counts)), counts)
-        self.starts = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
-        self.shard = ((self.a >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-        self.shards = shards
-
-    def cells(self):
-        """Per sketch row: shard * WIDTH + cell of every window."""
-        base = self.shard.astype(np.uint64) * np.uint64(WIDTH)
+    """The distinct windows of one chunk's rows, sorted by their hashes."""
+
+    def __init__(self, ids: np.ndarray, texts: list, plan: _Plan):
+        self.plan, self.ids, size = plan, ids, plan.size
+        self.raws = [t or b"" for t in texts]
+        starts, _, a, b = word_hashes(b" ".join(self.raws), 2)
+        edges = np.concatenate(([0], np.cumsum([len(r) + 1 for r in self.raws])))
+        first = np.searchsorted(starts, edges)
+        self.words = np.diff(first)
+        windows = np.maximum(0, self.words - size + 1)
+        self.doc, self.starts = np.repeat(np.arange(len(windows)), windows), np.concatenate(([0], np.cumsum(windows)))
+        at = np.repeat(first[:-1] - self.starts[:-1], windows) + np.arange(len(self.doc))
+        a, b = window_hashes(a, size, 0)[at], window_hashes(b, size, 1)[at]
+        order = np.argsort(a)
+        x, y = a[order], b[order]
+        same = x[1:] == x[:-1]
+        if (same & (y[1:] != y[:-1])).any():  # equal first halves of different windows
+            order = np.lexsort((b, a))
+            x, y = a[order], b[order]
+            same = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+        self.head = np.flatnonzero(np.concatenate(([True], ~same))) if len(x) else np.empty(0, dtype=np.int64)
+        self.a, self.b, self.order = x[self.head], y[self.head], order
+        self.times = np.diff(self.head, append=len(x))
+
+    def sketch(self):
+        """For every row of the sketch: its sorted cells, their counts, and each window's place among them."""
         for row in range(ROWS):
-            yield base + (mix(self.a + np.uint64(row + 1)) & np.uint64(WIDTH - 1))
-
-    def estimated_repeated(self, answers) -> np.ndarray:
-        """Windows whose merged cells count two or more in every row of the sketch."""
+            cell = self.plan.cells(mix(self.a ^ np.uint64(row), 1) if row else self.a)
+            if row:
+                sent, place = np.unique(cell, return_inverse=True)
+            else:
+                fresh = np.diff(cell, prepend=cell[:1] ^ _ONE) != 0
+                sent, place = cell[fresh], np.cumsum(fresh) - 1
+            yield sent, np.bincount(place, weights=self.times, minlength=len(sent)), place
+
+    def estimated_repeated(self, answers: dict) -> np.ndarray:
+        """The windows whose merged cells count two or more in every row of the sketch."""
         keep = np.ones(len(self.a), dtype=bool)
-        for row, cell in enumerate(self.cells()):
-            sent = np.unique(cell)
-            bits = np.zeros(len(sent), dtype=bool)
-            cuts = np.searchsorted(sent, np.arange(self.shards + 1, dtype=np.uint64) * np.uint64(WIDTH))
-            for (shard, r), blob in answers.items():
-                if r == row:
-                    s, e = cuts[shard], cuts[shard + 1]
-                    bits[s:e] = np.unpackbits(np.frombuffer(blob, dtype=np.uint8), count=e - s).astype(bool)
-            keep &= bits[np.searchsorted(sent, cell)]
+        for row, (sent, _, place) in enumerate(self.sketch()):
+            keep &= _gathered(self.plan.cuts(sent), answers, row)[place]
         return keep
 
-    def distinct(self, keep: np.ndarray):
-        """(shard, a, b, smallest doc) of the kept windows, sorted, and every window's place in it."""
-        at = np.flatnonzero(keep)
-        order = at[np.lexsort((self.doc[at], self.b[at], self.a[at], self.shard[at]))]
-        a, b = self.a[order], self.b[order]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        place = np.full(len(self.a), -1, dtype=np.int64)
-        place[order] = np.cumsum(new) - 1
-        head = order[new]
-        return self.shard[head], self.a[head], self.b[head], self.ids[self.doc[head]], place
+    def smallest(self) -> np.ndarray:
+        """The smallest document that starts each window."""
+        return np.minimum.reduceat(self.ids[self.doc[self.order]], self.head) if len(self.head) else np.empty(0, dtype=np.int64)
 
 
-def _batch(schema, **columns):
+def _gathered(cuts: list, answers: dict, kind: int) -> np.ndarray:
+    """The shards' answers of one kind for consecutive slices."""
+    return np.concatenate([_flags(answers[kind, k], e - s) for k, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)) if e > s] or [np.empty(0, dtype=bool)])
+
+
+def _table(schema, **columns):
     return pa.Table.from_arrays([pa.array(columns[n], t) for n, t in zip(schema.names, schema.types, strict=True)], schema=schema)
 
 
-_PARTIAL = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("row", pa.int32()), ("once", pa.binary()), ("more", pa.binary())])
-_CELLS = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("row", pa.int32()), ("bits", pa.binary())])
-_CANDIDATE = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("first", pa.binary()), ("second", pa.binary()), ("doc", pa.binary())])
+#: Kinds of messages: a row of the sketch, then the exact count, then a chunk's own estimates.
+EXACT, OWN = ROWS, ROWS + 1
+_PARTIAL = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("chunk", pa.int64()), ("cells", pa.binary()), ("more", pa.binary())])
+_ANSWER = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("shard", pa.int64()), ("bits", pa.binary())])
+_CANDIDATE = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("chunk", pa.int64()), ("first", pa.binary()), ("second", pa.binary()), ("doc", pa.binary())])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
-def _of(t: pa.Table, size: int, shards: int) -> _Chunk:
-    return _Chunk(t["doc"].to_numpy(), t["text"].to_pylist(), size, shards)
+def _of(t: pa.Table, plan: _Plan) -> _Chunk:
+    return _Chunk(t["doc"].to_numpy(), t["text"].cast(pa.binary()).to_pylist(), plan)
 
 
-def _partial_sketch(size: int, shards: int):
+def _partial_sketch(plan: _Plan):
     def run(key, t):
-        chunk, out = _of(t, size, shards), {n: [] for n in _PARTIAL.names}
-        for row, cell in enumerate(chunk.cells()):
-            sent, counts = np.unique(cell, return_counts=True)
-            cuts = np.searchsorted(sent, np.arange(shards + 1, dtype=np.uint64) * np.uint64(WIDTH))
-            for shard in np.flatnonzero(np.diff(cuts)).tolist():
-                s, e = cuts[shard], cuts[shard + 1]
-                out["shard"].append(shard)
-                out["chunk"].append(key[0].as_py())
-                out["row"].append(row)
-                out["once"].append(_pack(sent[s:e] - np.uint64(shard * WIDTH)))
-                out["more"].append(np.packbits(counts[s:e] > 1).tobytes())
-        return _batch(_PARTIAL, **out)
+        out = {n: [] for n in _PARTIAL.names}
+        for row, (sent, counts, _) in enumerate(_of(t, plan).sketch()):
+            cell, cuts = sent & np.uint64((1 << plan.cell_bits) - 1), plan.cuts(sent)
+            for shard, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if e > s:
+                    for column, value in zip(out.values(), (row, shard, key[0].as_py(), _pack(cell[s:e]), _bits(counts[s:e] > 1)), strict=True):
+                        column.append(value)
+        return _table(_PARTIAL, **out)
 
     return run
 
 
-def _merge_sketch(key, t):
-    counts = np.zeros((ROWS, WIDTH), dtype=np.uint8)
-    rows, chunks = t["row"].to_pylist(), t["chunk"].to_pylist()
-    cells = [_unpack(x.as_py()) for x in t["once"]]
-    for row, cell, more in zip(rows, cells, t["more"], strict=True):
-        add = 1 + np.unpackbits(np.frombuffer(more.as_py(), dtype=np.uint8), count=len(cell))
-        counts[row][cell] = np.minimum(counts[row][cell] + add, 2)
-    bits = [np.packbits(counts[row][cell] > 1).tobytes() for row, cell in zip(rows, cells, strict=True)]
-    return _batch(_CELLS, chunk=chunks, shard=[key[0].as_py()] * len(rows), row=rows, bits=bits)
+def _merge_sketch(plan: _Plan):
+    def run(key, t):
+        cells = [_unpack(x.as_py()) for x in t["cells"]]
+        once, more = np.zeros(1 << plan.cell_bits, dtype=bool), np.zeros(1 << plan.cell_bits, dtype=bool)
+        for cell, blob in zip(cells, t["more"], strict=True):
+            more[cell] |= once[cell] | _flags(blob.as_py(), len(cell))
+            once[cell] = True
+        n = t.num_rows
+        return _table(_ANSWER, chunk=t["chunk"], kind=[key[0].as_py()] * n, shard=[key[1].as_py()] * n, bits=[_bits(more[c]) for c in cells])
+
+    return run
 
 
 def _answers(t: pa.Table) -> dict:
-    return {(s, r): b for s, r, b in zip(*(t[c].to_pylist() for c in ("shard", "row", "bits")), strict=True)}
+    return {(k, s): b for k, s, b in zip(*(t[c].to_pylist() for c in ("kind", "shard", "bits")), strict=True)}
 
 
-def _candidates(size: int, shards: int):
-    def run(key, t, cells):
+def _candidates(plan: _Plan):
+    def run(key, t, answers):
         out = {n: [] for n in _CANDIDATE.names}
         if t.num_rows:
-            chunk = _of(t, size, shards)
-            shard, a, b, doc, _ = chunk.distinct(chunk.estimated_repeated(_answers(cells)))
-            cuts = np.searchsorted(shard, np.arange(shards + 1))
-            for at in np.flatnonzero(np.diff(cuts)).tolist():
-                part = slice(cuts[at], cuts[at + 1])
-                ids, place = np.unique(doc[part], return_inverse=True)
-                out["shard"].append(at)
-                out["chunk"].append(key[0].as_py())
-                out["first"].append(a[part].astype("<u8").tobytes())
-                out["second"].append(b[part].astype("<u8").tobytes())
-                out["doc"].append(len(ids).to_bytes(8, "little") + ids.astype("<i8").tobytes() + place.astype("<u4").tobytes())
-        return _batch(_CANDIDATE, **out)
+            chunk, number = _of(t, plan), key[0].as_py()
+            keep = chunk.estimated_repeated(_answers(answers))
+            rows = [(OWN, -1 - number, number, _bits(keep), b"", b"")]
+            a, b, doc = chunk.a[keep], chunk.b[keep], chunk.smallest()[keep]
+            cuts = plan.cuts(plan.cells(a))
+            for shard, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if e > s:
+                    ids, place = np.unique(doc[s:e], return_inverse=True)
+                    ids = len(ids).to_bytes(8, "little") + ids.astype("<i8").tobytes() + place.astype("<u2" if len(ids) <= 1 << 16 else "<u4").tobytes()
+                    rows.append((EXACT, shard, number, a[s:e].astype("<u8").tobytes(), b[s:e].astype("<u8").tobytes(), ids))
+            out = dict(zip(out, zip(*rows, strict=True), strict=True))
+        return _table(_CANDIDATE, **out)
 
     return run
 
 
 def _smaller_elsewhere(key, t):
     """For each chunk's windows of one shard: has another chunk a smaller document?"""
+    kind, shard, n = key[0].as_py(), key[1].as_py(), t.num_rows
+    if kind == OWN:
+        return _table(_ANSWER, chunk=t["chunk"], kind=[kind] * n, shard=[-1] * n, bits=t["first"])
     a, b, doc, sizes = [], [], [], []
     for first, second, ids in zip(*(t[c].to_pylist() for c in ("first", "second", "doc")), strict=True):
-        n = int.from_bytes(ids[:8], "little")
-        known, place = np.frombuffer(ids, "<i8", n, 8), np.frombuffer(ids, "<u4", -1, 8 + 8 * n)
+        many, size = int.from_bytes(ids[:8], "little"), len(first) // 8
+        known = np.frombuffer(ids, "<i8", many, 8)
+        doc.append(known[np.frombuffer(ids, "<u2" if many <= 1 << 16 else "<u4", size, 8 + 8 * many)])
         a.append(np.frombuffer(first, "<u8"))
         b.append(np.frombuffer(second, "<u8"))
-        doc.append(known[place])
-        sizes.append(len(place))
+        sizes.append(size)
     a, b, doc = np.concatenate(a), np.concatenate(b), np.concatenate(doc)
-    order = np.lexsort((doc, b, a))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    least = doc[order][new][np.cumsum(new) - 1]
+    order = np.argsort(a)
+    x, y = a[order], b[order]
+    same = x[1:] == x[:-1]
+    if (same & (y[1:] != y[:-1])).any():
+        order = np.lexsort((b, a))
+        x, y = a[order], b[order]
+        same = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+    new = np.concatenate(([True], ~same))
+    least = np.minimum.reduceat(doc[order], np.flatnonzero(new))[np.cumsum(new) - 1]
     smaller = np.empty(len(order), dtype=bool)
     smaller[order] = least < doc[order]
-    bits = [np.packbits(x).tobytes() for x in np.split(smaller, np.cumsum(sizes)[:-1])]
-    chunks = t["chunk"].to_pylist()
-    return _batch(_CELLS, chunk=chunks, shard=[key[0].as_py()] * len(chunks), row=[-1] * len(chunks), bits=bits)
-
-
-def _removal(size: int, shards: int):
-    def run(key, t, bits):
-        if not t.num_rows:
-            return _RESULT.empty_table()
-        answers = _answers(bits)
-        chunk = _of(t, size, shards)
-        shard, _, _, doc, place = chunk.distinct(chunk.estimated_repeated({k: v for k, v in answers.items() if k[1] >= 0}))
-        smaller = np.zeros(len(shard), dtype=bool)
-        cuts = np.searchsorted(shard, np.arange(shards + 1))
-        for (at, row), blob in answers.items():
-            if row < 0:
-                s, e = cuts[at], cuts[at + 1]
-                smaller[s:e] = np.unpackbits(np.frombuffer(blob, dtype=np.uint8), count=e - s).astype(bool)
-        gone = np.zeros(len(chunk.a), dtype=bool)
-        known = place >= 0
-        at = place[known]
-        gone[known] = smaller[at] | (doc[at] < chunk.ids[chunk.doc[known]])
-        out = {n: [] for n in _RESULT.names}
-        for i, (raw, n) in enumerate(zip(chunk.raws, chunk.words, strict=True)):
-            words, hit = raw.split(), gone[chunk.starts[i] : chunk.starts[i + 1]]
-            if hit.any():
-                edge = np.zeros(n + 1, dtype=np.int64)
-                starts = np.flatnonzero(hit)
-                edge[starts] += 1
-                np.subtract.at(edge, starts + size, 1)
-                keep = np.cumsum(edge[:-1]) == 0
-                words = list(compress(words, keep.tolist()))
-            out["doc_id"].append(None if chunk.ids[i] == _LAST else int(chunk.ids[i]))
-            out["n_words"].append(n)
-            out["n_removed"].append(n - len(words))
-            out["kept"].append(b" ".join(words).decode("utf-8", "surrogatepass"))
-        return _batch(_RESULT, **out)
+    bits = [_bits(x) for x in np.split(smaller, np.cumsum(sizes)[:-1])]
+    return _table(_ANSWER, chunk=t["chunk"], kind=[kind] * n, shard=[shard] * n, bits=bits)
 
-    return run
 
+def _removal(plan: _Plan, digest: bool):
+    """The result rows; ``digest``: with the kept text's digest in place of the text."""
 
-def _digest(run):
-    """The same result with the kept text's digest in place of the text."""
+    def run(key, t, answers):
+        out = {n: [] for n in _RESULT.names}
+        if t.num_rows:
+            chunk, bits = _of(t, plan), _answers(answers)
+            keep = _flags(bits[OWN, -1], len(chunk.a))
+            smaller = np.zeros(len(keep), dtype=bool)
+            smaller[keep] = _gathered(plan.cuts(plan.cells(chunk.a[keep])), bits, EXACT)
+            gone = np.empty(len(chunk.order), dtype=bool)
+            gone[chunk.order] = np.repeat(smaller, chunk.times)
+            gone |= _behind(chunk)
+            for i, (raw, n) in enumerate(zip(chunk.raws, chunk.words.tolist(), strict=True)):
+                words, hit = raw.split(), gone[chunk.starts[i] : chunk.starts[i + 1]]
+                if hit.any():
+                    edge = np.zeros(n + 1, dtype=np.int64)
+                    starts = np.flatnonzero(hit)
+                    edge[starts] += 1
+                    edge[starts + plan.size] -= 1
+                    words = list(compress(words, (np.cumsum(edge[:-1]) == 0).tolist()))
+                kept = b" ".join(words)
+                out["doc_id"].append(None if chunk.ids[i] == _LAST else int(chunk.ids[i]))
+                out["n_words"].append(n)
+                out["n_removed"].append(n - len(words))
+                out["kept"].append(hashlib.sha256(kept).hexdigest() if digest else kept.decode())
+        return _table(_RESULT, **out)
+
+    return run
 
-    def digested(key, t, bits):
-        out = run(key, t, bits)
-        sha = [hashlib.sha256(x.as_py().encode("utf-8", "surrogatepass")).hexdigest() for x in out["kept"]]
-        return out.set_column(3, "kept_sha256", pa.array(sha, pa.string()))
 
-    return digested
+def _behind(chunk: _Chunk) -> np.ndarray:
+    """Windows that a smaller document of the same chunk starts too."""
+    out = np.empty(len(chunk.order), dtype=bool)
+    out[chunk.order] = np.repeat(chunk.smallest(), chunk.times) < chunk.ids[chunk.doc[chunk.order]]
+    return out
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words (``kept``), or their digest (``kept_sha256``)."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # No shard is planned smaller than this: a word takes 4 bytes or more on average, white space included.
-    chunks, shards = max(1, -(-total // CHUNK_BYTES)), max(1, -(-total // (4 * LOAD)))
+    plan = _Plan(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, size)
     dealt = docs.select(
         F.coalesce("doc_id", F.lit(int(_LAST))).cast("long").alias("doc"),
         "text",
-        F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(plan.chunks)).alias("chunk"),
     )
     ddl = lambda schema: ", ".join(
         f"{n} {({'int64': 'long', 'int32': 'int'}).get(str(t), str(t))}" for n, t in zip(schema.names, schema.types, strict=True)
     )
     by_chunk = dealt.groupBy("chunk")
-    cells = by_chunk.applyInArrow(_partial_sketch(size, shards), ddl(_PARTIAL)).groupBy("shard").applyInArrow(_merge_sketch, ddl(_CELLS))
-    windows = by_chunk.cogroup(cells.groupBy("chunk")).applyInArrow(_candidates(size, shards), ddl(_CANDIDATE))
-    exact = windows.groupBy("shard").applyInArrow(_smaller_elsewhere, ddl(_CELLS))
-    run, last = _removal(size, shards), ddl(_RESULT)
-    if digest:
-        run, last = _digest(run), last.replace("kept ", "kept_sha256 ")
-    return by_chunk.cogroup(cells.unionByName(exact).groupBy("chunk")).applyInArrow(run, last)
+    cells = by_chunk.applyInArrow(_partial_sketch(plan), ddl(_PARTIAL)).groupBy("kind", "shard").applyInArrow(_merge_sketch(plan), ddl(_ANSWER))
+    windows = by_chunk.cogroup(cells.groupBy("chunk")).applyInArrow(_candidates(plan), ddl(_CANDIDATE))
+    exact = windows.groupBy("kind", "shard").applyInArrow(_smaller_elsewhere, ddl(_ANSWER))
+    out = by_chunk.cogroup(exact.groupBy("chunk")).applyInArrow(_removal(plan, digest), ddl(_RESULT))
+    return out.withColumnRenamed("kept", "kept_sha256") if digest else out
 
 
 def op6_substring_dedup(spark, sf_dir):
