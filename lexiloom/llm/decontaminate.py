@@ -1,28 +1,31 @@
 """Benchmark decontamination with a BM25 index of the test items and block-max WAND.
 
-Every training passage is a query against an inverted index of the test items; passages overlap so
-that any text as long as the longest item lies whole in one of them. An item's score is its BM25
-score for the passage's words divided by its score for its own words, so one threshold
-(``THRESHOLD``) suits items of every length. All items at or above it are retrieved:
-
-* The words that most items share are "non-essential": no item gets far on them alone. A passage
-  whose essential words cannot lift it to the threshold, even with the greatest contribution of
-  each word in the whole index, is skipped without reading a posting.
+Every training passage is a query against an inverted index of the test items. An item's score is
+its BM25 score for the passage's words divided by its score for its own words, so one threshold
+(``THRESHOLD``) suits items of every length. Items are indexed in classes of length (up to 64
+words, 128, 256, ...); a class's passages are twice its length and overlap by half, so any text as
+long as an item lies whole in one of them, and one long item does not lengthen the passages that
+short items are compared with. All items at or above the threshold are retrieved:
+
+* The words that most items share are "non-essential": no item gets beyond a part of the threshold
+  on them alone. A passage whose other, essential words cannot lift it to the threshold, even with
+  the greatest contribution of each word in the whole index, is skipped without reading a posting.
 * Items of similar words are neighbours, in blocks of ``BLOCK``. For the passages left, the greatest
-  contributions of their words in each block are summed, for all blocks at once; a passage no block
-  of which can reach the threshold is skipped.
+  contributions of their essential words in each block are summed, a batch of texts at a time; a
+  block's non-essential words add what they can give in that block at most. A passage no block of
+  which can reach the threshold is skipped.
 * The others run document-at-a-time WAND: cursors ordered by item, a pivot from the words' greatest
   contributions, blocks skipped by their own maxima, exact scores last.
 
 All steps only use upper bounds, so nothing at or above the threshold is lost. Retrieved items are
-then verified: three-word runs of the item's question part and of its answer part must each be
-covered by the document's passage to ``OVERLAP`` or more. An item's question is its text up to the
-last question mark, else its first half of words; its answer is the rest.
+then verified on their words: three-word runs of the item's question part and of its answer part
+must each be covered by the document's passage to ``OVERLAP`` or more. An item's question is its
+text up to the last question mark, else its first half of words; its answer is the rest.
 
 The index of the test items is sent to every executor; its size follows the benchmark, not the
 corpus, and is checked against ``INDEX_LIMIT``: a larger benchmark is indexed in slices that fit,
 one pass each. Word frequencies and the mean length are those of the whole benchmark in every slice,
-so slicing does not change a score.
+and passages follow an item's class alone, so slicing changes no score and no result.
 
 Edge cases: words are runs of letters, digits and underscores after lower-casing, so case,
 punctuation and white space do not matter; null and empty texts match nothing; empty items, and
@@ -34,7 +37,6 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import Counter
 from functools import reduce
 from heapq import heapify, heappop, heappush
 
@@ -44,18 +46,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.arrays import word_hashes
-from lexiloom.session import materialize, table
+from lexiloom.session import discard, materialize, table
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, RUN = 0.5, 0.5, 3
-BLOCK = 2
-#: Cells of the passage by block table that is summed at a time.
-TABLE = 1 << 20
+#: Items in a block, words of the shortest class of items, and the part of the threshold that
+#: non-essential words may give.
+BLOCK, SPAN, SHARED = 2, 64, 0.6
+#: Bytes of normalised text that are compared at a time.
+BATCH = 1 << 19
 #: Bytes of item text that one index may hold.
-INDEX_LIMIT = 64 << 20
+INDEX_LIMIT = 16 << 20
 #: ASCII bytes that separate words; all others, and every non-ASCII byte, belong to words.
 _ASCII = bytes(c if c > 127 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
 _ODD = re.compile(r"[^\w\x00-\x7f]+")
+_EPSILON = 1e-9
 
 
 def normalized(text: str | None) -> bytes:
@@ -81,161 +86,233 @@ def _runs(words: list[bytes]) -> set[bytes]:
     return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
 
 
-class Index:
-    """Inverted index of items with normalised BM25 contributions and block maxima."""
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    """Where each of consecutive runs of these sizes starts, and the end of the last."""
+    return np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, whole: tuple[int, float, dict] | None = None):
-        """``whole``: number of items, mean length and items of each word, where ``items`` are a slice."""
-        self.threshold = threshold
-        parts = [(i, *_parts(t)) for i, t in items]
-        parts = [p for p in parts if p[1] or p[2]]
-        # Items with the same most shared word, mostly of one language, become neighbours.
-        shared = Counter(w for p in parts for w in {*p[1], *p[2]})
-        parts.sort(key=lambda p: sorted(((-shared[w], w) for w in {*p[1], *p[2]}))[:3])
-        self.ids = [p[0] for p in parts]
-        self.question = [_runs(p[1]) for p in parts]
-        self.answer = [_runs(p[2]) for p in parts]
-        bags = [Counter(_hashed(b" ".join(p[1] + p[2])).tolist()) for p in parts]
-        lengths = [sum(b.values()) for b in bags]
-        self.longest = max(lengths, default=1)
-        count, mean, df = whole or (len(bags), sum(lengths) / max(1, len(lengths)), Counter(t for b in bags for t in b))
-        idf = {t: np.log1p((count - n + 0.5) / (n + 0.5)) for t, n in df.items()}
-        postings: dict[int, list] = {}
-        shares = []
-        for item, bag in enumerate(bags):
-            norm = K1 * (1 - B + B * lengths[item] / mean)
-            score = {t: idf[t] * n * (K1 + 1) / (n + norm) for t, n in bag.items()}
-            own = sum(score.values())
-            shares.append({t: x / own for t, x in score.items()})
-            for t, x in shares[-1].items():
-                postings.setdefault(t, []).append((item, x))
-        self.terms = np.array(sorted(postings), dtype=np.uint64)
-        order = self.terms.tolist()
-        self.items = [np.array([i for i, _ in postings[t]]) for t in order]
-        self.shares = [np.array([x for _, x in postings[t]]) for t in order]
-        self.lists, self.weights = [x.tolist() for x in self.items], [x.tolist() for x in self.shares]
-        self.blocks = -(-len(bags) // BLOCK) or 1
-        # Greatest contribution of each word in each block of items that has it.
-        heads, maxima = [], []
-        for items_of, x in zip(self.items, self.shares, strict=True):
-            block, first = np.unique(items_of // BLOCK, return_index=True)
-            heads.append(block)
-            maxima.append(np.maximum.reduceat(x, first))
-        self.block_max = [dict(zip(h.tolist(), m.tolist(), strict=True)) for h, m in zip(heads, maxima, strict=True)]
-        self.block_ptr = np.concatenate(([0], np.cumsum([len(h) for h in heads]))).astype(np.int64)
-        self.block_of = np.concatenate([*heads, np.empty(0, dtype=np.int64)])
-        self.block_top = np.concatenate([*maxima, np.empty(0)])
-        self.top = np.array([float(x.max()) for x in self.shares])
-        # Non-essential: the most shared words, as long as no item reaches the threshold on them alone.
-        held, self.base, essential = [0.0] * len(bags), 0.0, np.ones(len(order), dtype=bool)
-        for at in sorted(range(len(order)), key=lambda k: -len(self.items[k])):
-            most = max(held[i] + x for i, x in zip(self.items[at].tolist(), self.shares[at].tolist(), strict=True))
-            if most > 0.2 * threshold:
-                break
-            essential[at] = False
-            self.base = max(self.base, most)
-            for i, x in zip(self.items[at].tolist(), self.shares[at].tolist(), strict=True):
-                held[i] += x
-        self.lift = np.where(essential, self.top, 0.0)
 
-    def lookup(self, hashes: np.ndarray) -> np.ndarray:
-        """The term number of every word, -1 for words that no item has."""
-        if not len(self.terms):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        return np.where(self.terms[at] == hashes, at, -1)
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All the numbers of the ranges, one after the other."""
+    return np.repeat(starts - _starts(sizes)[:-1], sizes) + np.arange(sizes.sum())
+
+
+class Statistics:
+    """Number and mean length of all items, and the number of items of each word."""
+
+    def __init__(self, count: int, mean: float, terms: np.ndarray, df: np.ndarray):
+        order = np.argsort(terms)
+        self.count, self.mean, self.terms, self.df = count, mean, terms[order], df[order]
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        n = self.df[np.searchsorted(self.terms, terms)]
+        return np.log1p((self.count - n + 0.5) / (n + 0.5))
 
-    def passages(self, terms: np.ndarray) -> list[tuple[int, int]]:
-        """Word ranges whose bounds reach the threshold.
 
-        Words are dealt into cells as long as the longest item; a passage is two neighbouring cells.
+class _Class:
+    """The postings of items of one class of length; terms are numbers of the whole index."""
+
+    def __init__(self, span: int, width: int, item, term, share, items: int, threshold: float):
+        order = np.lexsort((item, term))
+        self.span, self.need = span, threshold - _EPSILON
+        self.item, self.share, term = item[order], share[order], term[order]
+        self.ptr = np.searchsorted(term, np.arange(width + 1))
+        some = np.flatnonzero(np.diff(self.ptr))
+        self.top = np.zeros(width)
+        self.top[some] = np.maximum.reduceat(self.share, self.ptr[some])
+        # Greatest contribution of each word in each block of items that has it.
+        self.blocks = -(-items // BLOCK)
+        key = term * self.blocks + self.item // BLOCK
+        head = np.flatnonzero(np.diff(key, prepend=-1))
+        self.block_top, self.block_of = np.maximum.reduceat(self.share, head), (self.item // BLOCK)[head]
+        self.block_ptr = np.searchsorted(term[head], np.arange(width + 1))
+        # Non-essential: the most shared words, as long as no item gets far on them alone.
+        held, essential = np.zeros(items), np.ones(width, dtype=bool)
+        for t in some[np.argsort(-np.diff(self.ptr)[some], kind="stable")].tolist():
+            part = slice(self.ptr[t], self.ptr[t + 1])
+            if (held[self.item[part]] + self.share[part]).max() > SHARED * threshold:
+                break
+            essential[t] = False
+            held[self.item[part]] += self.share[part]
+        self.base = np.maximum.reduceat(held, np.arange(0, items, BLOCK))
+        # One place more, for words of no item.
+        self.lift = np.append(np.where(essential, self.top, 0.0), 0.0)
+        self._lists: dict = {}
+
+    def postings(self, t: int):
+        """Items and contributions of a word, and its greatest contribution by block."""
+        known = self._lists.get(t)
+        if known is None:
+            part, heads = slice(self.ptr[t], self.ptr[t + 1]), slice(self.block_ptr[t], self.block_ptr[t + 1])
+            blocks = dict(zip(self.block_of[heads].tolist(), self.block_top[heads].tolist(), strict=True))
+            known = self._lists[t] = (self.item[part].tolist(), self.share[part].tolist(), blocks)
+        return known
+
+    def passages(self, terms: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
+        """(text, first word, end) of the passages whose bounds reach the threshold.
+
+        ``first`` holds the number of each text's first word and, last, the number of words. A text's
+        words are dealt into cells of ``span`` words; a passage is two neighbouring cells.
         """
-        hits, need = np.flatnonzero(terms >= 0), self.threshold - 1e-9
-        span, width = self.longest, len(self.terms)
-        if not len(hits) or self.lift[terms[hits]].sum() + self.base < need:
+        hits = np.flatnonzero(self.lift[terms] > 0)
+        if not len(hits):
             return []
-        key = np.unique(hits // span * width + terms[hits])
+        width, most = len(self.lift), self.base.max()
+        cells = -(-np.diff(first) // self.span)
+        cell_ptr = _starts(cells)
+        text = np.searchsorted(first, hits, side="right") - 1
+        cell = cell_ptr[text] + (hits - first[text]) // self.span
+        key = np.unique(cell * width + terms[hits])
         cell, term = key // width, key % width
-        cells = -(-len(terms) // span)
-        lift = np.bincount(cell, weights=self.lift[term], minlength=cells + 1)
-        heads = np.flatnonzero(lift[:-1] + lift[1:] + self.base >= need)
-        if cells > 1:
-            heads = heads[heads < cells - 1]
-        out, step = [], max(2, TABLE // self.blocks)
-        for at in range(0, cells, step):
-            part = heads[(heads >= at) & (heads < at + step)]
-            if not len(part):
-                continue
-            # Sum the blocks' maxima of the essential words of these cells and one more.
-            used = np.zeros(cells + 1, dtype=bool)
-            used[part] = used[part + 1] = True
-            of = np.flatnonzero(used[cell] & (self.lift[term] > 0))
-            many = self.block_ptr[term[of] + 1] - self.block_ptr[term[of]]
-            where = np.repeat(self.block_ptr[term[of]] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-            row = np.repeat(cell[of] - at, many)
-            total = np.bincount(row * self.blocks + self.block_of[where], weights=self.block_top[where], minlength=(step + 1) * self.blocks)
-            total = total.reshape(-1, self.blocks)
-            best = (total[part - at] + total[part - at + 1]).max(axis=1)
-            out += [(int(k) * span, min((int(k) + 2) * span, len(terms))) for k in part[best + self.base >= need]]
-        return out
+        lift = np.bincount(cell, weights=self.lift[term], minlength=cell_ptr[-1] + 1)
+        last = np.zeros(len(lift), dtype=bool)
+        last[cell_ptr[1:][cells > 0] - 1] = True
+        pair = lift[:-1] + np.where(last[:-1], 0.0, lift[1:])
+        head = pair + most >= self.need
+        # A text's last cell is part of the passage before it, if there is one.
+        head[cell_ptr[1:][cells > 1] - 1] = False
+        head = np.append(head, False)
+        # The distinct essential words of every such passage, from its two cells.
+        mine, before = head[cell], head[cell - 1] & (cell > 0) & ~last[cell - 1]
+        key = np.unique(np.concatenate((key[mine], key[before] - width)))
+        cell, term = key // width, key % width
+        many = self.block_ptr[term + 1] - self.block_ptr[term]
+        at = _ranges(self.block_ptr[term], many)
+        spot, row = np.unique(np.repeat(cell, many) * self.blocks + self.block_of[at], return_inverse=True)
+        bound = np.bincount(row, weights=self.block_top[at], minlength=len(spot)) + self.base[spot % self.blocks]
+        found = np.unique(spot[bound >= self.need] // self.blocks)
+        if most >= self.need:  # SHARED above 1: no word is essential to some items
+            found = np.flatnonzero(head)
+        text = np.searchsorted(cell_ptr, found, side="right") - 1
+        start = first[text] + (found - cell_ptr[text]) * self.span
+        return list(zip(text.tolist(), start.tolist(), np.minimum(start + 2 * self.span, first[text + 1]).tolist(), strict=True))
 
     def wand(self, terms: list[int]) -> list[tuple[int, float]]:
         """All (item, score) at or above the threshold for a passage with these distinct terms."""
-        cursors = [(self.lists[t][0], t, 0) for t in terms]
+        have = {t: self.postings(t) for t in terms if self.ptr[t] < self.ptr[t + 1]}
+        top = {t: float(self.top[t]) for t in have}
+        cursors = [(have[t][0][0], t) for t in have]
         heapify(cursors)
         found = []
         while cursors:
             # Pivot: the first item that the greatest contributions could lift to the threshold.
             taken, bound = [], 0.0
-            while cursors and bound < self.threshold - 1e-9:
+            while cursors and bound < self.need:
                 taken.append(heappop(cursors))
-                bound += self.top[taken[-1][1]]
-            if bound < self.threshold - 1e-9:
+                bound += top[taken[-1][1]]
+            if bound < self.need:
                 break
             pivot = taken[-1][0]
             while cursors and cursors[0][0] == pivot:
                 taken.append(heappop(cursors))
             block = pivot // BLOCK
-            if sum(self.block_max[t].get(block, 0.0) for _, t, _ in taken) >= self.threshold - 1e-9:
-                at = [(t, bisect_left(self.lists[t], pivot)) for _, t, _ in taken]
-                score = sum(self.weights[t][p] for t, p in at if p < len(self.lists[t]) and self.lists[t][p] == pivot)
-                if score >= self.threshold - 1e-9:
+            if sum([have[t][2].get(block, 0.0) for _, t in taken]) >= self.need:
+                at = [(have[t], bisect_left(have[t][0], pivot)) for _, t in taken]
+                score = sum([x[1][p] for x, p in at if p < len(x[0]) and x[0][p] == pivot])
+                if score >= self.need:
                     found.append((pivot, score))
                 beyond = pivot + 1
             else:
                 # No item of the block can reach it with these words, up to the next cursor.
                 beyond = max(pivot + 1, min([(block + 1) * BLOCK] + [c[0] for c in cursors[:1]]))
-            for _, t, _ in taken:
-                p = bisect_left(self.lists[t], beyond)
-                if p < len(self.lists[t]):
-                    heappush(cursors, (self.lists[t][p], t, p))
+            for _, t in taken:
+                p = bisect_left(have[t][0], beyond)
+                if p < len(have[t][0]):
+                    heappush(cursors, (have[t][0][p], t))
         return found
 
 
-def _hashed(raw: bytes) -> np.ndarray:
-    return word_hashes(raw)[2]
-
-
-def _matches(raw: bytes, index: Index):
-    """(item, score, question share, answer share) of every verified item of one text."""
-    starts, ends, hashes = word_hashes(raw)
-    terms, best = index.lookup(hashes), {}
-    for s, e in index.passages(terms):
-        distinct = np.unique(terms[s:e])
-        found = index.wand(distinct[distinct >= 0].tolist())
-        if not found:
-            continue
-        words = raw[starts[s] : ends[e - 1]].split()
-        runs = {n: {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} for n in range(1, RUN + 1)}
-        for item, score in found:
-            share = []
-            for part in (index.question[item], index.answer[item]):
-                hit = sum(r in runs[r.count(b" ") + 1] for r in part)
-                share.append(hit / len(part) if part else 1.0)
-            if min(share) >= OVERLAP and (item not in best or best[item][0] < score):
-                best[item] = (score, *share)
-    for item in sorted(best):
-        yield (item, *best[item])
+class Index:
+    """Inverted index of items with normalised BM25 contributions and block maxima."""
+
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, whole: Statistics | None = None):
+        """``whole``: the statistics of all items, where ``items`` are a slice."""
+        parts = [(i, *map(b" ".join, _parts(t))) for i, t in items]
+        parts = [p for p in parts if p[1] or p[2]]
+        raws = [p[1] + b" " + p[2] for p in parts]
+        starts, _, hashes = word_hashes(b" ".join(raws))
+        of = np.searchsorted(_starts(np.array([len(r) + 1 for r in raws], dtype=np.int64)), starts, side="right") - 1
+        self.terms, term = np.unique(hashes, return_inverse=True)
+        length, width = np.bincount(of, minlength=len(parts)), len(self.terms)
+        key, times = np.unique(of * width + term, return_counts=True)
+        of, term = key // max(1, width), key % max(1, width)
+        df = np.bincount(term, minlength=width)
+        whole = whole or Statistics(len(parts), length.mean() if len(parts) else 1.0, self.terms, df)
+        norm = K1 * (1 - B + B * length / whole.mean)
+        score = whole.idf(self.terms)[term] * times * (K1 + 1) / (times + norm[of])
+        share = score / np.bincount(of, weights=score, minlength=len(parts))[of]
+        # Items with the same most shared words, mostly of one language, become neighbours.
+        order = np.lexsort((term, -df[term], of))
+        ptr = _starts(np.bincount(of, minlength=len(parts)))
+        most = [order[np.minimum(ptr[:-1] + k, ptr[1:] - 1)] for k in range(3)] if len(parts) else []
+        rank = np.lexsort([x for k in most[::-1] for x in (term[k], -df[term[k]])]) if len(parts) else np.empty(0, dtype=np.int64)
+        size = np.maximum(SPAN, 1 << np.ceil(np.log2(np.maximum(length, 1))).astype(np.int64))
+        self.classes, self.members = [], []
+        for span in np.unique(size).tolist():
+            mine = rank[size[rank] == span]
+            place = np.full(len(parts), -1)
+            place[mine] = np.arange(len(mine))
+            used = place[of] >= 0
+            self.classes.append(_Class(span, width, place[of][used], term[used], share[used], len(mine), threshold))
+            self.members.append([parts[i] for i in mine.tolist()])
+        # Terms by the low bits of their hash: the first of each slot, then the next of the same slot.
+        self.slots = np.uint64((1 << max(10, (8 * width).bit_length())) - 1)
+        slot = (self.terms & self.slots).astype(np.int64)
+        self.first, self.next = np.full(int(self.slots) + 1, width), np.full(width + 1, width)
+        for t in range(width):
+            self.next[t], self.first[slot[t]] = self.first[slot[t]], t
+        self.terms = np.append(self.terms, np.uint64(0))
+        self._runs: dict = {}
+
+    def lookup(self, hashes: np.ndarray) -> np.ndarray:
+        """The term number of every word; the number of terms for words that no item has."""
+        term, none = self.first[(hashes & self.slots).astype(np.int64)], len(self.terms) - 1
+        while True:
+            other = np.flatnonzero((term < none) & (self.terms[term] != hashes))
+            if not len(other):
+                return term
+            term[other] = self.next[term[other]]
+
+    def runs(self, k: int, item: int):
+        known = self._runs.get((k, item))
+        if known is None:
+            known = self._runs[k, item] = tuple(_runs(raw.split()) for raw in self.members[k][item][1:])
+        return known
+
+    def matches(self, texts: list):
+        """(text number, {(class, item): (score, question share, answer share)}) of texts with verified items."""
+        at, held, part = 0, 0, []
+        for text in texts:
+            part.append(normalized(text))
+            held += len(part[-1])
+            if held >= BATCH:
+                yield from self._matches(part, at)
+                at, held, part = at + len(part), 0, []
+        yield from self._matches(part, at)
+
+    def _matches(self, raws: list[bytes], number: int):
+        raw = b" ".join(raws)
+        starts, ends, hashes = word_hashes(raw)
+        if not len(self.terms) > 1 or not len(hashes):
+            return
+        terms = self.lookup(hashes)
+        first = np.searchsorted(starts, _starts(np.array([len(r) + 1 for r in raws], dtype=np.int64)))
+        found: dict = {}
+        for k, group in enumerate(self.classes):
+            for text, s, e in group.passages(terms, first):
+                distinct = np.unique(terms[s:e])
+                hits = group.wand(distinct[distinct < len(self.terms) - 1].tolist())
+                if not hits:
+                    continue
+                words = raw[starts[s] : ends[e - 1]].split()
+                runs = {n: {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} for n in range(1, RUN + 1)}
+                best = found.setdefault(text, {})
+                for item, score in hits:
+                    share = [sum(r in runs[r.count(b" ") + 1] for r in part) / len(part) if part else 1.0 for part in self.runs(k, item)]
+                    if min(share) >= OVERLAP and ((k, item) not in best or best[k, item][0] < score):
+                        best[k, item] = (score, *share)
+        for text in sorted(found):
+            if found[text]:
+                yield number + text, found[text]
 
 
 def _words(items: DataFrame) -> DataFrame:
@@ -248,7 +325,7 @@ def _words(items: DataFrame) -> DataFrame:
             for text in batch["text"].to_pylist():
                 question, answer = _parts(text)
                 if question or answer:
-                    hashes = _hashed(b" ".join(question + answer))
+                    hashes = word_hashes(b" ".join(question + answer))[2]
                     distinct = np.unique(hashes).view(np.int64).tolist()
                     terms += [None, *distinct]
                     lengths += [len(hashes), *[None] * len(distinct)]
@@ -266,12 +343,14 @@ def _indexes(docs: DataFrame, items: DataFrame, threshold: float):
         count, total = _words(rows).where("term IS NULL").agg(F.count(F.lit(1)), F.sum("length")).first()
         counts = materialize(_words(rows).where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("n")), "item-words")
     for k in range(slices):
-        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k)
+        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
         if slices > 1:
-            used = counts.join(_words(part).select("term").distinct(), "term").collect()
-            whole = (count, (total or 0) / max(1, count), {r.term % 2**64: r.n for r in used})
+            used = counts.join(_words(part).select("term").distinct(), "term").toPandas()
+            whole = Statistics(count, (total or 0) / max(1, count), used["term"].to_numpy(np.int64).view(np.uint64), used["n"].to_numpy())
         items_of = [tuple(r) for r in part.orderBy("item_id", "text").collect()]
         yield docs.sparkSession.sparkContext.broadcast(Index(items_of, threshold, whole))
+    if counts is not None:
+        discard(counts)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -284,9 +363,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
         def run(batches, index=index):
             for batch in batches:
                 out = [[] for _ in schema.names]
-                for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                    for item, *rest in _matches(normalized(text.as_py()), index.value):
-                        for column, value in zip(out, (doc_id, index.value.ids[item], *rest), strict=True):
+                ids = batch["doc_id"]
+                for at, items in index.value.matches(batch["text"].to_pylist()):
+                    for (k, item), rest in sorted(items.items()):
+                        for column, value in zip(out, (ids[at].as_py(), index.value.members[k][item][0], *rest), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
 
@@ -301,8 +381,9 @@ def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
 
         def run(batches, index=index):
             for batch in batches:
-                clean = [next(_matches(normalized(t.as_py()), index.value), None) is None for t in batch["text"]]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+                clean = np.ones(batch.num_rows, dtype=bool)
+                clean[[at for at, _ in index.value.matches(batch["text"].to_pylist())]] = False
+                yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

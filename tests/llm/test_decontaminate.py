@@ -1,39 +1,77 @@
+import math
 import random
+from collections import Counter
 
-from lexiloom.llm.decontaminate import K1, B, Index, _hashed, find_leaks, normalized, op4_bm25_decontamination, without_leaks
+import numpy as np
 
+from lexiloom.llm.arrays import word_hashes
+from lexiloom.llm.decontaminate import K1, B, Index, find_leaks, normalized, op4_bm25_decontamination, without_leaks
 
-def test_wand_returns_everything_above_the_threshold():
-    rng = random.Random(1)
-    vocabulary = [f"w{i}" for i in range(300)] + ["the", "of", "a"] * 40
-    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(5, 40)))) for i in range(400)]
-    index = Index(items, threshold=0.3)
-    bags = [[_hashed(normalized(w).strip())[0] for w in t.split()] for _, t in items]
-    mean = sum(map(len, bags)) / len(bags)
-    import math
 
-    def idf(w):
-        n = sum(w in b for b in sets)
-        return math.log1p((len(bags) - n + 0.5) / (n + 0.5))
+def _shares(items):
+    """Each item's normalised contribution of every word, by the formula."""
+    bags = [Counter(normalized(t).split()) for _, t in items]
+    mean = sum(b.total() for b in bags) / len(bags)
+    df = Counter(w for b in bags for w in b)
+    idf = {w: math.log1p((len(bags) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    out = []
+    for bag in bags:
+        norm = K1 * (1 - B + B * bag.total() / mean)
+        part = {w: idf[w] * n * (K1 + 1) / (n + norm) for w, n in bag.items()}
+        out.append({w: x / sum(part.values()) for w, x in part.items()})
+    return out
 
-    sets = [set(b) for b in bags]
-    weights = {w: idf(w) for b in sets for w in b}
 
-    def score(bag, query):
-        norm = K1 * (1 - B + B * len(bag) / mean)
-        part = {w: weights[w] * bag.count(w) * (K1 + 1) / (bag.count(w) + norm) for w in set(bag)}
-        return sum(x for w, x in part.items() if w in query) / sum(part.values())
+def _items(rng):
+    vocabulary = [f"w{i}" for i in range(300)] + ["the", "of", "a"] * 40
+    # Lengths of three classes: up to 64 words, up to 128, up to 256.
+    return [(i, " ".join(rng.choices(vocabulary, k=rng.choice((5, 12, 30, 60, 70, 120, 200))))) for i in range(300)]
+
 
-    some = 0
+def test_wand_returns_everything_above_the_threshold():
+    rng = random.Random(1)
+    items = _items(rng)
+    index, shares, some = Index(items, threshold=0.3), _shares(items), 0
+    assert len(index.classes) == 3
     for _ in range(60):
-        query = set(rng.choices([w for b in bags for w in b], k=30)) | set(rng.choice(bags)[:12])
-        terms = [int(t) for t in index.lookup(__import__("numpy").array(sorted(query), dtype="uint64")) if t >= 0]
-        want = {i for i, b in enumerate(bags) if score(b, query) >= 0.3}
-        assert {index.ids[i] for i, _ in index.wand(terms)} == want
+        query = set(rng.choices([w for s in shares for w in s], k=30)) | set(list(rng.choice(shares))[:12])
+        terms = index.lookup(word_hashes(b" ".join(sorted(query)))[2])
+        got = {members[i][0] for group, members in zip(index.classes, index.members, strict=True) for i, _ in group.wand(terms[terms < len(index.terms) - 1].tolist())}
+        want = {i for i, s in enumerate(shares) if sum(x for w, x in s.items() if w in query) >= 0.3}
+        assert got == want
         some += len(want)
     assert some > 60
 
 
+def test_passages_lose_none_that_scoring_every_item_finds():
+    rng = random.Random(2)
+    items = _items(rng)
+    shares = _shares(items)
+    words = [w.decode() for s in shares for w in s]
+    texts = [" ".join(rng.choices(words, k=rng.choice((0, 1, 40, 63, 64, 65, 130, 700)))) for _ in range(40)]
+    texts = [t + " " + " ".join(items[rng.randrange(len(items))][1].split()[: rng.randrange(3, 60)]) for t in texts] + [""]
+    for threshold in (0.3, 0.5, 0.8):
+        index, some = Index(items, threshold=threshold), 0
+        raws = [normalized(t) for t in texts]
+        starts, _, hashes = word_hashes(b" ".join(raws))
+        ends = np.cumsum([len(r) + 1 for r in raws])
+        first = np.searchsorted(starts, [0, *ends.tolist()])
+        terms = index.lookup(hashes)
+        for group, members in zip(index.classes, index.members, strict=True):
+            got, want = set(), set()
+            for text, s, e in group.passages(terms, first):
+                distinct = np.unique(terms[s:e])
+                got |= {(text, s - first[text], members[i][0]) for i, _ in group.wand(distinct[distinct < len(index.terms) - 1].tolist())}
+            for text, raw in enumerate(raws):
+                bag = raw.split()
+                for at in range(0, max(1, len(bag) - group.span), group.span):
+                    query = set(bag[at : at + 2 * group.span])
+                    want |= {(text, at, m[0]) for m in members if sum(x for w, x in shares[m[0]].items() if w in query) >= threshold}
+            assert got == want
+            some += len(want)
+        assert some > 20
+
+
 def test_leaks_are_found_and_clean_documents_left(spark):
     item = "What is the capital of Norway and how many people live there? Oslo, with seven hundred thousand people in it."
     other = "Rivers carry sand to the sea where waves grind it into ever finer grains."
@@ -84,7 +122,7 @@ def test_slices_of_the_benchmark_score_like_one_index(spark, monkeypatch):
 
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(200)] + ["the", "of"] * 30
-    texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(8, 60))) for _ in range(60)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.choice((8, 20, 40, 59, 100, 150)))) for _ in range(60)]
     items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
     docs = spark.createDataFrame([(i, " ".join(t.split()[: len(t.split()) * 4 // 5])) for i, t in enumerate(texts)], "doc_id long, text string")
     one = {(r.doc_id, r.item_id): round(r.score, 9) for r in find_leaks(docs, items).collect()}
