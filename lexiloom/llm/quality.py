@@ -9,9 +9,9 @@ Only documents carry labels. Training starts with every line bearing its documen
 lines of bad documents that the model finds clearly good are relabelled, twice, since bad documents
 often start with ordinary lines.
 
-The field is fitted on at most ``SAMPLE`` labelled documents of each label, the ones with the
-smallest hash of doc_id, and ``SAMPLE_LINES`` lines of each: the only bounded sample here. Scoring is
-one pass over whole texts without a shuffle. Labels, lang, source and doc_id are never features.
+The field is fitted on the whole texts of at most ``SAMPLE`` labelled documents of each label, the
+ones with the smallest hash of doc_id: the only bounded sample here. Scoring is one pass over whole
+texts without a shuffle. Labels, lang, source and doc_id are never features.
 
 Edge cases: a null or empty text, or one of white space only, scores 0 and is predicted 0; repeated
 rows score alike; a null doc_id is scored and not held out; null labels are skipped and a document
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lexiloom.llm.arrays import word_hashes
 from lexiloom.session import table
 
-SAMPLE, SAMPLE_LINES = 1500, 64
+SAMPLE = 1500
 CUT = 0.3
 _CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "mark": b"#$%&*!~^=+<>@_\\/{}[]", "bar": b"|",
             "stop": b".,;:?'\"()-", "space": b" \t\v\f\r"}
@@ -224,8 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def run(batches):
         for batch in batches:
-            texts = ["\n".join((t or "").split("\n")[:SAMPLE_LINES]) for t in batch["text"].to_pylist()]
-            x, size, lines = line_features(texts)
+            x, size, lines = line_features(batch["text"].to_pylist())
             cut = np.cumsum(lines)[:-1]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["good"].cast(pa.int32()),

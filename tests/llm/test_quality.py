@@ -55,3 +55,19 @@ def test_no_labels(spark):
     labels = spark.createDataFrame([(1, None)], "doc_id long, quality int")
     assert score(docs, train(docs, labels)).first().score == 0.5
     assert fit(np.empty((0, 34)), np.empty(0), np.zeros(0, dtype=int), np.zeros(0, dtype=int)).weights is None
+
+
+def test_training_reads_whole_texts(spark):
+    good, bad = "Ordinary words stand in a line of text.", "##### $$$$ @@@@ %%%% ^^^^ &&&&"
+    docs = spark.createDataFrame([(i, "\n".join([good] * 80 if i % 2 else [good] * 64 + [bad] * 60)) for i in range(200)], "doc_id long, text string")
+    model = train(docs, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int"))
+    probe = spark.createDataFrame([(1, "\n".join([good] * 80)), (2, "\n".join([bad] * 80))], "doc_id long, text string")
+    found = {r.doc_id: r.score for r in score(probe, model).collect()}
+    assert found[1] > found[2] + 0.3, found
+
+
+def test_very_long_text_and_very_long_line(spark):
+    docs = spark.createDataFrame([(1, "A plain line of text.\n" * 60000), (2, "word " * 300000)], "doc_id long, text string")
+    sf = "/root/testdata/sf0.01"
+    model = train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert sorted(r.doc_id for r in score(docs, model).collect()) == [1, 2]
