@@ -1,22 +1,30 @@
 """HTML extraction by minimum-cut labelling.
 
-A page becomes a row of text blocks with the path of elements around each. A logistic classifier
-with the stated weights rates every block as content or boilerplate; its log-odds are the block's
-terminal capacity (towards the source if content is likelier, else towards the sink). Smoothness
-edges join neighbours in page order, the stronger the closer they are in the document tree, and
-each block with the next one of the same parent. The maximum flow's minimum cut is the labelling of least cost;
-blocks on the source's side are the main text.
-
-Blocks whose terminal capacity exceeds all their edges keep their side in every such cut and are
-settled first (their edges become terminal capacities of their neighbours); the flow is computed
-for what remains.
-
-Pages carry no labels, so the weights are set, not trained. Whole pages are read, one row at a time.
+A page becomes a row of text blocks with the path of elements around each. A classifier rates every
+block as content or boilerplate; its log-odds are the block's terminal capacity (towards the source
+if content is likelier, else towards the sink). Smoothness edges join neighbours in page order, the
+stronger the closer they are in the document tree, and each block with the next one of the same
+parent. The maximum flow's minimum cut is the labelling of least cost; blocks on the source's side
+are the main text.
+
+The classifier has two parts. What a block looks like (length, links, sentence marks, kind of
+element) is weighed by a logistic regression. It learns from pages that mark their main part
+(article, main) and is never shown these marks, the names of elements around a block or its classes:
+a block is labelled by whether it lies in the main part. It is fitted on at most ``SAMPLE_PAGES``
+pages (the ones with the smallest hash of page_id) and ``SAMPLE_BLOCKS`` blocks spread over each: the
+only bounded sample. Its log-odds are held within ``LOOKS``. What the page says about itself (the
+marks, names of navigation, advert and comment containers, hidden parts) adds set amounts. Where no
+page of the sample marks its main part, set weights take the regression's place.
+
+The flow is pushed by exact reductions as long as a block has two edges or fewer, or a terminal
+capacity above all of its edges: its flow goes to its neighbours' terminals and the edge between
+them, and the block's side follows from theirs afterwards. Pages are nearly always done with that, in
+linear time; what remains is finished along shortest augmenting paths, a level graph at a time.
 
 Edge cases: null and empty html give an empty text; unclosed tags, comments, scripts and quotes run
-to the next tag or the end; character references may lack their semicolon; a page without any
-content block gives an empty text; repeated rows give equal rows; an empty table gives no rows. Only
-page_id, url and html are read.
+to the next tag or the end; end tags without a start are skipped; character references may lack
+their semicolon; a page without any content block gives an empty text; repeated rows give equal rows;
+an empty table gives no rows. Whole pages are read, one row at a time. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -25,8 +33,10 @@ import html as html_lib
 import re
 from collections import deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lexiloom.session import table
 
@@ -56,21 +66,26 @@ CHROME_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 
-#: Log-odds of the classifier.
-W_BIAS, W_CONTENT_TAG, W_CHROME_TAG, W_CHROME_WORD, W_CONTENT_WORD = -1.0, 3.5, -9.0, -9.0, 1.0
-W_LINKS, W_LENGTH, W_SENTENCE, W_HEADING, W_PARAGRAPH, W_ITEM = -3.0, 1.5, 0.5, 1.0, 1.0, -0.5
+#: Log-odds of what the page says about itself: in its main part, outside a main part that it marks,
+#: in a container of another purpose by element or by name, in one named as content.
+W_MAIN, W_OUTSIDE, W_CHROME_TAG, W_CHROME_WORD, W_CONTENT_WORD = 3.5, -4.0, -9.0, -9.0, 1.0
+#: Set weights of looks, in the order of :func:`looks`, and the most that looks count.
+DEFAULT, LOOKS = (-1.0, -3.0, 1.5, 0.5, 0.5, 1.0, 1.0, -0.5), 3.0
+SAMPLE_PAGES, SAMPLE_BLOCKS = 2000, 100
 #: Capacities of the smoothness edges.
 E_NEXT, E_SIBLING = 1.0, 0.5
+_BARRIERS = frozenset(("article", "main", "body"))
 
 
 class _Element:
-    __slots__ = ("chrome", "content", "depth", "parent", "tag", "words")
+    __slots__ = ("chrome", "content", "depth", "named", "parent", "tag", "words")
 
     def __init__(self, tag, parent, attributes):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         self.content = bool(parent and parent.content) or tag in CONTENT_TAGS
         self.chrome = bool(parent and parent.chrome) or tag in CHROME_TAGS or (tag == "header" and not self.content)
+        self.named = bool(parent and parent.named)
         self.words = bool(parent and parent.words)
         if attributes:
             for name, *values in _ATTRIBUTE.findall(attributes):
@@ -81,7 +96,7 @@ class _Element:
                     self.chrome = True
                 elif name in ("class", "id"):
                     found = {w.lower() for w in _WORDS.findall(value)}
-                    self.chrome = self.chrome or bool(found & CHROME_WORDS) or ("header" in found and not self.content)
+                    self.named = self.named or bool(found & CHROME_WORDS) or ("header" in found and not self.content)
                     self.words = self.words or bool(found & CONTENT_WORDS)
 
 
@@ -89,6 +104,8 @@ def blocks(page: str):
     """(text, element, link characters) of every text block in page order."""
     root = _Element("", None, "")
     stack, out = [root], []
+    open_at: dict[str, list[int]] = {}  # places of the open elements on the stack, by tag
+    barriers = [0]  # places of elements that an end tag of another kind does not reach beyond
     parts: list[str] = []
     links = at = 0
     in_link = False
@@ -111,6 +128,13 @@ def blocks(page: str):
         if in_link:
             links += len(text.strip())
 
+    def close(place):
+        for element in stack[place:]:
+            open_at[element.tag].pop()
+        del stack[place:]
+        while barriers[-1] >= place:
+            barriers.pop()
+
     holder, empty = root, True
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -131,17 +155,17 @@ def blocks(page: str):
         if tag in VOID:
             continue
         if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
-                    break
+            places = open_at.get(tag)
+            if places and (tag in _BARRIERS or tag == "html" or places[-1] >= barriers[-1]):
+                close(places[-1])
         else:
             ends = _ENDS.get(tag, {"p"})
             while len(stack) > 1 and stack[-1].tag in ends:
-                stack.pop()
+                close(len(stack) - 1)
             if not m[4].endswith("/>"):
+                open_at.setdefault(tag, []).append(len(stack))
+                if tag in _BARRIERS:
+                    barriers.append(len(stack))
                 stack.append(_Element(tag, stack[-1], m[4]))
     if at < len(page):
         add(page[at:])
@@ -149,12 +173,61 @@ def blocks(page: str):
     return out
 
 
-def log_odds(text: str, element: _Element, links: int) -> float:
-    """The classifier: positive for content."""
-    score = W_BIAS + W_CONTENT_TAG * element.content + W_CHROME_TAG * element.chrome + W_CONTENT_WORD * element.words
-    score += W_LINKS * min(1.0, links / len(text)) + W_LENGTH * min(1.0, len(text) / 200) + W_SENTENCE * (text[-1] in ".!?:;\"'”")
+def looks(text: str, element: _Element, links: int) -> tuple[float, ...]:
+    """What a block looks like, without what is said of it around it."""
     tag = element.tag
-    return score + W_HEADING * (tag in ("h1", "h2", "h3")) + W_PARAGRAPH * (tag in ("p", "blockquote", "pre")) + W_ITEM * (tag == "li")
+    return (
+        1.0, min(1.0, links / len(text)), min(1.0, len(text) / 200), float(text[-1] in ".!?:;\"'”"), min(1.0, sum(map(text.count, ",;.")) / 5),
+        float(tag in ("h1", "h2", "h3")), float(tag in ("p", "blockquote", "pre")), float(tag == "li"),
+    )
+
+
+def terminals(row, weights=DEFAULT) -> list[float]:
+    """The classifier's log-odds of a page's blocks: positive for content."""
+    if not row:
+        return []
+    marked = any(element.content for _, element, _ in row)
+    seen = np.clip(np.array([looks(*block) for block in row]) @ np.asarray(weights), -LOOKS, LOOKS).tolist()
+    return [
+        x + (W_MAIN if e.content else W_OUTSIDE * marked) + W_CHROME_TAG * e.chrome + W_CHROME_WORD * e.named + W_CONTENT_WORD * e.words
+        for x, (_, e, _) in zip(seen, row, strict=True)
+    ]
+
+
+def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Logistic regression in which both labels weigh the same; the set weights without both labels."""
+    if not len(y) or y.min() == y.max():
+        return DEFAULT
+    weight, w = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())), np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (weight * (y - p)) - 0.1 * w
+        step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + 0.1 * np.eye(len(w)), gradient)
+        w = w + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return tuple(w.tolist())
+
+
+def train(pages: DataFrame) -> tuple[float, ...]:
+    """The weights of looks, from pages that mark their main part."""
+    chosen = pages.where("page_id IS NOT NULL").select(F.col("page_id").alias("id")).distinct()
+    chosen = chosen.orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(SAMPLE_PAGES)  # bounded: SAMPLE_PAGES numbers
+    sample = pages.where("html IS NOT NULL").select("page_id", "html").join(F.broadcast(chosen), F.col("page_id") == F.col("id"))
+
+    def run(batches):
+        for batch in batches:
+            for page in batch["html"]:
+                row = blocks(page.as_py())
+                if any(element.content for _, element, _ in row):
+                    row = row[:: -(-len(row) // SAMPLE_BLOCKS)]
+                    x = np.array([(*looks(*b), float(b[1].content and not b[1].chrome)) for b in row], dtype="<f4")
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], ["x"])
+
+    # (Repeated ids may give more rows than ids; the limit holds for rows too.)
+    rows = sorted(bytes(r.x) for r in sample.select("html").mapInArrow(run, "x binary").limit(SAMPLE_PAGES).collect())
+    x = np.frombuffer(b"".join(rows), "<f4").reshape(-1, len(DEFAULT) + 1).astype(float)
+    return fit(x[:, :-1], x[:, -1])
 
 
 def _distance(a: _Element, b: _Element) -> int:
@@ -189,75 +262,111 @@ def minimum_cut(terminal: list[float], links: dict[tuple[int, int], float]) -> l
 
     ``terminal`` is positive for capacity from the source, negative for capacity to the sink.
     """
-    n = len(terminal)
-    t = list(terminal)
+    n, t = len(terminal), list(terminal)
     near: list[dict[int, float]] = [{} for _ in range(n)]
     for (i, j), c in links.items():
-        near[i][j] = near[i].get(j, 0.0) + c
-        near[j][i] = near[j].get(i, 0.0) + c
-    side: list = [None] * n
-    queue = deque(range(n))
+        if c > 0:
+            near[i][j] = near[i].get(j, 0.0) + c
+            near[j][i] = near[j].get(i, 0.0) + c
+    gone: list[tuple[int, dict[int, float]]] = []
+    done, queue = [False] * n, deque(range(n))
     while queue:
         i = queue.popleft()
-        if side[i] is None and abs(t[i]) >= sum(near[i].values()):
-            side[i] = t[i] > 0
-            for j, c in near[i].items():
-                t[j] += c if side[i] else -c
-                del near[j][i]
-                queue.append(j)
-            near[i] = {}
-    rest = [i for i in range(n) if side[i] is None]
+        edges_of = near[i]
+        if done[i] or (len(edges_of) > 2 and abs(t[i]) < sum(edges_of.values())):
+            continue
+        done[i] = True
+        gone.append((i, edges_of))
+        for j in edges_of:
+            del near[j][i]
+            queue.append(j)
+        if abs(t[i]) >= sum(edges_of.values()):  # all its edges carry its flow
+            for j, c in edges_of.items():
+                t[j] += c if t[i] > 0 else -c
+        elif len(edges_of) == 1:  # its one edge carries all of its own
+            t[next(iter(edges_of))] += t[i]
+        else:
+            # Costs of the neighbours' four labellings once this one has its best side.
+            (a, ca), (b, cb) = edges_of.items()
+            both, none = min(0.0, t[i] + ca + cb), min(ca + cb, t[i])
+            only_b, only_a = min(ca, t[i] + cb), min(cb, t[i] + ca)
+            between = max(0.0, (only_b + only_a - both - none) / 2)
+            t[a] += only_b - both - between
+            t[b] += only_a - both - between
+            if between > 0:
+                near[a][b] = near[a].get(b, 0.0) + between
+                near[b][a] = near[b].get(a, 0.0) + between
+    side = [False] * n
+    rest = [i for i in range(n) if not done[i]]
     if rest:
-        source_side = _flow(rest, t, near)
-        for i in rest:
-            side[i] = i in source_side
+        for i in _flow(rest, t, near):
+            side[i] = True
+    for i, edges_of in reversed(gone):
+        side[i] = _side(t[i], edges_of, side)
     return side
 
 
+def _side(own: float, edges_of: dict[int, float], side: list[bool]) -> bool:
+    """The cheaper side of a node whose neighbours have theirs."""
+    return own + sum(c if side[j] else -c for j, c in edges_of.items()) > 0
+
+
 def _flow(nodes, terminal, near) -> set[int]:
-    """Nodes that the source still reaches after a maximum flow (shortest augmenting paths)."""
-    residual = {i: dict(near[i]) for i in nodes}
-    from_source = {i: terminal[i] for i in nodes if terminal[i] > 0}
-    to_sink = {i: -terminal[i] for i in nodes if terminal[i] < 0}
+    """Nodes that the source still reaches after a maximum flow.
+
+    A breadth-first search from the source gives every node its level; paths that climb a level at
+    each step are filled until none is left, then levels are found anew.
+    """
+    source, sink, least = -1, -2, 1e-12
+    residual: dict[int, dict[int, float]] = {i: dict(near[i]) for i in nodes} | {source: {}, sink: {}}
+    for i in nodes:
+        residual[source][i], residual[i][source] = max(terminal[i], 0.0), 0.0
+        residual[i][sink], residual[sink][i] = max(-terminal[i], 0.0), 0.0
     while True:
-        before = {i: None for i, c in from_source.items() if c > 1e-12}
-        queue, end = deque(before), None
+        level, queue = {source: 0}, deque([source])
         while queue:
             i = queue.popleft()
-            if to_sink.get(i, 0.0) > 1e-12:
-                end = i
-                break
             for j, c in residual[i].items():
-                if c > 1e-12 and j not in before:
-                    before[j] = i
+                if c > least and j not in level:
+                    level[j] = level[i] + 1
                     queue.append(j)
-        if end is None:
-            return set(before)
-        path = [end]
-        while before[path[-1]] is not None:
-            path.append(before[path[-1]])
-        path.reverse()
-        amount = min(from_source[path[0]], to_sink[end], *(residual[i][j] for i, j in zip(path, path[1:], strict=False)))
-        from_source[path[0]] -= amount
-        to_sink[end] -= amount
-        for i, j in zip(path, path[1:], strict=False):
-            residual[i][j] -= amount
-            residual[j][i] = residual[j].get(i, 0.0) + amount
-
-
-def main_text(page: str | None) -> str:
+        if sink not in level:
+            return set(level) - {source}
+        ahead = {i: [j for j in residual[i] if level.get(j) == level[i] + 1] for i in level}
+        path = [source]
+        while path:
+            i = path[-1]
+            if i == sink:
+                amount = min(residual[a][b] for a, b in zip(path, path[1:], strict=False))
+                for a, b in zip(path, path[1:], strict=False):
+                    residual[a][b] -= amount
+                    residual[b][a] += amount
+                full = next(k for k, (a, b) in enumerate(zip(path, path[1:], strict=False)) if residual[a][b] <= least)
+                del path[full + 1 :]
+                continue
+            while ahead[i] and residual[i][ahead[i][-1]] <= least:
+                ahead[i].pop()
+            if ahead[i]:
+                path.append(ahead[i][-1])
+            else:
+                path.pop()
+                if path:
+                    ahead[path[-1]].pop()
+
+
+def main_text(page: str | None, weights=DEFAULT) -> str:
     """The content blocks of one page, joined by blank lines."""
     row = blocks(page or "")
-    keep = minimum_cut([log_odds(*b) for b in row], edges(row))
+    keep = minimum_cut(terminals(row, weights), edges(row))
     return "\n\n".join([b[0] for b, k in zip(row, keep, strict=True) if k])
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, weights=DEFAULT) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(h.as_py()) for h in batch["html"]]
+            texts = [main_text(h.as_py(), weights) for h in batch["html"]]
             yield pa.RecordBatch.from_arrays(
                 [batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
@@ -267,7 +376,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op5_mincut_extraction(spark, sf_dir):
-    return extract(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, train(pages))
 
 
 QUERIES = {"op5_mincut_extraction": (op5_mincut_extraction, None)}

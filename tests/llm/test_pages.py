@@ -2,16 +2,19 @@ import html
 import itertools
 import random
 import re
+import time
 
-from lexiloom.llm.pages import extract, main_text, minimum_cut, op5_mincut_extraction
+import numpy as np
+
+from lexiloom.llm.pages import DEFAULT, blocks, edges, extract, fit, looks, main_text, minimum_cut, op5_mincut_extraction, terminals, train
 
 
 def test_minimum_cut_has_the_least_cost():
     rng = random.Random(6)
-    for _ in range(300):
-        n = rng.randrange(1, 9)
+    for k in range(600):
+        n = rng.randrange(1, 10)
         terminal = [rng.uniform(-2, 2) for _ in range(n)]
-        links = {(i, j): rng.uniform(0, 1.5) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.5}
+        links = {(i, j): rng.uniform(0, 1.5) for i in range(n) for j in range(i + 1, n) if rng.random() < (0.3, 0.6, 0.95)[k % 3]}
 
         def cost(side, terminal=terminal, links=links):
             own = sum(max(t, 0) if not s else max(-t, 0) for s, t in zip(side, terminal, strict=True))
@@ -56,3 +59,54 @@ def test_articles_of_the_table(spark):
         article = re.search(r"<article>(.*)</article>", pages[r.page_id], re.DOTALL)[1]
         parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", p.replace("<br>", " "))).split()) for p in re.split(r"</?(?:p|h1)>", article)]
         assert r.text == "\n\n".join(filter(None, parts))
+
+
+def _unmarked(page):
+    """The page without what it says about itself: every block is a division."""
+    return re.sub(r"<(/?)(?:article|main|nav|footer|aside|header|section|p|h1|ul|li)\b[^>]*>", r"<\1div>", re.sub(r' (?:class|id|role)="[^"]*"', "", page))
+
+
+def test_the_cut_mends_what_the_classifier_gets_wrong(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    assert train(pages) != DEFAULT and train(pages.limit(0)) == DEFAULT
+    rows = []
+    for r in pages.orderBy("page_id").collect():
+        marked, row = blocks(r.html), blocks(_unmarked(r.html))
+        assert [b[0] for b in row] == [b[0] for b in marked]
+        rows.append((row, [e.content and not e.chrome for _, e, _ in marked]))
+    half = len(rows) // 2
+    weights = fit(np.array([looks(*b) for row, _ in rows[:half] for b in row]), np.array([float(y) for _, truth in rows[:half] for y in truth]))
+    changed, before, after, total = 0, 0, 0, 0
+    for row, truth in rows[half:]:
+        own = terminals(row, weights)
+        alone, cut = np.array(own) > 0, np.array(minimum_cut(own, edges(row)))
+        changed += int((alone != cut).sum())
+        before += int((alone == truth).sum())
+        after += int((cut == truth).sum())
+        total += len(row)
+    print(changed, before, after, total)
+    assert changed > 20 and after > before and after > 0.9 * total, (changed, before, after, total)
+
+
+def test_hostile_pages_take_linear_time():
+    for page in ("<div>" * 50_000 + "</section>" * 50_000, "<section><article>" + "<div>" * 50_000 + "</section>" * 50_000, "<p>x<li>y" * 10_000,
+                 "<div>" + "t<p>c</p>" * 10_000, "<ul>" + "<li>a<ul><li>b</ul>c" * 7_000):
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 6
+
+
+def test_flow_of_many_ambiguous_blocks():
+    rng = random.Random(3)
+    n = 20_000
+    terminal = [rng.uniform(-1, 1) for _ in range(n)]
+    links = {(i, i + 1): 0.9 for i in range(n - 1)} | {(i, i + 2): 0.5 for i in range(n - 2)}
+    began = time.process_time()
+    side = minimum_cut(terminal, links)
+    assert time.process_time() - began < 2 and 0 < sum(side) < n
+    # Edges that no reduction ends: the level graphs of the flow.
+    links |= {(i, i + 3): 0.4 for i in range(n - 3)}
+    began = time.process_time()
+    minimum_cut(terminal, links)
+    assert time.process_time() - began < 20
