@@ -7,12 +7,13 @@ tokens are compatible when merging their joint symbols gives the two back). Only
 ``lookahead`` symbols exist, computed from the merge list, so every later token starts within the
 last ``lookahead`` positions. Once the chains of last tokens from all of these positions have met,
 what lies before the meeting point is stable and is emitted; only the window behind it is kept.
-A word that fits in the window is complete before anything could be emitted, so it is merged
-directly, and the results of frequent words are kept in a bounded cache.
+Every word passes through this transducer: words longer than the window one at a time
+(:meth:`Codec.stream`), all others together, a position of every word at a time
+(:meth:`Codec.transduce`). What it emitted for the latest words is kept in a bounded cache.
 
-Decoding feeds tokens to a state machine that turns their byte symbols into text incrementally; a
-character's bytes may come from several tokens. ``plain`` decoding joins the vocabulary's own
-strings by spaces, as the tokenizers library does for a vocabulary without a decoder.
+Decoding feeds the tokens, block by block, to a state machine that turns their byte symbols into text
+incrementally; a character's bytes may come from several tokens. ``plain`` decoding joins the
+vocabulary's own strings by spaces, as the tokenizers library does for a vocabulary without a decoder.
 
 Edge cases: a null text is empty and has no tokens; strings of special tokens in a text become their
 ids, as in the library; byte sequences that are no text decode to replacement characters; repeated
@@ -26,7 +27,9 @@ import hashlib
 import json
 import re
 import unicodedata
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -35,17 +38,25 @@ from lexiloom.session import table
 
 #: Characters taken at a time; a block ends before the next white space.
 BLOCK = 1 << 16
-CACHE = 100_000
+#: Characters whose words are looked up together, words and pairs of tokens whose results are kept.
+QUEUE, CACHE, PAIRS = 1 << 20, 100_000, 1 << 19
 #: Rows of a result batch, so that a worker holds few token lists at a time.
 ROWS = 512
 VOCABULARY = "word_bpe_49k.json"
-_SPACES = "\t\n\v\f\r \x85\xa0  -     　"
+_SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The vocabulary's own word pattern, with white space spelled out.
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACES}\p{{L}}\p{{N}}]+")
+#: The same words where only Latin letters and common signs occur, for the faster library.
+_LETTERS, _NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_LATIN = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
+_OTHER = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
 _CUT = re.compile(r"[ \n\t\r]")
 _MARK = "</w>"
 #: A merge is its rank above 32 bits of the token it makes; no merge is larger than any.
 _MASK, _NONE = (1 << 32) - 1, 1 << 62
+#: The window of a long word, in lookaheads.
+WINDOW = 4
+_WITHIN, _AT_END = 0x2545F4914F6CDD1D, 0x1B03738712FAD5C9
 
 
 def _byte_symbols() -> list[str]:
@@ -69,6 +80,47 @@ def load(path: str) -> dict:
             "special": {t["content"]: t["id"] for t in spec.get("added_tokens", [])}}
 
 
+def _step(h, byte):
+    """The hash of a suffix with one byte more before it; one to one for every byte."""
+    if isinstance(h, int):
+        h = ((h ^ byte) * 0xFF51AFD7ED558CCD) & 0xFFFFFFFFFFFFFFFF
+        return h ^ h >> 29
+    h = (h ^ byte) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(29))
+
+
+class Table:
+    """A hash table of fixed size from integers to small integers; arrays of keys are looked up at once."""
+
+    FREE, NONE = np.uint64((1 << 64) - 1), -2
+    FACTOR = 0x9E3779B97F4A7C15
+
+    def __init__(self, bits: int):
+        self.bits, self.used = bits, 0
+        self.keys, self.values = np.full(1 << bits, self.FREE), np.full(1 << bits, self.NONE, dtype=np.int32)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        """The values, ``NONE`` for unknown keys."""
+        slot = ((keys * np.uint64(self.FACTOR)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        there = self.keys[slot]
+        on = np.flatnonzero((there != keys) & (there != self.FREE))
+        while len(on):
+            slot[on] = (slot[on] + 1) & (len(self.keys) - 1)
+            there = self.keys[slot[on]]
+            on = on[(there != keys[on]) & (there != self.FREE)]
+        return np.where(self.keys[slot] == keys, self.values[slot], self.NONE)
+
+    def add(self, keys: list[int], values: list[int]) -> None:
+        """Adds new keys, none twice."""
+        self.used += len(keys)
+        mask, shift, slots = len(self.keys) - 1, 64 - self.bits, self.keys
+        for key, value in zip(keys, values, strict=True):
+            slot = (key * self.FACTOR & 0xFFFFFFFFFFFFFFFF) >> shift
+            while slots[slot] != self.FREE:
+                slot = slot + 1 & mask
+            slots[slot], self.values[slot] = key, value
+
+
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
@@ -89,12 +141,54 @@ class Codec:
             raw = bytes(byte_of[c] for c in body)
             self._bytes[i] = raw + b" " * ends
             self.parts[i] = tuple(self.inner[b] for b in raw[:-1]) + ((self.final if ends else self.inner)[raw[-1]],) if raw else ()
-        self.by_parts = {p: i for i, p in self.parts.items() if p and self.merged(list(p)) == [i]}
-        self.lookahead = max(map(len, self.by_parts))
-        self._compatible: dict = {}
-        self._cache: dict = {}
+        # Tokens that encode to themselves, by their bytes: within a word and at its end.
+        self.within: dict = {}
+        self.at_end: dict = {}
+        self._rank: dict = {}
+        self._left: dict = {}
+        self._right: dict = {}
+        for i, p in self.parts.items():
+            if p and self._grown(i, p):
+                raw, ends = self._bytes[i], self.strings[i].endswith(_MARK)
+                (self.at_end if ends else self.within)[raw[:-1] if ends else raw] = i
+        self.lookahead = max(map(len, [*self.within, *self.at_end]))
+        self.size = np.zeros(max(self.strings) + 1, dtype=np.int64)
+        for i, p in self.parts.items():
+            self.size[i] = len(p)
+        # Every suffix of a token, by its hash, with the token it is, or -1.
+        suffixes: dict = {}
+        for tokens, seed in ((self.within, _WITHIN), (self.at_end, _AT_END)):
+            for raw, i in tokens.items():
+                h = seed
+                for k in range(len(raw) - 1, -1, -1):
+                    h = _step(h, raw[k])
+                    suffixes[h] = i if k == 0 else suffixes.get(h, -1)
+        self._suffixes = Table((4 * len(suffixes)).bit_length())
+        self._suffixes.add([*suffixes], [*suffixes.values()])
+        self.decimal = {i: str(i) for i in self.strings}
+        self._pairs = Table((4 * PAIRS).bit_length() - 1)
+        self._words: dict = {}
         self._older: dict = {}
 
+    def _grown(self, token: int, parts: tuple) -> bool:
+        """Does the token encode to itself? If so, notes the tokens on its two edges as it grows.
+
+        An edge is a list of (token, rank it appears at, rank at which a larger one takes its place).
+        """
+        ids, left, right = list(parts), [(parts[0], -1)], [(parts[-1], -1)]
+        while len(ids) > 1:
+            best, i = min((self.merges.get(pair, _NONE), i) for i, pair in enumerate(zip(ids, ids[1:], strict=False)))
+            if best == _NONE:
+                return False
+            ids[i : i + 2] = [best & _MASK]
+            if i == 0:
+                left.append((ids[0], best >> 32))
+            if i == len(ids) - 1:
+                right.append((ids[-1], best >> 32))
+        for edges, edge in ((self._left, left), (self._right, right)):
+            edges[token] = [(t, r, until) for (t, r), until in zip(edge, [r for _, r in edge[1:]] + [_NONE], strict=True)]
+        return ids == [token]
+
     def merged(self, ids: list[int]) -> list[int]:
         """Merges symbols by rank, the leftmost first among equals."""
         get, none, mask = self.merges.get, _NONE, _MASK
@@ -113,97 +207,166 @@ class Codec:
         return ids
 
     def compatible(self, a: int, b: int) -> bool:
-        key = (a, b)
-        known = self._compatible.get(key)
-        if known is None:
-            if len(self._compatible) > CACHE:
-                self._compatible.clear()
-            known = self._compatible[key] = self.merged([*self.parts[a], *self.parts[b]]) == [a, b]
-        return known
+        """Does b follow a (-1: nothing) as a token of its own?
+
+        It does unless a token on the right edge of a and one on the left edge of b, while both are
+        there, form a pair that merges before either is taken by its own side (the leftmost first).
+        """
+        if a >= 0:
+            for x, x_from, x_until in self._right[a]:
+                for y, y_from, y_until in self._left[b]:
+                    rank = self.merges.get((x, y))
+                    if rank is not None and x_from < y_until and y_from < x_until and rank >> 32 < x_until and rank >> 32 <= y_until:
+                        return False
+        return True
+
+    def _fits(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """:meth:`compatible` of pairs, from the table of known pairs."""
+        key = ((before + 1) << 20 | token).astype(np.uint64)
+        known = self._pairs[key]
+        new = np.unique(key[known == Table.NONE])
+        if len(new):
+            if self._pairs.used + len(new) > PAIRS:
+                self._pairs = Table(self._pairs.bits if len(new) < PAIRS else (4 * len(new)).bit_length())
+                new = np.unique(key)
+            new = new.tolist()
+            self._pairs.add(new, [self.compatible((k >> 20) - 1, k & (1 << 20) - 1) for k in new])
+            known = self._pairs[key]
+        return known == 1
+
+    def transduce(self, raws: list[bytes]) -> list[tuple[int, ...]]:
+        """The tokens of many words that fit in the window; every step takes one position of all words."""
+        order = sorted(range(len(raws)), key=lambda k: -len(raws[k]))
+        flat = np.frombuffer(b"".join([raws[k] for k in order]), dtype=np.uint8)
+        length = np.array([len(raws[k]) for k in order], dtype=np.int64)
+        start = np.cumsum(length) - length
+        depth = np.arange(len(flat)) - np.repeat(start, length) + 1
+        # Tokens that end at each position, by their length.
+        ending, at = [], np.arange(len(flat))
+        hashes = np.full(len(flat), _WITHIN, dtype=np.uint64)
+        hashes[start + length - 1] = _AT_END
+        while len(at):
+            hashes = _step(hashes, flat[at - len(ending)].astype(np.uint64))
+            token = self._suffixes[hashes]
+            found = np.full(len(flat), -1, dtype=np.int32)
+            found[at] = np.maximum(token, -1)
+            ending.append(found)
+            on = (token != Table.NONE) & (depth[at] > len(ending))
+            at, hashes = at[on], hashes[on]
+        # The last token of every prefix: the one that its predecessor is compatible with.
+        last = np.full(len(flat), -1, dtype=np.int64)
+        alive = np.searchsorted(-length, -np.arange(length.max(initial=0)), side="left")
+        for k, many in enumerate(alive.tolist()):
+            open_ = start[:many] + k
+            for size in range(1, min(k + 1, len(ending)) + 1):
+                token = ending[size - 1][open_].astype(np.int64)
+                some = np.flatnonzero(token >= 0)
+                before = last[open_[some] - size] if size <= k else np.full(len(some), -1)
+                fits = some[self._fits(before, token[some])]
+                last[open_[fits]] = token[fits]
+                open_ = np.delete(open_, fits)
+                if not len(open_):
+                    break
+            if len(open_):
+                raise ValueError("a merge list whose tokens do not encode to themselves")
+        out: list = [()] * len(raws)
+        last, size = last.tolist(), self.size.tolist()
+        for k, s, n in zip(order, start.tolist(), length.tolist(), strict=True):
+            out[k] = tuple(self._back(last[s : s + n], n, size))
+        return out
 
     def stream(self, raw: bytes):
         """Tokens of one word, emitted once stable, with a window of a few times the lookahead."""
-        span = self.lookahead
-        window: list[int] = []  # the symbols since the last emitted boundary
-        last: list[int] = []  # the last token of the encoding up to each of them
-
-        def ending(k: int) -> int:
-            """The token that ends the encoding of the first k symbols of the window."""
-            for size in range(min(span, k), 0, -1):
-                token = self.by_parts.get(tuple(window[k - size : k]))
-                if token is not None:
-                    before = self.carry if size == k else last[k - size - 1]
-                    if before is None or self.compatible(before, token):
-                        return token
-            raise ValueError("a merge list whose tokens do not encode to themselves")
-
-        def back(k: int) -> list[int]:
-            out = []
-            while k:
-                out.append(last[k - 1])
-                k -= len(self.parts[out[-1]])
-            return out[::-1]
-
-        self.carry = None
-        for n, byte in enumerate(raw, 1):
-            window.append((self.final if n == len(raw) else self.inner)[byte])
-            last.append(ending(len(window)))
-            if len(window) >= 4 * span and n < len(raw):
-                ends = {*range(len(window) - span, len(window) + 1)}
+        span, size, n = self.lookahead, self.size, len(raw)
+        start, carry, last = 0, -1, []  # the last emitted boundary, the token before it, and the last token up to each position since
+        for end in range(1, n + 1):
+            tokens = self.within if end < n else self.at_end
+            for at in range(end - 1, max(start, end - span) - 1, -1):
+                token = tokens.get(raw[at:end])
+                if token is not None and self.compatible(last[at - start - 1] if at > start else carry, token):
+                    last.append(token)
+                    break
+            else:
+                raise ValueError("a merge list whose tokens do not encode to themselves")
+            if end - start >= WINDOW * span and end < n:
+                ends = {*range(end - start - span, end - start + 1)}
                 while len(ends) > 1:
                     most = max(ends)
                     ends.remove(most)
-                    ends.add(most - len(self.parts[last[most - 1]]))
+                    ends.add(most - int(size[last[most - 1]]))
                 stable = ends.pop()
                 if stable:
-                    done = back(stable)
-                    yield from done
-                    self.carry = done[-1]
-                    del window[:stable], last[:stable]
-        yield from back(len(window))
-
-    def word(self, piece: str) -> list[int]:
-        raw = piece.encode("utf-8", "surrogatepass")
-        if len(raw) > 2 * self.lookahead:
-            return list(self.stream(raw))
-        return self.merged([self.inner[b] for b in raw[:-1]] + [self.final[raw[-1]]])
-
-    def _entry(self, piece: str):
-        """Ids of a word, their decimal string, and the tokens' own strings joined by spaces."""
-        entry = self._older.get(piece)
-        if entry:
-            self._cache[piece] = entry
-            return entry
-        ids = self.word(piece)
-        entry = (ids, " ".join(map(str, ids)), " ".join([self.strings[i] for i in ids]))
-        if len(piece) <= 48:
-            # Two generations: what was used since the last turn survives the next.
-            if len(self._cache) >= CACHE:
-                self._older = dict(self._cache)
-                self._cache.clear()
-            self._cache[piece] = entry
-        return entry
-
-    def entries(self, text: str):
-        """Lists of word entries, block by block."""
-        at, n, known = 0, len(text), self._cache
+                    yield from self._back(last, stable, size)
+                    start, carry = start + stable, last[stable - 1]
+                    del last[:stable]
+        yield from self._back(last, n - start, size)
+
+    def _back(self, last: list[int], k: int, size) -> list[int]:
+        """The tokens up to position k, from the chain of last tokens."""
+        out = []
+        while k:
+            out.append(last[k - 1])
+            k -= int(size[out[-1]])
+        return out[::-1]
+
+    def _parts(self, text: str):
+        """The words of a text, block by block, and ids of special tokens between them."""
+        at, n = 0, len(text)
         while at < n:
             cut = _CUT.search(text, at + BLOCK) if n - at > BLOCK else None
             end = cut.start() if cut else n
             block, at = text[at:end], end
             for k, part in enumerate(self._specials.split(block) if self._specials else [block]):
                 if k % 2:
-                    i = self.special[part]
-                    yield [([i], str(i), part)]
+                    yield self.special[part]
                 elif part:
-                    yield [known.get(w) or self._entry(w) for w in _WORDS.findall(normalized(part))]
+                    yield words(part)
+
+    def blocks(self, texts):
+        """(number of the text, ids of its next block); all blocks of a text come one after the other."""
+        queue, held = [], 0
+        for number, text in enumerate(texts):
+            for part in self._parts(text or ""):
+                queue.append((number, part))
+                held += 1 if isinstance(part, int) else sum(map(len, part))
+                if held >= QUEUE:
+                    yield from self._encoded(queue)
+                    queue, held = [], 0
+        yield from self._encoded(queue)
+
+    def _encoded(self, queue: list):
+        if len(self._words) >= CACHE:
+            self._older, self._words = self._words, {}
+        known, older = self._words, self._older
+        window = WINDOW * self.lookahead
+        new, long = [], {}
+        for word in set().union(*[p for _, p in queue if not isinstance(p, int)]).difference(known):
+            ids = older.get(word)
+            if ids is not None:
+                known[word] = ids
+            elif len(raw := word.encode("utf-8", "surrogatepass")) > window:
+                long[word] = tuple(self.stream(raw))
+            else:
+                new.append((word, raw))
+        known.update(zip([w for w, _ in new], self.transduce([r for _, r in new]), strict=True))
+        known.update(long)
+        for number, part in queue:
+            yield number, [part] if isinstance(part, int) else list(chain.from_iterable(map(known.__getitem__, part)))
+        for word in long:
+            del known[word]
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for entries in self.entries(text or "") for e in entries for i in e[0]]
+        return [i for _, ids in self.blocks([text]) for i in ids]
 
     def decode(self, ids, plain: bool = False) -> str:
         decoder = Decoder(self, plain)
-        return "".join([decoder.feed(i) for i in ids]) + decoder.end()
+        return decoder.feed(ids) + decoder.end()
+
+
+def words(text: str) -> list[str]:
+    """The words of a part without special tokens, normalised."""
+    text = normalized(text)
+    return (_LATIN if text.isascii() or not _OTHER.search(text) else _WORDS).findall(text)
 
 
 def normalized(text: str) -> str:
@@ -219,14 +382,20 @@ class Decoder:
         self.codec, self.plain, self.first = codec, plain, True
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, token: int) -> str:
+    def feed(self, ids) -> str:
+        """The text of the next tokens."""
         if self.plain:
-            gap, self.first = "" if self.first else " ", False
-            return gap + self.codec.strings.get(token, "")
-        raw = self.codec._bytes.get(token)
-        if raw is None:
-            return self.state.decode(b"", True) + self.codec.strings.get(token, "")
-        return self.state.decode(raw)
+            text = " ".join([self.codec.strings.get(i, "") for i in ids])
+            gap, self.first = "" if self.first or not ids else " ", self.first and not ids
+            return gap + text
+        out, raw, known = [], [], self.codec._bytes
+        for i in ids:
+            if i in known:
+                raw.append(known[i])
+            else:  # a special token ends whatever is unfinished
+                out += [self.state.decode(b"".join(raw), True), self.codec.strings.get(i, "")]
+                raw = []
+        return "".join(out) + self.state.decode(b"".join(raw))
 
     def end(self) -> str:
         return "" if self.plain else self.state.decode(b"", True)
@@ -267,7 +436,9 @@ def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         codec = _codec(shared)
         for batch in _pieces(batches):
-            ids = [codec.encode(t.as_py()) for t in batch["text"]]
+            ids = [[] for _ in range(batch.num_rows)]
+            for number, block in codec.blocks(batch["text"].to_pylist()):
+                ids[number] += block
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())),
                  pa.array([codec.decode(x) for x in ids], pa.string())],
@@ -284,18 +455,16 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         codec = _codec(shared)
         for batch in _pieces(batches):
-            counts, ids_sha, decoded_sha = [], [], []
-            for text in batch["text"]:
-                n, a, b = 0, hashlib.sha256(), hashlib.sha256()
-                for entries in codec.entries(text.as_py() or ""):
-                    if entries:
-                        gap = " " if n else ""
-                        n += sum([len(e[0]) for e in entries])
-                        a.update((gap + " ".join([e[1] for e in entries])).encode())
-                        b.update((gap + " ".join([e[2] for e in entries])).encode())
-                counts.append(n)
-                ids_sha.append(a.hexdigest())
-                decoded_sha.append(b.hexdigest())
+            rows = [[0, hashlib.sha256(), hashlib.sha256(), Decoder(codec, plain=True)] for _ in range(batch.num_rows)]
+            for number, ids in codec.blocks(batch["text"].to_pylist()):
+                n, a, b, decoder = row = rows[number]
+                if ids:
+                    a.update((" " * (n > 0) + " ".join([codec.decimal[i] for i in ids])).encode())
+                    b.update(decoder.feed(ids).encode())
+                    row[0] += len(ids)
+            for _, _, b, decoder in rows:
+                b.update(decoder.end().encode())
+            counts, ids_sha, decoded_sha = [r[0] for r in rows], [r[1].hexdigest() for r in rows], [r[2].hexdigest() for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
