@@ -29,6 +29,12 @@ def unchanged_sources(before: DataFrame, after: DataFrame) -> DataFrame:
     return found.where("a AND b AND source IS NOT NULL").select("source", "unchanged")
 
 
+def set_digest(hashes: str, counted: str):
+    """An order-free digest of a set of sha256 values: two sums of 60-bit parts of those counted; nothing is collected."""
+    part = lambda at: F.conv(F.substring(hashes, at, 15), 16, 10).cast("decimal(38,0)")
+    return [F.sum(F.when(F.col(counted), part(at))).cast("string") for at in (1, 16)]
+
+
 def removed(prior: DataFrame, included: DataFrame, failed: DataFrame, carried: DataFrame, skipped_sources: DataFrame) -> DataFrame:
     """Prior items that are neither included, failed nor carried, of sources that were not skipped."""
     out = prior
@@ -87,9 +93,12 @@ def q_snapshot(spark, sf):
     before, after = _snapshots(spark, sf)
     outcome = classify_changes(before, after).withColumnRenamed("item", "o_item")
     rows = after.join(outcome, F.col("item") == F.col("o_item"))
+    # Repeated hashes of a source count once in its provenance.
+    once = Window.partitionBy("source", "content_hash").orderBy("item")
+    rows = rows.withColumn("first_of_hash", F.row_number().over(once) == 1)
     return rows.groupBy("source").agg(
         *[F.count_if(F.col("outcome") == o).alias(o) for o in ("new", "changed", "unchanged")], F.sum("n_chars").alias("total_chars"),
-        F.sha2(F.array_join(F.array_sort(F.collect_set("content_hash")), ","), 256).alias("provenance"),
+        *[part.alias(f"provenance_{n}") for n, part in enumerate(set_digest("content_hash", "first_of_hash"))],
     )
 
 
@@ -140,7 +149,10 @@ def q_total_pages(spark, sf):
 def q_fair(spark, sf):
     orders, nations = table(spark, sf, "orders"), table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("owner"))
     rows = orders.join(nations, F.col("o_custkey") == F.col("c_custkey")).select("owner", F.col("o_orderdate").alias("created"), F.col("o_orderkey").alias("id"), "o_orderstatus")
-    return fair_claims(rows.where("o_orderstatus = 'O'"), rows.where("o_orderstatus = 'P'"), 30, 100).select("owner", "id", "turn")
+    # The cap is what an owner has in flight on average, so that some have spare capacity at any scale.
+    busy = rows.where("o_orderstatus = 'P'")
+    cap = busy.groupBy("owner").count().agg(F.ceil(F.avg("count"))).first()[0] or 1
+    return fair_claims(rows.where("o_orderstatus = 'O'"), busy, cap, 100).select("owner", "id", "turn")
 
 
 def q_due(spark, sf):
@@ -211,8 +223,10 @@ def q_provenance(spark, sf):
 
 
 def q_unchanged_index(spark, sf):
-    """Which sources of both snapshots have the same members in both."""
-    return unchanged_sources(*_snapshots(spark, sf))
+    """Which indexes (one a source and language) of both snapshots have the same members in both."""
+    index = F.concat_ws("/", "source", "lang")
+    before, after = (side.withColumn("source", index) for side in _snapshots(spark, sf))
+    return unchanged_sources(before, after)
 
 
 def q_membership(spark, sf):
@@ -283,7 +297,7 @@ QUERIES = {
     "removed_items": (q_removed, f"SELECT item, source FROM {_BEFORE} WHERE item NOT IN (SELECT item FROM {_AFTER}) AND n_chars <= 8000 AND n_chars >= 300 AND source NOT IN ('src3', 'src4')"),
     "snapshot_counts": (
         q_snapshot,
-        f"SELECT source, count(*) FILTER (outcome = 'new') AS new, count(*) FILTER (outcome = 'changed') AS changed, count(*) FILTER (outcome = 'unchanged') AS unchanged, CAST(sum(n_chars) AS BIGINT) AS total_chars, sha256(string_agg(DISTINCT content_hash, ',' ORDER BY content_hash)) AS provenance FROM {_AFTER} JOIN {_CHANGES} USING (item) GROUP BY 1",
+        f"SELECT source, count(*) FILTER (outcome = 'new') AS new, count(*) FILTER (outcome = 'changed') AS changed, count(*) FILTER (outcome = 'unchanged') AS unchanged, CAST(sum(n_chars) AS BIGINT) AS total_chars, p0 AS provenance_0, p1 AS provenance_1 FROM {_AFTER} JOIN {_CHANGES} USING (item) JOIN (SELECT source, CAST(sum(('0x' || content_hash[1:15])::HUGEINT) AS VARCHAR) AS p0, CAST(sum(('0x' || content_hash[16:30])::HUGEINT) AS VARCHAR) AS p1 FROM (SELECT DISTINCT source, content_hash FROM {_AFTER}) GROUP BY 1) USING (source) GROUP BY source, p0, p1",
     ),
     "snapshot_compatibility": (q_compatible, f"SELECT source, count(DISTINCT config_hash) AS configs, count(*) FILTER (config_hash = 'v1') AS compatible FROM {_AFTER} GROUP BY 1"),
     "reuse_identities": (q_identities, f"""SELECT sha256('{{"config":"' || config_hash || '","content":"' || content_hash || '"}}') AS identity, item FROM {_AFTER}"""),
@@ -297,7 +311,7 @@ QUERIES = {
         q_fair,
         """WITH r AS (SELECT c_nationkey AS owner, o_orderdate AS created, o_orderkey AS id, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey),
         q AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY created, id) AS turn FROM r WHERE o_orderstatus = 'O'), b AS (SELECT owner, count(*) AS busy FROM r WHERE o_orderstatus = 'P' GROUP BY 1)
-        SELECT owner, id, turn FROM q LEFT JOIN b USING (owner) WHERE turn + coalesce(busy, 0) <= 30 ORDER BY turn, created, id LIMIT 100""",
+        SELECT owner, id, turn FROM q LEFT JOIN b USING (owner) WHERE turn + coalesce(busy, 0) <= (SELECT ceil(avg(busy)) FROM b) ORDER BY turn, created, id LIMIT 100""",
     ),
     "next_due": (
         q_due,
@@ -333,7 +347,9 @@ QUERIES = {
     ),
     "unchanged_index": (
         q_unchanged_index,
-        f"""SELECT source, a.m = b.m AS unchanged FROM (SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS m FROM {_BEFORE} GROUP BY 1) b JOIN (SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS m FROM {_AFTER} GROUP BY 1) a USING (source)""",
+        f"""WITH m AS (SELECT source || '/' || lang AS source, item, content_hash, config_hash, max(b) AS b, max(a) AS a FROM
+          (SELECT source, lang, item, content_hash, config_hash, true AS b, false AS a FROM {_BEFORE} UNION ALL SELECT source, lang, item, content_hash, config_hash, false, true FROM {_AFTER}) GROUP BY 1, 2, 3, 4)
+        SELECT source, min(a AND b) AS unchanged FROM m GROUP BY 1 HAVING max(a) AND max(b)""",
     ),
     "index_membership": (q_membership, "SELECT l_suppkey, count(*) AS members, max(l_linenumber) AS latest_version, max(l_linenumber) + 1 AS next_version FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1"),
     "vector_reuse": (q_vector_reuse, f"SELECT content_hash, uses, reused_from FROM (SELECT content_hash, count(*) AS uses FROM {_AFTER} GROUP BY 1) LEFT JOIN (SELECT content_hash, min(item) AS reused_from FROM {_BEFORE} GROUP BY 1) USING (content_hash)"),

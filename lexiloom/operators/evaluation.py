@@ -245,9 +245,16 @@ def q_progress(spark, sf):
 _ITEMS = """(WITH b AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS candidate, doc_id // 2 AS ordinal, CASE WHEN n_chars < 400 THEN 'failed' WHEN n_chars > 8000 THEN 'skipped' ELSE 'succeeded' END AS status,
   CASE WHEN lang <> 'fr' THEN n_chars / 1000.0::DOUBLE END AS cost, n_chars, quality, toxic FROM labels JOIN documents USING (doc_id))
   SELECT *, 'quality' AS metric, quality::DOUBLE AS value FROM b UNION ALL SELECT *, 'toxic', toxic::DOUBLE FROM b)"""
-_FOUND = """(SELECT i.item_id AS query_id, i.text AS phrase, d.text, row_number() OVER (PARTITION BY item_id ORDER BY length(d.text), d.doc_id) AS rank
-  FROM benchmark i JOIN documents d ON list_contains(string_split(d.text, chr(10)), string_split(i.text, chr(10))[1]))"""
 _CLEAN = "replace(regexp_replace(lower({}), '\\s+', ' ', 'g'), chr(173), '')"
+_WORDS = f"string_split({_CLEAN.format('text')}, ' ')"
+_RUNS = "list_distinct(list_transform(range({first}, len(w) - {last}), lambda i: array_to_string(w[i + 1:i + 5], ' ')))"
+#: The five documents of each item that share most runs of five words; items of under seven words are searched whole.
+_FOUND = f"""(WITH d AS (SELECT doc_id, text, length(text) AS n, {_WORDS} AS w FROM documents), i AS (SELECT item_id, text, {_WORDS} AS w FROM benchmark),
+  dr AS (SELECT doc_id, n, unnest({_RUNS.format(first=0, last=4)}) AS run FROM d), ir AS (SELECT item_id, unnest({_RUNS.format(first=1, last=5)}) AS run FROM i),
+  s AS (SELECT item_id, doc_id, n, count(*) AS shared FROM dr JOIN ir USING (run) GROUP BY 1, 2, 3
+    UNION ALL SELECT item_id, doc_id, n, 1 FROM i JOIN d ON contains({_CLEAN.format('d.text')}, {_CLEAN.format('i.text')}) WHERE len(i.w) < 7)
+  SELECT s.item_id AS query_id, i.text AS phrase, d.text, row_number() OVER (PARTITION BY s.item_id ORDER BY shared DESC, s.n, s.doc_id) AS rank
+  FROM s JOIN i USING (item_id) JOIN d USING (doc_id))"""
 _FIRST = f"""(SELECT item_id AS query_id, min(rank) FILTER (rank <= 5 AND contains({_CLEAN.format('f.text')}, {_CLEAN.format('phrase')})) AS first_hit FROM benchmark LEFT JOIN {_FOUND} f ON f.query_id = item_id GROUP BY 1)"""
 
 QUERIES = {

@@ -115,8 +115,8 @@ _LINES = "(SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1
 QUERIES = {
     "table_grids": (
         q_grid,
-        f"""WITH l AS (SELECT *, max((row >= 20 OR len(cells) > 12 OR len(list_filter(cells, lambda c: length(c) > 10)) > 0)) OVER (PARTITION BY doc_id) AS limited FROM {_LINES}),
-        c AS (SELECT doc_id, row, limited, list_transform(cells[1:12], lambda c: left(c, 10)) AS cells FROM l WHERE row < 20), w AS (SELECT *, max(len(cells)) OVER (PARTITION BY doc_id) AS width FROM c)
+        f"""WITH l AS (SELECT *, max((row >= 100000 OR len(cells) > 1000 OR len(list_filter(cells, lambda c: length(c) > 2000)) > 0)) OVER (PARTITION BY doc_id) AS limited FROM {_LINES}),
+        c AS (SELECT doc_id, row, limited, list_transform(cells[1:1000], lambda c: left(c, 2000)) AS cells FROM l WHERE row < 100000), w AS (SELECT *, max(len(cells)) OVER (PARTITION BY doc_id) AS width FROM c)
         SELECT doc_id, row, width, limited, sha256(array_to_string(list_resize(cells, width, ''), chr(9))) AS cells_sha256 FROM w""",
     ),
     "table_renderings": (
@@ -131,5 +131,5 @@ QUERIES = {
         """WITH p AS (SELECT doc_id AS row, trim(text) AS q, nullif(trim(coalesce(CASE WHEN lang = 'en' THEN text || text || text END, '')), '') AS a FROM documents)
         SELECT row, length(q) AS question_chars, length(a) AS answer_chars, concat_ws(',', CASE WHEN q = '' OR length(q) > 4000 THEN 'question_length' END, CASE WHEN length(a) > 12000 THEN 'answer_length' END) AS errors FROM p""",
     ),
-    "csv_safe_cells": (q_safe, "WITH v AS (SELECT doc_id, (['', '=', ' +', chr(9), '-'])[doc_id % 5 + 1] || left(text, 40) AS v FROM documents) SELECT doc_id, CASE WHEN regexp_matches(v, '^\\s*[=+\\-@]') OR regexp_matches(v, '^[\\t\\r\\n]') THEN '''' || v ELSE v END AS cell FROM v"),
+    "csv_safe_cells": (q_safe, "WITH v AS (SELECT doc_id, (['', '=', ' +', chr(9), '-'])[doc_id % 5 + 1] || text AS v FROM documents) SELECT doc_id, CASE WHEN regexp_matches(v, '^\\s*[=+\\-@]') OR regexp_matches(v, '^[\\t\\r\\n]') THEN '''' || v ELSE v END AS cell FROM v"),
 }
