@@ -6,13 +6,12 @@ what was packed before, so it runs per document in ``applyInPandas``; documents
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.operators.blocks import SQL_BLOCKS, document_blocks
+from lexiloom.operators.packing import Budget, Group, Piece, pack_sections, pieces_of, size_of
 from lexiloom.session import table
 
 EMBED_LIMIT = 8191
@@ -62,103 +61,66 @@ def sections(blocks: DataFrame) -> DataFrame:
 
 
 def embedding_text(path: Column, text: Column) -> Column:
-    """``Section: a > b`` and the text; the prefix loses its front beyond ``PREFIX_LIMIT`` bytes."""
+    """``Section: a > b`` and the text; of a longer prefix the longest end within ``PREFIX_LIMIT`` bytes stays, its frame counted."""
     joined = F.array_join(path, " > ")
-    kept = F.when(F.octet_length(joined) <= PREFIX_LIMIT, joined).otherwise(F.concat(F.lit("…"), F.expr(f"right(joined_path, {PREFIX_LIMIT // 4})")))
+    room = PREFIX_LIMIT - len("Section: …\n\n".encode())
+    # Characters from the end on, as long as their running sum of bytes fits.
+    widths = F.transform(F.reverse(F.split(F.right(joined, F.lit(room)), "")), lambda c: F.octet_length(c))
+    fits = F.aggregate(
+        widths, F.struct(F.lit(0).alias("used"), F.lit(0).alias("n")),
+        lambda a, w: F.struct((a["used"] + w).alias("used"), F.when(a["used"] + w <= room, a["n"] + 1).otherwise(a["n"]).alias("n")),
+    )["n"]
+    whole = F.octet_length(F.concat(F.lit("Section: "), joined, F.lit("\n\n"))) <= PREFIX_LIMIT
+    kept = F.when(whole, joined).otherwise(F.concat(F.lit("…"), F.right(joined, fits)))
     return F.when(F.size(path) > 0, F.concat(F.lit("Section: "), kept, F.lit("\n\n"), text)).otherwise(text)
 
 
-_SENTENCE = re.compile(r"[.!?。！？]['\")\]]*\s+|\n+")
-
-
-def split_ranges(text: str, budget: int) -> list[tuple[int, int]]:
-    """Ranges of at most ``budget`` UTF-8 bytes that end at a sentence or line, else a word, else a character."""
-    widths = [len(c.encode("utf-8", "surrogatepass")) for c in text]
-    ends = [m.end() for m in _SENTENCE.finditer(text)]
-    out, start, k = [], 0, 0
-    while start < len(text):
-        used, stop = 0, start
-        while stop < len(text) and used + widths[stop] <= budget:
-            used += widths[stop]
-            stop += 1
-        stop = max(stop, start + 1)
-        if stop < len(text):
-            while k < len(ends) and ends[k] <= stop:
-                k += 1
-            if k and ends[k - 1] > start:
-                stop = ends[k - 1]
-            else:
-                space = max(text.rfind(" ", start, stop), text.rfind("\n", start, stop))
-                stop = space + 1 if space > start else stop
-        out.append((start, stop))
-        start = stop
-    return out
-
-
-def pack(pieces: list[tuple], target: int, most: int, overlap: int) -> list[list[tuple]]:
-    """Groups of (ordinal, start, end, bytes) pieces: closed at ``target``, never over ``most``; the next group starts with up to ``overlap`` bytes of the last."""
-    groups, now, used, fresh = [], [], 0, 0
-    for piece in pieces:
-        if now and (used + piece[3] > most or used >= target) and fresh:
-            groups.append(now)
-            tail, room = [], overlap
-            for p in reversed(now):
-                if p[3] > room:
-                    break
-                tail.insert(0, p)
-                room -= p[3]
-            now = tail if sum(p[3] for p in tail) + piece[3] <= most else []
-            used, fresh = sum(p[3] for p in now), 0
-        now.append(piece)
-        used += piece[3]
-        fresh += 1
-    if fresh:
-        groups.append(now)
-    return groups
-
-
-_CHUNKS = "doc_id long, ordinal long, role string, parent_ordinal long, section long, first_block long, last_block long, text string, token_count long"
-
-
-def _packed(target: int, most: int, overlap: int, parent: tuple[int, int] | None = None):
+_CHUNKS = "doc_id long, ordinal long, role string, parent_ordinal long, section long, first_block long, last_block long, heading_path array<string>, text string, token_count long"
+
+
+def _packed(child: Budget, parent: Budget | None = None):
+    """Chunks of one document's blocks (ordinal, section, text, heading, page)."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ordinal")
-        rows, doc_id = [], int(pdf["doc_id"].iloc[0])
-
-        def groups_of(blocks, t, m, o):
-            pieces, texts = [], {}
-            for ordinal, text in blocks:
-                for s, e in split_ranges(text, m):
-                    if text[s:e].strip():
-                        pieces.append((ordinal, s, e, len(text[s:e].encode()) + 1))
-                        texts[ordinal, s] = text[s:e]
-            for group in pack(pieces, t, m + 1, o):
-                yield group, "\n".join(texts[p[0], p[1]].strip() for p in group)
-
-        for section, part in pdf.groupby("section", sort=True):
-            blocks = list(zip(part["ordinal"].astype(int), part["text"].fillna(""), strict=True))
-            outer = groups_of(blocks, *parent, 0) if parent else [(None, None)]
-            for whole, text in outer:
-                up = None
-                if parent:
-                    up = len(rows)
-                    rows.append((doc_id, up, "parent", None, int(section), whole[0][0], whole[-1][0], text, len(text.encode())))
-                    blocks = [(whole[0][0], text)]
-                for group, body in groups_of(blocks, target, most, overlap):
-                    rows.append((doc_id, len(rows), "child" if parent else "passage", up, int(section), group[0][0], group[-1][0] if not parent else whole[-1][0], body, len(body.encode())))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in _CHUNKS.split(", ")])
+        rows, doc_id, section_of = [], int(pdf["doc_id"].iloc[0]), dict(zip(pdf["ordinal"], pdf["section"], strict=True))
+        outer = parent or child
+        pieces = [
+            [
+                part
+                for n, text, heading, page in zip(group["ordinal"], group["text"], group["heading"], group["page"], strict=True)
+                for part in pieces_of(Piece(int(n), 0, text or "", () if pd.isna(heading) else (heading,), None if pd.isna(page) else int(page)), outer.most)
+            ]
+            for _, group in pdf.groupby("section", sort=True)
+        ]
+
+        def add(group: Group, role: str, up):
+            text, ps = "\n\n".join(p.text for p in group.pieces), group.pieces
+            rows.append((doc_id, len(rows), role, up, int(section_of[ps[0].block]), ps[0].block, ps[-1].block, list(group.path()), text, size_of(text)))
+
+        for segments in pack_sections([p for p in pieces if p], outer):
+            add(Group([p for g in segments for p in g.pieces]), "parent" if parent else "passage", None)
+            up = len(rows) - 1
+            for segment in segments if parent else ():
+                for group in child.pack([part for p in segment.pieces for part in pieces_of(p, child.most)]):
+                    add(group, "child", up)
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in _CHUNKS.split(", ")])
+        return out.astype({"parent_ordinal": "Int64"})
 
     return run
 
 
+_BLOCK_COLUMNS = ("doc_id", "ordinal", "section", "text", "heading", "page")
+
+
 def section_chunks(blocks: DataFrame, target: int = 600, most: int = 800, overlap: int = 80) -> DataFrame:
-    """Sections packed to a byte budget with an overlap; (doc_id, ordinal, text, heading, page) given."""
-    return sections(blocks).select("doc_id", "ordinal", "section", "text").groupBy("doc_id").applyInPandas(_packed(target, most, overlap), _CHUNKS)
+    """Sections packed to a byte budget with an overlap, short ones joined; (doc_id, ordinal, text, heading, page) given."""
+    return sections(blocks).select(*_BLOCK_COLUMNS).groupBy("doc_id").applyInPandas(_packed(Budget(target, most, overlap)), _CHUNKS)
 
 
 def parent_child_chunks(blocks: DataFrame, child=(240, 320, 40), parent=(900, 1200)) -> DataFrame:
     """Small children for search within larger parents, which answers are given."""
-    return sections(blocks).select("doc_id", "ordinal", "section", "text").groupBy("doc_id").applyInPandas(_packed(*child, parent), _CHUNKS)
+    return sections(blocks).select(*_BLOCK_COLUMNS).groupBy("doc_id").applyInPandas(_packed(Budget(*child), Budget(*parent)), _CHUNKS)
 
 
 def table_rows(docs: DataFrame) -> DataFrame:
@@ -294,7 +256,6 @@ def q_common_prefix(spark, sf):
 def q_embedding_text(spark, sf):
     lines = F.split("text", "\n")
     docs = table(spark, sf, "documents").select("doc_id", "text", F.array("source", "lang", F.element_at(lines, 1)).alias("path"))
-    docs = docs.withColumn("joined_path", F.array_join("path", " > "))
     return docs.select("doc_id", F.sha2(embedding_text(F.col("path"), F.col("text")), 256).alias("text_sha256"))
 
 
@@ -369,7 +330,8 @@ QUERIES = {
     ),
     "embedding_text_prefix": (
         q_embedding_text,
-        """WITH p AS (SELECT doc_id, text, concat(source, ' > ', lang, ' > ', string_split(text, chr(10))[1]) AS j FROM documents)
-        SELECT doc_id, sha256('Section: ' || CASE WHEN strlen(j) <= 300 THEN j ELSE '…' || right(j, 75) END || chr(10) || chr(10) || text) AS text_sha256 FROM p""",
+        """WITH p AS (SELECT doc_id, text, concat(source, ' > ', lang, ' > ', string_split(text, chr(10))[1]) AS j FROM documents),
+        c AS (SELECT *, CASE WHEN strlen(j) + 11 > 300 THEN list_max([i FOR i IN range(1, 287) IF strlen(right(j, i)) <= 286]) END AS n FROM p)
+        SELECT doc_id, sha256('Section: ' || CASE WHEN n IS NULL THEN j ELSE '…' || right(j, n) END || chr(10) || chr(10) || text) AS text_sha256 FROM c""",
     ),
 }

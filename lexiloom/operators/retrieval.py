@@ -199,13 +199,18 @@ def prompt(template: str, question, context) -> Column:
 
 
 def citations(answer, allowed) -> Column:
-    """valid, invalid and missing labels of an answer; code does not cite."""
+    """valid, invalid and missing labels of an answer; code does not cite.
+
+    Every bracket is a reference: several labels (``[S1, S2]``) are one each, anything else that is
+    no known label is invalid. An answer that says INSUFFICIENT_EVIDENCE first misses none.
+    """
     bare = F.regexp_replace(F.regexp_replace(answer, r"(?s)```.*?(?:```|\z)", " "), r"`[^`\n]*`", " ")
-    groups = F.regexp_extract_all(bare, F.lit(r"\[(S\d+(?:\s*,\s*S\d+)*)\]"), 1)
-    cited = F.array_distinct(F.flatten(F.transform(groups, lambda g: F.split(g, r"\s*,\s*"))))
-    return F.struct(
-        F.array_intersect(cited, allowed).alias("valid"), F.array_except(cited, allowed).alias("invalid"), (F.size(cited) == 0).alias("missing")
-    )
+    parts = lambda g: F.transform(F.split(g, ","), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    several = lambda g: (F.size(F.split(g, ",")) > 1) & F.forall(parts(g), lambda x: x.rlike(r"^S\d+$"))
+    brackets = F.regexp_extract_all(bare, F.lit(r"\[([^\[\]\n]+)\]"), 1)
+    cited = F.array_distinct(F.flatten(F.transform(brackets, lambda g: F.when(several(g), parts(g)).otherwise(F.array(g)))))
+    missing = (F.size(cited) == 0) & ~answer.startswith("INSUFFICIENT_EVIDENCE")
+    return F.struct(F.array_intersect(cited, allowed).alias("valid"), F.array_except(cited, allowed).alias("invalid"), missing.alias("missing"))
 
 
 def answer_chain(questions: DataFrame, retrieve, generate, cap: int = 4000) -> DataFrame:
@@ -312,9 +317,11 @@ def q_pack(spark, sf):
 
 
 def q_citations(spark, sf):
-    """Answers made from turns: the number of turns decides which labels they cite."""
-    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.col("text"), F.lit(" [S"), (F.col("turn") % 4).cast("string"), F.lit(", S2] `[S9]`")).alias("answer"))
-    check = citations(F.col("answer"), F.array(F.lit("S1"), F.lit("S2")))
+    """Answers made from turns: words become brackets, labels, code or an answer without evidence."""
+    marked = F.replace(F.regexp_replace("text", r" ([a-z]{2}) ", " [$1] "), F.lit("."), F.concat(F.lit(" [S"), F.length("text") % 4, F.lit(", S2] `[S9]`")))
+    answer = F.when(F.col("turn") % 3 == 0, marked).when(F.length("text") % 2 == 0, F.concat(F.lit("INSUFFICIENT_EVIDENCE "), "text")).otherwise(F.col("text"))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", answer.alias("answer"))
+    check = citations(F.col("answer"), F.array(F.lit("S1"), F.lit("S2"), F.lit("en")))
     return turns.select("conv_id", "turn", check.alias("c")).select("conv_id", "turn", F.array_join("c.valid", ",").alias("valid"), F.array_join("c.invalid", ",").alias("invalid"), "c.missing")
 
 
@@ -401,7 +408,12 @@ QUERIES = {
     ),
     "citation_check": (
         q_citations,
-        """SELECT conv_id, turn, CASE turn % 4 WHEN 1 THEN 'S1,S2' ELSE 'S2' END AS valid, CASE turn % 4 WHEN 0 THEN 'S0' WHEN 3 THEN 'S3' ELSE '' END AS invalid, false AS missing FROM conversations""",
+        """WITH a AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN replace(regexp_replace(text, ' ([a-z]{2}) ', ' [\\1] ', 'g'), '.', ' [S' || length(text) % 4 || ', S2] `[S9]`') WHEN length(text) % 2 = 0 THEN 'INSUFFICIENT_EVIDENCE ' || text ELSE text END AS a FROM conversations),
+        b AS (SELECT *, regexp_extract_all(regexp_replace(a, '`[^`\\n]*`', ' ', 'g'), '\\[([^\\[\\]\\n]+)\\]', 1) AS g FROM a),
+        r AS (SELECT *, flatten(list_transform(g, lambda x: CASE WHEN regexp_full_match(x, 'S[0-9]+(\\s*,\\s*S[0-9]+)+') THEN regexp_split_to_array(x, '\\s*,\\s*') ELSE [x] END)) AS f FROM b),
+        d AS (SELECT *, [f[i] FOR i IN range(1, len(f) + 1) IF list_position(f, f[i]) = i] AS f1 FROM r)
+        SELECT conv_id, turn, array_to_string([x FOR x IN f1 IF x IN ('S1', 'S2', 'en')], ',') AS valid, array_to_string([x FOR x IN f1 IF x NOT IN ('S1', 'S2', 'en')], ',') AS invalid,
+        len(f1) = 0 AND NOT starts_with(a, 'INSUFFICIENT_EVIDENCE') AS missing FROM d""",
     ),
     "passage_markup_escape": (q_markup, "SELECT page_id, sha256(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped_sha256 FROM pages"),
     "prompt_payload": (

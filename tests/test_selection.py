@@ -1,6 +1,7 @@
 import random
 
 from lexiloom.operators import chunks as C
+from lexiloom.operators import packing
 from lexiloom.operators import dedup as D
 from lexiloom.operators import sensitive as S
 from lexiloom.operators.components import components
@@ -93,13 +94,13 @@ def test_ranges_and_packing_respect_budgets():
     rng = random.Random(3)
     for _ in range(200):
         text = "".join(rng.choices(["word ", "é", "Ende. ", "漢字", "\n", "x" * 30], k=40))
-        ranges = C.split_ranges(text, 50)
+        ranges = packing.split_ranges(text, 50)
         assert "".join(text[s:e] for s, e in ranges) == text
         assert all(len(text[s:e].encode()) <= 50 for s, e in ranges)
-        pieces = [(0, s, e, len(text[s:e].encode())) for s, e in ranges]
-        groups = C.pack(pieces, 100, 150, 40)
-        assert all(sum(p[3] for p in g) <= 150 for g in groups)
-        assert sorted({p for g in groups for p in g}) == pieces
+        pieces = [packing.Piece(0, s, text[s:e]) for s, e in ranges]
+        groups = packing.Budget(100, 150, 40).pack(pieces)
+        assert all(packing.joined(g.pieces) <= 150 for g in groups)
+        assert "".join(p.text for g in packing.Budget(100, 150).pack(pieces) for p in g.pieces) == "".join(p.text for p in pieces)
 
 
 def test_parent_and_children(spark):
