@@ -8,6 +8,12 @@ joins two texts.
 Normalisation and folding call the Unicode library that ships with Spark through the SQL function
 ``reflect``; no row leaves the JVM.
 
+The order of documents is that of a narrow table (id, length, fingerprint), range-partitioned by id and
+sorted within its partitions; where a partition ends, the next one's first row follows, found in a
+table of one row a partition. Dense and sparse ids are dealt alike. Only rows whose id is null or not
+unique bring their texts into that table, to be ordered by them. Texts are shuffled once, by key: each
+document's successor sends it the few code points it needs, and it is edited where its text is.
+
 Edge cases: a null text is empty; the empty text has a fingerprint like any other; equal texts
 (repeated rows too) have equal fingerprints; rows order by (doc_id, text) with null ids first, so
 the "next document" of ties is defined; the only document of a table is its own next; an empty
@@ -19,10 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.session import table
+from lexiloom.session import discard, materialize, table
 
-#: Consecutive ids that one window group holds, and groups in a group of groups.
-SPAN = 1024
+#: Repeated ids up to which they are broadcast.
+FEW = 100_000
 
 
 def canonical(text: Column) -> Column:
@@ -32,62 +38,74 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(folded, r"[\s\x{85}\x{1680}\x{2028}\x{2029}]+", " "))
 
 
-def fingerprint(canon: Column) -> Column:
-    part = lambda *c: F.lpad(F.lower(F.hex(F.xxhash64(*c))), 16, "0")
-    return F.concat(part(canon), part(F.lit("second"), canon))
-
+def halves(canon: Column) -> tuple[Column, Column]:
+    """The fingerprint as two longs."""
+    return F.xxhash64(canon).alias("f1"), F.xxhash64(F.lit("second"), canon).alias("f2")
 
-def with_next_text(docs: DataFrame) -> DataFrame:
-    """doc_id, text, again and the text of the next document; after the last comes the first.
 
-    ``again`` marks documents whose fingerprint occurs more than once. It is joined per span, on the
-    partitioning that the window already has, so whole texts are shuffled once.
+def fingerprint(first: Column, second: Column) -> Column:
+    return F.concat(*(F.lpad(F.lower(F.hex(x)), 16, "0") for x in (first, second)))
 
-    Ids are ordered within spans of ``SPAN``; the last row of a span looks into the next span that
-    has rows, found through a table of spans and one of groups of spans. No task orders all ids.
-    """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn(
-        "span", F.coalesce(F.floor(F.col("doc_id") / SPAN), F.lit(-(2**62)))
-    )
-    order = Window.partitionBy("span").orderBy("doc_id", "text")
-    known = F.coalesce("doc_id", F.lit(-(2**62)))
-    led = (
-        rows.select("*", F.lead("text").over(order).alias("next_text"), F.row_number().over(order).alias("nth"))
-        .join(repeated_ids(docs).withColumnRenamed("span", "r_span"), F.col("span") == F.col("r_span"), "left")
-        .withColumn("again", F.coalesce(F.array_contains("ids", known), F.lit(False)))
-        .drop("ids", "r_span")
-    )
-    spans = rows.groupBy("span").agg(F.count(F.lit(1)).alias("size")).withColumn("group", F.floor(F.col("span") / SPAN))
-    groups = spans.groupBy("group").agg(F.min("span").alias("head"))
-    everything = Window.partitionBy(F.lit(0)).orderBy("group")
-    groups = groups.select(
-        F.col("group").alias("g"),
-        F.coalesce(F.lead("head").over(everything), F.min("head").over(Window.partitionBy(F.lit(0)))).alias("after"),
-    )
-    follows = (
-        spans.withColumn("next_span", F.lead("span").over(Window.partitionBy("group").orderBy("span")))
-        .join(groups, F.col("group") == F.col("g"))
-        .select(F.col("span").alias("s"), F.coalesce("next_span", "after").alias("next_span"))
-    )
-    firsts = led.where("nth = 1").select(F.col("span").alias("first_span"), F.col("text").alias("first_text"))
-    lasts = (
-        led.where("next_text IS NULL")
-        .join(follows, F.col("span") == F.col("s"))
-        .join(firsts, F.col("next_span") == F.col("first_span"))
-        .select("doc_id", "text", "again", F.col("first_text").alias("next_text"))
-    )
-    return led.where("next_text IS NOT NULL").select("doc_id", "text", "again", "next_text").unionByName(lasts)
 
+def _parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(keyed, ordered): the texts by key, and the narrow table of all rows in order.
 
-def repeated_ids(docs: DataFrame) -> DataFrame:
-    """span, ids: the documents whose fingerprint occurs more than once; texts are not shuffled."""
-    narrow = docs.select(
-        "doc_id",
-        F.coalesce(F.floor(F.col("doc_id") / SPAN), F.lit(-(2**62))).alias("span"),
-        fingerprint(canonical(F.coalesce("text", F.lit("")))).alias("fp"),
-    )
-    repeated = narrow.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
-    return narrow.join(repeated, "fp").groupBy("span").agg(F.collect_set(F.coalesce("doc_id", F.lit(-(2**62)))).alias("ids"))
+    keyed: tied, key, text. ordered: at (place in the order), tied, key, doc_id, n_chars, f1, f2. The key
+    is the id where it is the only one (tied is false), else the place.
+    """
+    narrow = materialize(rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), *halves(canonical(F.col("text")))), "fingerprints")
+    ids = narrow.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("r_id"))
+    ids = materialize(ids, "repeated-ids")
+    many, own = ids.count(), narrow.withColumn("text", F.lit(None).cast("string"))
+    keyed = rows
+    if many:
+        repeated = F.broadcast(ids) if many <= FEW else ids
+        same = F.col("doc_id") == F.col("r_id")
+        tied = rows.join(repeated, same, "left_semi").unionByName(rows.where("doc_id IS NULL"))
+        own = own.where("doc_id IS NOT NULL").join(repeated, same, "left_anti")
+        keyed = rows.where("doc_id IS NOT NULL").join(repeated, same, "left_anti")
+        own = own.unionByName(tied.select("doc_id", F.length("text").cast("long").alias("n_chars"), *halves(canonical(F.col("text"))), "text"))
+    # Equal rows in any number may be dealt to several partitions: their order does not matter.
+    own = own.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(4096)))
+    own = materialize(own, "unordered")
+    ordered = own.repartitionByRange(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"), "salt").sortWithinPartitions("doc_id", "text", "salt")
+    ordered = ordered.withColumn("tied", F.col("text").isNotNull()).withColumn("at", F.monotonically_increasing_id())
+    ordered = materialize(ordered.withColumn("key", F.when(F.col("tied"), F.col("at")).otherwise(F.col("doc_id").cast("long"))).drop("salt"), "ordered")
+    for done in (narrow, own):
+        discard(done)
+    keyed = keyed.select(F.lit(False).alias("tied"), F.col("doc_id").cast("long").alias("key"), "text")
+    if many:
+        keyed = keyed.unionByName(ordered.where("tied").select("tied", "key", "text"))
+    return keyed, ordered.drop("text")
+
+
+def _with_next(ordered: DataFrame) -> DataFrame:
+    """Every row with its successor's key and fingerprint; after the last comes the first."""
+    part = F.shiftright("at", 33)  # the partition that numbered the row
+    ends = ordered.groupBy(part.alias("part")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    # One row a partition, so that this window and its broadcast do not grow with the rows.
+    every = Window.partitionBy(F.lit(0))
+    ends = ends.select("last", F.coalesce(F.lead("first").over(every.orderBy("part")), F.min("first").over(every)).alias("jump"))
+    after = ordered.join(F.broadcast(ends), F.col("at") == F.col("last"), "left").withColumn("next_at", F.coalesce("jump", F.col("at") + 1)).drop("last", "jump")
+    following = ordered.select(F.col("at").alias("a"), F.col("tied").alias("next_tied"), F.col("key").alias("next_key"), F.col("f1").alias("n1"), F.col("f2").alias("n2"))
+    return after.join(following, F.col("next_at") == F.col("a"))
+
+
+def _classes(keyed: DataFrame, ordered: DataFrame) -> DataFrame:
+    """(at, class_id, copies) of the rows whose canonical bytes occur more than once or whose bucket holds other bytes."""
+    buckets = ordered.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("f1").alias("b1"), F.col("f2").alias("b2"))
+    shared = ordered.join(buckets, (F.col("f1") == F.col("b1")) & (F.col("f2") == F.col("b2"))).select("at", "tied", "key", "doc_id", "f1", "f2")
+    shared = materialize(shared, "shared")
+    texts = keyed.join(shared, ["tied", "key"]).select("at", "doc_id", "f1", "f2", canonical(F.col("text")).alias("canon"))
+    # Equal bytes meet before the shuffle, so a class of any size is one row per map task.
+    bytes_of = texts.groupBy("f1", "f2", "canon").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    alone = bytes_of.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("kinds"), F.min("class_id").alias("class_id"), F.max("copies").alias("copies"))
+    alone = materialize(alone, "buckets")
+    out = shared.join(alone.where("kinds = 1"), ["f1", "f2"]).select("at", "class_id", "copies")
+    collided = alone.where("kinds > 1").select("f1", "f2")
+    if not collided.isEmpty():  # different bytes in one bucket: joined on the bytes themselves
+        out = out.unionByName(texts.join(collided, ["f1", "f2"]).join(bytes_of, ["f1", "f2", "canon"]).select("at", bytes_of["class_id"], "copies"))
+    return out
 
 
 def canonical_digests(docs: DataFrame) -> DataFrame:
@@ -95,40 +113,34 @@ def canonical_digests(docs: DataFrame) -> DataFrame:
 
     ``class_id`` is the smallest doc_id with the same canonical bytes and ``copies`` their number.
     """
-    rows = (
-        with_next_text(docs)
-        .select(
-            "doc_id",
-            "again",
-            F.length("text").cast("long").alias("n_chars"),
-            canonical(F.col("text")).alias("canon"),
-            canonical(F.col("next_text")).alias("next_canon"),
-            F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) AS int))"),
-                     F.expr("left(next_text, cast(floor(length(text) / 4) AS int))")).alias("edited"),
-        )
-        .withColumn("edited_canon", canonical(F.col("edited")))
+    keyed, ordered = _parts(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    classes = _classes(keyed, ordered).select(F.col("at").alias("class_at"), "class_id", "copies")
+    rows = _with_next(ordered).join(classes, F.col("at") == F.col("class_at"), "left").withColumn("take", F.expr("cast(floor(n_chars / 4) AS int)"))
+    rows = materialize(rows.drop("class_at", "a", "next_at"), "rows")
+    sent = (
+        keyed.withColumnsRenamed({"tied": "t_tied", "key": "t_key"})
+        .join(rows, (F.col("t_tied") == F.col("next_tied")) & (F.col("t_key") == F.col("next_key")))
+        .withColumn("prefix", F.expr("left(text, take)"))
+        .drop("text", "t_tied", "t_key", "next_tied", "next_key")
+    )
+    edited = F.concat(F.expr("left(text, cast(n_chars AS int) - take)"), "prefix")
+    e1, e2 = halves(canonical(F.col("edited")))
+    return (
+        keyed.join(sent, ["tied", "key"])
+        .withColumn("edited", edited)
+        .select("*", e1.alias("e1"), e2.alias("e2"))
         .select(
             "doc_id",
-            "again",
             "n_chars",
-            "canon",
             F.sha2("edited", 256).alias("edited_sha256"),
-            fingerprint(F.col("canon")).alias("fingerprint"),
-            fingerprint(F.col("edited_canon")).alias("edited_fingerprint"),
-            (F.col("canon") == F.col("edited_canon")).cast("double").alias("near_edited"),
-            (F.col("canon") == F.col("next_canon")).cast("double").alias("near_next"),
+            fingerprint(F.col("f1"), F.col("f2")).alias("fingerprint"),
+            fingerprint(F.col("e1"), F.col("e2")).alias("edited_fingerprint"),
+            ((F.col("f1") == F.col("e1")) & (F.col("f2") == F.col("e2"))).cast("double").alias("near_edited"),
+            ((F.col("f1") == F.col("n1")) & (F.col("f2") == F.col("n2"))).cast("double").alias("near_next"),
+            F.coalesce("class_id", "doc_id").alias("class_id"),
+            F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
         )
     )
-    out = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    single = rows.where(~F.col("again")).select(*out, F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies"))
-    several = rows.where("again").withColumn("bytes", F.sha2("canon", 256))
-    classes = (
-        several.groupBy("fingerprint", "canon")
-        .agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-        .select(F.col("fingerprint").alias("f"), F.sha2("canon", 256).alias("b"), "class_id", "copies")
-    )
-    joined = several.join(classes, (F.col("fingerprint") == F.col("f")) & (F.col("bytes") == F.col("b")))
-    return single.unionByName(joined.select(*out, "class_id", "copies"))
 
 
 def op3_canonical_digest(spark, sf_dir):
