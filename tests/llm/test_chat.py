@@ -9,9 +9,12 @@ def plain(rows):
     """{conv_id: text} of the conversations that no longer or equal earlier one starts with."""
     by_id = {}
     for c, t, r, x, _ in rows:
-        by_id.setdefault(c, []).append((t is not None, t or 0, r or "", x or ""))
+        if c is not None:
+            by_id.setdefault((0, c), []).append((t is not None, t or 0, r or "", x or ""))
+        else:  # a conversation of one turn; equal ones are one
+            by_id[1, r or "", x or ""] = [(True, 0, r or "", x or "")]
     by_id = {c: [(r, x) for _, _, r, x in sorted(turns)] for c, turns in by_id.items()}
-    order = lambda c: (c is not None, c or 0)
+    order = lambda c: c
     kept = {}
     for c, turns in by_id.items():
         def beats(d):
@@ -25,7 +28,8 @@ def plain(rows):
 
 def check(spark, rows):
     got = collapse_and_render(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert {r.conv_id: r.text for r in got} == plain(rows) and len(got) == len({r.conv_id for r in got})
+    want = sorted((str(c[1] if c[0] == 0 else None), t) for c, t in plain(rows).items())
+    assert sorted((str(r.conv_id), r.text) for r in got) == want
     assert all(r.n_chars == len(r.text) for r in got)
     return got
 
@@ -47,12 +51,23 @@ def test_long_conversations_cross_blocks(spark):
 
 
 def test_nulls_ties_and_empty(spark):
-    rows = [(1, 0, None, None, ""), (2, 0, "", "", ""), (None, 0, "a", "x", ""), (None, 1, "b", "y", ""), (5, 0, "a", "x", ""), (6, None, "a", "x", ""), (6, 1, "b", "y", ""), (7, 1, "b", "y", ""), (7, 1, "a", "x", ""), (8, 3, "z", "", "")]
+    rows = [(1, 0, None, None, ""), (2, 0, "", "", ""), (None, 0, "a", "x", ""), (None, 1, "b", "y", ""), (5, 0, "a", "x", ""), (6, None, "a", "x", ""), (6, 1, "b", "y", ""), (7, 1, "b", "y", ""), (7, 1, "a", "x", ""), (8, 3, "z", "", ""), (None, 5, "q", "alone", ""), (None, None, "q", "alone", "")]
     got = check(spark, rows)
-    assert {r.conv_id for r in got} == {1, None, 8}
+    assert sorted(str(r.conv_id) for r in got) == ["1", "6", "8", "None", "None"]
     assert collapse_and_render(spark.createDataFrame(rows, SCHEMA).limit(0)).count() == 0
 
 
 def test_role_and_text_do_not_run_together(spark):
     df = spark.createDataFrame([(1, 0, "ab", "c", ""), (2, 0, "a", "bc", "")], SCHEMA)
     assert len({(r.ha, r.hb) for r in prefix_hashes(df).collect()}) == 2
+
+
+def test_very_long_text(spark):
+    long = "word " * 400_000
+    got = check(spark, [(1, 0, "user", long, ""), (2, 0, "user", long, ""), (2, 1, "assistant", "ok", "")])
+    assert [r.conv_id for r in got] == [2]
+
+
+def test_many_turns_without_conversation(spark):
+    rows = [(None, t, "user", f"text {t % 500}", "") for t in range(3000)] + [(1, 0, "user", "text 7", ""), (1, 1, "user", "more", "")]
+    assert len(check(spark, rows)) == 500
