@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import posixpath
+from dataclasses import dataclass, field
+from functools import reduce
 from urllib.parse import quote, unquote, urlsplit, urlunsplit
-from urllib.robotparser import RobotFileParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.session import table
@@ -15,49 +15,61 @@ from lexiloom.session import table
 #: Fixed values.
 TRACKING = ("ref", "fbclid", "gclid")
 KEY_BYTES = 2000
-PATH_SAFE = "/%:@!$&'()*+,;=-._~"
-
-
-def _normal(value: str | None) -> tuple[str | None, str | None]:
-    """(canonical URL, None) or (None, reason)."""
-    try:
-        parts = urlsplit(value or "")
-        port, host = parts.port, parts.hostname
-    except ValueError:
-        return None, "invalid_url"
-    scheme = parts.scheme.lower()
-    if scheme not in ("http", "https"):
-        return None, "unsafe_scheme"
-    if parts.username is not None or parts.password is not None:
-        return None, "url_credentials"
-    if not host:
-        return None, "invalid_url"
-    try:
-        host = host.encode("idna").decode("ascii").lower().rstrip(".")
-    except UnicodeError:
-        return None, "invalid_hostname"
-    if not 0 < len(host) <= 253:
-        return None, "invalid_hostname"
-    where = f"[{host}]" if ":" in host else host
-    if port not in (None, {"http": 80, "https": 443}[scheme]):
-        where = f"{where}:{port}"
-    plain = unquote(parts.path) or "/"
-    path = posixpath.normpath(plain)
-    if path[0] != "/":
-        path = "/" + path
-    if plain.endswith("/") and path[-1] != "/":
-        path += "/"
-    return urlunsplit((scheme, where, quote(path, safe=PATH_SAFE), parts.query, "")), None
-
-
-def canonical_url(column):
-    """Canonical form of each URL, or why it has none, as a struct."""
-
-    @F.pandas_udf("struct<url: string, violation: string>")
-    def run(urls: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_normal(u) for u in urls], columns=["url", "violation"])
-
-    return run(column)
+#: Signs of a path that stay as they are.
+PATH_SIGNS = "/:@!$&'()*+,;=-._~"
+
+_URL = r"^([A-Za-z][A-Za-z0-9+.\-]*):(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
+_HOST = r"^(\[[^\]]*\]|[^:\[\]]*)"
+
+
+def _decoded(path: Column) -> Column:
+    """The path with percent signs resolved; signs that start no escape stay."""
+    whole = F.regexp_replace(F.replace(path, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(whole), path)
+
+
+def _without_dots(path: Column) -> Column:
+    """Steps of one and two dots resolved; two leading slashes and a trailing one stay."""
+    step = lambda done, x: F.when(x.isin("", "."), done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x))
+    steps = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    lead = F.when(path.rlike("^//(?!/)"), "//").otherwise("/")
+    tail = F.when(path.endswith("/") & (F.size(steps) > 0), "/").otherwise("")
+    return F.concat(lead, F.array_join(steps, "/"), tail)
+
+
+def _encoded(path: Column) -> Column:
+    """Percent-encoded, but for letters, digits, ``PATH_SIGNS`` and the percent sign."""
+    form = F.replace(F.url_encode(path), F.lit("+"), F.lit("%20"))
+    kept = reduce(lambda c, sign: F.replace(c, F.lit(f"%{ord(sign):02X}"), F.lit(sign)), PATH_SIGNS, form)
+    return F.replace(kept, F.lit("%25"), F.lit("%"))
+
+
+def canonical_url(column) -> Column:
+    """Canonical form of each URL, or why it has none, as a struct (url, violation); no row leaves the JVM.
+
+    Scheme and host in lower case, the host in its ASCII form, no default port, dots of the path
+    resolved, the path encoded anew, no fragment. Other schemes and credentials are refused.
+    """
+    url = F.regexp_replace(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")), r"^[\x00-\x20]+", "")
+    scheme, authority = F.lower(F.regexp_extract(url, _URL, 1)), F.regexp_extract(url, _URL, 2)
+    raw = F.regexp_extract(authority, _HOST, 1)
+    bare = F.regexp_replace(raw, r"[\[\]]", "")
+    host = F.regexp_replace(F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), bare)), r"\.+$", "")
+    after = F.regexp_replace(authority, _HOST, "")
+    port = F.when(after.rlike(r"^:[0-9]{1,5}$"), F.substring(after, 2, 5).cast("int"))
+    default = F.when(scheme == "http", 80).otherwise(443)
+    violation = (
+        F.when(~scheme.isin("http", "https"), "unsafe_scheme")
+        .when(authority.contains("@"), "url_credentials")
+        .when(~after.rlike(r"^(:[0-9]{0,5})?$") | (port > 65535), "invalid_url")
+        .when(bare == "", "invalid_url")
+        .when(host.isNull() | ~F.length(host).between(1, 253), "invalid_hostname")
+    )
+    path = _decoded(F.regexp_extract(url, _URL, 3))
+    where = F.concat(F.when(host.contains(":"), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host), F.when(port != default, F.concat(F.lit(":"), port.cast("string"))).otherwise(""))
+    query = F.regexp_extract(url, _URL, 4)
+    whole = F.concat(scheme, F.lit("://"), where, _encoded(_without_dots(F.when(path == "", "/").otherwise(path))), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.struct(F.when(violation.isNull(), whole).alias("url"), violation.alias("violation"))
 
 
 def origin(url):
@@ -91,34 +103,83 @@ def in_scope(url, origins, include=(), exclude=()):
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """href of every anchor of a page, in order."""
-    return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"<a\s[^>]*href=\"([^\"]*)\""), 1)).alias("nth", "href"))
+    """href of every anchor of a page, in order; quoted either way or bare."""
+    anchor = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
+    found = F.transform(F.regexp_extract_all("html", F.lit(anchor), 1), lambda h: F.regexp_replace(h, r"^[\"']|[\"']$", ""))
+    return pages.select("page_id", F.posexplode(found).alias("nth", "href"))
+
+
+def page_identity(pages: DataFrame) -> DataFrame:
+    """page_id, the page's own canonical link (null if it has none), and its visible text without markup."""
+    link = F.regexp_extract("html", r"(?is)<link\b([^>]*\brel\s*=\s*[\"']?canonical\b[^>]*)>", 1)
+    href = F.regexp_extract(link, r"(?is)\bhref\s*=\s*[\"']?([^\s\"'>]+)", 1)
+    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<!--.*?-->|<(script|style|noscript|template|svg|head)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
+    return pages.select("page_id", F.nullif(href, F.lit("")).alias("canonical"), F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("visible"))
+
+
+@dataclass
+class Group:
+    """The agents of a robots.txt group, its rules (path, allowed) in order, and its delay."""
+
+    agents: list[str] = field(default_factory=list)
+    rules: list[tuple[str, bool]] = field(default_factory=list)
+    delay: float | None = None
+    closed: bool = False  # a rule or delay came, so that the next agent starts another group
+
+
+def _path_of(url: str) -> str:
+    """What rules are compared with: everything of a URL behind its host, encoded."""
+    parts = urlsplit(unquote(url))
+    return quote(urlunsplit(("", "", parts.path, parts.query, parts.fragment)))
+
+
+def robots_groups(text: str, blank_ends: bool) -> list[Group]:
+    """The groups of a robots.txt; ``blank_ends``: a blank line ends a group, else only a User-agent line does."""
+    groups, now = [], Group()
+    for line in [*text.splitlines(), None]:
+        if line is None or (line == "" and blank_ends):
+            groups += [now] if now.closed else []
+            now = Group()
+            continue
+        key, _, value = (x.strip() for x in line.partition("#")[0].partition(":"))
+        key, value = key.lower(), unquote(value)
+        if key == "user-agent":
+            if now.closed:
+                groups.append(now)
+                now = Group()
+            now.agents.append(value.lower())
+        elif now.agents and key in ("allow", "disallow", "crawl-delay"):
+            now.closed = True
+            if key == "crawl-delay":
+                now.delay = float(value) if value.isdigit() else now.delay
+            else:
+                # An empty Disallow allows everything.
+                now.rules.append((_path_of(value), key == "allow" or not value))
+    return groups
 
 
 class Robots:
-    """robots.txt read twice, as the standard parser does and with groups that only a User-agent line ends; both must allow."""
-
-    def __init__(self, url: str, text: str):
-        lines = text.splitlines()
-        solid = [x for x in lines if x.partition("#")[0].strip()]
-        self.readings = []
-        for part in (lines, solid):
-            parser = RobotFileParser(url)
-            parser.parse(part)
-            self.readings.append(parser)
-        self.before = 0.0
-        for x in solid:
-            key, _, value = (y.strip() for y in x.partition("#")[0].partition(":"))
-            if key.lower() == "user-agent":
-                break
-            if key.lower() == "crawl-delay" and value.isdigit():
-                self.before = max(self.before, float(value))
+    """robots.txt read twice, with groups that a blank line ends and with groups that only a User-agent line ends; both must allow."""
+
+    def __init__(self, text: str):
+        self.readings = [robots_groups(text, blank_ends) for blank_ends in (True, False)]
+        head = text.lower().partition("user-agent")[0]
+        fields = [[x.strip() for x in line.partition("#")[0].partition(":")] for line in head.splitlines()]
+        self.before = max((float(value) for key, _, value in fields if key == "crawl-delay" and value.isdigit()), default=0.0)
+
+    def _group(self, groups: list[Group], agent: str) -> Group:
+        """The first group that names the agent, else the first for all."""
+        name = agent.split("/")[0].lower()
+        named = (g for g in groups if "*" not in g.agents and any(a in name for a in g.agents))
+        return next(named, None) or next((g for g in groups if "*" in g.agents), Group())
 
     def allows(self, agent: str, url: str) -> bool:
-        return all(p.can_fetch(agent, url) for p in self.readings)
+        path = _path_of(url) or "/"
+        firsts = (next((ok for rule, ok in self._group(g, agent).rules if rule == "*" or path.startswith(rule)), True) for g in self.readings)
+        return all(firsts)
 
     def delay(self, agent: str) -> float | None:
-        return max(self.before, *(float(p.crawl_delay(agent) or 0) for p in self.readings)) or None
+        return max(self.before, *(self._group(g, agent).delay or 0.0 for g in self.readings)) or None
 
 
 def robots_allow(pages: DataFrame, agent: str = "*") -> DataFrame:
@@ -130,7 +191,7 @@ def robots_allow(pages: DataFrame, agent: str = "*") -> DataFrame:
         rows = []
         for u, text in zip(url, robots.fillna(""), strict=True):
             if text not in rules:
-                rules[text] = Robots(u or "", text)
+                rules[text] = Robots(text)
             rows.append((rules[text].allows(agent, u or ""), rules[text].delay(agent)))
         return pd.DataFrame(rows, columns=["allowed", "delay"])
 
@@ -172,6 +233,10 @@ def q_links(spark, sf):
     return links(table(spark, sf, "pages"))
 
 
+def q_identity(spark, sf):
+    return page_identity(table(spark, sf, "pages")).select("page_id", "canonical", F.sha2("visible", 256).alias("visible_sha256"))
+
+
 def q_sections(spark, sf):
     """Distinct URLs of each host by first path segment, seen on secure and on plain pages: a full outer join."""
     url = strip_tracking(F.regexp_replace("url", "#.*$", ""))
@@ -208,6 +273,11 @@ QUERIES = {
         AND regexp_matches(url, '^https?://[^/?#]+/(en|fr)/') AND NOT regexp_matches(url, '^https?://[^/?#]+/en/9')""",
     ),
     "page_links": (q_links, """SELECT page_id, generate_subscripts(l, 1) - 1 AS nth, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS l FROM pages)"""),
+    "page_identity": (
+        q_identity,
+        r"""WITH v AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '<head.*?</head>|<script.*?</script>|<style.*?</style>', ' ', 'gs'), '<[^>]*>', ' ', 'gs'), '\s+', ' ', 'g') AS v FROM pages)
+        SELECT page_id, CAST(NULL AS VARCHAR) AS canonical, sha256(trim(v)) AS visible_sha256 FROM v""",
+    ),
     "url_sections": (
         q_sections,
         f"""WITH p AS (SELECT regexp_extract(url, '^(https?)', 1) AS scheme, regexp_extract(url, '://([^/?#]+)', 1) AS host, regexp_extract(url, '://[^/?#]+/([^/?#]*)', 1) AS section, regexp_replace(u, '#.*$', '') AS u FROM {_TRACK})

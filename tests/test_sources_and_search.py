@@ -1,3 +1,6 @@
+import random
+from urllib.robotparser import RobotFileParser
+
 from lexiloom.functions import citations, in_scope, parse_order, safe_cell, strip_tracking
 from lexiloom.operators import retrieval as R
 from lexiloom.plans import StageCache, identity, run_steps
@@ -5,15 +8,22 @@ from lexiloom.sources import delimited, markup, urls
 from pyspark.sql import functions as F
 
 
-def test_canonical_urls():
+def test_canonical_urls(spark):
     ok = {
         "HTTP://Example.COM:80/a/../b/./c%20d/?q=1#f": "http://example.com/b/c%20d/?q=1",
         "https://bücher.example": "https://xn--bcher-kva.example/",
         "https://e.example:8443//x": "https://e.example:8443//x",
+        "https://e.example:0443/": "https://e.example/",
+        "https://e.example./a+b/é%zz~%7E%2f?": "https://e.example/a+b/%C3%A9%zz~~/",
+        "http://[2001:DB8::1]:8080/x": "http://[2001:db8::1]:8080/x",
+        "http://e.example/../../x/..": "http://e.example/",
+        " http://e.example/a b/%41;p=1": "http://e.example/a%20b/A;p=1",
     }
-    assert {u: urls._normal(u)[0] for u in ok} == ok
-    bad = {"ftp://x": "unsafe_scheme", "https://u:p@x.example/": "url_credentials", "https:///x": "invalid_url", "https://x:99999/": "invalid_url", None: "unsafe_scheme"}
-    assert {u: urls._normal(u)[1] for u in bad} == bad
+    bad = {"ftp://x": "unsafe_scheme", "https://u:p@x.example/": "url_credentials", "https:///x": "invalid_url", "https://x:99999/": "invalid_url",
+           "http://x:8a/": "invalid_url", "": "unsafe_scheme", None: "unsafe_scheme", f"http://{'a' * 64}.example/": "invalid_hostname"}
+    rows = spark.createDataFrame([(u,) for u in [*ok, *bad]], "u string").select("u", urls.canonical_url("u").alias("c")).collect()
+    assert {r.u: r.c.url for r in rows if r.u in ok} == ok
+    assert {r.u: r.c.violation for r in rows if r.u in bad} == bad
 
 
 def test_tracking_scope_and_cells(spark):
@@ -24,10 +34,31 @@ def test_tracking_scope_and_cells(spark):
 
 
 def test_robots_take_the_stricter_reading():
-    rules = urls.Robots("https://x.example/robots.txt", "Crawl-delay: 7\nUser-agent: *\n\nDisallow: /private\nCrawl-delay: 2\n")
+    rules = urls.Robots("Crawl-delay: 7\nUser-agent: *\n\nDisallow: /private\nCrawl-delay: 2\n")
     assert not rules.allows("bot", "https://x.example/private/1") and rules.allows("bot", "https://x.example/open") and rules.delay("bot") == 7.0
 
 
+def test_robots_groups_and_rules_match_the_standard_reading():
+    rng = random.Random(1)
+    lines = ["User-agent: *", "User-agent: bot", "user-agent: Other # x", "Disallow: /a", "Allow: /a/b", "Disallow:", "Disallow: /c%20d", "Crawl-delay: 3", "Crawl-delay: x", "", "# note", "Disallow: *", "junk"]
+    for _ in range(500):
+        text = "\n".join(rng.choices(lines, k=rng.randrange(9)))
+        standard = RobotFileParser("https://x.example/robots.txt")
+        standard.parse(text.splitlines())
+        rules = urls.Robots(text)
+        rules.readings = rules.readings[:1]
+        for agent in ("bot/1.0", "other", "else"):
+            for path in ("/", "/a", "/a/b/c", "/c d", "/c%20d/x?q=1", ""):
+                assert rules.allows(agent, f"https://x.example{path}") == standard.can_fetch(agent, f"https://x.example{path}"), (text, agent, path)
+
+
+def test_links_and_page_identity(spark):
+    page = """<head><link rel="canonical" href="https://x/1"><title>t</title></head><a class=b href='/one'>One</a> <A HREF="/two">Two</A><a href=/three>3</a><script>no</script><!-- no -->"""
+    df = spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")
+    assert [r.href for r in urls.links(df).orderBy("nth").collect()] == ["/one", "/two", "/three"]
+    assert sorted((r.page_id, r.canonical, r.visible) for r in urls.page_identity(df).collect()) == [(1, "https://x/1", "One Two 3"), (2, None, None)]
+
+
 def test_sitemap_refuses_types(spark):
     df = spark.createDataFrame([("a", "<urlset><url><loc> https://x/1 </loc><lastmod>2026-01-02</lastmod></url></urlset>"), ("b", "<!DOCTYPE x><urlset><url><loc>u</loc></url></urlset>")], "site string, xml string")
     rows = urls.sitemap(df).collect()
@@ -115,3 +146,28 @@ def test_stage_cache(spark, tmp_path):
     key = identity("s", "1", {"b": 1, "a": 2}, "in")
     assert key == identity("s", "1", {"a": 2, "b": 1}, "in") != identity("s", "2", {"a": 2, "b": 1}, "in")
     assert cache.get(key, build).count() == cache.get(key, build).count() == 1 and len(calls) == 1
+
+
+def test_whole_tables_without_citations_and_references():
+    page = """<h1>T</h1><p>One<sup class="reference">[1]</sup> two <a class="reference internal">kept</a>.</p><div class="reflist"><ol><li>cite</ol></div>
+    <table><tr><th>A|x<th>B</tr><tr><td>1<td>in <table><tr><td>nested</table> cell</tr><tr><td></td></tr><tr><td>2<br>3</table>after
+    <h2>Notes </h2><p>gone</p><table><tr><td>gone</table><h3>deeper</h3><p>gone too</p><h2>Next</h2><p>back"""
+    got = [(b[0], b[1], b[2]) for b in markup.scan_html(page, "tables")]
+    assert got == [
+        ("heading", "T", ()), ("paragraph", "One two kept .", ("T",)), ("table", "| A\\|x | B |\n| --- | --- |\n| 1 | in nested cell |\n| 2 3 |  |", ("T",)),
+        ("paragraph", "after", ("T",)), ("heading", "Next", ("T",)), ("paragraph", "back", ("T", "Next")),
+    ]
+
+
+def test_html_tables_become_grids(spark):
+    pages = spark.createDataFrame([(7, "<table><tr><td>a<td>b</tr><tr><td>1</table><table><tr><td>z</table>"), (8, None)], "page_id long, html string")
+    rows = sorted((r.doc_id, r.table, r.row, list(r.cells)) for r in markup.html_tables(pages).collect())
+    assert rows == [(7, 0, 0, ["a", "b"]), (7, 0, 1, ["1"]), (7, 1, 0, ["z"])]
+    grid = delimited.bounded_grid(markup.html_tables(pages).where("table = 0"))
+    assert delimited.render(grid).first().markdown == "| a | b |\n| --- | --- |\n| 1 |  |"
+
+
+def test_roles_and_selectors_come_from_the_element():
+    page = '<main id="m"><div role="note" class="a b"><p>x <b class="c">y</b></p></div></main><aside>z</aside></p></div>tail'
+    got = {b[1]: b[3:] for b in markup.scan_html(page, "structured")}
+    assert got["x y"] == (True, "note", ["#m", ".a", ".b", "div", "main", "p"]) and got["z"][1] == "complementary" and got["tail"] == (False, None, [])
