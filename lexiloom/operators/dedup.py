@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,27 +40,38 @@ def similarity(a, b):
     return F.round(1 - F.bit_count(a.bitwiseXOR(b)) / 64, 6)
 
 
+#: Distinct hashes that one key may hold on average.
+BUCKET = 64
+
+
 def near_pairs(hashes: DataFrame, threshold: float = 0.92) -> DataFrame:
-    """(a, b, similarity) of all pairs at or above the threshold.
+    """(simhash, other, similarity) of all pairs of distinct hashes at or above the threshold.
 
-    At most h bits differ, so of h + 1 bands one is equal: candidates come from an equi-join of
-    bands. Documents with one and the same hash are one row until the last step, so copies do not
-    multiply the candidates.
+    At most h bits differ, so of h + r blocks of bits r or more are equal: candidates come from an
+    equi-join on every choice of r blocks. r follows the number of hashes, so that a key holds few of
+    them; the result is the same for every r. A pair comes up once, at its first r equal blocks.
+    Documents of one hash are one row; ``simhash64`` tells which they are.
     """
     h = max(d for d in range(65) if round(1 - d / 64, 6) >= threshold)
-    width, left = divmod(64, h + 1)
-    bands, at = [], 0
-    for k in range(h + 1):
-        size = width + (k < left)
-        bands.append(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("simhash", at).bitwiseAND(F.lit((1 << size) - 1)).alias("key")))
+    distinct = materialize(hashes.select("simhash").distinct(), "hashes")
+    count = distinct.count()
+    r = next((r for r in range(1, 5) if count >> (64 * r // (h + r)) <= BUCKET), 4)
+    blocks, at = [], 0
+    for k in range(h + r):
+        size = 64 // (h + r) + (k < 64 % (h + r))
+        blocks.append(((1 << size) - 1) << at)
         at += size
-    distinct = hashes.groupBy("simhash").agg(F.min("doc_id").alias("id"))
-    keyed = distinct.select("simhash", F.explode(F.array(*bands)).alias("k")).select("simhash", "k.band", "k.key")
-    left_side, right = keyed.alias("l"), keyed.withColumnRenamed("simhash", "other").alias("r")
-    pairs = left_side.join(right, ["band", "key"]).where(
-        (F.col("simhash") < F.col("other")) & (F.bit_count(F.col("simhash").bitwiseXOR(F.col("other"))) <= h)
-    ).select("simhash", "other").distinct()
-    return pairs.withColumn("similarity", similarity(F.col("simhash"), F.col("other")))
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    choices = [F.struct(F.lit(sum(1 << k for k in c)).alias("choice"), F.lit(signed(sum(blocks[k] for k in c))).alias("mask")) for c in combinations(range(h + r), r)]
+    keyed = distinct.withColumn("c", F.explode(F.array(*choices))).select("simhash", "c.choice", F.col("simhash").bitwiseAND(F.col("c.mask")).alias("key"))
+    pairs = keyed.join(keyed.withColumnRenamed("simhash", "other"), ["choice", "key"]).where("simhash < other").withColumn("x", F.col("simhash").bitwiseXOR(F.col("other")))
+    equal = reduce(lambda a, b: a + b, [F.when(F.col("x").bitwiseAND(F.lit(signed(mask))) == 0, 1 << k).otherwise(0) for k, mask in enumerate(blocks)])
+    # The r lowest bits of the equal blocks.
+    first, rest = F.lit(0), equal
+    for _ in range(r):
+        first, rest = first + rest.bitwiseAND(-rest), rest.bitwiseAND(rest - 1)
+    pairs = pairs.where(F.bit_count("x") <= h).where(F.col("choice") == first)
+    return pairs.select("simhash", "other", similarity(F.col("simhash"), F.col("other")).alias("similarity"))
 
 
 KEYS = {"raw_hash": "exact_raw_sha256", "cleaned_hash": "exact_cleaned_sha256", "normalized_hash": "normalized_sections_sha256"}
@@ -225,7 +239,7 @@ def q_distinct_items(spark, sf):
 
 
 _NORM = r"sha256(array_to_string(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+'), ' '))"
-_SIMHASH = r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+')[1:100000]) AS token FROM documents),
+_SIMHASH = r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+')) AS token FROM documents),
   h AS (SELECT doc_id, CAST(('0x' || left(sha256(token), 16)) AS UBIGINT) AS h, count(*) AS n FROM t GROUP BY 1, 2),
   b AS (SELECT doc_id, b, sum(CASE WHEN ((h >> b) & 1) = 1 THEN n ELSE -n END) AS w FROM h, (SELECT unnest(range(64))::UBIGINT AS b) GROUP BY 1, 2),
   s AS (SELECT doc_id, bit_or(CASE WHEN w >= 0 THEN (1::UBIGINT << b) ELSE 0::UBIGINT END) AS u FROM b GROUP BY 1),

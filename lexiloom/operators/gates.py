@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,14 +140,16 @@ def q_measure(spark, sf):
     return measure(document_blocks(spark, sf))
 
 
+def _worn(spark, sf):
+    """The documents' lines with short ones empty and two letters damaged, so that every finding occurs; two lines a page."""
+    worn = F.replace(F.replace("text", F.lit("ß"), F.lit("\ufffd")), F.lit("ç"), F.lit("\a"))
+    return measure(document_blocks(spark, sf).withColumn("text", F.when(F.length("text") < 60, "").otherwise(worn)), page_lines=2)
+
+
 def q_evaluate(spark, sf):
-    out = None
-    for policy in POLICIES:
-        # A stricter share of repeated lines stands in for empty pages, which these documents lack.
-        part = evaluate(measure(document_blocks(spark, sf)).withColumn("empty_page_count", F.when(F.col("repeated_line_ratio") > 0.5, 1).otherwise(0)), policy)
-        part = part.select("doc_id", F.lit(policy).alias("policy"), F.array_join("findings", ",").alias("findings"), "decision")
-        out = part if out is None else out.unionByName(part)
-    return out
+    measured = _worn(spark, sf)
+    parts = [evaluate(measured, p).select("doc_id", F.lit(p).alias("policy"), F.array_join("findings", ",").alias("findings"), "decision") for p in POLICIES]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def q_publishable(spark, sf):
@@ -177,12 +181,15 @@ def q_language_policy(spark, sf):
     return language_policy(language_vote(table(spark, sf, "documents"))).select("doc_id", "language", "findings", "decision")
 
 
-_MEASURE = f"""(SELECT p.doc_id, character_count, block_count, page_count, empty_block_count, empty_page_count, 0.0::DOUBLE AS replacement_character_ratio,
-  0.0::DOUBLE AS control_character_ratio, coalesce(round(repeated / lines, 6), 0.0) AS repeated_line_ratio
-  FROM (SELECT doc_id, CAST(sum(c) AS BIGINT) AS character_count, CAST(sum(b) AS BIGINT) AS block_count, count(*) AS page_count, CAST(sum(e) AS BIGINT) AS empty_block_count, count(*) FILTER (c = 0) AS empty_page_count
-        FROM (SELECT doc_id, ordinal // 10 AS page, sum(length(text)) AS c, count(*) AS b, count(*) FILTER (trim(text) = '') AS e FROM {SQL_BLOCKS} GROUP BY 1, 2) GROUP BY 1) p
-  LEFT JOIN (SELECT doc_id, sum(n) AS lines, sum(n - 1) AS repeated FROM (SELECT doc_id, trim(text) AS line, count(*) AS n FROM {SQL_BLOCKS} WHERE trim(text) <> '' GROUP BY 1, 2) GROUP BY 1) r USING (doc_id))"""
-_WORDS = r"list_transform(regexp_extract_all(left(text, 50000), '[\p{L}]+'), lambda w: replace(lower(w), 'ß', 'ss'))"
+_MEASURES = """(SELECT p.doc_id, character_count, block_count, page_count, empty_block_count, empty_page_count, coalesce(round(bad / nullif(character_count, 0), 6), 0.0) AS replacement_character_ratio,
+  coalesce(round(controls / nullif(character_count, 0), 6), 0.0) AS control_character_ratio, coalesce(round(repeated / lines, 6), 0.0) AS repeated_line_ratio
+  FROM (SELECT doc_id, CAST(sum(c) AS BIGINT) AS character_count, CAST(sum(b) AS BIGINT) AS block_count, count(*) AS page_count, CAST(sum(e) AS BIGINT) AS empty_block_count, count(*) FILTER (c = 0) AS empty_page_count, sum(bad) AS bad, sum(controls) AS controls
+        FROM (SELECT doc_id, ordinal // {lines} AS page, sum(length(text)) AS c, count(*) AS b, count(*) FILTER (trim(text) = '') AS e, sum(length(text) - length(replace(text, chr(65533), ''))) AS bad,
+              sum(length(text) - length(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{{9f}}]', '', 'g'))) AS controls FROM {blocks} GROUP BY 1, 2) GROUP BY 1) p
+  LEFT JOIN (SELECT doc_id, sum(n) AS lines, sum(n - 1) AS repeated FROM (SELECT doc_id, trim(text) AS line, count(*) AS n FROM {blocks} WHERE trim(text) <> '' GROUP BY 1, 2) GROUP BY 1) r USING (doc_id))"""
+_MEASURE = _MEASURES.format(lines=10, blocks=SQL_BLOCKS)
+_WORN = _MEASURES.format(lines=2, blocks=f"(SELECT doc_id, ordinal, CASE WHEN length(text) < 60 THEN '' ELSE replace(replace(text, 'ß', chr(65533)), 'ç', chr(7)) END AS text FROM {SQL_BLOCKS})")
+_WORDS = r"list_transform(regexp_extract_all(text, '[\p{L}]+'), lambda w: replace(lower(w), 'ß', 'ss'))"
 _SCORES = ", ".join(f"{{'score': len(list_filter(w, lambda x: x IN {m})), 'code': '{c}'}}" for c, m in MARKERS.items())
 _VOTE = f"""(SELECT doc_id, lang, CASE WHEN b.score = 0 THEN 'und' ELSE b.code END AS language,
   CASE WHEN b.score = 0 THEN 0.4::DOUBLE ELSE round(least(1.0::DOUBLE, 0.55::DOUBLE + b.score / greatest(10, len(w))), 4) END AS confidence
@@ -192,22 +199,25 @@ QUERIES = {
     "document_measurements": (q_measure, f"SELECT * FROM {_MEASURE}"),
     "quality_gate_decisions": (
         q_evaluate,
-        f"""WITH m AS (SELECT doc_id, CASE WHEN repeated_line_ratio > 0.5 THEN 1 ELSE 0 END AS e, page_count FROM {_MEASURE}),
-        p AS (SELECT unnest(['default-v1', 'strict-v1', 'warn-v1']) AS policy, unnest([0.2, 0.0, 0.2]) AS empty, unnest(['fail', 'fail', 'exclude']) AS failed)
-        SELECT doc_id, policy, CASE WHEN e = 0 THEN '' WHEN policy <> 'warn-v1' AND e / page_count > empty THEN 'error:empty_pages' ELSE 'warning:empty_pages' END AS findings,
-        CASE WHEN e = 0 THEN 'pass' WHEN policy = 'warn-v1' OR e / page_count <= empty THEN 'warn' WHEN e / page_count >= 0.75 THEN 'exclude' ELSE failed END AS decision FROM m, p""",
+        f"""WITH p AS (SELECT * FROM (VALUES ('default-v1', 0.2, 0.01, 0.001, 'fail'), ('strict-v1', 0.0, 0.001, 0.0, 'fail'), ('warn-v1', 0.2, 0.01, 0.001, 'exclude')) v(policy, empty, bad, ctl, failed)),
+        f AS (SELECT doc_id, policy, failed, block_count, empty_page_count / greatest(page_count, 1) AS e, concat_ws(',', CASE WHEN character_count = 0 THEN 'error:no_extractable_text' END,
+          CASE WHEN empty_page_count > 0 AND policy <> 'warn-v1' AND empty_page_count / page_count > empty THEN 'error:empty_pages' WHEN empty_page_count > 0 THEN 'warning:empty_pages' END,
+          CASE WHEN replacement_character_ratio > bad THEN CASE WHEN policy = 'warn-v1' THEN 'warning' ELSE 'error' END || ':replacement_character_ratio_high' WHEN replacement_character_ratio > 0.001 THEN 'warning:replacement_characters_present' END,
+          CASE WHEN control_character_ratio > ctl THEN CASE WHEN policy = 'warn-v1' THEN 'warning' ELSE 'error' END || ':control_character_ratio_high' END) AS findings FROM {_WORN}, p)
+        SELECT doc_id, policy, findings, CASE WHEN contains(findings, 'error:') THEN CASE WHEN e >= 0.75 OR block_count = 0 THEN 'exclude' ELSE failed END WHEN findings <> '' THEN 'warn' ELSE 'pass' END AS decision FROM f""",
     ),
+    "worn_measurements": (lambda spark, sf: _worn(spark, sf), f"SELECT * FROM {_WORN}"),
     "publishable_documents": (q_publishable, f"SELECT doc_id, CASE WHEN empty_page_count > 0 THEN 'warn' ELSE 'pass' END AS decision FROM {_MEASURE} WHERE character_count > 0 AND empty_page_count / page_count <= 0.2"),
     "client_rendered_pages": (q_client_rendered, None),
     "language_vote": (q_language_vote, f"SELECT doc_id, language, confidence FROM {_VOTE}"),
     "language_confusion_matrix": (q_confusion, f"SELECT lang, language, count(*) AS n FROM {_VOTE} GROUP BY 1, 2"),
     "script_histogram": (
         q_scripts,
-        r"""WITH c AS (SELECT doc_id, length(regexp_replace(left(text, 50000), '[^\p{L}]', '', 'g')) AS letters, [
-          {'n': length(regexp_replace(left(text, 50000), '[^\p{Cyrillic}]', '', 'g')), 's': 'ru'}, {'n': length(regexp_replace(left(text, 50000), '[^\p{Arabic}]', '', 'g')), 's': 'ar'},
-          {'n': length(regexp_replace(left(text, 50000), '[^\p{Devanagari}]', '', 'g')), 's': 'hi'}, {'n': length(regexp_replace(left(text, 50000), '[^\p{Hiragana}\p{Katakana}]', '', 'g')), 's': 'ja'},
-          {'n': length(regexp_replace(left(text, 50000), '[^\p{Hangul}]', '', 'g')), 's': 'ko'}, {'n': length(regexp_replace(left(text, 50000), '[^\p{Han}]', '', 'g')), 's': 'zh'},
-          {'n': length(regexp_replace(left(text, 50000), '[^\p{Latin}]', '', 'g')), 's': 'latin'}] AS parts FROM documents)
+        r"""WITH c AS (SELECT doc_id, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters, [
+          {'n': length(regexp_replace(text, '[^\p{Cyrillic}]', '', 'g')), 's': 'ru'}, {'n': length(regexp_replace(text, '[^\p{Arabic}]', '', 'g')), 's': 'ar'},
+          {'n': length(regexp_replace(text, '[^\p{Devanagari}]', '', 'g')), 's': 'hi'}, {'n': length(regexp_replace(text, '[^\p{Hiragana}\p{Katakana}]', '', 'g')), 's': 'ja'},
+          {'n': length(regexp_replace(text, '[^\p{Hangul}]', '', 'g')), 's': 'ko'}, {'n': length(regexp_replace(text, '[^\p{Han}]', '', 'g')), 's': 'zh'},
+          {'n': length(regexp_replace(text, '[^\p{Latin}]', '', 'g')), 's': 'latin'}] AS parts FROM documents)
         SELECT doc_id, letters, CASE WHEN letters = 0 THEN 'und' ELSE list_max(parts).s END AS script, coalesce(round(list_max(parts).n / nullif(letters, 0), 4), 0.0) AS share,
         len(list_filter(parts, lambda p: p.n >= 0.2 * greatest(letters, 1))) > 1 AS mixed FROM c""",
     ),
