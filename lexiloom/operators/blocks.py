@@ -47,6 +47,12 @@ def fingerprint(text) -> Column:
     return F.replace(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))), F.lit("ß"), F.lit("ss"))
 
 
+def fingerprint_v2(text) -> Column:
+    """The same after NFKC and without control and format characters, so that a soft hyphen does not hide a repeat."""
+    nfkc = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
+    return fingerprint(F.regexp_replace(nfkc, CONTROLS, ""))
+
+
 _SQL_FINGERPRINT = "replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss')"
 
 
@@ -118,9 +124,9 @@ def remove_literals(blocks: DataFrame, literals=LITERALS) -> DataFrame:
     return blocks.withColumn("removed", count.cast("long")).withColumn("text", text)
 
 
-def repeated_fingerprints(blocks: DataFrame, site: str, page: str, ratio: float = 0.6, minimum_pages: int = 3, longest: int = 500) -> DataFrame:
+def repeated_fingerprints(blocks: DataFrame, site: str, page: str, ratio: float = 0.6, minimum_pages: int = 3, longest: int = 500, of=fingerprint) -> DataFrame:
     """(site, fp, pages) of fingerprints on at least ``ratio`` of a site's pages."""
-    short = blocks.withColumn("fp", fingerprint("text")).where((F.col("fp") != "") & (F.length("fp") <= longest))
+    short = blocks.withColumn("fp", of(F.col("text"))).where((F.col("fp") != "") & (F.length("fp") <= longest))
     seen = short.groupBy(site, "fp").agg(F.countDistinct(page).alias("pages"))
     total = blocks.groupBy(F.col(site).alias("s")).agg(F.countDistinct(page).alias("total")).where(F.col("total") >= minimum_pages)
     return seen.join(total, F.col(site) == F.col("s")).where(F.col("pages") / F.col("total") >= ratio).select(site, "fp", "pages", "total")
@@ -142,9 +148,9 @@ def remove_margins(blocks: DataFrame, site: str, page: str, ratio: float = 0.6,
 
 
 def chrome_owners(blocks: DataFrame, site: str, page: str, **limits) -> DataFrame:
-    """The first page that shows each repeated fingerprint of a site keeps its copy."""
-    keyed = blocks.withColumn("b_fp", fingerprint("text")).withColumnRenamed(site, "b_site")
-    repeated = repeated_fingerprints(blocks, site, page, **limits)
+    """The first page that shows each repeated fingerprint (its second version) of a site keeps its copy."""
+    keyed = blocks.withColumn("b_fp", fingerprint_v2(F.col("text"))).withColumnRenamed(site, "b_site")
+    repeated = repeated_fingerprints(blocks, site, page, of=fingerprint_v2, **limits)
     return (
         keyed.join(repeated, (F.col("b_site") == F.col(site)) & (F.col("b_fp") == F.col("fp")))
         .groupBy(site, F.sha2("fp", 256).alias("fingerprint"))
@@ -342,7 +348,7 @@ def q_canonical(spark, sf):
     blocks = document_blocks(spark, sf)
     before = Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("long")
-    identity = F.concat_ws("|", F.col("doc_id").cast("string"), F.col("ordinal").cast("string"), "type", "text")
+    identity = F.to_json(F.struct("doc_id", "ordinal", "text", "type"))
     return blocks.select(
         F.substring(F.sha2(identity, 256), 1, 32).alias("block_id"), "doc_id", "ordinal",
         start.alias("start_char"), (start + F.length("text")).cast("long").alias("end_char"),
@@ -350,6 +356,7 @@ def q_canonical(spark, sf):
 
 
 _D = "sha256(text) AS text_sha256"
+_SQL_WHOLE = "(SELECT doc_id, regexp_replace(text, '(\\p{Ll}) (\\p{Ll})', '\\1-' || chr(10) || '\\2', 'g') AS text FROM documents)"
 _EMPTY = f"(length(regexp_replace(text, '\\s+', '', 'g')) >= 4 OR type IN {_SQL_PROTECTED})"
 _DEDUPED = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sha256(text) ORDER BY ordinal) AS nth FROM {{}})
   WHERE nth = 1 OR type IN {_SQL_PROTECTED})"""
@@ -374,13 +381,21 @@ QUERIES = {
         """WITH c AS (SELECT doc_id, text, regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}\\x{AD}\\x{600}-\\x{605}\\x{61C}\\x{6DD}\\x{70F}\\x{180E}\\x{200B}\\x{200E}\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{206F}\\x{FEFF}]', '', 'g') AS t FROM documents)
            SELECT doc_id, length(text) - length(t) AS removed, sha256(t) AS text_sha256 FROM c""",
     ),
-    "reflow_lines": (q_reflow, None),
+    "reflow_lines": (
+        q_reflow,  # the second pass takes breaks whose character before the first pass had taken
+        f"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '([^\\s-])\\n(\\S)', '\\1 \\2', 'g'), '([^\\s-])\\n(\\S)', '\\1 \\2', 'g')) AS text_sha256 FROM {_SQL_WHOLE}""",
+    ),
     "dehyphenate_conservative": (
         q_dehyphenate,
         """WITH w AS (SELECT doc_id, regexp_replace(text, '(\\p{Ll}) (\\p{Ll})', '\\1-' || chr(10) || '\\2', 'g') AS text FROM documents)
         SELECT doc_id, sha256(regexp_replace(text, '(\\p{Ll})-\\s*\\n\\s*(\\p{Ll})', '\\1\\2', 'g')) AS text_sha256 FROM w""",
     ),
-    "dehyphenate_compounds": (q_compounds, None),
+    "dehyphenate_compounds": (
+        q_compounds,
+        f"""WITH w AS (SELECT doc_id, text, [lower(x) FOR x IN regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+(?:-[\\p{{L}}\\p{{N}}_]+)*-?') IF regexp_full_match(x, '[\\p{{L}}]+-[\\p{{L}}]+')] AS known,
+          string_split(regexp_replace(text, '([\\p{{L}}]+)-\\s*\\n\\s*([\\p{{L}}]+)', chr(1) || '\\1-\\2' || chr(1), 'g'), chr(1)) AS parts FROM {_SQL_WHOLE})
+        SELECT doc_id, sha256(array_to_string(list_transform(parts, lambda x, i: CASE WHEN i % 2 = 1 THEN x WHEN list_contains(known, lower(x)) THEN x WHEN regexp_matches(x, '\\p{{Ll}}-\\p{{Ll}}') THEN replace(x, '-', '') ELSE replace(x, '-', '-' || chr(10)) END), '')) AS text_sha256 FROM w""",
+    ),
     "literal_boilerplate_removed": (q_literals, f"SELECT doc_id, {_COUNT} AS removed, length({_LITERAL}) AS n_chars_left FROM documents"),
     "repeated_source_lines": (q_repeated_source_lines, f"SELECT source, sha256(fp) AS fingerprint, pages, total FROM {_REPEATED}"),
     "chrome_owner_page": (
@@ -435,6 +450,6 @@ QUERIES = {
     "canonical_block_ids": (
         q_canonical,
         f"""WITH b AS (SELECT *, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM {SQL_BLOCKS})
-        SELECT left(sha256(concat_ws('|', doc_id, ordinal, type, text)), 32) AS block_id, doc_id, ordinal, s AS start_char, s + length(text) AS end_char FROM b""",
+        SELECT left(sha256(to_json({{'doc_id': doc_id, 'ordinal': ordinal, 'text': text, 'type': type}})::VARCHAR), 32) AS block_id, doc_id, ordinal, s AS start_char, s + length(text) AS end_char FROM b""",
     ),
 }

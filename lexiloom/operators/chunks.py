@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexiloom.operators.blocks import SQL_BLOCKS, document_blocks
 from lexiloom.operators.packing import Budget, Group, Piece, pack_sections, pieces_of, size_of
 from lexiloom.session import table
+from lexiloom.sources.delimited import SQL_GROUPS, SQL_TABLE_LINES
 
 EMBED_LIMIT = 8191
 PREFIX_LIMIT = 300
@@ -123,19 +124,49 @@ def parent_child_chunks(blocks: DataFrame, child=(240, 320, 40), parent=(900, 12
     return sections(blocks).select(*_BLOCK_COLUMNS).groupBy("doc_id").applyInPandas(_packed(Budget(*child), Budget(*parent)), _CHUNKS)
 
 
-def table_rows(docs: DataFrame) -> DataFrame:
-    """Data rows of each document's table with its header; (doc_id, row, cells, header)."""
+def row_passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, text, limited): one passage a table row, ``column: value`` of its filled cells.
+
+    A first row with text in its first cell only is a title; the header is then the next row that is
+    half filled, with two cells at least. A later row of that kind is a label; labels in a row are one,
+    and open every row up to the next. Labels that no row follows are a passage of their own.
+    """
     from lexiloom.sources.delimited import bounded_grid, tables_of
 
-    grid = bounded_grid(tables_of(docs))
-    header = grid.where("row = 0").select(F.col("doc_id").alias("h_id"), F.col("cells").alias("header"))
-    return grid.where("row > 0").join(header, F.col("doc_id") == F.col("h_id")).select("doc_id", "row", "cells", "header")
+    neat = F.transform("cells", lambda c: F.trim(F.regexp_replace(c, r"\s+", " ")))
+    grid = bounded_grid(tables_of(docs)).select("doc_id", "row", "limited", neat.alias("cells"))
+    filled = F.size(F.filter("cells", lambda c: c != ""))
+    grid = grid.withColumn("alone", (F.size("cells") > 1) & (F.element_at("cells", 1) != "") & (filled == 1)).withColumn("dense", (filled >= 2) & (filled * 2 >= F.size("cells")))
+    heads = grid.groupBy(F.col("doc_id").alias("h_id")).agg(
+        F.max("row").alias("last"), F.max(F.when(F.col("row") == 0, F.when(F.col("alone"), F.element_at("cells", 1)).otherwise(""))).alias("title"),
+        F.min(F.when((F.col("row") > 0) & F.col("dense"), F.col("row"))).alias("next"),
+    )
+    below = (F.col("title") != "") & (F.col("next") < F.col("last"))
+    heads = heads.select("h_id", "last", F.when(below, F.col("next")).otherwise(0).alias("head"), F.when(below, F.col("title")).otherwise("").alias("title"))
+    rows = grid.join(heads, F.col("doc_id") == F.col("h_id"))
+    names = rows.where("row = head").select(F.col("doc_id").alias("n_id"), F.col("cells").alias("names"))
+    order = Window.partitionBy("doc_id").orderBy("row")
+    opens = F.col("alone") & ~F.coalesce(F.lag("alone").over(order), F.lit(False))
+    body = rows.where("row > head").withColumn("run", F.sum(opens.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    labels = body.where("alone").groupBy(F.col("doc_id").alias("l_id"), F.col("run").alias("l_run")).agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("row", F.element_at("cells", 1).alias("label")))).getField("label"), " ").alias("label"),
+        F.max("row").alias("at"), F.max("last").alias("l_last"), F.max("title").alias("l_title"), F.bool_or("limited").alias("l_limited"),
+    )
+    pairs = F.filter(F.arrays_zip(F.col("names").alias("h"), F.col("cells").alias("c")), lambda z: z["c"] != "")
+    text = F.array_join(F.transform(pairs, lambda z: F.when(z["h"] != "", F.concat(z["h"], F.lit(": "), z["c"])).otherwise(z["c"])), "; ")
+    opened = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(c, F.lit(". "))).otherwise("")
+    plain = (
+        body.where("NOT alone").join(names, F.col("doc_id") == F.col("n_id")).withColumn("text", text).where("text <> ''")
+        .join(labels, (F.col("doc_id") == F.col("l_id")) & (F.col("run") == F.col("l_run")), "left")
+        .select("doc_id", "row", F.concat(opened(F.col("title")), opened(F.col("label")), "text").alias("text"), "limited")
+    )
+    return plain.unionByName(labels.where("at = l_last").select(F.col("l_id").alias("doc_id"), F.col("at").alias("row"), F.col("label").alias("text"), F.col("l_limited").alias("limited")))
 
 
-def row_passages(rows: DataFrame) -> DataFrame:
-    """One passage a table row: ``column: value`` for every cell that is not empty."""
-    pairs = F.filter(F.arrays_zip(F.col("header").alias("h"), F.col("cells").alias("c")), lambda z: F.trim(z["c"]) != "")
-    return rows.select("doc_id", "row", F.array_join(F.transform(pairs, lambda z: F.concat(F.trim(z["h"]), F.lit(": "), F.trim(z["c"]))), "; ").alias("text"))
+def table_and_row_passages(docs: DataFrame, budget: int = 800) -> DataFrame:
+    """(doc_id, kind, ordinal, text, limited): every table in pieces, and its rows on their own beside it."""
+    pieces = table_pieces(docs, budget).select("doc_id", F.lit("table").alias("kind"), F.col("piece").alias("ordinal"), "text", "limited")
+    return pieces.unionByName(row_passages(docs).select("doc_id", F.lit("row").alias("kind"), F.col("row").alias("ordinal"), "text", "limited"))
 
 
 def table_pieces(docs: DataFrame, budget: int = 800) -> DataFrame:
@@ -143,12 +174,12 @@ def table_pieces(docs: DataFrame, budget: int = 800) -> DataFrame:
     from lexiloom.sources.delimited import bounded_grid, markdown_line, row_groups, tables_of
 
     grid = bounded_grid(tables_of(docs))
-    groups = row_groups(grid, budget).select(F.col("doc_id").alias("g_id"), F.col("group").alias("piece"), "first_row", "last_row")
+    groups = row_groups(grid, budget).select(F.col("doc_id").alias("g_id"), F.col("group").alias("piece"), "first_row", "last_row", "limited")
     lines = grid.select("doc_id", "row", markdown_line("cells").alias("line"))
     body = lines.join(groups, (F.col("doc_id") == F.col("g_id")) & F.col("row").between(F.col("first_row"), F.col("last_row")))
-    body = body.groupBy("doc_id", "piece").agg(F.array_join(F.array_sort(F.collect_list(F.struct("row", "line"))).getField("line"), "\n").alias("body"))
+    body = body.groupBy("doc_id", "piece").agg(F.array_join(F.array_sort(F.collect_list(F.struct("row", "line"))).getField("line"), "\n").alias("body"), F.bool_or("limited").alias("limited"))
     header = lines.where("row = 0").select(F.col("doc_id").alias("h_id"), F.col("line").alias("header"))
-    return body.join(header, F.col("doc_id") == F.col("h_id")).select("doc_id", "piece", F.concat("header", F.lit("\n"), "body").alias("text"))
+    return body.join(header, F.col("doc_id") == F.col("h_id")).select("doc_id", "piece", F.concat("header", F.lit("\n"), "body").alias("text"), "limited")
 
 
 def embedding_batches(chunks: DataFrame, rows: int = 64, size: int = 192_000, shard: int = 1024) -> DataFrame:
@@ -259,12 +290,23 @@ def q_embedding_text(spark, sf):
     return docs.select("doc_id", F.sha2(embedding_text(F.col("path"), F.col("text")), 256).alias("text_sha256"))
 
 
+def _labelled_tables(spark, sf):
+    """Documents whose texts start with a table: words of their lines as cells, with a title, a header and label rows."""
+    line = lambda x, i: F.when(i % 5 == 0, F.concat(F.element_at(F.split(x, " "), 1), F.lit(" |  | "))).otherwise(F.array_join(F.slice(F.split(x, " "), 1, i % 3 + 2), " | "))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+
+
 def q_row_passages(spark, sf):
-    return row_passages(table_rows(table(spark, sf, "documents"))).select("doc_id", "row", F.sha2("text", 256).alias("text_sha256"))
+    return row_passages(_labelled_tables(spark, sf)).select("doc_id", "row", F.sha2("text", 256).alias("text_sha256"), "limited")
 
 
 def q_table_pieces(spark, sf):
-    return table_pieces(table(spark, sf, "documents")).select("doc_id", "piece", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("text_sha256"))
+    return table_pieces(table(spark, sf, "documents")).select("doc_id", "piece", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("text_sha256"), "limited")
+
+
+def q_table_and_rows(spark, sf):
+    found = table_and_row_passages(table(spark, sf, "documents"))
+    return found.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("passages"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
 
 
 def q_embedding_batches(spark, sf):
@@ -275,6 +317,20 @@ def q_embedding_batches(spark, sf):
 _WIN = """(SELECT doc_id, start_char, least(start_char + 500, n) AS end_char, start_char // 400 AS ordinal, substr(text, start_char + 1, 500) AS text
   FROM (SELECT doc_id, text, length(text) AS n, unnest(range(0, CAST(greatest(ceil((length(text) - 500) / 400), 0) * 400 AS BIGINT) + 1, 400)) AS start_char FROM documents WHERE trim(text) <> ''))"""
 _HEAD = f"""(SELECT *, last_value(CASE WHEN ordinal = 0 OR (length(text) < 40 AND ends_with(text, '.')) THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading, ordinal // 10 AS page FROM {SQL_BLOCKS})"""
+_PIECES = f"""(SELECT p.doc_id, g AS piece, h.line || chr(10) || string_agg(l.line, chr(10) ORDER BY l.row) AS text FROM ({SQL_GROUPS}) p JOIN {SQL_TABLE_LINES} l ON l.doc_id = p.doc_id AND l.row = p.row
+  JOIN {SQL_TABLE_LINES} h ON h.doc_id = p.doc_id AND h.row = 0 GROUP BY p.doc_id, g, h.line)"""
+_LABELLED = """(SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 5 = 0 THEN string_split(x, ' ')[1] || ' |  | ' ELSE array_to_string(string_split(x, ' ')[1:(i - 1) % 3 + 2], ' | ') END), chr(10)) AS text FROM documents)"""
+_ROW_PASSAGES = """(WITH l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS row, string_split(t, ' | ') AS c FROM (SELECT doc_id, unnest(range(len(l))) AS n, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {docs})) WHERE contains(t, ' | ')),
+  g AS (SELECT doc_id, row, list_transform(list_resize(c, max(len(c)) OVER (PARTITION BY doc_id), ''), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS c FROM l),
+  f AS (SELECT *, len(list_filter(c, lambda x: x <> '')) AS n FROM g), k AS (SELECT *, len(c) > 1 AND c[1] <> '' AND n = 1 AS alone, n >= 2 AND n * 2 >= len(c) AS dense FROM f),
+  h0 AS (SELECT doc_id, max(row) AS last, max(CASE WHEN row = 0 AND alone THEN c[1] ELSE '' END) AS title, min(row) FILTER (row > 0 AND dense) AS nxt FROM k GROUP BY 1),
+  h AS (SELECT doc_id, last, CASE WHEN title <> '' AND nxt < last THEN nxt ELSE 0 END AS head, CASE WHEN title <> '' AND nxt < last THEN title ELSE '' END AS title FROM h0),
+  o AS (SELECT k.*, last, head, title, CASE WHEN alone AND NOT coalesce(lag(alone) OVER (PARTITION BY k.doc_id ORDER BY row), false) THEN 1 ELSE 0 END AS opens FROM k JOIN h ON h.doc_id = k.doc_id WHERE row > head),
+  b AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY row) AS run FROM o),
+  t AS (SELECT doc_id, run, string_agg(c[1], ' ' ORDER BY row) AS label, max(row) AS ending, max(last) AS last FROM b WHERE alone GROUP BY 1, 2),
+  p AS (SELECT b.doc_id, b.row, b.run, b.title, array_to_string([CASE WHEN n.c[i] <> '' THEN n.c[i] || ': ' || b.c[i] ELSE b.c[i] END FOR i IN range(1, len(b.c) + 1) IF b.c[i] <> ''], '; ') AS text FROM b JOIN k n ON n.doc_id = b.doc_id AND n.row = b.head WHERE NOT b.alone)
+  SELECT p.doc_id, p.row, CASE WHEN title <> '' THEN title || '. ' ELSE '' END || CASE WHEN label <> '' THEN label || '. ' ELSE '' END || text AS text FROM p LEFT JOIN t ON t.doc_id = p.doc_id AND t.run = p.run WHERE text <> ''
+  UNION ALL SELECT doc_id, ending, label FROM t WHERE ending = last)"""
 
 QUERIES = {
     "character_windows": (q_windows, f"SELECT doc_id, ordinal, start_char, end_char, sha256(text) AS text_sha256 FROM {_WIN}"),
@@ -293,14 +349,12 @@ QUERIES = {
     "section_token_chunks": (q_section_chunks, None),
     "parent_child_chunks": (q_parent_child, None),
     "child_parent_lookup": (q_parent_text, None),
-    "table_row_passages": (
-        q_row_passages,
-        """WITH l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS row, string_split(t, ' | ') AS c FROM (SELECT doc_id, unnest(range(len(l))) AS n, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE contains(t, ' | ')),
-        g AS (SELECT doc_id, row, list_resize(c, max(len(c)) OVER (PARTITION BY doc_id), '') AS c FROM l),
-        p AS (SELECT g.doc_id, g.row, unnest(range(len(g.c))) AS i, unnest(h.c) AS k, unnest(g.c) AS v FROM g JOIN g h ON h.doc_id = g.doc_id AND h.row = 0 WHERE g.row > 0)
-        SELECT doc_id, row, sha256(coalesce(string_agg(trim(k) || ': ' || trim(v), '; ' ORDER BY i) FILTER (trim(v) <> ''), '')) AS text_sha256 FROM p GROUP BY 1, 2""",
+    "table_row_passages": (q_row_passages, f"SELECT doc_id, row, sha256(text) AS text_sha256, false AS limited FROM {_ROW_PASSAGES.format(docs=_LABELLED)}"),
+    "table_pieces": (q_table_pieces, f"SELECT doc_id, piece, strlen(text) AS bytes, sha256(text) AS text_sha256, false AS limited FROM {_PIECES}"),
+    "table_and_row_passages": (
+        q_table_and_rows,
+        f"""SELECT doc_id, kind, count(*) AS passages, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM (SELECT doc_id, 'table' AS kind, text FROM {_PIECES} UNION ALL SELECT doc_id, 'row', text FROM {_ROW_PASSAGES.format(docs='documents')}) GROUP BY 1, 2""",
     ),
-    "table_pieces": (q_table_pieces, None),
     "embedding_batches": (
         q_embedding_batches,
         """WITH RECURSIVE t AS (SELECT doc_id, doc_id // 1024 AS shard, strlen(text) AS b, row_number() OVER (PARTITION BY doc_id // 1024 ORDER BY doc_id) AS n FROM documents),

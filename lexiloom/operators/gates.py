@@ -208,7 +208,11 @@ QUERIES = {
     ),
     "worn_measurements": (lambda spark, sf: _worn(spark, sf), f"SELECT * FROM {_WORN}"),
     "publishable_documents": (q_publishable, f"SELECT doc_id, CASE WHEN empty_page_count > 0 THEN 'warn' ELSE 'pass' END AS decision FROM {_MEASURE} WHERE character_count > 0 AND empty_page_count / page_count <= 0.2"),
-    "client_rendered_pages": (q_client_rendered, None),
+    "client_rendered_pages": (
+        q_client_rendered,
+        r"""WITH t AS (SELECT page_id, contains(left(html, 2000000), '<script') AS s, trim(regexp_replace(regexp_replace(html, '<script\b.*?</script>|<style\b.*?</style>', ' ', 'gis'), '<[^>]*>|\s+', ' ', 'gs')) AS t FROM pages)
+        SELECT page_id, length(regexp_replace(t, '\s+', ' ', 'g')) AS chars, s AND length(regexp_replace(t, '\s+', ' ', 'g')) < 200 AS client_rendered FROM t""",
+    ),
     "language_vote": (q_language_vote, f"SELECT doc_id, language, confidence FROM {_VOTE}"),
     "language_confusion_matrix": (q_confusion, f"SELECT lang, language, count(*) AS n FROM {_VOTE} GROUP BY 1, 2"),
     "script_histogram": (

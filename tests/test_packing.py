@@ -103,3 +103,19 @@ def test_every_bracket_is_a_reference(spark):
     answers = ["a [S1] and [note] [S1, S7]", "[S1, x]", "INSUFFICIENT_EVIDENCE: none", "nothing", "`[S1]` [ S2 ]"]
     rows = spark.createDataFrame([(a,) for a in answers], "a string").select(citations(F.col("a"), F.array(F.lit("S1"), F.lit("S2"))).alias("c")).collect()
     assert [(r.c.valid, r.c.invalid, r.c.missing) for r in rows] == [(["S1"], ["note", "S7"], False), ([], ["S1, x"], False), ([], [], False), ([], [], True), ([], [" S2 "], False)]
+
+
+def test_row_passages_with_title_labels_and_pairs(spark):
+    from lexiloom.operators.chunks import row_passages
+
+    table = "A title |  | \nname | year | n\nNORTH |  | \nAND EAST |  | \nOslo | 1950 | \n |  | \nBergen |  | 7\nLAST |  | "
+    got = sorted((r.row, r.text) for r in row_passages(spark.createDataFrame([(1, table), (2, "a | b\nonly | x"), (3, None)], "doc_id long, text string")).where("doc_id = 1").collect())
+    assert got == [(4, "A title. NORTH AND EAST. name: Oslo; year: 1950"), (6, "A title. NORTH AND EAST. name: Bergen; n: 7"), (7, "LAST")]
+
+
+def test_strict_scan_of_tables(spark):
+    from lexiloom.sources import delimited
+
+    rows = spark.createDataFrame([(1, 0, ["a", "b"]), (1, 1, ["c", "d"]), (2, 0, ["a", "b"]), (2, 1, ["c"]), (3, 0, ["x"] * 1001)], "doc_id long, row long, cells array<string>")
+    assert {r.doc_id: r.violation for r in delimited.scan_tables(rows).collect()} == {1: None, 2: "malformed_table", 3: "table_limit"}
+    assert delimited.header_error(["question"]) is None and delimited.header_error(["reference_answer"]) == "header"
