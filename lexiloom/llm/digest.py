@@ -96,7 +96,8 @@ def _classes(keyed: DataFrame, ordered: DataFrame) -> DataFrame:
     buckets = ordered.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("f1").alias("b1"), F.col("f2").alias("b2"))
     shared = ordered.join(buckets, (F.col("f1") == F.col("b1")) & (F.col("f2") == F.col("b2"))).select("at", "tied", "key", "doc_id", "f1", "f2")
     shared = materialize(shared, "shared")
-    texts = keyed.join(shared, ["tied", "key"]).select("at", "doc_id", "f1", "f2", canonical(F.col("text")).alias("canon"))
+    # Always by key, whatever the size of the other side, so that cost grows in proportion.
+    texts = keyed.hint("merge").join(shared, ["tied", "key"]).select("at", "doc_id", "f1", "f2", canonical(F.col("text")).alias("canon"))
     # Equal bytes meet before the shuffle, so a class of any size is one row per map task.
     bytes_of = texts.groupBy("f1", "f2", "canon").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     alone = bytes_of.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("kinds"), F.min("class_id").alias("class_id"), F.max("copies").alias("copies"))
@@ -118,15 +119,14 @@ def canonical_digests(docs: DataFrame) -> DataFrame:
     rows = _with_next(ordered).join(classes, F.col("at") == F.col("class_at"), "left").withColumn("take", F.expr("cast(floor(n_chars / 4) AS int)"))
     rows = materialize(rows.drop("class_at", "a", "next_at"), "rows")
     sent = (
-        keyed.withColumnsRenamed({"tied": "t_tied", "key": "t_key"})
-        .join(rows, (F.col("t_tied") == F.col("next_tied")) & (F.col("t_key") == F.col("next_key")))
-        .withColumn("prefix", F.expr("left(text, take)"))
-        .drop("text", "t_tied", "t_key", "next_tied", "next_key")
+        keyed.alias("t").hint("merge")
+        .join(rows, (F.col("t.tied") == F.col("next_tied")) & (F.col("t.key") == F.col("next_key")))
+        .select(*[rows[c] for c in rows.columns if c not in ("next_tied", "next_key")], F.expr("left(text, take)").alias("prefix"))
     )
     edited = F.concat(F.expr("left(text, cast(n_chars AS int) - take)"), "prefix")
     e1, e2 = halves(canonical(F.col("edited")))
     return (
-        keyed.join(sent, ["tied", "key"])
+        keyed.hint("merge").join(sent, ["tied", "key"])
         .withColumn("edited", edited)
         .select("*", e1.alias("e1"), e2.alias("e2"))
         .select(
