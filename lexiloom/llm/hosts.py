@@ -5,8 +5,8 @@ above it (host to registered domain to suffix to the whole corpus); the strength
 fitted by moments, so a host with few labelled pages leans on its domain and a host with many on
 itself. A page is allowed when the lower bound of its host's posterior reaches a threshold.
 
-The registered domain is the last two labels and the suffix the last one: no suffix list is public
-in this environment.
+The registered domain is the last two labels and the suffix the last one, both without a port: no
+suffix list is public in this environment. A numeric address is its own domain and suffix.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path and shares the reputation
 of the empty host; null labels count as unlabelled; repeated label rows each count; an empty label
@@ -65,6 +65,12 @@ def _shrunk(level: str, parent_mean: str) -> str:
     return f"(k + {kappa} * {parent_mean}) / (n + {kappa})"
 
 
+def _part(pattern: str, matches: str) -> str:
+    """The end of a host that the pattern finds, without its port; a numeric address whole."""
+    name = "regexp_replace(host, ':[0-9]*$', '')"
+    return f"CASE WHEN left({name}, 1) = '[' OR {matches}({name}, '^[0-9]+([.][0-9]+){{3}}$') THEN {name} ELSE regexp_extract({name}, '{pattern}', 0) END"
+
+
 def reputation_sql(pages: str, labels: str, rules=RULES, z: float = 1.645, threshold: float = 0.5) -> str:
     """The whole operator as one SQL statement, for DuckDB."""
     host = "regexp_extract(rest, '^[^/?#]*', 0)"
@@ -78,7 +84,7 @@ parsed AS (
 outcomes AS (
   SELECT doc_id, count(quality) AS n, sum(quality) AS k FROM {labels} WHERE quality IS NOT NULL GROUP BY doc_id),
 hosts AS (
-  SELECT host, regexp_extract(host, '([^.]+[.])?[^.]*$', 0) AS domain, regexp_extract(host, '[^.]*$', 0) AS suffix,
+  SELECT host, {_part("([^.]+[.])?[^.]*$", "regexp_matches")} AS domain, {_part("[^.]*$", "regexp_matches")} AS suffix,
          CAST(coalesce(sum(n), 0) AS DOUBLE) AS n, CAST(coalesce(sum(k), 0) AS DOUBLE) AS k
   FROM parsed LEFT JOIN outcomes ON page_id = doc_id GROUP BY host),
 domains AS (SELECT domain, min(suffix) AS suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY domain),
@@ -127,7 +133,7 @@ def host_reputation(hosts: DataFrame) -> DataFrame:
     ``hosts`` is a table that is cheap to reread: one row a host. Only one mean and one correlation
     a level pass through the driver.
     """
-    split = hosts.withColumn("domain", F.regexp_extract("host", r"([^.]+[.])?[^.]*$", 0)).withColumn("suffix", F.regexp_extract("host", r"[^.]*$", 0))
+    split = hosts.withColumn("domain", F.expr(_part("([^.]+[.])?[^.]*$", "regexp_like"))).withColumn("suffix", F.expr(_part("[^.]*$", "regexp_like")))
     whole = split.agg(F.coalesce((F.sum("k") + 0.5) / (F.sum("n") + 1), F.lit(0.5))).first()[0]
     above, keys = None, ("suffix", "domain", "host")
     for depth, key in enumerate(keys):

@@ -1,4 +1,7 @@
-from lexiloom.llm.hosts import filter_urls
+import duckdb
+from pyspark.sql import functions as F
+
+from lexiloom.llm.hosts import _part, filter_urls, reputation_sql
 
 PAGES = "page_id long, url string, host string"
 LABELS = "doc_id long, quality int, url string"
@@ -30,3 +33,24 @@ def test_nulls_repeats_and_empty_tables(spark):
     got = filter_urls(spark.createDataFrame([(1, None, ""), (1, None, ""), (None, "no scheme", ""), (2, "http://a.org", "")], PAGES), spark.createDataFrame([(2, None, ""), (None, 1, "")], LABELS)).collect()
     assert len(got) == 4 and all(r.verdict in ("allow", "block") for r in got) and sum(r.host == "" and r.path == "" for r in got) == 3
     assert filter_urls(spark.createDataFrame([], PAGES), spark.createDataFrame([(1, 1, "")], LABELS)).count() == 0
+
+
+def test_ports_and_addresses_do_not_make_levels(spark):
+    hosts = [("shop.good.org:8080", 0), ("10.0.0.7", 0), ("10.0.0.7:81", 0), ("[::1]:9", 0), ("a.b.c.d.net", 0), ("", 0)]
+    rows = spark.createDataFrame(hosts, "host string, n int").select("host", F.expr(_part("([^.]+[.])?[^.]*$", "regexp_like")).alias("d"), F.expr(_part("[^.]*$", "regexp_like")).alias("s")).collect()
+    assert {r.host: (r.d, r.s) for r in rows} == {
+        "shop.good.org:8080": ("good.org", "org"), "10.0.0.7": ("10.0.0.7", "10.0.0.7"), "10.0.0.7:81": ("10.0.0.7", "10.0.0.7"), "[::1]:9": ("[::1]", "[::1]"),
+        "a.b.c.d.net": ("d.net", "net"), "": ("", ""),
+    }
+
+
+def test_sql_and_frames_agree_on_odd_hosts(spark):
+    urls = [f"http://{h}/{i}" for i, h in enumerate(["10.0.0.7:81", "10.0.0.7", "x.good.org:8080", "x.good.org", "y.good.org", "[::1]:9"] * 9)]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], PAGES)
+    labels = spark.createDataFrame([(i, i % 3 % 2, "x") for i in range(40)], LABELS)
+    con = duckdb.connect()
+    frames = {"pages": pages.toPandas(), "labels": labels.toPandas()}
+    for name, frame in frames.items():
+        con.register(name, frame)
+    want = sorted(con.sql(reputation_sql("pages", "labels")).fetchall())
+    assert sorted(tuple(r) for r in filter_urls(pages, labels).collect()) == want

@@ -47,3 +47,23 @@ def test_edge_rows(spark):
     assert [r.doc_id for r in kept if r.text is None] == [9]
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
     assert corpus_pipeline.redact_personal_data(spark, docs, "").count() == 6
+
+
+def test_edge_rows_of_the_other_stages(spark):
+    sf = "/root/testdata/sf0.001"
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    good = table(spark, sf, "documents").where("doc_id < 40").collect()
+    long = "Some words of a long text that goes on and on. " * 20_000
+    rows = [*[(r.doc_id, r.text, None, None, None) for r in good], (None, good[0].text, None, None, None), (None, None, "en", "s", None), (7000, "", "", "", 0), (7000, "", "", "", 0), (7001, long, None, "s", None)]
+    docs = spark.createDataFrame(rows, schema)
+    # Nulls and empty texts are rejected by quality, which keeps everything of the rows it keeps.
+    kept = corpus_pipeline.filter_quality(spark, docs, sf)
+    assert kept.columns == docs.columns and kept.where("text IS NULL OR text = ''").count() == 0
+    for stage in (corpus_pipeline.filter_quality, corpus_pipeline.drop_benchmark_leaks, corpus_pipeline.redact_personal_data):
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    leaked = spark.createDataFrame([*[tuple(r) for r in docs.limit(3).collect()], (8000, "x " + table(spark, sf, "benchmark").first().text, None, None, None), (None, None, None, None, None), (8001, "", None, None, None)], schema)
+    left = corpus_pipeline.drop_benchmark_leaks(spark, leaked, sf).collect()
+    assert 8000 not in {r.doc_id for r in left} and {(r.doc_id, r.text) for r in left} >= {(None, None), (8001, "")}
+    tokens = corpus_pipeline.tokenize(spark, docs, sf).collect()
+    assert len(tokens) == len(rows) and sorted(r.n_tokens for r in tokens)[:3] == [0, 0, 0]
+    assert corpus_pipeline.tokenize(spark, docs.limit(0), sf).count() == 0
