@@ -99,6 +99,27 @@ def match_all(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return has.join(need, F.col("query_id") == F.col("q")).where(F.col("n") == F.col("need")).select("query_id", "doc_id")
 
 
+def cover_density(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Documents with all terms of a query, ranked by how closely these stand together.
+
+    A cover is a shortest stretch of words with every term; it adds 0.1, divided by one more than the
+    words in it that are no terms. Only the places of query terms leave the map side; a document's
+    places are folded in order, each knowing where every term came last.
+    """
+    numbered = Window.partitionBy("query_id").orderBy("term")
+    terms = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
+    terms = terms.withColumn("t", F.row_number().over(numbered) - 1).withColumn("need", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+    found = docs.select("doc_id", F.posexplode(tokens("text")).alias("pos", "term")).join(terms, "term").groupBy("query_id", "doc_id", "need")
+    places = found.agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("p")).where(F.size(F.array_distinct("p.t")) == F.col("need"))
+    last = "transform(a.last, (v, i) -> IF(i = p[n].t, n, v))"
+    fold = f"""aggregate(sequence(0, size(p) - 1), named_struct('last', array_repeat(-1, cast(need AS int)), 'begun', -1, 'score', 0.0D),
+      (a, n) -> IF(array_min({last}) > a.begun, named_struct('last', {last}, 'begun', array_min({last}), 'score', a.score + 0.1D / (1 + p[n].pos - p[array_min({last})].pos - (n - array_min({last})))),
+        named_struct('last', {last}, 'begun', a.begun, 'score', a.score))).score"""
+    scored = places.select("query_id", "doc_id", F.round(F.expr(fold), 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def web_search(text: Column, query: str) -> Column:
     """Does a text match a web-style query: words are ANDed, ``or`` alternates, ``-`` excludes, quotes are phrases?
 
@@ -267,6 +288,10 @@ def q_keyword(spark, sf):
     return match_all(table(spark, sf, "documents"), _questions(spark, sf, 2))
 
 
+def q_cover(spark, sf):
+    return cover_density(table(spark, sf, "documents"), _questions(spark, sf, 2))
+
+
 def q_web(spark, sf):
     hit = web_search(F.col("text"), 'the -of "in the" or der "und die"')
     return table(spark, sf, "documents").where(hit).select("doc_id")
@@ -384,6 +409,16 @@ QUERIES = {
         q_keyword,
         f"SELECT query_id, doc_id FROM (SELECT query_id, list_distinct(t[1:2]) AS q FROM {_ASK}), (SELECT doc_id, {_T} AS t FROM documents) WHERE list_has_all(t, q) AND len(q) > 0",
     ),
+    "keyword_cover_density": (
+        q_cover,
+        f"""WITH q AS (SELECT query_id, list_distinct(t[1:2]) AS q FROM {_ASK}), d AS (SELECT doc_id, unnest(t) AS term, unnest(range(len(t))) AS pos FROM (SELECT doc_id, {_T} AS t FROM documents)),
+        h AS (SELECT query_id, q, doc_id, term, pos, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY pos) AS n FROM d JOIN q ON list_contains(q, term)),
+        l AS (SELECT *, CASE WHEN len(q) = 1 THEN n ELSE CASE WHEN max(CASE WHEN term = q[1] THEN n END) OVER w IS NOT NULL AND max(CASE WHEN term = q[2] THEN n END) OVER w IS NOT NULL
+          THEN least(max(CASE WHEN term = q[1] THEN n END) OVER w, max(CASE WHEN term = q[2] THEN n END) OVER w) END END AS s FROM h WINDOW w AS (PARTITION BY query_id, doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        c AS (SELECT query_id, doc_id, s, min(n) AS n FROM l WHERE s IS NOT NULL GROUP BY 1, 2, 3),
+        r AS (SELECT c.query_id, c.doc_id, round(sum(0.1::DOUBLE / (1 + e.pos - b.pos - (c.n - c.s))), 6) AS score FROM c JOIN h e ON e.query_id = c.query_id AND e.doc_id = c.doc_id AND e.n = c.n JOIN h b ON b.query_id = c.query_id AND b.doc_id = c.doc_id AND b.n = c.s GROUP BY 1, 2)
+        SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10""",
+    ),
     "web_style_search": (
         q_web,
         f"""SELECT doc_id FROM (SELECT doc_id, ' ' || array_to_string({_T}, ' ') || ' ' AS j FROM documents)

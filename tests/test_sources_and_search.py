@@ -171,3 +171,12 @@ def test_roles_and_selectors_come_from_the_element():
     page = '<main id="m"><div role="note" class="a b"><p>x <b class="c">y</b></p></div></main><aside>z</aside></p></div>tail'
     got = {b[1]: b[3:] for b in markup.scan_html(page, "structured")}
     assert got["x y"] == (True, "note", ["#m", ".a", ".b", "div", "main", "p"]) and got["z"][1] == "complementary" and got["tail"] == (False, None, [])
+
+
+def test_cover_density(spark):
+    docs = spark.createDataFrame([(1, "red fox and a red hen, the fox"), (2, "fox fox red"), (3, "red only"), (4, None), (5, "red x x x fox")], "doc_id long, text string")
+    ask = spark.createDataFrame([(7, "Red fox"), (8, "red"), (9, "")], "query_id long, query string")
+    got = {(r.query_id, r.doc_id): (r.score, r.rank) for r in R.cover_density(docs, ask).collect()}
+    # Covers of the first text: red fox; fox and a red (2 others between); red hen the fox (2 others).
+    assert got[7, 1] == (round(0.1 + 0.1 / 3 + 0.1 / 3, 6), 1) and got[7, 2] == (0.1, 2) and got[7, 5] == (0.025, 3) and (7, 3) not in got
+    assert got[8, 1] == (0.2, 1) and len([k for k in got if k[0] == 8]) == 4
