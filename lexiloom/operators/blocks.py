@@ -6,6 +6,8 @@ block DataFrames, so ``blocks.transform(step)`` chains them; audits are separate
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -203,6 +205,14 @@ def cleaning_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.select("doc_id", "ordinal", status.alias("status"))
 
 
+def change_rows(before: DataFrame, after: DataFrame, transform: str) -> DataFrame:
+    """Every block that a step removed or rewrote, with digests of both texts."""
+    new = after.select(F.col("doc_id").alias("n_id"), F.col("ordinal").alias("n_ordinal"), F.col("text").alias("n_text"))
+    joined = before.join(new, (F.col("doc_id") == F.col("n_id")) & (F.col("ordinal") == F.col("n_ordinal")), "left").where(~F.col("n_text").eqNullSafe(F.col("text")))
+    status = F.when(F.col("n_id").isNull(), "removed").otherwise("rewritten")
+    return joined.select(F.lit(transform).alias("transform"), "doc_id", "ordinal", status.alias("status"), F.sha2("text", 256).alias("before"), F.sha2("n_text", 256).alias("after"))
+
+
 def standard_clean(text, literals=LITERALS) -> Column:
     """White space collapsed, literals removed, collapsed again."""
     out = F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -311,6 +321,16 @@ def q_audit(spark, sf):
     )
 
 
+def q_audit_changes(spark, sf):
+    """The changed blocks of three steps, each on what the one before it left."""
+    blocks, parts = document_blocks(spark, sf), []
+    for name, step in (("remove_empty_blocks", lambda b: remove_empty(b, 4)), ("deduplicate_blocks", dedupe), ("remove_literals", lambda b: remove_literals(b).drop("removed"))):
+        after = step(blocks)
+        parts.append(change_rows(blocks, after, name))
+        blocks = after
+    return reduce(DataFrame.unionByName, parts)
+
+
 def q_standard(spark, sf):
     clean = standard_clean("text")
     n = F.length("clean").cast("long")
@@ -428,6 +448,13 @@ QUERIES = {
         UNION ALL SELECT 'deduplicate_blocks', count(*) FILTER (nth > 1 AND NOT p), 0 FROM b
         UNION ALL SELECT 'remove_literals', 0, count(*) FILTER (contains(text, 'Released under the MIT License.') OR contains(text, 'Licensed under the Apache License, Version 2.0.')) FROM b""",
     ),
+    "transform_audit_changes": (
+        q_audit_changes,
+        f"""WITH b AS (SELECT * FROM {SQL_BLOCKS}), e AS (SELECT * FROM b WHERE {_EMPTY}), d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sha256(text) ORDER BY ordinal) > 1 AND type NOT IN {_SQL_PROTECTED} AS again FROM e)
+        SELECT 'remove_empty_blocks' AS transform, doc_id, ordinal, 'removed' AS status, sha256(text) AS before, CAST(NULL AS VARCHAR) AS after FROM b WHERE NOT {_EMPTY}
+        UNION ALL SELECT 'deduplicate_blocks', doc_id, ordinal, 'removed', sha256(text), NULL FROM d WHERE again
+        UNION ALL SELECT 'remove_literals', doc_id, ordinal, 'rewritten', sha256(text), sha256({_LITERAL}) FROM d WHERE NOT again AND {_LITERAL} <> text""",
+    ),
     "standard_clean": (
         q_standard,
         """WITH a AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents),

@@ -42,6 +42,8 @@ def _archive(data: bytes) -> zipfile.ZipFile:
     packed, whole = sum(p.compress_size for p in parts), sum(p.file_size for p in parts)
     if len(parts) > MAX_PARTS or whole > MAX_BYTES or whole > MAX_RATIO * max(packed, 1024):
         raise ValueError("unsafe_archive")
+    if any(p.filename.lower().endswith("vbaproject.bin") for p in parts):
+        raise ValueError("unsafe_macros")
     return archive
 
 
@@ -77,13 +79,27 @@ def _docx(archive):
                 yield "list_item" if listed else "paragraph", _text(part), tuple(path)
 
 
+def _slide_parts(element):
+    """Paragraphs and tables of a slide in order; a table's cells are not paragraphs too."""
+    for part in element:
+        kind = _local(part.tag)
+        if kind in ("tbl", "p"):
+            yield kind, part
+        else:
+            yield from _slide_parts(part)
+
+
 def _pptx(archive):
-    """Slides in order; a slide's first text is its heading."""
+    """Slides in order; a slide's first text is its heading, its tables are rows of cells."""
     names = sorted((n for n in archive.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
     for name in names:
         head: tuple[str, ...] = ()
-        for part in _xml(archive, name).iter():
-            if _local(part.tag) == "p" and _text(part):
+        for kind, part in _slide_parts(_xml(archive, name)):
+            if kind == "tbl":
+                rows = [" | ".join(_text(c) for c in row if _local(c.tag) == "tc") for row in part if _local(row.tag) == "tr"]
+                if any(r.strip(" |") for r in rows):
+                    yield "table", "\n".join(rows), head
+            elif _text(part):
                 yield ("paragraph" if head else "heading"), _text(part), head
                 head = head or (_text(part),)
 

@@ -6,11 +6,13 @@ same rows once all data is processed and windows are closed.
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.session import discard, materialize, table
+from lexiloom.session import scratch_dir, table
 
 
 def minute_counts_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -76,15 +78,39 @@ def merge_batch(state: DataFrame | None, batch: DataFrame) -> DataFrame:
 
 
 class SnapshotSink:
-    """``foreachBatch`` target that keeps the merged snapshot as a table in the shared folder."""
+    """``foreachBatch`` target that keeps the merged snapshot as tables ``epoch=N`` below a shared path.
+
+    The newest finished table is the snapshot, so a restarted query goes on from it, and a batch that
+    is delivered again changes nothing. The table before it stays for readers, older ones go. Without
+    a path the snapshot lives in the scratch folder, for one run.
+    """
+
+    def __init__(self, path: str | None = None):
+        self.path = path
+
+    def _epochs(self, spark) -> list[int]:
+        """The epochs of finished tables, in order."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in files.listStatus(folder)] if files.exists(folder) else []
+        done = [n for n in names if n.startswith("epoch=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+        return sorted(int(n.partition("=")[2]) for n in done)
 
-    def __init__(self):
-        self.state = None
+    def state(self, spark) -> DataFrame | None:
+        """The snapshot as of the newest finished epoch."""
+        epochs = self._epochs(spark) if self.path else []
+        return spark.read.parquet(f"{self.path}/epoch={epochs[-1]}") if epochs else None
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
-        before, self.state = self.state, materialize(merge_batch(self.state, batch), "snapshot")
-        if before is not None:
-            discard(before)
+        spark = batch.sparkSession
+        self.path = self.path or f"{scratch_dir(spark)}/lexiloom-snapshot-{uuid.uuid4().hex}"
+        epochs = self._epochs(spark)
+        if epochs and epochs[-1] >= epoch:
+            return
+        merge_batch(self.state(spark), batch).write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
+        for old in epochs[:-1]:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/epoch={old}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def q_sessions(spark, sf):

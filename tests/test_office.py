@@ -37,6 +37,18 @@ def test_office_files(spark):
     assert [g[1] for g in got["t"]] == ["one", "two"] and [g[:2] for g in got["h"]] == [("heading", "H"), ("paragraph", "x")]
 
 
+def test_macros_are_refused_and_slide_tables_read(spark):
+    slide = '<s xmlns:a="a"><a:p><a:r><a:t>Title</a:t></a:r></a:p><a:tbl><a:tr><a:tc><a:p><a:r><a:t>a</a:t></a:r></a:p></a:tc><a:tc><a:p><a:r><a:t>b</a:t></a:r></a:p></a:tc></a:tr></a:tbl><a:p><a:r><a:t>End</a:t></a:r></a:p></s>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", "<d><body/></d>")
+        z.writestr("word/vbaProject.bin", "x")
+    df = spark.createDataFrame([("p", KIND["pptx"], packed(ppt__slides__slide1=slide)), ("m", KIND["docx"], out.getvalue())], "path string, media_type string, content binary")
+    rows = file_blocks(df).collect()
+    assert [(r.type, r.text) for r in rows if r.path == "p"] == [("heading", "Title"), ("table", "a | b"), ("paragraph", "End")]
+    assert [r.finding for r in rows if r.path == "m"] == ["unsafe_macros"]
+
+
 @pytest.mark.parametrize("bad", [{"top_k": 0}, {"top_k": 51}, {"candidates": 3}, {"candidates": 201}, {"vector_weight": 1.1}, {"maximum_distance": 2.5}, {"mode": "x"}])
 def test_settings_are_checked(bad):
     Settings()
