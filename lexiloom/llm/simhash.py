@@ -149,7 +149,7 @@ def _forest(fp: np.ndarray, home: np.ndarray, half: int) -> list[tuple[int, int]
 
 def _links_of(batches):
     """Links of rows sorted by (half, anchor); an anchor may run over several batches."""
-    rest = None
+    rest: list = []  # batches of the anchor that may go on
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def emit(cols, upto):
@@ -171,15 +171,18 @@ def _links_of(batches):
                 batch["fp"].to_numpy().view(np.uint64), batch["id"].to_numpy()]
         if not len(cols[0]):
             continue
-        if rest is not None:
-            cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+        if rest and all(c[0] == r[-1] and c[-1] == r[-1] for c, r in zip(cols[:2], rest[-1][:2], strict=True)):
+            rest.append(cols)  # sorted, so all of it is the same anchor
+            continue
+        cols = [np.concatenate(x) for x in zip(*rest, cols, strict=True)]
         new = np.flatnonzero((cols[1] != cols[1][-1]) | (cols[0] != cols[0][-1]))
         upto = int(new[-1]) + 1 if len(new) else 0
         if upto:
             yield emit(cols, upto)
-        rest = [x[upto:] for x in cols]
-    if rest is not None:
-        yield emit(rest, len(rest[0]))
+        rest = [[x[upto:] for x in cols]]
+    if rest:
+        cols = [np.concatenate(x) for x in zip(*rest, strict=True)]
+        yield emit(cols, len(cols[0]))
 
 
 def near_components(fps: DataFrame) -> DataFrame:
