@@ -280,7 +280,7 @@ def q_bytes(spark, sf):
 def q_common_prefix(spark, sf):
     """The common start of the word paths of the first two lines of each document."""
     lines = F.slice(F.split("text", "\n"), 1, 2)
-    paths = F.transform(lines, lambda line: F.slice(F.split(line, " "), 1, 20))
+    paths = F.transform(lines, lambda line: F.split(line, " "))
     return table(spark, sf, "documents").select("doc_id", F.array_join(common_prefix(paths), " ").alias("shared"))
 
 
@@ -379,7 +379,7 @@ QUERIES = {
     ),
     "common_heading_prefix": (
         q_common_prefix,
-        """WITH p AS (SELECT doc_id, string_split(string_split(text, chr(10))[1], ' ')[1:20] AS a, string_split(string_split(text, chr(10))[2], ' ')[1:20] AS b FROM documents)
+        """WITH p AS (SELECT doc_id, string_split(string_split(text, chr(10))[1], ' ') AS a, string_split(string_split(text, chr(10))[2], ' ') AS b FROM documents)
         SELECT doc_id, array_to_string(CASE WHEN b IS NULL THEN a ELSE a[1:coalesce(list_min([i FOR i IN range(1, len(a) + 1) IF a[i] IS DISTINCT FROM b[i]]) - 1, len(a))] END, ' ') AS shared FROM p""",
     ),
     "embedding_text_prefix": (

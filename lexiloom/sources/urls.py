@@ -224,8 +224,10 @@ def q_key(spark, sf):
 
 
 def q_scope(spark, sf):
+    """The pages of a crawl that starts from the first ten hosts in order: its configured origins."""
     pages = table(spark, sf, "pages")
-    origins = [f"{s}://{h}" for s in ("http", "https") for h in ("blog.tionsh.example.com", "tionble.example.org", "m.ththth.example.net")]
+    hosts = pages.select(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host")).distinct().orderBy("host").limit(10).collect()
+    origins = [f"{scheme}://{r.host}" for scheme in ("http", "https") for r in hosts] or [""]
     return pages.where(in_scope(F.col("url"), origins, include=("/en/", "/fr/"), exclude=("/en/9",))).select("page_id", "url")
 
 
@@ -269,7 +271,7 @@ QUERIES = {
     "bounded_keys": (q_key, "SELECT page_id, sha256(k) AS key_sha256, length(k) AS n_chars FROM (SELECT page_id, CASE WHEN strlen(html) <= 2000 THEN html ELSE left(html, 1920) || '…#sha256=' || sha256(html) END AS k FROM pages)"),
     "url_scope": (
         q_scope,
-        r"""SELECT page_id, url FROM pages WHERE regexp_extract(url, '^https?://([^/?#]+)', 1) IN ('blog.tionsh.example.com', 'tionble.example.org', 'm.ththth.example.net')
+        r"""SELECT page_id, url FROM pages WHERE regexp_extract(url, '^https?://([^/?#]+)', 1) IN (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]+)', 1) AS h FROM pages ORDER BY h LIMIT 10)
         AND regexp_matches(url, '^https?://[^/?#]+/(en|fr)/') AND NOT regexp_matches(url, '^https?://[^/?#]+/en/9')""",
     ),
     "page_links": (q_links, """SELECT page_id, generate_subscripts(l, 1) - 1 AS nth, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS l FROM pages)"""),
