@@ -24,16 +24,17 @@ def normalized_fingerprint(text):
 def simhash64(docs: DataFrame) -> DataFrame:
     """doc_id and a signed 64-bit SimHash: tokens weigh as often as they occur, ties set the bit.
 
-    Tokens are counted per document before their hashes are spread over the bits, in one aggregation.
+    The bits of all tokens are counted where the text is, so one row a document is shuffled. Two bits
+    share a sum: bit b in its low half, bit b + 32 in its high half.
     """
     tokens = F.regexp_extract_all(folded("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)
-    counted = docs.select("doc_id", F.explode_outer(tokens).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
-    hashed = counted.withColumn("h", F.expr("cast(conv(substr(sha2(token, 256), 1, 16), 16, -10) as bigint)"))
-    sums = hashed.groupBy("doc_id").agg(*[
-        F.expr(f"sum(CASE WHEN token IS NULL THEN 0 WHEN (shiftrightunsigned(h, {b}) & 1) = 1 THEN n ELSE -n END)").alias(f"b{b}") for b in range(64)
-    ])
-    bits = " | ".join(f"CASE WHEN b{b} >= 0 THEN shiftleft(1L, {b}) ELSE 0L END" for b in range(64))
-    return sums.select("doc_id", F.expr(bits).alias("simhash"))
+    hashed = docs.select("doc_id", F.explode_outer(tokens).alias("token")).withColumn("h", F.expr("cast(conv(substr(sha2(token, 256), 1, 16), 16, -10) as bigint)"))
+    sums = hashed.groupBy("doc_id").agg(
+        F.count("token").alias("tokens"), *[F.expr(f"coalesce(sum(shiftrightunsigned(h, {b}) & 4294967297L), 0L)").alias(f"b{b}") for b in range(32)]
+    )
+    low = [f"IF(2 * (b{b} & 4294967295L) >= tokens, shiftleft(1L, {b}), 0L)" for b in range(32)]
+    high = [f"IF(2 * shiftrightunsigned(b{b}, 32) >= tokens, shiftleft(1L, {b + 32}), 0L)" for b in range(32)]
+    return sums.select("doc_id", F.expr(" | ".join(low + high)).alias("simhash"))
 
 
 def similarity(a, b):
