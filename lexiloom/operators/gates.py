@@ -129,11 +129,34 @@ def script_histogram(docs: DataFrame) -> DataFrame:
     )
 
 
-def language_policy(docs: DataFrame, allowlist=("en", "de"), minimum_confidence: float = 0.6, disallowed: str = "exclude") -> DataFrame:
-    """Findings and decision of a language policy over detected documents."""
+def page_languages(blocks: DataFrame, page_lines: int = 10) -> DataFrame:
+    """doc_id, page, language and confidence of every page of ``page_lines`` blocks."""
+    pages = blocks.groupBy("doc_id", F.expr(f"ordinal div {page_lines}").alias("page"))
+    text = F.array_join(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).getField("text"), "\n")
+    return language_vote(pages.agg(text.alias("text"))).select("doc_id", "page", "language", "confidence")
+
+
+def with_mixed(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The documents with ``mixed``: two scripts reach a fifth of their letters, or their pages differ in language."""
+    pages = page_languages(blocks).where("language <> 'und'").groupBy(F.col("doc_id").alias("p_id")).agg(F.countDistinct("language").alias("languages"))
+    scripts = script_histogram(docs.select("doc_id", "text")).select(F.col("doc_id").alias("s_id"), F.col("mixed").alias("s_mixed"))
+    joined = docs.join(pages, F.col("doc_id") == F.col("p_id"), "left").join(scripts, F.col("doc_id") == F.col("s_id"), "left")
+    return joined.withColumn("mixed", F.coalesce("s_mixed", F.lit(False)) | (F.coalesce("languages", F.lit(0)) > 1)).drop("p_id", "languages", "s_id", "s_mixed")
+
+
+def language_policy(docs: DataFrame, allowlist=("en", "de"), minimum_confidence: float = 0.6, disallowed: str = "exclude", mixed_action: str = "warn") -> DataFrame:
+    """Findings and decision of a language policy over detected documents; ``mixed`` counts where it is there.
+
+    A language outside the list takes ``disallowed``; mixed languages fail a document, or warn one that
+    passes; low confidence warns.
+    """
     low, out = F.col("confidence") < minimum_confidence, ~F.col("language").isin(*allowlist)
-    findings = F.array_compact(F.array(F.when(low, "language_confidence_low"), F.when(out, "language_not_allowed")))
-    return docs.withColumn("findings", F.array_join(findings, ",")).withColumn("decision", F.when(out, disallowed).when(low, "warn").otherwise("pass"))
+    mixed = F.col("mixed") if "mixed" in docs.columns and mixed_action != "allow" else F.lit(False)
+    findings = F.array_compact(F.array(F.when(low, "language_confidence_low"), F.when(out, "language_not_allowed"), F.when(mixed, "mixed_languages")))
+    decision = F.when(out, disallowed).when(low | mixed, "warn").otherwise("pass")
+    if mixed_action == "fail":
+        decision = F.when(mixed, "fail").otherwise(decision)
+    return docs.withColumn("findings", F.array_join(findings, ",")).withColumn("decision", decision)
 
 
 def q_measure(spark, sf):
@@ -177,8 +200,13 @@ def q_scripts(spark, sf):
     return script_histogram(table(spark, sf, "documents"))
 
 
+def q_page_languages(spark, sf):
+    return page_languages(document_blocks(spark, sf))
+
+
 def q_language_policy(spark, sf):
-    return language_policy(language_vote(table(spark, sf, "documents"))).select("doc_id", "language", "findings", "decision")
+    found = with_mixed(language_vote(table(spark, sf, "documents")), document_blocks(spark, sf))
+    return language_policy(found).select("doc_id", "language", "mixed", "findings", "decision")
 
 
 _MEASURES = """(SELECT p.doc_id, character_count, block_count, page_count, empty_block_count, empty_page_count, coalesce(round(bad / nullif(character_count, 0), 6), 0.0) AS replacement_character_ratio,
@@ -194,6 +222,14 @@ _SCORES = ", ".join(f"{{'score': len(list_filter(w, lambda x: x IN {m})), 'code'
 _VOTE = f"""(SELECT doc_id, lang, CASE WHEN b.score = 0 THEN 'und' ELSE b.code END AS language,
   CASE WHEN b.score = 0 THEN 0.4::DOUBLE ELSE round(least(1.0::DOUBLE, 0.55::DOUBLE + b.score / greatest(10, len(w))), 4) END AS confidence
   FROM (SELECT *, list_max([{_SCORES}]) AS b FROM (SELECT doc_id, lang, {_WORDS} AS w FROM documents)))"""
+_PAGES = _VOTE.replace("FROM documents", f"FROM (SELECT doc_id, ordinal // 10 AS lang, string_agg(text, chr(10) ORDER BY ordinal) AS text FROM {SQL_BLOCKS} GROUP BY 1, 2)")
+_SCRIPTS = r"""WITH c AS (SELECT doc_id, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters, [
+          {'n': length(regexp_replace(text, '[^\p{Cyrillic}]', '', 'g')), 's': 'ru'}, {'n': length(regexp_replace(text, '[^\p{Arabic}]', '', 'g')), 's': 'ar'},
+          {'n': length(regexp_replace(text, '[^\p{Devanagari}]', '', 'g')), 's': 'hi'}, {'n': length(regexp_replace(text, '[^\p{Hiragana}\p{Katakana}]', '', 'g')), 's': 'ja'},
+          {'n': length(regexp_replace(text, '[^\p{Hangul}]', '', 'g')), 's': 'ko'}, {'n': length(regexp_replace(text, '[^\p{Han}]', '', 'g')), 's': 'zh'},
+          {'n': length(regexp_replace(text, '[^\p{Latin}]', '', 'g')), 's': 'latin'}] AS parts FROM documents)
+        SELECT doc_id, letters, CASE WHEN letters = 0 THEN 'und' ELSE list_max(parts).s END AS script, coalesce(round(list_max(parts).n / nullif(letters, 0), 4), 0.0) AS share,
+        len(list_filter(parts, lambda p: p.n >= 0.2 * greatest(letters, 1))) > 1 AS mixed FROM c"""
 
 QUERIES = {
     "document_measurements": (q_measure, f"SELECT * FROM {_MEASURE}"),
@@ -217,17 +253,13 @@ QUERIES = {
     "language_confusion_matrix": (q_confusion, f"SELECT lang, language, count(*) AS n FROM {_VOTE} GROUP BY 1, 2"),
     "script_histogram": (
         q_scripts,
-        r"""WITH c AS (SELECT doc_id, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters, [
-          {'n': length(regexp_replace(text, '[^\p{Cyrillic}]', '', 'g')), 's': 'ru'}, {'n': length(regexp_replace(text, '[^\p{Arabic}]', '', 'g')), 's': 'ar'},
-          {'n': length(regexp_replace(text, '[^\p{Devanagari}]', '', 'g')), 's': 'hi'}, {'n': length(regexp_replace(text, '[^\p{Hiragana}\p{Katakana}]', '', 'g')), 's': 'ja'},
-          {'n': length(regexp_replace(text, '[^\p{Hangul}]', '', 'g')), 's': 'ko'}, {'n': length(regexp_replace(text, '[^\p{Han}]', '', 'g')), 's': 'zh'},
-          {'n': length(regexp_replace(text, '[^\p{Latin}]', '', 'g')), 's': 'latin'}] AS parts FROM documents)
-        SELECT doc_id, letters, CASE WHEN letters = 0 THEN 'und' ELSE list_max(parts).s END AS script, coalesce(round(list_max(parts).n / nullif(letters, 0), 4), 0.0) AS share,
-        len(list_filter(parts, lambda p: p.n >= 0.2 * greatest(letters, 1))) > 1 AS mixed FROM c""",
+        _SCRIPTS,
     ),
+    "page_languages": (q_page_languages, f"SELECT doc_id, lang AS page, language, confidence FROM {_PAGES}"),
     "language_policy": (
         q_language_policy,
-        f"""SELECT doc_id, language, concat_ws(',', CASE WHEN confidence < 0.6 THEN 'language_confidence_low' END, CASE WHEN language NOT IN ('en', 'de') THEN 'language_not_allowed' END) AS findings,
-        CASE WHEN language NOT IN ('en', 'de') THEN 'exclude' WHEN confidence < 0.6 THEN 'warn' ELSE 'pass' END AS decision FROM {_VOTE}""",
+        f"""WITH p AS (SELECT doc_id, count(DISTINCT language) FILTER (language <> 'und') > 1 AS differ FROM {_PAGES} GROUP BY 1), s AS ({_SCRIPTS}), v AS (SELECT v.doc_id, language, confidence, s.mixed OR coalesce(differ, false) AS mixed FROM {_VOTE} v JOIN s ON s.doc_id = v.doc_id LEFT JOIN p ON p.doc_id = v.doc_id)
+        SELECT doc_id, language, mixed, concat_ws(',', CASE WHEN confidence < 0.6 THEN 'language_confidence_low' END, CASE WHEN language NOT IN ('en', 'de') THEN 'language_not_allowed' END, CASE WHEN mixed THEN 'mixed_languages' END) AS findings,
+        CASE WHEN language NOT IN ('en', 'de') THEN 'exclude' WHEN confidence < 0.6 OR mixed THEN 'warn' ELSE 'pass' END AS decision FROM v""",
     ),
 }
