@@ -18,8 +18,9 @@ The identity of a window is a 128-bit hash of two independent halves, built from
 word by nonlinear steps (no sums of powers, so no pattern of letters or words collides by construction).
 
 A chunk holds 2 MB of text at least and a shard a million windows; both grow with the square root of
-the corpus, to ``MOST`` times that, so that messages between chunks and shards do not become tiny.
-A longer document is a chunk of its own size.
+the corpus, to ``MOST`` times that (a task then holds about 20 bytes for each byte of its chunk), so that
+messages between chunks and shards stay large for long: hundreds of windows at 1 TB. Beyond some 50 TB they
+come down to a few windows, and an exchange costs a row for these. A longer document is a chunk of its own size.
 
 Edge cases: a null text has no words; texts shorter than a window keep every word; windows repeated
 within one document only are kept; repeated rows with one doc_id never remove each other's words;
@@ -43,7 +44,7 @@ from lexiloom.session import table
 SIZE = 50
 ROWS = 2
 #: Bytes of text in a chunk, bytes of text a shard is planned for, and the most that both grow.
-CHUNK_BYTES, SHARD_BYTES, MOST = 2 << 20, 4 << 20, 16
+CHUNK_BYTES, SHARD_BYTES, MOST = 2 << 20, 4 << 20, 8
 #: Cells of a sketch row for each byte of text, so that a word of 4 bytes or more has 4 cells or more.
 CELLS = 1
 _LAST = np.iinfo(np.int64).max
@@ -94,34 +95,41 @@ class _Chunk:
     def __init__(self, ids: np.ndarray, texts: list, plan: _Plan):
         self.plan, self.ids, size = plan, ids, plan.size
         self.raws = [t or b"" for t in texts]
-        starts, _, a, b = word_hashes(b" ".join(self.raws), 2)
+        starts, _, *words = word_hashes(b" ".join(self.raws), 2)
         edges = np.concatenate(([0], np.cumsum([len(r) + 1 for r in self.raws])))
         first = np.searchsorted(starts, edges)
+        del starts
         self.words = np.diff(first)
         windows = np.maximum(0, self.words - size + 1)
-        self.doc, self.starts = np.repeat(np.arange(len(windows)), windows), np.concatenate(([0], np.cumsum(windows)))
-        at = np.repeat(first[:-1] - self.starts[:-1], windows) + np.arange(len(self.doc))
-        a, b = window_hashes(a, size, 0)[at], window_hashes(b, size, 1)[at]
-        order = np.argsort(a)
-        x, y = a[order], b[order]
-        same = x[1:] == x[:-1]
-        if (same & (y[1:] != y[:-1])).any():  # equal first halves of different windows
-            order = np.lexsort((b, a))
-            x, y = a[order], b[order]
-            same = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
-        self.head = np.flatnonzero(np.concatenate(([True], ~same))) if len(x) else np.empty(0, dtype=np.int64)
-        self.a, self.b, self.order = x[self.head], y[self.head], order
-        self.times = np.diff(self.head, append=len(x))
+        self.doc, self.starts = np.repeat(np.arange(len(windows), dtype=np.int32), windows), np.concatenate(([0], np.cumsum(windows)))
+        at = np.repeat((first[:-1] - self.starts[:-1]).astype(np.int32), windows)
+        at += np.arange(len(at), dtype=np.int32)
+        # One half at a time: arrays of a chunk's words are what a task's memory holds most of.
+        b = window_hashes(words.pop(), size, 1)[at]
+        a = window_hashes(words.pop(), size, 0)[at]
+        del at
+        order = np.argsort(a).astype(np.int32)
+        a, b = a[order], b[order]
+        same = a[1:] == a[:-1]
+        if (same & (b[1:] != b[:-1])).any():  # equal first halves of different windows
+            again = np.lexsort((b, a))
+            order, a, b = order[again], a[again], b[again]
+            same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        self.head = (np.flatnonzero(np.concatenate(([True], ~same))) if len(a) else np.empty(0)).astype(np.int32)
+        self.times, self.order = np.diff(self.head, append=np.int32(len(a))), order
+        self.a, self.b = a[self.head], b[self.head]
 
     def sketch(self):
         """For every row of the sketch: its sorted cells, their counts, and each window's place among them."""
         for row in range(ROWS):
             cell = self.plan.cells(mix(self.a ^ np.uint64(row), 1) if row else self.a)
-            if row:
-                sent, place = np.unique(cell, return_inverse=True)
-            else:
-                fresh = np.diff(cell, prepend=cell[:1] ^ _ONE) != 0
-                sent, place = cell[fresh], np.cumsum(fresh) - 1
+            order = np.argsort(cell).astype(np.int32) if row else slice(None)  # the first row's cells are in order
+            cell = cell[order]
+            fresh = np.diff(cell, prepend=cell[:1] ^ _ONE) != 0
+            place = np.empty(len(cell), dtype=np.int32)
+            place[order] = np.cumsum(fresh, dtype=np.int32) - 1
+            sent = cell[fresh]
+            del cell, order
             yield sent, np.bincount(place, weights=self.times, minlength=len(sent)), place
 
     def estimated_repeated(self, answers: dict) -> np.ndarray:
