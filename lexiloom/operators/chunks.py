@@ -1,12 +1,14 @@
 """Chunkers with exact lineage, and statistics of chunk sizes.
 
 Windows, spans, sections and statistics are column expressions. Packing to a byte budget depends on
-what was packed before, so it runs per document in ``applyInPandas``; documents are independent.
+what was packed before, so it runs per document in ``applyInArrow``; documents are independent.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,25 +81,23 @@ def embedding_text(path: Column, text: Column) -> Column:
 _CHUNKS = "doc_id long, ordinal long, role string, parent_ordinal long, section long, first_block long, last_block long, heading_path array<string>, text string, token_count long"
 
 
+_CHUNK_SCHEMA = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}[t]) for n, t in (c.split() for c in _CHUNKS.split(", "))])
+
+
 def _packed(child: Budget, parent: Budget | None = None):
-    """Chunks of one document's blocks (ordinal, section, text, heading, page)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal")
-        rows, doc_id, section_of = [], int(pdf["doc_id"].iloc[0]), dict(zip(pdf["ordinal"], pdf["section"], strict=True))
-        outer = parent or child
-        pieces = [
-            [
-                part
-                for n, text, heading, page in zip(group["ordinal"], group["text"], group["heading"], group["page"], strict=True)
-                for part in pieces_of(Piece(int(n), 0, text or "", () if pd.isna(heading) else (heading,), None if pd.isna(page) else int(page)), outer.most)
-            ]
-            for _, group in pdf.groupby("section", sort=True)
-        ]
+    """Chunks of one document's blocks (doc_id, ordinal, section, text, heading, page)."""
+    outer = parent or child
+
+    def run(blocks: pa.Table) -> pa.Table:
+        found = sorted(zip(*(blocks[c].to_pylist() for c in ("section", "ordinal", "text", "heading", "page", "doc_id")), strict=True), key=lambda b: b[:2])
+        section_of, rows, pieces = {b[1]: b[0] for b in found}, [], []
+        for _, group in groupby(found, key=lambda b: b[0]):
+            parts = (pieces_of(Piece(n, 0, text or "", () if heading is None else (heading,), page), outer.most) for _, n, text, heading, page, _ in group)
+            pieces.append([p for part in parts for p in part])
 
         def add(group: Group, role: str, up):
-            text, ps = "\n\n".join(p.text for p in group.pieces), group.pieces
-            rows.append((doc_id, len(rows), role, up, int(section_of[ps[0].block]), ps[0].block, ps[-1].block, list(group.path()), text, size_of(text)))
+            text, ps = "\n\n".join([p.text for p in group.pieces]), group.pieces
+            rows.append((found[0][5], len(rows), role, up, section_of[ps[0].block], ps[0].block, ps[-1].block, list(group.path()), text, size_of(text)))
 
         for segments in pack_sections([p for p in pieces if p], outer):
             add(Group([p for g in segments for p in g.pieces]), "parent" if parent else "passage", None)
@@ -105,8 +105,7 @@ def _packed(child: Budget, parent: Budget | None = None):
             for segment in segments if parent else ():
                 for group in child.pack([part for p in segment.pieces for part in pieces_of(p, child.most)]):
                     add(group, "child", up)
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in _CHUNKS.split(", ")])
-        return out.astype({"parent_ordinal": "Int64"})
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_CHUNK_SCHEMA)], schema=_CHUNK_SCHEMA)
 
     return run
 
@@ -116,12 +115,12 @@ _BLOCK_COLUMNS = ("doc_id", "ordinal", "section", "text", "heading", "page")
 
 def section_chunks(blocks: DataFrame, target: int = 600, most: int = 800, overlap: int = 80) -> DataFrame:
     """Sections packed to a byte budget with an overlap, short ones joined; (doc_id, ordinal, text, heading, page) given."""
-    return sections(blocks).select(*_BLOCK_COLUMNS).groupBy("doc_id").applyInPandas(_packed(Budget(target, most, overlap)), _CHUNKS)
+    return sections(blocks).select(*_BLOCK_COLUMNS).groupBy("doc_id").applyInArrow(_packed(Budget(target, most, overlap)), _CHUNKS)
 
 
 def parent_child_chunks(blocks: DataFrame, child=(240, 320, 40), parent=(900, 1200)) -> DataFrame:
     """Small children for search within larger parents, which answers are given."""
-    return sections(blocks).select(*_BLOCK_COLUMNS).groupBy("doc_id").applyInPandas(_packed(Budget(*child), Budget(*parent)), _CHUNKS)
+    return sections(blocks).select(*_BLOCK_COLUMNS).groupBy("doc_id").applyInArrow(_packed(Budget(*child), Budget(*parent)), _CHUNKS)
 
 
 def row_passages(docs: DataFrame) -> DataFrame:
