@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from lexiloom.registry import collect
 
-MODULES = ("hosts", "chat", "digest", "simhash", "substring", "decontaminate", "quality", "pii", "bpe", "pages", "vector_codes", "manifest")
+MODULES = ("hosts", "chat", "digest", "simhash", "substring", "decontaminate", "quality", "pii", "bpe", "pages", "vector_codes", "manifest", "language")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
