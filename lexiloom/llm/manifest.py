@@ -310,4 +310,34 @@ def op13_merkle_manifest(spark, sf_dir):
     return manifest(table(spark, sf_dir, "documents"))[0]
 
 
-QUERIES = {"op13_merkle_manifest": (op13_merkle_manifest, None)}
+def _sql(depth: int = 8, over: int = 5) -> str:
+    """The definition, level by level: trees of up to ARITY ** depth leaves and ARITY ** over sources."""
+    code = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END"
+    leaf = lambda text: f"sha256({' || '.join(code(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bit = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)), lambda c, b: {bit}))"
+    nth = f"row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, {leaf('text')}) - 1"
+    steps = [f"leaves AS MATERIALIZED (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(low)} END AS tampered, {nth} AS idx FROM documents)"]
+
+    def levels(name: str, first: str, count: int) -> None:
+        steps.append(f"{name}0 AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY grp) AS c FROM ({first}))")
+        for k in range(count):
+            steps.append(f"{name}{k + 1} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY grp) AS c FROM (SELECT grp, idx // {ARITY} AS idx, sha256(string_agg(d, '' ORDER BY idx)) AS d FROM {name}{k} WHERE c > 1 GROUP BY ALL))")
+            steps.append(f"{name}r{k} AS MATERIALIZED (SELECT grp, idx // {ARITY} AS run, list(d ORDER BY idx) AS ds FROM {name}{k} WHERE c > 1 GROUP BY ALL)")
+
+    levels("s", "SELECT source AS grp, idx, leaf AS d FROM leaves", depth)
+    steps.append("subroots AS MATERIALIZED (SELECT grp, d AS subroot, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS nth FROM (" + " UNION ALL ".join(f"SELECT grp, d FROM s{k} WHERE c = 1" for k in range(depth + 1)) + "))")
+    levels("t", "SELECT 0 AS grp, nth AS idx, subroot AS d FROM subroots", over)
+    steps.append("top AS (" + " UNION ALL ".join(f"SELECT d AS root FROM t{k} WHERE c = 1" for k in range(over + 1)) + ")")
+    steps.append("p0 AS (SELECT l.*, subroot, nth, root, '' AS proof, coalesce(tampered, leaf) AS fold FROM leaves l JOIN subroots ON source IS NOT DISTINCT FROM grp, top)")
+    for at, (name, key, idx, k) in enumerate([("s", "source", "idx", k) for k in range(depth)] + [("t", "0", "nth", k) for k in range(over)]):
+        place = f"({idx} // {ARITY**k} % {ARITY})"
+        steps.append(f"""p{at + 1} AS (SELECT p.* EXCLUDE (proof, fold), proof || coalesce(array_to_string(ds[:{place}] || ds[{place} + 2:], ''), '') AS proof,
+          CASE WHEN ds IS NULL THEN fold ELSE sha256(array_to_string(ds[:{place}] || [fold] || ds[{place} + 2:], '')) END AS fold
+          FROM p{at} p LEFT JOIN {name}r{k} r ON {key} IS NOT DISTINCT FROM grp AND {idx} // {ARITY ** (k + 1)} = run)""")
+    return f"""WITH {", ".join(steps)}
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified FROM p{depth + over}"""
+
+
+QUERIES = {"op13_merkle_manifest": (op13_merkle_manifest, _sql())}
