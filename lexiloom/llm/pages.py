@@ -8,13 +8,20 @@ parent. The maximum flow's minimum cut is the labelling of least cost; blocks on
 are the main text.
 
 The classifier has two parts. What a block looks like (length, links, sentence marks, kind of
-element) is weighed by a logistic regression. It learns from pages that mark their main part
-(article, main) and is never shown these marks, the names of elements around a block or its classes:
-a block is labelled by whether it lies in the main part. It is fitted on at most ``SAMPLE_PAGES``
-pages (the ones with the smallest hash of page_id) and ``SAMPLE_BLOCKS`` blocks spread over each: the
-only bounded sample. Its log-odds are held within ``LOOKS``. What the page says about itself (the
-marks, names of navigation, advert and comment containers, hidden parts) adds set amounts. Where no
-page of the sample marks its main part, set weights take the regression's place.
+element) and how the class and id tokens of its containers name it are weighed by a logistic
+regression. It learns from pages that mark their main part (article, main) and is never shown these
+marks or the kinds of elements around a block: a block is labelled by whether it lies in the main part;
+blocks named as something else within the main part have no label. It is fitted on at most
+``SAMPLE_PAGES`` pages (the ones with the smallest hash of page_id) and ``SAMPLE_BLOCKS`` blocks spread
+over each: the only bounded sample. The log-odds of looks are held within ``LOOKS``. What the page says
+about itself (the marks, elements and roles of navigation and the like, hidden parts) adds set amounts.
+Where no page of the sample marks its main part, set weights take the regression's place.
+
+A token names its element by its head noun alone: ``cookie-notice`` and ``comment-list`` are chrome,
+``share-price`` is a price, and tokens that tell a state (``has-sidebar``, ``cookies-not-set``) name
+nothing. Tokens of html, body, main and article say how a page is laid out, so they do not count. What a
+container is said to be holds for all in it, but a container around the page's main part (the largest
+article, if all of them are in such containers) is a layout and not chrome.
 
 The flow is pushed by exact reductions as long as a block has two edges or fewer, or a terminal
 capacity above all of its edges: its flow goes to its neighbours' terminals and the edge between
@@ -22,7 +29,8 @@ them, and the block's side follows from theirs afterwards. Pages are nearly alwa
 linear time; what remains is finished along shortest augmenting paths, a level graph at a time.
 
 Edge cases: null and empty html give an empty text; unclosed tags, comments, scripts and quotes run
-to the next tag or the end; end tags without a start are skipped; character references may lack
+to the next tag or the end; an unclosed button, svg, object or the like ends where the next block starts or
+ends, a self-closing one at once; end tags without a start are skipped; character references may lack
 their semicolon; a page without any content block gives an empty text; repeated rows give equal rows;
 an empty table gives no rows. Whole pages are read, one row at a time. Only page_id, url and html are read.
 """
@@ -42,13 +50,15 @@ from lexiloom.session import table
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|svg|iframe|textarea|select|button|object|math)\b[^>]*+>.*?(?:</\1\b[^>]*+>|\Z)"
+    r"|<(script|style)\b[^>]*+>.*?(?:</\1\b[^>]*+>|\Z)"
     r"|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))",
     re.DOTALL | re.IGNORECASE,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Elements without text of the page.
+SKIPPED = frozenset("noscript template title svg iframe textarea select button object math".split())
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i ins del kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img".split())
@@ -65,45 +75,83 @@ CHROME_WORDS = frozenset(
     "replies reply share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
+#: Words after a head noun that say no more than "container", and words that make a token tell a state.
+TAIL_WORDS = frozenset("area bar block body box button buttons container content form group holder inner item items left links list outer panel region right section slot unit wrap wrapper".split())
+STATE_WORDS = frozenset("accepted active closed disabled enabled fixed has hidden hide is no not off on open set show shown sticky visible with without".split())
+#: Elements whose class and id tokens tell of the page's layout.
+LAYOUT = frozenset(("html", "body", "main", "article"))
 
 #: Log-odds of what the page says about itself: in its main part, outside a main part that it marks,
-#: in a container of another purpose by element or by name, in one named as content.
-W_MAIN, W_OUTSIDE, W_CHROME_TAG, W_CHROME_WORD, W_CONTENT_WORD = 3.5, -4.0, -9.0, -9.0, 1.0
-#: Set weights of looks, in the order of :func:`looks`, and the most that looks count.
-DEFAULT, LOOKS = (-1.0, -3.0, 1.5, 0.5, 0.5, 1.0, 1.0, -0.5), 3.0
+#: in a container of another purpose by element or role.
+W_MAIN, W_OUTSIDE, W_CHROME_TAG = 3.5, -4.0, -9.0
+#: Set weights in the order of :func:`looks`, how many of them are of looks proper, and the most that those count.
+DEFAULT, PROPER, LOOKS = (-1.0, -3.0, 1.5, 0.5, 0.5, 1.0, 1.0, -0.5, -9.0, -8.0, 1.0), 8, 3.0
 SAMPLE_PAGES, SAMPLE_BLOCKS = 2000, 100
 #: Capacities of the smoothness edges.
 E_NEXT, E_SIBLING = 1.0, 0.5
 _BARRIERS = frozenset(("article", "main", "body"))
 
 
+def names(tokens: str) -> int:
+    """How class or id tokens name an element: 2 if a token is a word of chrome, 1 if its head noun is, else 0."""
+    best = 0
+    for token in tokens.split():
+        parts = [w.lower() for w in _WORDS.findall(token)]
+        if len(parts) > 1 and STATE_WORDS.isdisjoint(parts):
+            while len(parts) > 1 and parts[-1] in TAIL_WORDS:
+                parts.pop()
+            if parts[-1] in CHROME_WORDS or parts[-1] == "header":
+                best = max(best, 1)
+        elif len(parts) == 1 and (parts[0] in CHROME_WORDS or parts[0] == "header"):
+            best = 2
+    return best
+
+
 class _Element:
-    __slots__ = ("chrome", "content", "depth", "named", "parent", "tag", "words")
+    __slots__ = ("chrome", "content", "depth", "home", "named", "parent", "size", "tag", "words")
 
     def __init__(self, tag, parent, attributes):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         self.content = bool(parent and parent.content) or tag in CONTENT_TAGS
-        self.chrome = bool(parent and parent.chrome) or tag in CHROME_TAGS or (tag == "header" and not self.content)
-        self.named = bool(parent and parent.named)
+        #: What is said of the element itself; :func:`_inherit` adds its containers'.
+        self.chrome = tag in CHROME_TAGS or (tag == "header" and not self.content)
+        self.named = 0
         self.words = bool(parent and parent.words)
+        self.home = self if tag in CONTENT_TAGS else parent and parent.home
+        self.size = 0
         if attributes:
             for name, *values in _ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), "".join(values)
                 if name == "role":
                     self.chrome = self.chrome or value.lower() in CHROME_ROLES
                 elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                    self.chrome = True
-                elif name in ("class", "id"):
-                    found = {w.lower() for w in _WORDS.findall(value)}
-                    self.named = self.named or bool(found & CHROME_WORDS) or ("header" in found and not self.content)
-                    self.words = self.words or bool(found & CONTENT_WORDS)
+                    self.chrome = self.chrome or tag not in ("html", "body", "main")
+                elif name in ("class", "id") and tag not in LAYOUT:
+                    if not (self.content and value.lower() == "header"):
+                        self.named = max(self.named, names(value))
+                    self.words = self.words or not CONTENT_WORDS.isdisjoint(w.lower() for w in _WORDS.findall(value))
+
+
+def _inherit(elements: list[_Element]) -> None:
+    """Hands down what is said of containers; ``elements`` has parents first."""
+    homes = [e for e in elements if e.home is e and e.size]
+    within: dict[int, bool] = {}
+    for e in elements:
+        within[id(e)] = bool(e.chrome or e.named) or (e.parent is not None and within[id(e.parent)])
+    if homes and all(within[id(e)] for e in homes):
+        e = max(homes, key=lambda e: e.size)
+        while e is not None:
+            e.chrome, e.named = False, 0
+            e = e.parent
+    for e in elements[1:]:
+        e.chrome, e.named = e.chrome or e.parent.chrome, max(e.named, e.parent.named)
 
 
 def blocks(page: str):
     """(text, element, link characters) of every text block in page order."""
     root = _Element("", None, "")
-    stack, out = [root], []
+    stack, out, elements = [root], [], [root]
     open_at: dict[str, list[int]] = {}  # places of the open elements on the stack, by tag
     barriers = [0]  # places of elements that an end tag of another kind does not reach beyond
     parts: list[str] = []
@@ -115,6 +163,8 @@ def blocks(page: str):
         text = " ".join("".join(parts).split())
         if text:
             out.append((text, holder, links))
+            if holder.home:
+                holder.home.size += len(text)
         parts.clear()
         links, empty = 0, True
 
@@ -136,14 +186,30 @@ def blocks(page: str):
             barriers.pop()
 
     holder, empty = root, True
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
+    tokens = list(_TOKEN.finditer(page))
+    closes, waiting = {}, {tag: [] for tag in SKIPPED}  # end tags of skipped elements, by the place of their start
+    for n, m in enumerate(tokens):
+        if m[3] and (tag := m[3].lower()) in SKIPPED:
+            if not m[2]:
+                if not m[4].endswith("/>"):
+                    waiting[tag].append(n)
+            elif waiting[tag]:
+                closes[waiting[tag].pop()] = n
+    skip_to, to_edge = -1, False
+    for n, m in enumerate(tokens):
+        if n <= skip_to:
+            at = m.end()
+            continue
+        tag = (m[3] or "").lower()
+        if m.start() > at and not to_edge:
             add(page[at : m.start()])
+        to_edge = to_edge and (tag in INLINE or tag in SKIPPED or tag in ("option", "optgroup") or not tag)
         at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
-            if m[1] and m[1].lower() not in INLINE:
+        if not tag or tag in SKIPPED:
+            if m[1] or tag:
                 parts.append(" ")
+            if tag and not m[2] and not m[4].endswith("/>"):
+                skip_to, to_edge = closes.get(n, -1), n not in closes
             continue
         if tag == "a":
             in_link = not m[2]
@@ -167,18 +233,21 @@ def blocks(page: str):
                 if tag in _BARRIERS:
                     barriers.append(len(stack))
                 stack.append(_Element(tag, stack[-1], m[4]))
-    if at < len(page):
+                elements.append(stack[-1])
+    if at < len(page) and not to_edge:
         add(page[at:])
     flush()
+    _inherit(elements)
     return out
 
 
 def looks(text: str, element: _Element, links: int) -> tuple[float, ...]:
-    """What a block looks like, without what is said of it around it."""
+    """What a block looks like and how its containers are named, without the marks around it."""
     tag = element.tag
     return (
         1.0, min(1.0, links / len(text)), min(1.0, len(text) / 200), float(text[-1] in ".!?:;\"'”"), min(1.0, sum(map(text.count, ",;.")) / 5),
         float(tag in ("h1", "h2", "h3")), float(tag in ("p", "blockquote", "pre")), float(tag == "li"),
+        float(element.named == 2), float(element.named == 1), float(element.words),
     )
 
 
@@ -187,21 +256,23 @@ def terminals(row, weights=DEFAULT) -> list[float]:
     if not row:
         return []
     marked = any(element.content for _, element, _ in row)
-    seen = np.clip(np.array([looks(*block) for block in row]) @ np.asarray(weights), -LOOKS, LOOKS).tolist()
-    return [
-        x + (W_MAIN if e.content else W_OUTSIDE * marked) + W_CHROME_TAG * e.chrome + W_CHROME_WORD * e.named + W_CONTENT_WORD * e.words
-        for x, (_, e, _) in zip(seen, row, strict=True)
-    ]
+    x, w = np.array([looks(*block) for block in row]), np.asarray(weights)
+    seen = (np.clip(x[:, :PROPER] @ w[:PROPER], -LOOKS, LOOKS) + x[:, PROPER:] @ w[PROPER:]).tolist()
+    return [x + (W_MAIN if e.content else W_OUTSIDE * marked) + W_CHROME_TAG * e.chrome for x, (_, e, _) in zip(seen, row, strict=True)]
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Logistic regression in which both labels weigh the same; the set weights without both labels."""
+    """Logistic regression in which both labels weigh the same; the set weights without both labels.
+
+    Weights of names are drawn towards the set ones, so those that no page shows keep them.
+    """
     if not len(y) or y.min() == y.max():
         return DEFAULT
-    weight, w = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())), np.zeros(x.shape[1])
+    prior = np.where(np.arange(len(DEFAULT)) < PROPER, 0.0, DEFAULT)
+    weight, w = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())), prior.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (y - p)) - 0.1 * w
+        gradient = x.T @ (weight * (y - p)) - 0.1 * (w - prior)
         step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + 0.1 * np.eye(len(w)), gradient)
         w = w + step
         if np.abs(step).max() < 1e-9:
@@ -220,7 +291,7 @@ def train(pages: DataFrame) -> tuple[float, ...]:
             for page in batch["html"]:
                 row = blocks(page.as_py())
                 if any(element.content for _, element, _ in row):
-                    row = row[:: -(-len(row) // SAMPLE_BLOCKS)]
+                    row = [b for b in row[:: -(-len(row) // SAMPLE_BLOCKS)] if not (b[1].content and b[1].named)]
                     x = np.array([(*looks(*b), float(b[1].content and not b[1].chrome)) for b in row], dtype="<f4")
                     yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], ["x"])
 

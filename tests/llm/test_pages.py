@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 
+from lexiloom.llm import pages
 from lexiloom.llm.pages import DEFAULT, blocks, edges, extract, fit, looks, main_text, minimum_cut, op5_mincut_extraction, terminals, train
 
 
@@ -54,9 +55,9 @@ def test_broken_html_and_edge_rows(spark):
 
 def test_articles_of_the_table(spark):
     sf = "/root/testdata/sf0.01"
-    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    html_of = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in op5_mincut_extraction(spark, sf).collect():
-        article = re.search(r"<article>(.*)</article>", pages[r.page_id], re.DOTALL)[1]
+        article = re.search(r"<article>(.*)</article>", html_of[r.page_id], re.DOTALL)[1]
         parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", p.replace("<br>", " "))).split()) for p in re.split(r"</?(?:p|h1)>", article)]
         assert r.text == "\n\n".join(filter(None, parts))
 
@@ -68,10 +69,10 @@ def _unmarked(page):
 
 def test_the_cut_mends_what_the_classifier_gets_wrong(spark):
     sf = "/root/testdata/sf0.01"
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
-    assert train(pages) != DEFAULT and train(pages.limit(0)) == DEFAULT
+    table = spark.read.parquet(f"{sf}/pages.parquet")
+    assert train(table) != DEFAULT and train(table.limit(0)) == DEFAULT
     rows = []
-    for r in pages.orderBy("page_id").collect():
+    for r in table.orderBy("page_id").collect():
         marked, row = blocks(r.html), blocks(_unmarked(r.html))
         assert [b[0] for b in row] == [b[0] for b in marked]
         rows.append((row, [e.content and not e.chrome for _, e, _ in marked]))
@@ -110,3 +111,46 @@ def test_flow_of_many_ambiguous_blocks():
     began = time.process_time()
     minimum_cut(terminal, links)
     assert time.process_time() - began < 20
+
+
+BODY = "<p>The first sentence of the story, which goes on.</p><p>The second one ends it, at last.</p>"
+TEXT = "The first sentence of the story, which goes on.\n\nThe second one ends it, at last."
+
+
+def test_class_names_of_layouts_keep_the_article():
+    for head, tail in (
+        ('<body class="single has-sidebar"><article>', "</article></body>"),
+        ('<body class="home cookies-not-set"><article>', "</article></body>"),
+        ('<main class="site-main no-sidebar"><article>', "</article></main>"),
+        ('<html class="no-js modal-open"><body class="sidebar-right newsletter"><main id="main"><article class="post related">', "</article></main></body></html>"),
+        ('<div class="layout sidebar-left"><main>', "</main></div>"),  # a container around the main part
+        ('<form id="aspnetForm"><div class="widget"><article>', "</article></div></form>"),
+        ('<div class="content-with-sidebar"><div class="story-body">', "</div></div>"),
+    ):
+        assert main_text(head + BODY + tail) == TEXT, head
+
+
+def test_head_nouns_name_an_element():
+    assert [pages.names(x) for x in ("ad", "sidebar left", "cookie-notice", "commentList", "site_footer", "ad-slot-inner")] == [2, 2, 1, 1, 1, 1]
+    assert [pages.names(x) for x in ("", "has-sidebar", "cookies-not-set", "share-price", "related-work", "comment-policy", "download", "shared", "headerless")] == [0] * 9
+    page = "<article>" + BODY + "<div class='{}'>The price is 3 now.</div></article>"
+    assert main_text(page.format("share-price")) == TEXT + "\n\nThe price is 3 now."
+    for name in ("share", "cookie-notice", "comment-list", "widget area"):
+        assert main_text(page.format(name)) == TEXT
+    comments = "<section class='comment-list'><article class='comment-body'><p>I liked this story very much, thank you, all of you.</p></article></section>"
+    assert main_text("<article>" + BODY + "</article>" + comments) == main_text("<main><article>" + BODY + "</article>" + comments + "</main>") == TEXT
+
+
+def test_skipped_elements_end_where_they_end():
+    first, second = BODY[: BODY.index("</p>") + 4], BODY[BODY.index("</p>") + 4 :]
+    for x in ('<svg class="i"/>', '<object data="x"/>', "<button>Share", '<object data="x">', "<select><option>a", "<textarea>", "<svg><path d='M0'/>", "<button>Share<b>now</b>",
+              "<svg><title>t</title><g><text>no</text></g></svg>", "<button>a</button>", "<template><p>no</p></template>", "<svg><svg></svg>no</svg>", "</button>", "<noscript><p>no</p></noscript>",
+              "<button>Share<p></p><button>no</button>", "<button><div>no</div></button>", "<iframe src=x></iframe>"):
+        assert main_text("<article>" + first + x + second + "</article>") == TEXT, x
+    assert main_text('<article><p>a <svg class="i"/>b <button>no</button>c.</p></article>') == "a b c."
+
+
+def test_named_blocks_within_the_main_part_teach_nothing(spark):
+    rows = [(i, f"<nav class=menu><a href=x>Menu {i}</a></nav><article>{BODY}<div class=share>{BODY}</div></article>") for i in range(60)]
+    weights = train(spark.createDataFrame(rows, "page_id long, html string"))
+    assert weights[8] <= DEFAULT[8] and weights != DEFAULT and main_text(rows[0][1], weights) == TEXT
