@@ -1,24 +1,25 @@
 """Chunkers with exact lineage, and statistics of chunk sizes.
 
 Windows, spans, sections and statistics are column expressions. Packing to a byte budget depends on
-what was packed before, so it runs per document in ``applyInArrow``; documents are independent.
+what was packed before, so it runs a document at a time in ``mapInArrow``, where the document is.
 """
 
 from __future__ import annotations
 
-from itertools import groupby
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.operators.blocks import SQL_BLOCKS, document_blocks
-from lexiloom.operators.packing import Budget, Group, Piece, pack_sections, pieces_of, size_of
+from lexiloom.operators.packing import Limits, Line, page_of, path_of, sections_of
 from lexiloom.session import table
 from lexiloom.sources.delimited import SQL_GROUPS, SQL_TABLE_LINES
 
 EMBED_LIMIT = 8191
 PREFIX_LIMIT = 300
+#: Bytes of chunks that are handed on together.
+HELD = 1 << 22
 
 
 def windows(docs: DataFrame, size: int = 500, overlap: int = 100) -> DataFrame:
@@ -78,49 +79,103 @@ def embedding_text(path: Column, text: Column) -> Column:
     return F.when(F.size(path) > 0, F.concat(F.lit("Section: "), kept, F.lit("\n\n"), text)).otherwise(text)
 
 
-_CHUNKS = "doc_id long, ordinal long, role string, parent_ordinal long, section long, first_block long, last_block long, heading_path array<string>, text string, token_count long"
+_SPANS = "array<struct<block:bigint,block_start:bigint,block_end:bigint,chunk_start:bigint,chunk_end:bigint>>"
+_CHUNKS = (
+    "doc_id long, ordinal long, role string, parent_ordinal long, page long, heading_path array<string>, text string, token_count long, "
+    f"findings array<string>, spans {_SPANS}"
+)
+#: What the chunkers take: a row a document with all its blocks in order.
+BLOCKS = "array<struct<ordinal:bigint,text:string,path:array<string>,page:bigint,kind:string>>"
+
 
+def gathered(blocks: DataFrame) -> DataFrame:
+    """(doc_id, blocks) of a table of blocks (doc_id, ordinal, text, path, page, kind).
 
-_CHUNK_SCHEMA = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}[t]) for n, t in (c.split() for c in _CHUNKS.split(", "))])
+    One document is one row, as every chunker needs it. A block without a doc_id is a document of its own.
+    """
+    key = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    rows = blocks.select("doc_id", key.alias("lone"), F.struct("ordinal", "text", "path", "page", "kind").alias("b"))
+    return rows.groupBy("doc_id", "lone").agg(F.array_sort(F.collect_list("b")).cast(BLOCKS).alias("blocks")).select("doc_id", "blocks")
 
 
-def _packed(child: Budget, parent: Budget | None = None):
-    """Chunks of one document's blocks (doc_id, ordinal, section, text, heading, page)."""
-    outer = parent or child
+def _chunked(docs: DataFrame, limits: Limits, within: Limits | None) -> DataFrame:
+    """Chunks of documents (doc_id, blocks), where the document is: nothing is shuffled."""
 
-    def run(blocks: pa.Table) -> pa.Table:
-        found = sorted(zip(*(blocks[c].to_pylist() for c in ("section", "ordinal", "text", "heading", "page", "doc_id")), strict=True), key=lambda b: b[:2])
-        section_of, rows, pieces = {b[1]: b[0] for b in found}, [], []
-        for _, group in groupby(found, key=lambda b: b[0]):
-            parts = (pieces_of(Piece(n, 0, text or "", () if heading is None else (heading,), page), outer.most) for _, n, text, heading, page, _ in group)
-            pieces.append([p for part in parts for p in part])
+    def chunks_of(doc_id, blocks):
+        line, rows = Line(blocks), []
 
-        def add(group: Group, role: str, up):
-            text, ps = "\n\n".join([p.text for p in group.pieces]), group.pieces
-            rows.append((found[0][5], len(rows), role, up, section_of[ps[0].block], ps[0].block, ps[-1].block, list(group.path()), text, size_of(text)))
+        def add(parts, role, up):
+            page = page_of(parts)
+            findings = [p.finding for p in parts if p.finding][:100]
+            rows.append((doc_id, len(rows), role, up, page[0] if page else None, path_of(parts), line.text_of(parts), line.joined(parts), findings, line.spans(parts)))
 
-        for segments in pack_sections([p for p in pieces if p], outer):
-            add(Group([p for g in segments for p in g.pieces]), "parent" if parent else "passage", None)
+        for stretches in line.chunks(sections_of(line.parts(limits.most)), within or limits):
+            add([p for stretch in stretches for p in stretch], "parent" if within else "passage", None)
             up = len(rows) - 1
-            for segment in segments if parent else ():
-                for group in child.pack([part for p in segment.pieces for part in pieces_of(p, child.most)]):
-                    add(group, "child", up)
-        return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_CHUNK_SCHEMA)], schema=_CHUNK_SCHEMA)
+            for inner in line.chunks(stretches, limits) if within else ():
+                add([p for stretch in inner for p in stretch], "child", up)
+        return rows
+
+    def packed(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches):
+        for batch in batches:
+            held, size = [], 0
+            every = batch["blocks"].flatten()  # of all documents of the batch
+            fields = [every.field(c).to_pylist() for c in ("ordinal", "text", "path", "page", "kind")]
+            ends = np.cumsum(batch["blocks"].value_lengths().fill_null(0).to_numpy()).tolist()
+            for doc_id, start, end in zip(batch["doc_id"].to_pylist(), [0, *ends], ends, strict=False):
+                if end > start:
+                    found = chunks_of(doc_id, list(zip(*(f[start:end] for f in fields), strict=True)))
+                    held += found
+                    size += sum(r[7] for r in found)
+                if size > HELD:
+                    yield packed(held)
+                    held, size = [], 0
+            if held:
+                yield packed(held)
+
+    text, number, words = pa.string(), pa.int64(), pa.list_(pa.string())
+    spans = pa.list_(pa.struct([(c, pa.int64()) for c in ("block", "block_start", "block_end", "chunk_start", "chunk_end")]))
+    schema = pa.schema([("doc_id", number), ("ordinal", number), ("role", text), ("parent_ordinal", number), ("page", number), ("heading_path", words), ("text", text),
+                        ("token_count", number), ("findings", words), ("spans", spans)])
+    return docs.select("doc_id", F.col("blocks").cast(BLOCKS).alias("blocks")).mapInArrow(run, _CHUNKS)
+
+
+def section_chunks(docs: DataFrame, target: int = 600, most: int = 800, overlap: int = 80) -> DataFrame:
+    """Sections of documents (doc_id, blocks) packed to a byte budget with an overlap, short ones joined.
+
+    Every chunk says which characters of which blocks it holds (``spans``; blocks by their ordinal). Null and
+    empty arrays, and blocks without text, give no chunks; repeated rows give equal chunks.
+    """
+    return _chunked(docs, Limits(target, most, overlap), None)
 
-    return run
 
+def parent_child_chunks(docs: DataFrame, child=(240, 320, 40), parent=(900, 1200)) -> DataFrame:
+    """Small children for search within larger parents, which answers are given.
 
-_BLOCK_COLUMNS = ("doc_id", "ordinal", "section", "text", "heading", "page")
+    Blocks are cut at the children's most; parents are packed from these parts, and children from the
+    stretches of sections within a parent, short ones joined as between sections.
+    """
+    return _chunked(docs, Limits(*child), Limits(*parent))
 
 
-def section_chunks(blocks: DataFrame, target: int = 600, most: int = 800, overlap: int = 80) -> DataFrame:
-    """Sections packed to a byte budget with an overlap, short ones joined; (doc_id, ordinal, text, heading, page) given."""
-    return sections(blocks).select(*_BLOCK_COLUMNS).groupBy("doc_id").applyInArrow(_packed(Budget(target, most, overlap)), _CHUNKS)
+def passages_beyond(chunks: DataFrame, limit: int = EMBED_LIMIT) -> DataFrame:
+    """(doc_id, passages, largest, accepted): whether an embedding model takes all passages of a document; parents are not embedded."""
+    embedded = chunks.where("role <> 'parent'").select("doc_id", F.octet_length("text").cast("long").alias("b"))
+    return embedded.groupBy("doc_id").agg(F.count(F.lit(1)).alias("passages"), F.max("b").alias("largest")).withColumn("accepted", F.col("largest") <= limit)
 
 
-def parent_child_chunks(blocks: DataFrame, child=(240, 320, 40), parent=(900, 1200)) -> DataFrame:
-    """Small children for search within larger parents, which answers are given."""
-    return sections(blocks).select(*_BLOCK_COLUMNS).groupBy("doc_id").applyInArrow(_packed(Budget(*child), Budget(*parent)), _CHUNKS)
+def token_distribution(chunks: DataFrame, key: str) -> DataFrame:
+    """Per ``key``: least, median, discrete 95th percentile and greatest size of passages, parents, and passages cut from oversize blocks."""
+    size, passage = F.when(F.col("role") != "parent", F.col("token_count")), F.col("role") != "parent"
+    oversize = F.exists("findings", lambda x: x.startswith("oversize"))
+    return chunks.select(key, size.alias("b"), passage.alias("passage"), oversize.alias("oversize")).groupBy(key).agg(
+        F.min("b").alias("min_tokens"), F.round(F.expr("percentile(b, 0.5)"), 1).alias("median_tokens"),
+        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY b)").cast("long").alias("p95_tokens"), F.max("b").alias("max_tokens"),
+        F.count_if("passage").alias("chunks"), F.count_if(~F.col("passage")).alias("parents"), F.count_if(F.col("passage") & F.col("oversize")).alias("oversize"),
+    )
 
 
 def row_passages(docs: DataFrame) -> DataFrame:
@@ -233,22 +288,57 @@ def q_sections(spark, sf):
     return found.agg(F.min("ordinal").alias("first_block"), F.count(F.lit(1)).alias("blocks"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL in which ``name`` stands for a value that is computed once, also within lambdas."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def with_blocks(docs: DataFrame) -> DataFrame:
+    """Documents with their lines as blocks: a heading-like line opens a section, ten lines are a page.
+
+    The lines between two headings are sliced at once, so the cost follows the number of lines.
+    """
+    heads = "filter(sequence(0, size(lines) - 1), i -> i = 0 OR (length(lines[i]) < 40 AND endswith(lines[i], '.')))"
+    kind = "CASE WHEN h + k = 0 THEN 'heading' WHEN contains(x, ' | ') THEN 'table' WHEN startswith(x, '- ') THEN 'list_item' ELSE 'paragraph' END"
+    block = f"named_struct('ordinal', cast(h + k AS bigint), 'text', x, 'path', array(lines[h]), 'page', cast((h + k) div 10 AS bigint), 'kind', {kind})"
+    stretch = f"transform(slice(lines, h + 1, coalesce(get(heads, j + 1), size(lines)) - h), (x, k) -> {block})"
+    found = _let("split(text, '\\n')", "lines", _let(heads, "heads", f"flatten(transform(heads, (h, j) -> {stretch}))"))
+    return docs.where("text IS NOT NULL").withColumn("blocks", F.expr(found))
+
+
+def _chunk_rows(chunks: DataFrame) -> DataFrame:
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["block"], x["block_start"], x["block_end"], x["chunk_start"], x["chunk_end"])), ",")
+    return chunks.select("doc_id", "ordinal", "role", "parent_ordinal", "page", F.array_join("heading_path", " > ").alias("path"), "token_count", F.sha2("text", 256).alias("text_sha256"), F.sha2(spans, 256).alias("spans_sha256"))
+
+
 def q_section_chunks(spark, sf):
-    return section_chunks(_with_heading(spark, sf)).select("doc_id", "ordinal", "section", "first_block", "last_block", "token_count", F.sha2("text", 256).alias("text_sha256"))
+    return _chunk_rows(section_chunks(with_blocks(table(spark, sf, "documents"))))
 
 
 def q_parent_child(spark, sf):
-    return parent_child_chunks(_with_heading(spark, sf)).select("doc_id", "ordinal", "role", "parent_ordinal", "token_count", F.sha2("text", 256).alias("text_sha256"))
+    return _chunk_rows(parent_child_chunks(with_blocks(table(spark, sf, "documents"))))
 
 
 def q_parent_text(spark, sf):
     """Every child with its parent's size: a self join on (doc_id, parent ordinal)."""
-    chunks = parent_child_chunks(_with_heading(spark, sf))
+    chunks = parent_child_chunks(with_blocks(table(spark, sf, "documents")))
     parents = chunks.where("role = 'parent'").select(F.col("doc_id").alias("p_doc"), F.col("ordinal").alias("p"), F.col("token_count").alias("parent_tokens"))
     children = chunks.where("role = 'child'")
     return children.join(parents, (F.col("doc_id") == F.col("p_doc")) & (F.col("parent_ordinal") == F.col("p")), "left").select("doc_id", "ordinal", "token_count", "parent_tokens")
 
 
+def q_passage_gate(spark, sf):
+    """Documents with a passage of more bytes than an embedding model takes; children stand for their parents."""
+    return passages_beyond(parent_child_chunks(with_blocks(table(spark, sf, "documents"))))
+
+
+def q_passage_tokens(spark, sf):
+    """Sizes of the children and numbers of parents, by source."""
+    docs = with_blocks(table(spark, sf, "documents"))
+    source = docs.select(F.col("doc_id").alias("d"), "source")
+    return token_distribution(parent_child_chunks(docs).join(source, F.col("doc_id") == F.col("d")), "source")
+
+
 def q_embed_gate(spark, sf):
     """Documents with a passage that an embedding model would not take."""
     return document_blocks(spark, sf).groupBy("doc_id").agg(F.max(F.octet_length("text")).cast("long").alias("largest")).withColumn("accepted", F.col("largest") <= EMBED_LIMIT)
@@ -348,6 +438,8 @@ QUERIES = {
     "section_token_chunks": (q_section_chunks, None),
     "parent_child_chunks": (q_parent_child, None),
     "child_parent_lookup": (q_parent_text, None),
+    "passage_size_gate": (q_passage_gate, None),
+    "passage_token_distribution": (q_passage_tokens, None),
     "table_row_passages": (q_row_passages, f"SELECT doc_id, row, sha256(text) AS text_sha256, false AS limited FROM {_ROW_PASSAGES.format(docs=_LABELLED)}"),
     "table_pieces": (q_table_pieces, f"SELECT doc_id, piece, strlen(text) AS bytes, sha256(text) AS text_sha256, false AS limited FROM {_PIECES}"),
     "table_and_row_passages": (

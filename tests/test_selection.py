@@ -1,7 +1,6 @@
 import random
 
 from lexiloom.operators import chunks as C
-from lexiloom.operators import packing
 from lexiloom.operators import dedup as D
 from lexiloom.operators import sensitive as S
 from lexiloom.operators.components import components
@@ -88,25 +87,3 @@ def test_windows_cover_the_text(spark):
     for n, w in by_doc.items():
         assert w[0][0] == 0 and w[-1][1] == n and all(e - s == k for s, e, k in w)
         assert all(b[0] == a[0] + 400 and a[1] == a[0] + 500 for a, b in zip(w, w[1:], strict=False))
-
-
-def test_ranges_and_packing_respect_budgets():
-    rng = random.Random(3)
-    for _ in range(200):
-        text = "".join(rng.choices(["word ", "é", "Ende. ", "漢字", "\n", "x" * 30], k=40))
-        ranges = packing.split_ranges(text, 50)
-        assert "".join(text[s:e] for s, e in ranges) == text
-        assert all(len(text[s:e].encode()) <= 50 for s, e in ranges)
-        pieces = [packing.Piece(0, s, text[s:e]) for s, e in ranges]
-        groups = packing.Budget(100, 150, 40).pack(pieces)
-        assert all(packing.joined(g.pieces) <= 150 for g in groups)
-        assert "".join(p.text for g in packing.Budget(100, 150).pack(pieces) for p in g.pieces) == "".join(p.text for p in pieces)
-
-
-def test_parent_and_children(spark):
-    blocks = spark.createDataFrame([(1, i, "paragraph", f"Sentence {i} has some words in it. " * 8, "h", 0) for i in range(6)], "doc_id long, ordinal long, type string, text string, heading string, page int")
-    rows = C.parent_child_chunks(blocks).collect()
-    parents = {r.ordinal: r.text for r in rows if r.role == "parent"}
-    children = [r for r in rows if r.role == "child"]
-    assert parents and children and all(r.parent_ordinal in parents for r in children)
-    assert all(r.token_count <= 1200 for r in rows if r.role == "parent") and all(r.token_count <= 320 for r in children)
