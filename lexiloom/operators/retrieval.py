@@ -11,10 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.operators.dedup import folded
+from lexiloom.operators.search import bm25, cover_density, keyword_search, match_all, tokens
 from lexiloom.session import table
 
-K1, B, RRF = 1.2, 0.75, 60
+RRF = 60
 #: Query vectors that one pass broadcasts; more are searched in as many passes as it takes.
 QUERY_LIMIT = 1000
 #: Searches take as queries every row whose id is divisible by this.
@@ -87,39 +87,6 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, cutoff: floa
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def tokens(text) -> Column:
-    return F.regexp_extract_all(folded(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
-
-
-def match_all(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id) of documents that hold every term of a query, through a join on terms."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
-    need = terms.groupBy(F.col("query_id").alias("q")).agg(F.count(F.lit(1)).alias("need"))
-    has = docs.select("doc_id", F.explode(F.array_distinct(tokens("text"))).alias("term")).join(terms, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return has.join(need, F.col("query_id") == F.col("q")).where(F.col("n") == F.col("need")).select("query_id", "doc_id")
-
-
-def cover_density(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Documents with all terms of a query, ranked by how closely these stand together.
-
-    A cover is a shortest stretch of words with every term; it adds 0.1, divided by one more than the
-    words in it that are no terms. Only the places of query terms leave the map side; a document's
-    places are folded in order, each knowing where every term came last.
-    """
-    numbered = Window.partitionBy("query_id").orderBy("term")
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
-    terms = terms.withColumn("t", F.row_number().over(numbered) - 1).withColumn("need", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
-    found = docs.select("doc_id", F.posexplode(tokens("text")).alias("pos", "term")).join(terms, "term").groupBy("query_id", "doc_id", "need")
-    places = found.agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("p")).where(F.size(F.array_distinct("p.t")) == F.col("need"))
-    last = "transform(a.last, (v, i) -> IF(i = p[n].t, n, v))"
-    fold = f"""aggregate(sequence(0, size(p) - 1), named_struct('last', array_repeat(-1, cast(need AS int)), 'begun', -1, 'score', 0.0D),
-      (a, n) -> IF(array_min({last}) > a.begun, named_struct('last', {last}, 'begun', array_min({last}), 'score', a.score + 0.1D / (1 + p[n].pos - p[array_min({last})].pos - (n - array_min({last})))),
-        named_struct('last', {last}, 'begun', a.begun, 'score', a.score))).score"""
-    scored = places.select("query_id", "doc_id", F.round(F.expr(fold), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def web_search(text: Column, query: str) -> Column:
     """Does a text match a web-style query: words are ANDed, ``or`` alternates, ``-`` excludes, quotes are phrases?
 
@@ -143,26 +110,6 @@ def web_search(text: Column, query: str) -> Column:
     return clause
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Any term may match: idf ln(1 + (N - df + 0.5) / (df + 0.5)), k1 1.2, b 0.75.
-
-    Only postings of query terms are counted; lengths come with them, so the corpus is tokenised once
-    and shuffled once, after counting each document's terms on the map side.
-    """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
-    wanted = terms.select("term").distinct()
-    sized = docs.select("doc_id", tokens("text").alias("t")).withColumn("dl", F.size("t"))
-    corpus = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("mean_dl"))
-    tf = sized.select("doc_id", "dl", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy(F.col("term").alias("d_term")).agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean_dl")))
-    hits = terms.join(tf, "term").join(df, F.col("term") == F.col("d_term")).join(F.broadcast(corpus), F.col("n_docs") >= 0)
-    scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def fuse(left: DataFrame, right: DataFrame, weight: float = 0.5, k: int = 10) -> DataFrame:
     """Weighted reciprocal-rank fusion of two rankings (query_id, item, rank): sum of w / (60 + rank).
 
@@ -297,6 +244,25 @@ def q_web(spark, sf):
     return table(spark, sf, "documents").where(hit).select("doc_id")
 
 
+def _web_queries(spark, sf):
+    """Web-style queries of the query set: a document's longest words, its first two words as a phrase, an alternative, an exclusion."""
+    asked = table(spark, sf, "documents").where(F.col("doc_id") % QUERY_STEP == 0).select(F.col("doc_id").alias("query_id"), tokens("text").alias("t"))
+    longest = F.array_sort(F.array_distinct("t"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    w = lambda n: F.coalesce(F.get("w", F.lit(n)), F.lit(""))
+    phrase = F.array_join(F.slice("t", 1, 2), " ")
+    query = F.concat(w(0), F.lit(' "'), phrase, F.lit('" OR '), w(1), F.lit(" "), w(2), F.lit(" -"), w(3))
+    return asked.withColumn("w", longest).where("size(t) >= 2 AND size(w) >= 4").select("query_id", query.alias("query"))
+
+
+def q_web_ranked(spark, sf):
+    """Documents that match web-style queries given as data, by cover density."""
+    return keyword_search(table(spark, sf, "documents"), _web_queries(spark, sf), k=10)
+
+
+def q_web_matches(spark, sf):
+    return keyword_search(table(spark, sf, "documents"), _web_queries(spark, sf), k=None).select("query_id", "doc_id")
+
+
 def q_bm25(spark, sf):
     return bm25(table(spark, sf, "documents"), _questions(spark, sf))
 
@@ -424,6 +390,13 @@ QUERIES = {
         f"""SELECT doc_id FROM (SELECT doc_id, ' ' || array_to_string({_T}, ' ') || ' ' AS j FROM documents)
         WHERE (contains(j, ' the ') AND NOT contains(j, ' of ') AND contains(j, ' in the ')) OR (contains(j, ' der ') AND contains(j, ' und die '))""",
     ),
+    "keyword_web_matches": (
+        q_web_matches,
+        f"""WITH d AS (SELECT doc_id, {_T} AS t FROM documents), j AS (SELECT doc_id, ' ' || array_to_string(t, ' ') || ' ' AS j FROM d),
+        q AS (SELECT doc_id AS query_id, t[1] || ' ' || t[2] AS p, list_transform(list_sort(list_transform(list_distinct(t), lambda x: {{'n': -length(x), 'w': x}})), lambda x: x.w) AS w FROM d WHERE doc_id % 20 = 0 AND len(t) >= 2)
+        SELECT query_id, doc_id FROM q, j WHERE len(w) >= 4 AND ((contains(j, ' ' || w[1] || ' ') AND contains(j, ' ' || p || ' ')) OR (contains(j, ' ' || w[2] || ' ') AND contains(j, ' ' || w[3] || ' ') AND NOT contains(j, ' ' || w[4] || ' ')))""",
+    ),
+    "keyword_web_ranked": (q_web_ranked, None),
     "bm25_topk": (q_bm25, f"SELECT * FROM {_bm25_sql(_ASK, 10)}"),
     "hybrid_rrf_topk": (q_hybrid, f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS rank FROM {_FUSED}) WHERE rank <= 10"),
     "retrieval_branch_counts": (q_branch_counts, f"SELECT query_id, count(vector_rank) AS vector_hits, count(keyword_rank) AS keyword_hits, count(*) FILTER (vector_rank IS NOT NULL AND keyword_rank IS NOT NULL) AS both, count(*) AS candidates FROM {_FUSED} GROUP BY 1"),
