@@ -11,12 +11,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.operators.nearest import vector_topk
 from lexiloom.operators.search import bm25, cover_density, keyword_search, match_all, tokens
 from lexiloom.session import table
 
 RRF = 60
-#: Query vectors that one pass broadcasts; more are searched in as many passes as it takes.
-QUERY_LIMIT = 1000
 #: Searches take as queries every row whose id is divisible by this.
 QUERY_STEP = 20
 
@@ -65,28 +64,6 @@ def validate_vectors(df: DataFrame, dims: int = 64) -> DataFrame:
     return df.withColumn("violations", bad)
 
 
-def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, cutoff: float | None = None) -> DataFrame:
-    """Exact cosine distances, the k least of each query; ties by vec_id.
-
-    The queries are a stated set; blocks of at most ``QUERY_LIMIT`` of them are broadcast in turn.
-    Each partition keeps its own best rows (the window's group limit) before the shuffle.
-    """
-    blocks = max(1, -(-queries.count() // QUERY_LIMIT))
-    q = queries.select(F.col("vec_id").alias("query_id"), doubles("embedding").alias("q"), norm(doubles("embedding")).alias("qn"))
-    c = corpus.select("vec_id", doubles("embedding").alias("v")).withColumn("vn", norm(F.col("v")))
-    scored = None
-    for nth in range(blocks):
-        block = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == nth)
-        part = c.join(F.broadcast(block), F.col("vec_id") >= F.lit(-(2**63))).select(
-            "query_id", "vec_id", (F.round(1 - dot("v", "q") / (F.col("vn") * F.col("qn")), 6) + 0.0).alias("distance")
-        )
-        scored = part if scored is None else scored.unionByName(part)
-    if cutoff is not None:
-        scored = scored.where(F.col("distance") <= cutoff)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def web_search(text: Column, query: str) -> Column:
     """Does a text match a web-style query: words are ANDed, ``or`` alternates, ``-`` excludes, quotes are phrases?
 
