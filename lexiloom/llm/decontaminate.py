@@ -29,7 +29,8 @@ and passages follow an item's class alone, so slicing changes no score and no re
 
 Edge cases: words are runs of letters, digits and underscores after lower-casing, so case,
 punctuation and white space do not matter; null and empty texts match nothing; empty items, and
-null ones, match nothing; repeated items are reported each; repeated documents too; an empty table
+null ones, match nothing; repeated items (same id and text) are indexed once and reported each; repeated
+documents too; an empty table
 on either side gives no rows. Only doc_id and text, item_id and text are read.
 """
 
@@ -336,7 +337,8 @@ def _words(items: DataFrame) -> DataFrame:
 
 def _indexes(docs: DataFrame, items: DataFrame, threshold: float):
     """Broadcast indexes of the items: one, or as many as keep each within ``INDEX_LIMIT``."""
-    rows = items.select("item_id", "text").where("text IS NOT NULL")
+    # Copies of one item are one row, so no slice grows with them.
+    rows = items.where("text IS NOT NULL").groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("copies"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices, whole, counts = max(1, -(-size // INDEX_LIMIT)), None, None
     if slices > 1:
@@ -347,7 +349,7 @@ def _indexes(docs: DataFrame, items: DataFrame, threshold: float):
         if slices > 1:
             used = counts.join(_words(part).select("term").distinct(), "term").toPandas()
             whole = Statistics(count, (total or 0) / max(1, count), used["term"].to_numpy(np.int64).view(np.uint64), used["n"].to_numpy())
-        items_of = [tuple(r) for r in part.orderBy("item_id", "text").collect()]
+        items_of = [((r.item_id, r.copies), r.text) for r in part.orderBy("item_id", "text").collect()]
         yield docs.sparkSession.sparkContext.broadcast(Index(items_of, threshold, whole))
     if counts is not None:
         discard(counts)
@@ -366,8 +368,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
                 ids = batch["doc_id"]
                 for at, items in index.value.matches(batch["text"].to_pylist()):
                     for (k, item), rest in sorted(items.items()):
-                        for column, value in zip(out, (ids[at].as_py(), index.value.members[k][item][0], *rest), strict=True):
-                            column.append(value)
+                        item_id, copies = index.value.members[k][item][0]
+                        for column, value in zip(out, (ids[at].as_py(), item_id, *rest), strict=True):
+                            column += [value] * copies
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
 
         ddl = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"

@@ -11,12 +11,12 @@ Normalisation and folding call the Unicode library that ships with Spark through
 The order of documents is that of a narrow table (id, length, fingerprint), range-partitioned by id and
 sorted within its partitions; where a partition ends, the next one's first row follows, found in a
 table of one row a partition. Dense and sparse ids are dealt alike. Only rows whose id is null or not
-unique bring their texts into that table, to be ordered by them. Texts are shuffled once, by key: each
+unique bring their texts into that table, and are ordered by digests of them. Texts are shuffled once, by key: each
 document's successor sends it the few code points it needs, and it is edited where its text is.
 
 Edge cases: a null text is empty; the empty text has a fingerprint like any other; equal texts
-(repeated rows too) have equal fingerprints; rows order by (doc_id, text) with null ids first, so
-the "next document" of ties is defined; the only document of a table is its own next; an empty
+(repeated rows too) have equal fingerprints; rows order by (doc_id, SHA-256 of the text) with null ids
+first, so the "next document" of ties is defined; the only document of a table is its own next; an empty
 table gives no rows. Only doc_id and text are read.
 """
 
@@ -67,11 +67,14 @@ def _parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         own = own.unionByName(tied.select("doc_id", F.length("text").cast("long").alias("n_chars"), *halves(canonical(F.col("text"))), "text"))
     # Equal rows in any number may be dealt to several partitions: their order does not matter.
     own = own.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(4096)))
-    own = materialize(own, "unordered")
-    ordered = own.repartitionByRange(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"), "salt").sortWithinPartitions("doc_id", "text", "salt")
+    own = unordered = materialize(own, "unordered")
+    # The keys, of which range partitioning collects a sample, are short: no text is among them.
+    own = own.withColumn("tie", F.sha2("text", 256))
+    keys = (F.asc_nulls_first("doc_id"), F.asc_nulls_first("tie"), "salt")
+    ordered = own.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("tie")
     ordered = ordered.withColumn("tied", F.col("text").isNotNull()).withColumn("at", F.monotonically_increasing_id())
     ordered = materialize(ordered.withColumn("key", F.when(F.col("tied"), F.col("at")).otherwise(F.col("doc_id").cast("long"))).drop("salt"), "ordered")
-    for done in (narrow, own):
+    for done in (narrow, unordered):
         discard(done)
     keyed = keyed.select(F.lit(False).alias("tied"), F.col("doc_id").cast("long").alias("key"), "text")
     if many:

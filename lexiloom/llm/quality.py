@@ -10,7 +10,9 @@ lines of bad documents that the model finds clearly good are relabelled, twice,
 often start with ordinary lines.
 
 The field is fitted on the whole texts of at most ``SAMPLE`` labelled documents of each label, the
-ones with the smallest hash of doc_id: the only bounded sample here. Scoring is one pass over whole
+ones with the smallest hash of doc_id, as long as they hold no more than ``SAMPLE_BYTES`` a label (the
+first one always counts): the only bounded sample here. Of repeated rows of one id the smallest text is
+taken. Scoring is one pass over whole
 texts without a shuffle. Labels, lang, source and doc_id are never features.
 
 Edge cases: a null or empty text, or one of white space only, scores 0 and is predicted 0; repeated
@@ -23,13 +25,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.arrays import word_hashes
 from lexiloom.session import table
 
-SAMPLE = 1500
+SAMPLE, SAMPLE_BYTES = 1500, 16 << 20
 CUT = 0.3
 _CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "mark": b"#$%&*!~^=+<>@_\\/{}[]", "bar": b"|",
             "stop": b".,;:?'\"()-", "space": b" \t\v\f\r"}
@@ -220,7 +222,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # At most 2 * sample rows of two numbers each.
     picked = docs.select(F.col("doc_id").alias("id"), "text").join(
         F.broadcast(chosen), F.col("id") == F.col("doc_id")
-    ).select("doc_id", "good", "text")
+    ).groupBy("doc_id", "good").agg(F.min("text").alias("text"))
+    # Windows over the sample alone.
+    before = Window.partitionBy(F.col("good") > 0).orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    held = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(before)
+    picked = picked.withColumn("held", held).withColumn("nth", F.count(F.lit(1)).over(before)).where((F.col("held") <= SAMPLE_BYTES) | (F.col("nth") == 1))
+    picked = picked.select("doc_id", "good", "text")
 
     def run(batches):
         for batch in batches:

@@ -7,12 +7,13 @@ A fingerprint's home is its one anchor within the covering radius; it is also re
 anchor within covering radius plus the half's threshold, 1 + 1 = 2 bits: 15 more. If two
 fingerprints differ in at most one bit of a half, the home of the first is within 2 bits of the
 second, so comparing each home with all members of its anchor finds every link. Candidates are
-verified on all 64 bits.
+verified on all 64 bits. The same anchors find all links at ``WIDER`` = 3 bits, since then too one of
+the halves differs in at most one bit; the pipeline uses this radius.
 
 Copies share one fingerprint and are one row here, whatever their number. Each anchor gives back
 the links of a spanning forest, at most one a member, never its pairs. A crowded anchor is
-compared through three 11-bit keys of the other half (one of them agrees between any two linked
-members), in blocks, so memory stays bounded.
+compared through keys of the other half, one more than the radius (one of them agrees between any two
+linked members), in blocks, so memory stays bounded.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from lexiloom.llm.components import connected_components
 from lexiloom.session import materialize, table
 
-RADIUS = 2
+RADIUS, WIDER = 2, 3
 SHINGLE = 3
 #: Members of an anchor above which it is compared through keys of the other half.
 CROWD = 512
@@ -66,15 +67,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """The rows with all their columns and their fingerprint as ``row_fp``."""
+def with_fingerprint(rows: DataFrame) -> DataFrame:
+    """The rows, given as structs ``row``, and their fingerprint as ``row_fp``."""
 
     def run(batches):
         for batch in batches:
-            fp = np.array([simhash(t.as_py()) for t in batch["text"]], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], [*batch.schema.names, "row_fp"])
+            fp = np.array([simhash(t.as_py()) for t in batch["row"].field("text")], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(fp)], ["row", "row_fp"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("row_fp", T.LongType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("row_fp", T.LongType())]))
 
 
 def _half(fp, which: int):
@@ -104,17 +105,17 @@ def replicas(reps: DataFrame) -> DataFrame:
     )
 
 
-def _close(fp: np.ndarray, home: np.ndarray):
-    """Blocks of index pairs (home, member) with at most RADIUS differing bits."""
+def _close(fp: np.ndarray, home: np.ndarray, radius: int):
+    """Blocks of index pairs (home, member) with at most ``radius`` differing bits."""
     homes = np.flatnonzero(home)
     step = max(1, (1 << 20) // max(1, len(fp)))
     for at in range(0, len(homes), step):
         part = homes[at : at + step]
-        i, j = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[None, :]) <= RADIUS)
+        i, j = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[None, :]) <= radius)
         yield part[i], j
 
 
-def _forest(fp: np.ndarray, home: np.ndarray, half: int) -> list[tuple[int, int]]:
+def _forest(fp: np.ndarray, home: np.ndarray, half: int, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Index pairs of a spanning forest of the links within one anchor."""
     parent = list(range(len(fp)))
 
@@ -134,20 +135,21 @@ def _forest(fp: np.ndarray, home: np.ndarray, half: int) -> list[tuple[int, int]
                     parent[max(x, y)] = min(x, y)
 
     if len(fp) <= CROWD:
-        join(_close(fp, home))
+        join(_close(fp, home, radius))
     else:
         rest = (fp >> np.uint64(32 * (1 - half))) & np.uint64(0xFFFFFFFF)
-        for shift, bits in ((0, 11), (11, 11), (22, 10)):
-            key = (rest >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+        cuts_at = [32 * n // (radius + 1) for n in range(radius + 2)]
+        for shift, upto in zip(cuts_at, cuts_at[1:], strict=False):
+            key = (rest >> np.uint64(shift)) & np.uint64((1 << (upto - shift)) - 1)
             order = np.argsort(key, kind="stable")
             cuts = np.flatnonzero(np.diff(key[order])) + 1
             for index in np.split(order, cuts):
                 if len(index) > 1:
-                    join(_close(fp[index], home[index]), index)
+                    join(_close(fp[index], home[index], radius), index)
     return [(x, root(x)) for x in range(len(fp)) if root(x) != x]
 
 
-def _links_of(batches):
+def _links_of(batches, radius: int = RADIUS):
     """Links of rows sorted by (half, anchor); an anchor may run over several batches."""
     rest: list = []  # batches of the anchor that may go on
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -161,7 +163,7 @@ def _links_of(batches):
         for g in np.flatnonzero(sizes > 1):
             s, e = cuts[g], cuts[g + 1]
             if home[s:e].any():
-                for x, y in _forest(fp[s:e], home[s:e], int(half[s])):
+                for x, y in _forest(fp[s:e], home[s:e], int(half[s]), radius):
                     a.append(int(ids[s + x]))
                     b.append(int(ids[s + y]))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
@@ -185,10 +187,12 @@ def _links_of(batches):
         yield emit(cols, len(cols[0]))
 
 
-def near_components(fps: DataFrame) -> DataFrame:
+def near_components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id of a table of fingerprints (doc_id, fp) that is cheap to reread."""
+    if radius > WIDER:
+        raise ValueError(f"the anchors find links of at most {WIDER} bits")
     reps = fps.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id IS NOT NULL")
-    links = replicas(reps).repartition("half", "anchor").sortWithinPartitions("half", "anchor").mapInArrow(_links_of, "a long, b long")
+    links = replicas(reps).repartition("half", "anchor").sortWithinPartitions("half", "anchor").mapInArrow(lambda batches: _links_of(batches, radius), "a long, b long")
     moved = connected_components(links)
     by_fp = (
         reps.join(moved, F.col("id") == F.col("node"), "left")
@@ -209,23 +213,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
+def one_of_each_group(docs: DataFrame, radius: int = WIDER) -> DataFrame:
     """The document with the smallest id of every group of near-duplicates, with all its columns.
 
     Of repeated rows of one id the smallest text stays; a row without an id stays if nothing in its
-    group has one.
+    group has one. Rows travel as one struct, so no column's name matters.
     """
-    found = near_components(materialize(fingerprints(docs), "fingerprints"))
+    found = near_components(materialize(fingerprints(docs), "fingerprints"), radius)
     gone = found.where("doc_id IS NOT NULL AND component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = kept.withColumn("nth_of_id", nth).where("nth_of_id = 1").drop("nth_of_id")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    kept = rows.where("row.doc_id IS NOT NULL").join(gone, F.col("row.doc_id") == F.col("gone_id"), "left_anti")
+    nth = F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text"))
+    kept = kept.withColumn("nth", nth).where("nth = 1").select("row")
     # Rows without an id, which are rare: one for each fingerprint that no document with an id is near.
     lone = found.where("doc_id IS NULL AND component_id IS NULL").select(F.col("fp").alias("lone_fp")).distinct()
-    unnamed = with_fingerprint(docs.where("doc_id IS NULL")).join(lone, F.col("row_fp") == F.col("lone_fp"), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("row_fp").orderBy("text"))
-    unnamed = unnamed.withColumn("nth_of_fp", nth).where("nth_of_fp = 1").select(*docs.columns)
-    return kept.unionByName(unnamed)
+    unnamed = with_fingerprint(rows.where("row.doc_id IS NULL")).join(lone, F.col("row_fp") == F.col("lone_fp"), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("row_fp").orderBy("row.text"))
+    unnamed = unnamed.withColumn("nth", nth).where("nth = 1").select("row")
+    return kept.unionByName(unnamed).select("row.*")
 
 
 def op10_simhash_components(spark, sf_dir):

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 
+from lexiloom.llm import decontaminate
 from lexiloom.llm.arrays import word_hashes
 from lexiloom.llm.decontaminate import K1, B, Index, find_leaks, normalized, op4_bm25_decontamination, without_leaks
 
@@ -128,3 +129,26 @@ def test_slices_of_the_benchmark_score_like_one_index(spark, monkeypatch):
     one = {(r.doc_id, r.item_id): round(r.score, 9) for r in find_leaks(docs, items).collect()}
     monkeypatch.setattr(decontaminate, "INDEX_LIMIT", sum(map(len, texts)) // 5)
     assert {(r.doc_id, r.item_id): round(r.score, 9) for r in find_leaks(docs, items).collect()} == one and len(one) > 20
+
+
+def test_copies_of_an_item_are_indexed_once_and_reported_each(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "INDEX_LIMIT", 200)
+    text = "What is the tallest mountain of the northern range? It is the grey peak above the long valley."
+    items = [(1, text)] * 50 + [(2, "Which river runs through the old town? The green one runs through it, slowly.")]
+    docs = spark.createDataFrame([(7, "Before. " + text + " After."), (8, "nothing of the kind is here")], "doc_id long, text string")
+    got = decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(7, 1)] * 50
+
+
+def test_edited_and_shortened_items_are_found(spark):
+    rng = random.Random(8)
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").orderBy("item_id").limit(200).collect() if len(r.text.split()) >= 12]
+    carriers = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) BETWEEN 300 AND 3000").orderBy("doc_id").limit(len(items)).collect()]
+    shares = {}
+    for name, keep in (("a tenth of the words changed", lambda w: [x if rng.random() > 0.1 else "changed" for x in w]), ("the last fifth cut off", lambda w: w[: -(len(w) // 5)]), ("each twelfth word dropped", lambda w: [x for n, x in enumerate(w) if n % 12])):
+        docs = [(n, f"{c} {' '.join(keep(t.split()))} {c}") for n, ((_, t), c) in enumerate(zip(items, carriers, strict=False))]
+        found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+        hit = {(r.doc_id, r.item_id) for r in found.collect()}
+        shares[name] = sum((n, items[n][0]) in hit for n in range(len(docs))) / len(docs)
+    print(shares)
+    assert min(shares.values()) >= 0.8 and shares["the last fifth cut off"] >= 0.95, shares

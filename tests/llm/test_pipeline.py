@@ -15,7 +15,7 @@ def test_stages_against_brute_force(spark):
     items = [" ".join(normalized(r.text).decode().split()) for r in table(spark, sf, "benchmark").collect()]
     scored = quality.score(docs, quality.train(docs, table(spark, sf, "labels"))).collect()
     good = {r.doc_id for r in scored if r.predicted}
-    component = plain_components([(d, plain_simhash(rows[d].text)) for d in sorted(good)])
+    component = plain_components([(d, plain_simhash(rows[d].text)) for d in sorted(good)], 3)
     single = {d for d in good if component[d] == d}
     clean = {d for d in single if not any(i in " ".join(normalized(rows[d].text).decode().split()) for i in items)}
     assert len(rows) > len(good) > len(single) > len(clean)

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 
+from lexiloom.llm import quality
 from lexiloom.llm.quality import fit, keep_good, line_features, marginals, op2_crf_quality, score, train
 
 
@@ -71,3 +72,15 @@ def test_very_long_text_and_very_long_line(spark):
     sf = "/root/testdata/sf0.01"
     model = train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
     assert sorted(r.doc_id for r in score(docs, model).collect()) == [1, 2]
+
+
+def test_repeated_rows_of_a_sampled_id_are_one_text(spark, monkeypatch):
+    good, bad = "A calm sentence about the house and its garden, which goes on. " * 4, "BUY NOW!!! $$$ 999 === CLICK >>> "
+    rows = [(n, good if n % 2 else bad) for n in range(60)]
+    labels = spark.createDataFrame([(n, n % 2) for n in range(60)], "doc_id long, quality int")
+    once = train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    often = train(spark.createDataFrame(rows + [rows[7], rows[8]] * 400, "doc_id long, text string"), labels)
+    assert (once.weights == often.weights).all()
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 3000)
+    fewer = train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert fewer.score([good])[0] > 0.5 > fewer.score([bad])[0]

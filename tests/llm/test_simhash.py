@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from lexiloom.llm.simhash import near_components, near_duplicates, simhash
+from lexiloom.llm.simhash import near_components, near_duplicates, one_of_each_group, simhash
 
 
 def plain_simhash(text):
@@ -15,7 +15,7 @@ def plain_simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
 
 
-def plain_components(fps):
+def plain_components(fps, radius=2):
     """{doc_id: component} by comparing everything with everything."""
     parent = {d: d for d, _ in fps}
 
@@ -26,7 +26,7 @@ def plain_components(fps):
 
     for i, (d, f) in enumerate(fps):
         for e, g in fps[i + 1 :]:
-            if bin(f ^ g).count("1") <= 2:
+            if bin(f ^ g).count("1") <= radius:
                 a, b = root(d), root(e)
                 parent[max(a, b)] = min(a, b)
     return {d: root(d) for d, _ in fps}
@@ -54,6 +54,7 @@ def test_components_match_brute_force(spark):
     df = spark.createDataFrame([(d, signed(f)) for d, f in fps], "doc_id long, fp long")
     got = {r.doc_id: r.component_id for r in near_components(df).collect()}
     assert got == plain_components(fps)
+    assert {r.doc_id: r.component_id for r in near_components(df, 3).collect()} == plain_components(fps, 3)
 
 
 def test_crowded_anchor_loses_no_link(spark):
@@ -61,8 +62,9 @@ def test_crowded_anchor_loses_no_link(spark):
     half = 0x12345678
     fps = [(i, rng.getrandbits(12) << 32 | half ^ (1 << rng.randrange(31))) for i in range(1500)]
     df = spark.createDataFrame([(d, signed(f)) for d, f in fps], "doc_id long, fp long")
-    got = {r.doc_id: r.component_id for r in near_components(df).collect()}
-    assert got == plain_components(fps)
+    for radius in (2, 3):
+        got = {r.doc_id: r.component_id for r in near_components(df, radius).collect()}
+        assert got == plain_components(fps, radius)
 
 
 def test_edge_rows(spark):
@@ -83,3 +85,12 @@ def test_documents_match_brute_force(spark):
     assert {r.doc_id: r.component_id for r in got} == want
     assert all(int(r.fingerprint, 16) == plain_simhash(t.text) for r in got for t in rows if t.doc_id == r.doc_id)
     assert np.unique([r.doc_id for r in got]).size == len(rows)
+
+
+def test_names_of_other_columns_do_not_matter(spark):
+    names = ["gone_id", "row_fp", "nth_of_id", "lone_fp", "nth", "row", "fp", "component_id", "f", "node", "a.b"]
+    rows = [(1, "a b c d"), (2, "a b c d"), (2, "x y z"), (None, "a b c d"), (None, "other words here now"), (None, "other words here now"), (4, None)]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], f"doc_id long, text string, {', '.join(f'`{n}` int' for n in names)}")
+    got = one_of_each_group(df)
+    assert got.columns == df.columns
+    assert sorted((str(r[0]), str(r[1])) for r in got.collect()) == [("1", "a b c d"), ("4", "None"), ("None", "other words here now")]
