@@ -94,13 +94,35 @@ def decide(wins, losses, least: int = 5):
 
 
 def _edits(reference: str, hypothesis: str) -> int:
-    """Fewest edits of ``reference`` into any part of ``hypothesis``; a row of the table is one vector step."""
-    h = np.array([ord(c) for c in hypothesis], dtype=np.int64)
-    at, row = np.arange(len(h) + 1), np.zeros(len(h) + 1, dtype=np.int64)
-    for i, c in enumerate(reference, 1):
-        best = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (h != ord(c)))))
-        row = np.minimum.accumulate(best - at) + at
-    return int(row.min())
+    """Fewest edits of ``reference`` into any part of ``hypothesis``.
+
+    A column of the table is two integers whose bits tell where it rises and falls from one character of the
+    reference to the next; a character of the hypothesis turns a column into the next by a few operations on
+    whole integers. Memory follows the reference's length alone. The first row stays zero and the least
+    value of the last row counts, so both ends of the hypothesis are free.
+    """
+    size = least = now = len(reference)
+    places: dict[str, int] = {}
+    for n, c in enumerate(dict.fromkeys(reference)):
+        if n > 256:
+            break
+        places[c] = int("".join("1" if x == c else "0" for x in reversed(reference)) or "0", 2)
+    rare = set(reference) - set(places)
+    if rare:  # many kinds of characters: their bits are set one by one
+        for n, x in enumerate(reference):
+            if x in rare:
+                places[x] = places.get(x, 0) | 1 << n
+    every, last = (1 << size) - 1, 1 << max(0, size - 1)
+    rises, falls = every, 0
+    for c in hypothesis:
+        same = places.get(c, 0)
+        diagonal = (((same & rises) + rises) ^ rises) | same
+        up, down = falls | (every & ~(diagonal | rises)), rises & diagonal
+        now += bool(up & last) - bool(down & last)
+        least = min(least, now)
+        up, down, level = up << 1 & every, down << 1 & every, same | falls
+        rises, falls = down | (every & ~(level | up)), up & level
+    return least
 
 
 def error_rate(df: DataFrame, by_line: bool = False) -> DataFrame:
