@@ -150,12 +150,41 @@ def with_provenance(decisions: DataFrame, sources: DataFrame) -> DataFrame:
     return kept.join(also, F.col("identity") == F.col("retained_identity"), "left").select("identity", F.array_join(F.coalesce("also_found", F.array()), ",").alias("also_found"))
 
 
-def distinct_items(items: DataFrame) -> DataFrame:
-    """Drops an item whose normalised text lies within a better-ranked one of the same query."""
-    clean = F.trim(F.regexp_replace("text", r"\s+", " "))
-    rows = items.withColumn("t", clean)
-    better = rows.select(F.col("query_id").alias("q"), F.col("rank").alias("r"), F.col("t").alias("whole"))
-    return rows.join(better, (F.col("query_id") == F.col("q")) & (F.col("r") < F.col("rank")) & F.col("whole").contains(F.col("t")), "left_anti").drop("t")
+def _word_runs(words, size: int):
+    """Distinct hashes of the runs of ``size`` words."""
+    starts = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)])))
+
+
+def distinct_items(items: DataFrame, run: int = 3) -> DataFrame:
+    """Drops an item whose normalised text lies within a better-ranked one of the same query.
+
+    Wherever a text lies, all its words but the outer ones are words there. So of each text one run of inner words,
+    the rarest among its query's items, is joined with the runs of all others (one inner word, if it has
+    no more), and only what shares it is compared. Texts of one or two words are searched in their query's
+    other texts. Equal texts are one, whatever their number.
+    """
+    rows = items.withColumn("t", F.trim(F.regexp_replace("text", r"\s+", " ")))
+    texts = rows.groupBy("query_id", "t").agg(F.min("rank").alias("r")).withColumn("id", F.monotonically_increasing_id())
+    texts = materialize(texts.withColumn("w", F.split("t", " ")), "texts")
+    inner = F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))
+    size = F.when(F.size(inner) >= run, run).when(F.size(inner) > 0, 1)
+    held = texts.select("query_id", "id", "r", F.explode(F.array(F.lit(1), F.lit(run))).alias("n"), "w")
+    held = held.select("query_id", "id", "r", "n", F.explode(F.when(F.col("n") == 1, _word_runs(F.col("w"), 1)).otherwise(_word_runs(F.col("w"), run))).alias("h"))
+    counts = held.groupBy("query_id", "n", "h").agg(F.count(F.lit(1)).alias("texts"))
+    own = texts.withColumn("n", size).withColumn("inner", inner).select("query_id", "id", "n", F.explode(F.when(F.col("n") == 1, _word_runs(F.col("inner"), 1)).otherwise(_word_runs(F.col("inner"), run))).alias("h"))
+    rare = own.join(counts, ["query_id", "n", "h"]).groupBy("query_id", F.col("id").alias("a")).agg(F.min(F.struct("texts", "n", "h")).alias("m")).select("query_id", "a", "m.n", "m.h")
+    pairs = rare.join(held, ["query_id", "n", "h"]).where("a <> id").select("a", F.col("id").alias("b"))
+    left, right = texts.select(F.col("id").alias("a"), "t"), texts.select(F.col("id").alias("b"), F.col("t").alias("whole"), "r")
+    within = pairs.join(left, "a").join(right, "b").where(F.col("whole").contains(F.col("t"))).select("a", "r")
+    few = texts.where(F.size("w") <= 2).select("query_id", F.col("id").alias("a"), "t")
+    other = texts.select(F.col("query_id").alias("q"), F.col("t").alias("whole"), "r")
+    within = within.unionByName(few.join(other, (F.col("query_id") == F.col("q")) & F.col("whole").contains(F.col("t"))).select("a", "r"))
+    best = texts.select(F.col("id").alias("a"), "r").unionByName(within).groupBy("a").agg(F.min("r").alias("best"))
+    best = best.join(texts.select(F.col("id").alias("a"), F.col("query_id").alias("q"), F.col("t").alias("of")), "a")
+    # A row goes if its text, or one that holds it, has a better rank.
+    kept = rows.join(best.select("q", "of", "best"), (F.col("query_id") == F.col("q")) & (F.col("t") == F.col("of")))
+    return kept.where(F.col("best") >= F.col("rank")).drop("t", "q", "of", "best")
 
 
 def exact_dedup_documents(spark, sf_dir):

@@ -33,6 +33,11 @@ PATTERNS = (
     ("api_secret", "slack_token", r"(?<![A-Za-z0-9])xox[baprs]-[A-Za-z0-9-]{16,}(?![A-Za-z0-9])", 0),
     ("api_secret", "assigned_secret", r"(?i)(?:api[_-]?key|access[_-]?token|secret|password)\s*[:=]\s*[\"']?([A-Za-z0-9_./+=-]{7,}[A-Za-z0-9_+=])", 1),
 )
+#: Detectors whose matches hold digits and these signs only, and the runs that such matches lie within.
+NUMERIC = ("luhn", "us_ssn", "aadhaar", "ipv4", "phone")
+_NUMBERS = re.compile(r"[+(]{0,2}\d[\d .()+\-]{5,}")
+#: What a text must hold for other detectors to match.
+_SIGNS = {"email": ("@",), "openai_key": ("sk-",), "aws_access_key": ("AKIA",), "github_token": tuple(f"gh{c}_" for c in "pousr"), "slack_token": ("xox",)}
 _COMPILED = tuple((c, d, re.compile(p), g) for c, d, p, g in PATTERNS)
 
 
@@ -87,12 +92,29 @@ def _check(detector: str, value: str) -> bool:
     return True
 
 
+def _may_hold(detector: str, text: str) -> bool:
+    """A quick look that never says no to a text with a match."""
+    if detector in _SIGNS:
+        return any(sign in text for sign in _SIGNS[detector])
+    if detector == "ipv6":
+        return text.count(":") > 1
+    if detector == "assigned_secret":  # the long s folds to s, but lower() leaves it
+        return ("=" in text or ":" in text) and ("\u017f" in text or any(w in low for low in (text.lower(),) for w in ("key", "token", "secret", "password")))
+    return True
+
+
 def findings(text: str, classes=CLASSES) -> list[tuple[int, int, str, str]]:
     """(start, end, class, detector) in order: of overlapping matches the earliest, then by class order, length and detector."""
-    found = []
+    found, runs = [], None
     for cls, detector, pattern, group in _COMPILED:
-        if cls in classes:
-            found += [(*m.span(group), cls, detector) for m in pattern.finditer(text) if _check(detector, m[group])]
+        if cls not in classes or not _may_hold(detector, text):
+            continue
+        if detector in NUMERIC:
+            runs = [(m.start(), m.end()) for m in _NUMBERS.finditer(text)] if runs is None else runs
+            matches = (m for s, e in runs for m in pattern.finditer(text, s, e + 1))
+        else:
+            matches = pattern.finditer(text)
+        found += [(*m.span(group), cls, detector) for m in matches if _check(detector, m[group])]
     found.sort(key=lambda f: (f[0], CLASSES.index(f[2]), f[0] - f[1], f[3]))
     out, past = [], 0
     for f in found:
