@@ -81,7 +81,7 @@ def embedding_text(path: Column, text: Column) -> Column:
 
 _SPANS = "array<struct<block:bigint,block_start:bigint,block_end:bigint,chunk_start:bigint,chunk_end:bigint>>"
 _CHUNKS = (
-    "doc_id long, ordinal long, role string, parent_ordinal long, page long, heading_path array<string>, text string, token_count long, "
+    "doc_id long, ordinal long, role string, parent_ordinal long, page long, heading_path array<string>, text string, search string, token_count long, "
     f"findings array<string>, spans {_SPANS}"
 )
 #: What the chunkers take: a row a document with all its blocks in order.
@@ -98,22 +98,34 @@ def gathered(blocks: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "lone").agg(F.array_sort(F.collect_list("b")).cast(BLOCKS).alias("blocks")).select("doc_id", "blocks")
 
 
-def _chunked(docs: DataFrame, limits: Limits, within: Limits | None) -> DataFrame:
+def _chunked(docs: DataFrame, limits: Limits, within: Limits | None, with_rows: bool) -> DataFrame:
     """Chunks of documents (doc_id, blocks), where the document is: nothing is shuffled."""
 
     def chunks_of(doc_id, blocks):
         line, rows = Line(blocks), []
+        waiting = line.row_passages(limits.most) if with_rows else {}
 
-        def add(parts, role, up):
-            page = page_of(parts)
+        def add(parts, role, up, search=None):
+            page, text = page_of(parts), line.text_of(parts)
             findings = [p.finding for p in parts if p.finding][:100]
-            rows.append((doc_id, len(rows), role, up, page[0] if page else None, path_of(parts), line.text_of(parts), line.joined(parts), findings, line.spans(parts)))
+            rows.append((doc_id, len(rows), role, up, page[0] if page else None, path_of(parts), text, text if search is None else search, line.joined(parts), findings, line.spans(parts)))
+
+        def add_rows(parts, up):
+            """The rows whose lines start within these parts, each once."""
+            for p in parts:
+                mine = [x for x in waiting.get(p.block, ()) if any(s <= x[0] < e for s, e in p.ranges)]
+                for place, passage, search in mine:
+                    add([passage], "row", up, search)
+                if mine:
+                    waiting[p.block] = [x for x in waiting[p.block] if x not in mine]
 
         for stretches in line.chunks(sections_of(line.parts(limits.most)), within or limits):
-            add([p for stretch in stretches for p in stretch], "parent" if within else "passage", None)
-            up = len(rows) - 1
+            parts = [p for stretch in stretches for p in stretch]
+            add(parts, "parent" if within else "passage", None)
+            up = len(rows) - 1 if within else None
             for inner in line.chunks(stretches, limits) if within else ():
                 add([p for stretch in inner for p in stretch], "child", up)
+            add_rows(parts, up)
         return rows
 
     def packed(rows):
@@ -129,7 +141,7 @@ def _chunked(docs: DataFrame, limits: Limits, within: Limits | None) -> DataFram
                 if end > start:
                     found = chunks_of(doc_id, list(zip(*(f[start:end] for f in fields), strict=True)))
                     held += found
-                    size += sum(r[7] for r in found)
+                    size += sum(r[8] for r in found)
                 if size > HELD:
                     yield packed(held)
                     held, size = [], 0
@@ -138,27 +150,31 @@ def _chunked(docs: DataFrame, limits: Limits, within: Limits | None) -> DataFram
 
     text, number, words = pa.string(), pa.int64(), pa.list_(pa.string())
     spans = pa.list_(pa.struct([(c, pa.int64()) for c in ("block", "block_start", "block_end", "chunk_start", "chunk_end")]))
-    schema = pa.schema([("doc_id", number), ("ordinal", number), ("role", text), ("parent_ordinal", number), ("page", number), ("heading_path", words), ("text", text),
+    schema = pa.schema([("doc_id", number), ("ordinal", number), ("role", text), ("parent_ordinal", number), ("page", number), ("heading_path", words), ("text", text), ("search", text),
                         ("token_count", number), ("findings", words), ("spans", spans)])
     return docs.select("doc_id", F.col("blocks").cast(BLOCKS).alias("blocks")).mapInArrow(run, _CHUNKS)
 
 
-def section_chunks(docs: DataFrame, target: int = 600, most: int = 800, overlap: int = 80) -> DataFrame:
+def section_chunks(docs: DataFrame, target: int = 600, most: int = 800, overlap: int = 80, rows: bool = False) -> DataFrame:
     """Sections of documents (doc_id, blocks) packed to a byte budget with an overlap, short ones joined.
 
+    With ``rows``, the passages of a table's rows (role ``row``) follow the chunk that holds their row; what is
+    searched of them is ``search``, which is the text itself for all others.
+
     Every chunk says which characters of which blocks it holds (``spans``; blocks by their ordinal). Null and
     empty arrays, and blocks without text, give no chunks; repeated rows give equal chunks.
     """
-    return _chunked(docs, Limits(target, most, overlap), None)
+    return _chunked(docs, Limits(target, most, overlap), None, rows)
 
 
-def parent_child_chunks(docs: DataFrame, child=(240, 320, 40), parent=(900, 1200)) -> DataFrame:
+def parent_child_chunks(docs: DataFrame, child=(240, 320, 40), parent=(900, 1200), rows: bool = False) -> DataFrame:
     """Small children for search within larger parents, which answers are given.
 
     Blocks are cut at the children's most; parents are packed from these parts, and children from the
-    stretches of sections within a parent, short ones joined as between sections.
+    stretches of sections within a parent, short ones joined as between sections. With ``rows``, the passages
+    of table rows follow the children of the parent that holds them.
     """
-    return _chunked(docs, Limits(*child), Limits(*parent))
+    return _chunked(docs, Limits(*child), Limits(*parent), rows)
 
 
 def passages_beyond(chunks: DataFrame, limit: int = EMBED_LIMIT) -> DataFrame:
@@ -315,6 +331,21 @@ def q_section_chunks(spark, sf):
     return _chunk_rows(section_chunks(with_blocks(table(spark, sf, "documents"))))
 
 
+def _with_tables(spark, sf):
+    """Documents as a heading and a table: words of their lines as cells of three columns, with a title and label rows."""
+    cells = lambda x, i: F.when(i == 0, F.concat(F.element_at(x, 1), F.lit(" |  | "))).when(i % 6 == 3, F.concat(F.element_at(x, 1), F.lit(" |  | "))).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.coalesce(F.get(x, k - 1), F.lit(""))), " | "))
+    lines = F.transform(F.split("text", "\n"), lambda line: F.slice(F.split(line, " "), 1, 3))
+    body = F.array_join(F.transform(lines, cells), "\n")
+    block = lambda n, text, kind: F.struct(F.lit(n).cast("long").alias("ordinal"), text.alias("text"), F.array("source").alias("path"), F.lit(None).cast("long").alias("page"), F.lit(kind).alias("kind"))
+    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.array(block(0, F.col("source"), "heading"), block(1, body, "table")).alias("blocks"))
+
+
+def q_row_chunks(spark, sf):
+    """Chunks of tables with the passages of their rows behind them, in the document's order."""
+    found = section_chunks(_with_tables(spark, sf), rows=True)
+    return found.select("doc_id", "ordinal", "role", "token_count", F.sha2("text", 256).alias("text_sha256"), F.sha2("search", 256).alias("search_sha256"))
+
+
 def q_parent_child(spark, sf):
     return _chunk_rows(parent_child_chunks(with_blocks(table(spark, sf, "documents"))))
 
@@ -437,6 +468,7 @@ QUERIES = {
     ),
     "section_token_chunks": (q_section_chunks, None),
     "parent_child_chunks": (q_parent_child, None),
+    "chunks_with_row_passages": (q_row_chunks, None),
     "child_parent_lookup": (q_parent_text, None),
     "passage_size_gate": (q_passage_gate, None),
     "passage_token_distribution": (q_passage_tokens, None),

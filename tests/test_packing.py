@@ -131,6 +131,24 @@ def test_tables_are_cut_between_rows_under_their_header():
     assert [len(c) for c in line_of("- a list item", "- more").fill(line_of("- a list item", "- more").parts(50), Limits(9, 50))] == [2]
 
 
+def test_rows_have_passages_with_title_labels_and_header():
+    text = "A title |  | \nname | year | n\nNORTH |  | \nAND EAST |  | \nOslo | 1950 | \n |  | \nBergen |  | 7\nLAST |  | "
+    line = line_of(text, "x | y\n1 | 2", "no table", kind="table")
+    found = line.row_passages(400)
+    assert list(found) == [0, 1]
+    assert [s for *_, s in found[0]] == ["A title. NORTH AND EAST. name: Oslo; year: 1950", "A title. NORTH AND EAST. name: Bergen; n: 7", "LAST"]
+    assert [s for *_, s in found[1]] == ["LAST. x: 1; y: 2"]  # a label goes on in the next table of the same heading
+    head = "A title |  | \nname | year | n\n"
+    assert line.text_of([found[0][0][1]]) == head + "NORTH |  | \nAND EAST |  | \nOslo | 1950 | \n"
+    assert line.text_of([found[0][1][1]]) == head + "NORTH |  | \nAND EAST |  | \nBergen |  | 7\n" and line.text_of([found[0][2][1]]) == head + "LAST |  | "
+    assert line.text_of([line_of(text, kind="table").row_passages(60)[0][0][1]]) == "NORTH |  | \nAND EAST |  | \nOslo | 1950 | \n"  # the header does not fit
+    ruled = line_of("| a | b |\n| --- | --- |\n| 1 | 2 |\n|  | 3 |", kind="table").row_passages(100)
+    assert [s for *_, s in ruled[0]] == ["a: 1; b: 2", "b: 3"]
+    for none in ("a | b", "a | b\n1 | 2 | 3", "a | b\n" + "w" * 200 + " | 2"):
+        assert line_of(none, kind="table").row_passages(100) == {}
+    assert line_of("a | b\n1 | 2").row_passages(100) == {}
+
+
 _SCHEMA = "doc_id long, ordinal long, text string, path array<string>, page long, kind string"
 
 
@@ -212,3 +230,22 @@ def test_strict_scan_of_tables(spark):
     rows = spark.createDataFrame([(1, 0, ["a", "b"]), (1, 1, ["c", "d"]), (2, 0, ["a", "b"]), (2, 1, ["c"]), (3, 0, ["x"] * 1001)], "doc_id long, row long, cells array<string>")
     assert {r.doc_id: r.violation for r in delimited.scan_tables(rows).collect()} == {1: None, 2: "malformed_table", 3: "table_limit"}
     assert delimited.header_error(["question"]) is None and delimited.header_error(["reference_answer"]) == "header"
+
+
+def test_rows_follow_the_chunk_that_holds_them(spark):
+    table = "name | n\n" + "".join(f"row {n} | {n * n}\n" for n in range(60))
+    rows = [(1, 0, "Heading", ["h"], 0, "heading"), (1, 1, table, ["h"], 0, "table"), (1, 2, "A closing paragraph. " * 30, ["h"], 0, "paragraph")]
+    docs = gathered(spark.createDataFrame(rows, _SCHEMA))
+    got = section_chunks(docs, rows=True).orderBy("ordinal").collect()
+    plain = section_chunks(docs).orderBy("ordinal").collect()
+    assert [r.text for r in got if r.role == "passage"] == [r.text for r in plain] and [r.ordinal for r in got] == list(range(len(got)))
+    found = [r for r in got if r.role == "row"]
+    assert [r.search for r in found] == [f"name: row {n}; n: {n * n}" for n in range(60)] and all(r.text.startswith("name | n\nrow") for r in found)
+    above = None
+    for r in got:
+        above = r if r.role == "passage" else above
+        assert r.role == "passage" or r.text.split("\n")[1] in above.text
+        assert all(rows[x.block][2][x.block_start : x.block_end] == r.text[x.chunk_start : x.chunk_end] for x in r.spans)
+    family = parent_child_chunks(docs, rows=True).collect()
+    parents = {r.ordinal: r for r in family if r.role == "parent"}
+    assert sum(r.role == "row" for r in family) == 60 and all(r.text.split("\n")[1] in parents[r.parent_ordinal].text for r in family if r.role == "row")
