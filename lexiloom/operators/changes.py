@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.operators.components import components
@@ -186,10 +186,26 @@ def q_retain(spark, sf, keep: int = 3):
 
 def q_redact_expired(spark, sf):
     """Old orders keep their row but lose their customer and price."""
-    old = F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp")
+    old = F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp")
     return table(spark, sf, "orders").select("o_orderkey", F.when(~old, F.col("o_custkey")).alias("o_custkey"), F.when(~old, F.round("o_totalprice", 2)).alias("o_totalprice"), old.alias("redacted"))
 
 
+def retention_batch(rows: DataFrame, expires: str, key: str, done: Column, size: int = 50) -> DataFrame:
+    """The next rows that retention takes: expired and not ``done``, the oldest ``size`` first, ties by key.
+
+    The bound is the feature: a run of retention touches no more rows. Null expiries never come.
+    """
+    return rows.where(F.col(expires).isNotNull() & ~done).orderBy(expires, key).limit(size)
+
+
+def q_retention(spark, sf):
+    """Two runs of retention over finished old orders: the second takes up where the first ended."""
+    old = table(spark, sf, "orders").where((F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp")) & (F.col("o_orderstatus") == "F")).select("o_orderkey", "o_orderdate")
+    first = retention_batch(old, "o_orderdate", "o_orderkey", F.lit(False)).withColumn("run", F.lit(1))
+    taken = old.join(F.broadcast(first.select(F.col("o_orderkey").alias("t"))), F.col("o_orderkey") == F.col("t"), "left_anti")  # at most a batch
+    return first.unionByName(retention_batch(taken, "o_orderdate", "o_orderkey", F.lit(False)).withColumn("run", F.lit(2))).select("o_orderkey", "run")
+
+
 def q_carry(spark, sf):
     """Last good items of failed sources, split by whether their configuration is current."""
     before, after = _snapshots(spark, sf)
@@ -328,7 +344,11 @@ QUERIES = {
     ),
     "frontier_status_counts": (q_frontier, "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1"),
     "retention_beyond_newest": (q_retain, "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders WHERE o_orderstatus = 'F') WHERE n > 3"),
-    "redact_expired": (q_redact_expired, "SELECT o_orderkey, CASE WHEN o_orderdate >= '1995-01-01' THEN o_custkey END AS o_custkey, CASE WHEN o_orderdate >= '1995-01-01' THEN round(o_totalprice, 2) END AS o_totalprice, o_orderdate < '1995-01-01' AS redacted FROM orders"),
+    "redact_expired": (q_redact_expired, "SELECT o_orderkey, CASE WHEN o_orderdate >= '1997-01-01' THEN o_custkey END AS o_custkey, CASE WHEN o_orderdate >= '1997-01-01' THEN round(o_totalprice, 2) END AS o_totalprice, o_orderdate < '1997-01-01' AS redacted FROM orders"),
+    "retention_batches": (
+        q_retention,
+        "SELECT o_orderkey, CAST((n - 1) // 50 + 1 AS INT) AS run FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_orderdate < '1997-01-01' AND o_orderstatus = 'F') WHERE n <= 100",
+    ),
     "carry_forward": (q_carry, f"SELECT item, CASE WHEN lang = 'es' THEN 'stale' ELSE 'current' END AS carried FROM {_BEFORE} WHERE source IN ('src1', 'src2') AND item NOT IN (SELECT item FROM {_AFTER} WHERE lang = 'en')"),
     "source_outcomes": (
         q_source_outcomes,

@@ -189,6 +189,10 @@ def _run_hashes(words, first, last):
     return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(RUN)])))
 
 
+#: Items of one or two words that are searched in every text at a time.
+SHORT_ITEMS = 1000
+
+
 def rank_by_runs(docs: DataFrame, items: DataFrame, top: int = 5) -> DataFrame:
     """The ``top`` documents of each item (query_id, text) by shared word runs, then by length and doc_id.
 
@@ -203,9 +207,18 @@ def rank_by_runs(docs: DataFrame, items: DataFrame, top: int = 5) -> DataFrame:
     asked = items.select("query_id", _clean(F.col("text")).alias("phrase")).withColumn("w", F.split("phrase", " "))
     inner = asked.select("query_id", F.explode(_run_hashes(F.col("w"), F.lit(1), F.size("w") - 2)).alias("run"))
     shared = runs.join(inner, "run").groupBy("query_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("shared"))
-    few = asked.where(F.size("w") < RUN + 2).select("query_id", "phrase")
     plain = docs.select("doc_id", F.length("text").alias("n"), _clean(F.col("text")).alias("t"))
-    shared = shared.unionByName(plain.join(F.broadcast(few), F.col("t").contains(F.col("phrase"))).select("query_id", "doc_id", "n", F.lit(1).cast("long").alias("shared")))
+    one = lambda rows: rows.select("query_id", "doc_id", "n", F.lit(1).cast("long").alias("shared"))
+    # Items of three or four words: their second word stands whole in every text that holds them.
+    short = asked.where((F.size("w") > 2) & (F.size("w") < RUN + 2)).select("query_id", "phrase", F.element_at("w", 2).alias("word"))
+    meets = plain.withColumn("word", F.explode(F.array_distinct(F.split("t", " ")))).join(short, "word").where(F.col("t").contains(F.col("phrase")))
+    # Items of one or two words may lie within words: they are searched in every text, a block at a time.
+    least = asked.where(F.size("w") <= 2).select("query_id", "phrase")
+    shared = shared.unionByName(one(meets))
+    blocks = -(-least.count() // SHORT_ITEMS)
+    for nth in range(blocks):
+        block = F.broadcast(least.where(F.pmod(F.xxhash64("query_id", "phrase"), F.lit(blocks)) == nth))  # about SHORT_ITEMS short phrases
+        shared = shared.unionByName(one(plain.join(block, F.col("t").contains(F.col("phrase")))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("shared"), "n", "doc_id"))
     best = shared.withColumn("rank", rank).where(F.col("rank") <= top)
     return best.withColumnRenamed("doc_id", "b_id").join(docs, F.col("b_id").eqNullSafe(F.col("doc_id"))).select("query_id", "doc_id", "text", "rank")

@@ -70,8 +70,10 @@ def q_hourly_limit(spark, sf):
 def q_queue(spark, sf):
     """Queue depth caps for a user, an event type and all, by conditional counts of open events."""
     open_events = table(spark, sf, "events").where("event_type <> 'purchase'").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
-    per_type = F.sum("n").over(Window.partitionBy("event_type"))
-    return open_events.withColumn("type_n", per_type).select("event_type", "user_id", "n", (F.col("n") > 15).alias("user_over"), (F.col("type_n") > 1000).alias("type_over"))
+    per_type = open_events.groupBy(F.col("event_type").alias("t")).agg(F.sum("n").alias("type_n"))
+    rows = open_events.join(per_type, F.col("event_type") == F.col("t")).join(F.broadcast(open_events.agg(F.sum("n").alias("all_n"))))  # one row
+    reason = F.when(F.col("n") > 15, "user").when(F.col("type_n") > 1000, "type").when(F.col("all_n") > 6000, "all")
+    return rows.select("event_type", "user_id", "n", (F.col("n") > 15).alias("user_over"), (F.col("type_n") > 1000).alias("type_over"), (F.col("all_n") > 6000).alias("all_over"), reason.alias("refused_by"))
 
 
 def q_day(spark, sf):
@@ -158,7 +160,7 @@ _STATUS = f"(SELECT state, count(event_id) AS n FROM {_STATES} LEFT JOIN events
 QUERIES = {
     "requests_per_minute_over_limit": (q_per_minute, "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS requests FROM events GROUP BY 1, 2 HAVING count(*) > 1"),
     "hourly_shared_limit": (q_hourly_limit, "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, count(*) * 2 > 10 AS over FROM events GROUP BY 1, 2"),
-    "queue_depth_caps": (q_queue, "SELECT event_type, user_id, n, n > 15 AS user_over, sum(n) OVER (PARTITION BY event_type) > 1000 AS type_over FROM (SELECT event_type, user_id, count(*) AS n FROM events WHERE event_type <> 'purchase' GROUP BY 1, 2)"),
+    "queue_depth_caps": (q_queue, "SELECT *, CASE WHEN user_over THEN 'user' WHEN type_over THEN 'type' WHEN all_over THEN 'all' END AS refused_by FROM (SELECT event_type, user_id, n, n > 15 AS user_over, sum(n) OVER (PARTITION BY event_type) > 1000 AS type_over, sum(n) OVER () > 6000 AS all_over FROM (SELECT event_type, user_id, count(*) AS n FROM events WHERE event_type <> 'purchase' GROUP BY 1, 2))"),
     "daily_budget": (q_day, _BUCKET.format("day")),
     "monthly_budget": (q_month, _BUCKET.format("month")),
     "reserved_without_released": (q_reserved, "SELECT user_id AS owner, round(coalesce(sum(value) FILTER (event_type NOT IN ('purchase', 'error')), 0), 4) AS reserved FROM events GROUP BY 1"),

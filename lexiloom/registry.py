@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("operators.dedup", "operators.blocks", "operators.gates", "operators.sensitive", "operators.chunks", "operators.retrieval", "operators.evaluation", "operators.usage", "operators.changes", "sources.urls", "sources.linkgraph", "sources.markup", "sources.delimited", "streaming.events", "streaming.leases", "streaming.buckets", "sources.pagestore")
+MODULES = ("operators.dedup", "operators.blocks", "operators.gates", "operators.sensitive", "operators.chunks", "operators.batching", "operators.retrieval", "operators.evaluation", "operators.usage", "operators.changes", "sources.urls", "sources.linkgraph", "sources.markup", "sources.delimited", "streaming.events", "streaming.leases", "streaming.buckets", "sources.pagestore")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
