@@ -208,7 +208,15 @@ def sitemap(rows: DataFrame) -> DataFrame:
 
 
 def q_canonical(spark, sf):
-    return table(spark, sf, "pages").select("page_id", canonical_url("url").alias("c")).select("page_id", "c.url", "c.violation")
+    """The pages' URLs in six spellings: capitals, a default port, dots in the path, another scheme, credentials, and as they are."""
+    scheme, rest = F.regexp_extract("url", "^(https?)://", 1), F.regexp_extract("url", "^https?://(.*)$", 1)
+    host, path = F.regexp_extract(rest, "^([^/?#]*)", 1), F.regexp_extract(rest, "^[^/?#]*(.*)$", 1)
+    way = F.col("page_id") % 6
+    spelled = (
+        F.when(way == 0, F.concat(F.upper(scheme), F.lit("://"), F.upper(host), path)).when(way == 1, F.concat(scheme, F.lit("://"), host, F.when(scheme == "http", ":80").otherwise(":443"), path))
+        .when(way == 2, F.concat(scheme, F.lit("://"), host, F.lit("/x/./y/../.."), path)).when(way == 3, F.concat(F.lit("ftp://"), rest)).when(way == 4, F.concat(scheme, F.lit("://me:pw@"), rest)).otherwise(F.col("url"))
+    )
+    return table(spark, sf, "pages").select("page_id", canonical_url(spelled).alias("c")).select("page_id", "c.url", "c.violation")
 
 
 def q_origin(spark, sf):
@@ -236,7 +244,11 @@ def q_links(spark, sf):
 
 
 def q_identity(spark, sf):
-    return page_identity(table(spark, sf, "pages")).select("page_id", "canonical", F.sha2("visible", 256).alias("visible_sha256"))
+    """Every second page names a canonical page of its own host, its attributes in either order."""
+    to = F.concat(F.regexp_extract("url", "^(https?://[^/?#]+)", 1), F.lit("/c/"), F.col("page_id").cast("string"))
+    link = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit('<link rel="canonical" href="'), to, F.lit('">'))).when(F.col("page_id") % 4 == 2, F.concat(F.lit("<LINK href='"), to, F.lit("' rel='canonical'/>"))).otherwise("")
+    pages = table(spark, sf, "pages").withColumn("html", F.regexp_replace("html", "^(.*?<head>)", F.concat(F.lit("$1"), link)))
+    return page_identity(pages).select("page_id", "canonical", F.sha2("visible", 256).alias("visible_sha256"))
 
 
 def q_sections(spark, sf):
@@ -249,7 +261,7 @@ def q_sections(spark, sf):
 
 def q_robots(spark, sf):
     """Rules made of each page's language; the group's blank line must not end it."""
-    rules = F.concat(F.lit("Crawl-delay: 3\nUser-agent: *\n\nDisallow: /"), F.regexp_extract("url", r"://[^/?#]+/([^/?#]*)", 1), F.lit("/1\n"))
+    rules = F.concat(F.lit("User-agent: other\nCrawl-delay: 9\n\nUser-agent: *\n\nCrawl-delay: "), (F.col("page_id") % 5).cast("string"), F.lit("\nDisallow: /"), F.regexp_extract("url", r"://[^/?#]+/([^/?#]*)", 1), F.lit("/1\n"))
     return robots_allow(table(spark, sf, "pages").withColumn("robots", rules)).select("page_id", "rule.allowed", "rule.delay")
 
 
@@ -265,7 +277,11 @@ _TRACK = """(SELECT page_id, url, CASE WHEN NOT contains(url, '?') THEN url ELSE
   FROM (SELECT page_id, url, array_to_string(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda s: NOT (starts_with(lower(string_split(s, '=')[1]), 'utm_') OR lower(string_split(s, '=')[1]) IN ('ref', 'fbclid', 'gclid'))), '&') AS q FROM pages))"""
 
 QUERIES = {
-    "canonical_urls": (q_canonical, "SELECT page_id, regexp_replace(url, '#.*$', '') AS url, CAST(NULL AS VARCHAR) AS violation FROM pages"),
+    "canonical_urls": (
+        q_canonical,
+        """SELECT page_id, CASE WHEN page_id % 6 IN (3, 4) THEN NULL ELSE regexp_replace(url, '#.*$', '') END AS url,
+        CASE page_id % 6 WHEN 3 THEN 'unsafe_scheme' WHEN 4 THEN 'url_credentials' END AS violation FROM pages""",
+    ),
     "url_origins": (q_origin, "SELECT regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, count(*) AS pages FROM pages GROUP BY 1"),
     "strip_tracking_params": (q_tracking, f"SELECT page_id, u AS url FROM {_TRACK}"),
     "bounded_keys": (q_key, "SELECT page_id, sha256(k) AS key_sha256, length(k) AS n_chars FROM (SELECT page_id, CASE WHEN strlen(html) <= 2000 THEN html ELSE left(html, 1920) || '…#sha256=' || sha256(html) END AS k FROM pages)"),
@@ -278,13 +294,13 @@ QUERIES = {
     "page_identity": (
         q_identity,
         r"""WITH v AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '<head.*?</head>|<script.*?</script>|<style.*?</style>', ' ', 'gs'), '<[^>]*>', ' ', 'gs'), '\s+', ' ', 'g') AS v FROM pages)
-        SELECT page_id, CAST(NULL AS VARCHAR) AS canonical, sha256(trim(v)) AS visible_sha256 FROM v""",
+        SELECT page_id, CASE WHEN page_id % 2 = 0 THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/c/' || page_id END AS canonical, sha256(trim(v)) AS visible_sha256 FROM v JOIN pages USING (page_id)""",
     ),
     "url_sections": (
         q_sections,
         f"""WITH p AS (SELECT regexp_extract(url, '^(https?)', 1) AS scheme, regexp_extract(url, '://([^/?#]+)', 1) AS host, regexp_extract(url, '://[^/?#]+/([^/?#]*)', 1) AS section, regexp_replace(u, '#.*$', '') AS u FROM {_TRACK})
         SELECT host, section, count(DISTINCT u) FILTER (scheme = 'https') AS secure, count(DISTINCT u) FILTER (scheme = 'http') AS plain FROM p GROUP BY 1, 2""",
     ),
-    "robots_rules": (q_robots, "SELECT page_id, NOT regexp_matches(url, '://[^/?#]+/[^/?#]*/1') AS allowed, 3.0::DOUBLE AS delay FROM pages"),
+    "robots_rules": (q_robots, "SELECT page_id, NOT regexp_matches(url, '://[^/?#]+/[^/?#]*/1') AS allowed, CASE WHEN page_id % 5 > 0 THEN (page_id % 5)::DOUBLE END AS delay FROM pages"),
     "sitemap_entries": (q_sitemap, "SELECT regexp_extract(url, '://([^/?#]+)', 1) AS site, url AS loc, strftime(DATE '2026-01-02' + CAST(page_id % 28 AS INT), '%Y-%m-%d') AS lastmod FROM pages"),
 }
