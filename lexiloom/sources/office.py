@@ -104,6 +104,10 @@ def _pptx(archive):
                 head = head or (_text(part),)
 
 
+#: Columns of a sheet, by the file format.
+COLUMNS = 16_384
+
+
 def _xlsx(archive):
     """Sheets in order, one table block each: rows of tab-separated cells."""
     shared: list[str] = []
@@ -120,7 +124,9 @@ def _xlsx(archive):
                     at = 0
                     for c in letters[0]:
                         at = at * 26 + ord(c) - 64
-                    cells += [""] * (min(at, 1000) - 1 - len(cells))
+                    if at > COLUMNS:
+                        raise ValueError("a cell behind the last column")
+                    cells += [""] * (at - 1 - len(cells))
                 value = _text(cell, "t") if _attribute(cell, "t") == "inlineStr" else _text(cell, "v")
                 cells.append(shared[int(value)] if _attribute(cell, "t") == "s" and value else value)
             rows.append("\t".join(cells))
