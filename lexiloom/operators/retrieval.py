@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators.nearest import vector_topk
 from lexiloom.operators.search import bm25, cover_density, keyword_search, match_all, tokens
-from lexiloom.session import table
+from lexiloom.session import materialize, table
 
 RRF = 60
 #: Searches take as queries every row whose id is divisible by this.
 QUERY_STEP = 20
+#: Centroids that are sent to the executors at a time.
+CENTROIDS = 1000
 
 
 @dataclass(frozen=True)
@@ -196,9 +198,13 @@ def q_centroid(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", "label", doubles("embedding").alias("v"))
     parts = rows.select("label", F.posexplode("v").alias("d", "x")).groupBy("label", "d").agg(F.avg("x").alias("m"))
     centroids = parts.groupBy(F.col("label").alias("c_label")).agg(F.array_sort(F.collect_list(F.struct("d", "m"))).alias("c")).select("c_label", F.col("c.m").alias("c"))
-    # One row a label; labels are a fixed set of classes.
-    near = rows.join(F.broadcast(centroids), F.col("c_label") >= F.lit(-(2**31))).select("vec_id", "label", "c_label", F.round(1 - dot("v", "c") / (norm(F.col("v")) * norm(F.col("c"))), 6).alias("d"))
-    best = near.groupBy("vec_id", "label").agg(F.min(F.struct("d", "c_label")).alias("m"))
+    centroids, best = materialize(centroids, "centroids"), None
+    blocks = max(1, -(-centroids.count() // CENTROIDS))
+    for nth in range(blocks):  # one block, as long as labels are classes
+        block = F.broadcast(centroids.where(F.pmod(F.xxhash64("c_label"), F.lit(blocks)) == nth))
+        near = rows.join(block, F.col("c_label") >= F.lit(-(2**31))).select("vec_id", "label", "c_label", F.round(1 - dot("v", "c") / (norm(F.col("v")) * norm(F.col("c"))), 6).alias("d"))
+        found = near.groupBy("vec_id", "label").agg(F.min(F.struct("d", "c_label")).alias("m"))
+        best = found if best is None else best.unionByName(found).groupBy("vec_id", "label").agg(F.min("m").alias("m"))
     return best.groupBy("label").agg(F.count(F.lit(1)).alias("vectors"), F.count_if(F.col("m.c_label") == F.col("label")).alias("own"))
 
 
