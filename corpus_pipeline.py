@@ -8,7 +8,7 @@ one labels too), so other columns and their names do not matter.
 
 from __future__ import annotations
 
-from lexiloom.llm import bpe, decontaminate, pii, quality, simhash
+from lexiloom.llm import bpe, decontaminate, pii, quality, simhash, sketches
 from lexiloom.session import materialize, table
 
 
@@ -24,10 +24,13 @@ def filter_quality(spark, docs, sf_dir):
 def near_dedup(spark, docs, sf_dir):
     """Keeps the document with the smallest id of every near-duplicate group.
 
+    Groups are those of SimHash fingerprints within three bits; what is left is joined by sketches, at a
+    similarity of 0.8 or more of five-word shingles, which finds edited copies beyond SimHash's reach.
+
     Texts without words (null ones too) are one group. Of repeated rows of one id the smallest text
     stays; a row without an id stays if nothing in its group has one.
     """
-    return simhash.one_of_each_group(docs)
+    return sketches.one_of_each_group(materialize(simhash.one_of_each_group(docs), "simhash-kept"))
 
 
 def drop_benchmark_leaks(spark, docs, sf_dir):

@@ -1,5 +1,6 @@
 from test_pii import plain_spans
 from test_simhash import plain_components, plain_simhash
+from test_sketches import plain
 
 import corpus_pipeline
 from lexiloom.llm import quality
@@ -16,7 +17,22 @@ def test_stages_against_brute_force(spark):
     scored = quality.score(docs, quality.train(docs, table(spark, sf, "labels"))).collect()
     good = {r.doc_id for r in scored if r.predicted}
     component = plain_components([(d, plain_simhash(rows[d].text)) for d in sorted(good)], 3)
-    single = {d for d in good if component[d] == d}
+    single = sorted(d for d in good if component[d] == d)
+    words = {d: plain(rows[d].text) for d in single}
+    parent = {d: d for d in single}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(single):
+        for b in single[i + 1 :]:
+            n, m = sorted((len(words[a]), len(words[b])))
+            if n and n >= 0.8 * m and len(words[a] & words[b]) >= 0.8 * len(words[a] | words[b]):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    single = {d for d in single if root(d) == d}
     clean = {d for d in single if not any(i in " ".join(normalized(rows[d].text).decode().split()) for i in items)}
     assert len(rows) > len(good) > len(single) > len(clean)
 
