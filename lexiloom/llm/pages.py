@@ -92,17 +92,20 @@ E_NEXT, E_SIBLING = 1.0, 0.5
 _BARRIERS = frozenset(("article", "main", "body"))
 
 
-def names(tokens: str) -> int:
-    """How class or id tokens name an element: 2 if a token is a word of chrome, 1 if its head noun is, else 0."""
-    best = 0
+def names(tokens: str, content: bool = False) -> int:
+    """How class or id tokens name an element: 2 if a token is a word of chrome, 1 if its head noun is, else 0.
+
+    A header is chrome of the page, but not within its main part (``content``).
+    """
+    best, chrome = 0, CHROME_WORDS if content else CHROME_WORDS | {"header"}
     for token in tokens.split():
         parts = [w.lower() for w in _WORDS.findall(token)]
         if len(parts) > 1 and STATE_WORDS.isdisjoint(parts):
             while len(parts) > 1 and parts[-1] in TAIL_WORDS:
                 parts.pop()
-            if parts[-1] in CHROME_WORDS or parts[-1] == "header":
+            if parts[-1] in chrome:
                 best = max(best, 1)
-        elif len(parts) == 1 and (parts[0] in CHROME_WORDS or parts[0] == "header"):
+        elif len(parts) == 1 and parts[0] in chrome:
             best = 2
     return best
 
@@ -128,8 +131,7 @@ class _Element:
                 elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
                     self.chrome = self.chrome or tag not in ("html", "body", "main")
                 elif name in ("class", "id") and tag not in LAYOUT:
-                    if not (self.content and value.lower() == "header"):
-                        self.named = max(self.named, names(value))
+                    self.named = max(self.named, names(value, self.content))
                     self.words = self.words or not CONTENT_WORDS.isdisjoint(w.lower() for w in _WORDS.findall(value))
 
 

@@ -137,6 +137,8 @@ def test_head_nouns_name_an_element():
     assert main_text(page.format("share-price")) == TEXT + "\n\nThe price is 3 now."
     for name in ("share", "cookie-notice", "comment-list", "widget area"):
         assert main_text(page.format(name)) == TEXT
+    head = "<header class='entry-header'><h1 class=header>The title</h1></header>"
+    assert main_text("<div class='site-header'>Name of the site.</div><article>" + head + BODY + "</article>") == "The title\n\n" + TEXT
     comments = "<section class='comment-list'><article class='comment-body'><p>I liked this story very much, thank you, all of you.</p></article></section>"
     assert main_text("<article>" + BODY + "</article>" + comments) == main_text("<main><article>" + BODY + "</article>" + comments + "</main>") == TEXT
 
