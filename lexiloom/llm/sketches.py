@@ -25,6 +25,8 @@ from lexiloom.session import materialize
 SHINGLE, SIMILAR = 5, 0.8
 #: Both numbers of groups are powers of two.
 GROUPS, MORE, LONG = 32, 128, 250
+#: Rows of sketches that are handed on together.
+HELD = 1 << 15
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -44,16 +46,23 @@ def sketches(docs: DataFrame) -> DataFrame:
                 first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
                 yield part[first] + offset, np.add.reduceat(mix(h), first).view(np.int64)
 
+    def packed(out):
+        arrays = [pa.array(np.concatenate([np.zeros(0, dtype=kind), *c]).astype(kind)) for c, kind in zip(out, (np.int64, np.int64, np.int32, np.int64), strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, ["id", "n", "part", "sketch"])
+
     def run(batches):
         for batch in batches:
-            out = [[], [], [], []]
+            out, held = [[], [], [], []], 0
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 h = shingles(text.as_py())
                 for part, sums in parts(h) if len(h) else ():
                     for column, values in zip(out, (np.full(len(part), doc_id), np.full(len(part), len(h)), part, sums), strict=True):
                         column.append(values)
-            arrays = [pa.array(np.concatenate([np.zeros(0, dtype=kind), *c]).astype(kind)) for c, kind in zip(out, (np.int64, np.int64, np.int32, np.int64), strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "part", "sketch"])
+                    held += len(part)
+                if held > HELD:
+                    yield packed(out)
+                    out, held = [[], [], [], []], 0
+            yield packed(out)
 
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "id long, n long, part int, sketch long")
 
