@@ -152,9 +152,12 @@ def q_crawl(spark, sf):
 
 
 _N = "(SELECT regexp_extract(url, '://([^/?#]+)', 1) AS host, regexp_replace(url, '#.*$', '') AS url, row_number() OVER (PARTITION BY regexp_extract(url, '://([^/?#]+)', 1) ORDER BY page_id) AS n FROM pages)"
+#: DuckDB: the same search. Nodes are URLs, so one that several pages share has the links of all of them.
 _DEPTHS = f"""(WITH RECURSIVE n AS (SELECT * FROM {_N}),
-  d AS (SELECT host, n, 0 AS depth FROM n WHERE n = 1 UNION ALL SELECT n.host, n.n, d.depth + 1 FROM d JOIN n ON n.host = d.host AND n.n // 2 = d.n AND d.n % 17 > 0 AND n.n > 1)
-  SELECT n.host, n.url, min(d.depth) AS depth FROM n LEFT JOIN d ON d.host = n.host AND d.n = n.n GROUP BY 1, 2)"""
+  e AS (SELECT DISTINCT a.url AS a, b.url AS b FROM n a JOIN n b ON a.host = b.host AND b.n // 2 = a.n WHERE a.n % 17 > 0 AND a.url <> b.url),
+  d (url, depth) USING KEY (url) AS (SELECT url, 0 AS depth FROM n WHERE n = 1
+    UNION SELECT e.b, min(d.depth) + 1 FROM d JOIN e ON e.a = d.url WHERE NOT EXISTS (SELECT 1 FROM recurring.d AS seen WHERE seen.url = e.b) GROUP BY 1)
+  SELECT n.host, n.url, min(d.depth) AS depth FROM n LEFT JOIN d ON d.url = n.url GROUP BY 1, 2)"""
 
 QUERIES = {
     "resolved_links": (
