@@ -1,6 +1,7 @@
 """Queries against their DuckDB twins on small tables of odd rows."""
 
 import duckdb
+import pytest
 
 from lexiloom import registry
 
@@ -33,3 +34,10 @@ def test_pages_of_one_url_share_their_links(spark, tmp_path):
 def test_discovery_counts_pages_behind_a_shared_url(spark, tmp_path):
     got, want = both(spark, tmp_path, "crawl_discovery", shared_url_pages())
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["html_file_blocks", "html_main_blocks", "html_structured_blocks"])
+def test_characters_named_without_a_semicolon(spark, tmp_path, name):
+    html = "<html><head><title>Left and&amp</title></head><body><article><h1>Left and&amp</h1><p>a &lt b &amp;lt c&ampd</p></article><footer>&copy 2024</footer></body></html>"
+    got, want = both(spark, tmp_path, name, {"pages": ([(1, "https://a.example.com/", html)], "page_id long, url string, html string")})
+    assert got == want and got
