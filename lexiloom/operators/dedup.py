@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,38 +42,70 @@ def similarity(a, b):
     return F.round(1 - F.bit_count(a.bitwiseXOR(b)) / 64, 6)
 
 
-#: Distinct hashes that one key may hold on average.
-BUCKET = 64
+#: Distinct hashes that one key may hold on average, and hashes of a slice of a key that holds more.
+BUCKET, SLICE = 4096, 2048
+#: Cells of a matrix of compared hashes.
+CELLS = 1 << 20
+
+
+def _blocks(count: int) -> list[int]:
+    """Masks of ``count`` blocks of bits that together are the 64 bits, as signed numbers."""
+    sizes = [64 // count + (k < 64 % count) for k in range(count)]
+    masks = [((1 << size) - 1) << sum(sizes[:k]) for k, size in enumerate(sizes)]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
 def near_pairs(hashes: DataFrame, threshold: float = 0.92) -> DataFrame:
     """(simhash, other, similarity) of all pairs of distinct hashes at or above the threshold.
 
-    At most h bits differ, so of h + r blocks of bits r or more are equal: candidates come from an
-    equi-join on every choice of r blocks. r follows the number of hashes, so that a key holds few of
+    At most h bits differ, so of h + r blocks of bits r or more are equal: candidates are the hashes that
+    share a choice of r blocks. r follows the number of hashes, so that a key holds few of
     them; the result is the same for every r. A pair comes up once, at its first r equal blocks.
+    Hashes of a key are compared as matrices. A key of many hashes is dealt into slices that meet in
+    pairs, each in a group of its own, so no group holds more than about two slices and nothing is broadcast.
     Documents of one hash are one row; ``simhash64`` tells which they are.
     """
     h = max(d for d in range(65) if round(1 - d / 64, 6) >= threshold)
-    distinct = materialize(hashes.select("simhash").distinct(), "hashes")
+    distinct = materialize(hashes.where("simhash IS NOT NULL").select("simhash").distinct(), "hashes")
     count = distinct.count()
     r = next((r for r in range(1, 5) if count >> (64 * r // (h + r)) <= BUCKET), 4)
-    blocks, at = [], 0
-    for k in range(h + r):
-        size = 64 // (h + r) + (k < 64 % (h + r))
-        blocks.append(((1 << size) - 1) << at)
-        at += size
-    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    choices = [F.struct(F.lit(sum(1 << k for k in c)).alias("choice"), F.lit(signed(sum(blocks[k] for k in c))).alias("mask")) for c in combinations(range(h + r), r)]
+    blocks = _blocks(h + r)
+    # Blocks share no bit, so sums of masks are their unions.
+    choices = [F.struct(F.lit(sum(1 << k for k in c)).alias("choice"), F.lit(sum(blocks[k] for k in c)).alias("mask")) for c in combinations(range(h + r), r)]
     keyed = distinct.withColumn("c", F.explode(F.array(*choices))).select("simhash", "c.choice", F.col("simhash").bitwiseAND(F.col("c.mask")).alias("key"))
-    pairs = keyed.join(keyed.withColumnRenamed("simhash", "other"), ["choice", "key"]).where("simhash < other").withColumn("x", F.col("simhash").bitwiseXOR(F.col("other")))
-    equal = reduce(lambda a, b: a + b, [F.when(F.col("x").bitwiseAND(F.lit(signed(mask))) == 0, 1 << k).otherwise(0) for k, mask in enumerate(blocks)])
-    # The r lowest bits of the equal blocks.
-    first, rest = F.lit(0), equal
-    for _ in range(r):
-        first, rest = first + rest.bitwiseAND(-rest), rest.bitwiseAND(rest - 1)
-    pairs = pairs.where(F.bit_count("x") <= h).where(F.col("choice") == first)
-    return pairs.select("simhash", "other", similarity(F.col("simhash"), F.col("other")).alias("similarity"))
+    sizes = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sliced = keyed.join(sizes.withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int")).hint("shuffle_hash"), ["choice", "key"])
+    own = sliced.withColumn("own", F.pmod(F.xxhash64("simhash"), F.col("slices")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    dealt = own.select("choice", "key", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"), "own", "simhash")
+    # The small table is dealt to many tasks: its bytes say nothing of the comparisons.
+    tasks = max(int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // 4096)
+    keys = ["choice", "key", "a", "b"]
+    found = dealt.repartition(tasks, *keys).groupBy(*keys).applyInArrow(lambda group: _compared(group, blocks, h, r), "simhash long, other long, bits int")
+    return found.select("simhash", "other", F.round(1 - F.col("bits") / 64, 6).alias("similarity"))
+
+
+def _compared(group: pa.Table, blocks: list[int], h: int, r: int) -> pa.Table:
+    """The near pairs of one group, of a slice with itself or of two slices, whose first r equal blocks are the group's choice."""
+    choice, a, b = (group[c][0].as_py() for c in ("choice", "a", "b"))
+    values, own = group["simhash"].to_numpy(), group["own"].to_numpy()
+    left, right = values[own == a], values[own == b]
+    step, parts = max(1, CELLS // max(1, len(right))), []
+    for at in range(0, len(left), step):
+        bits = np.bitwise_count((left[at : at + step, None] ^ right[None, :]).view(np.uint64))
+        i, j = np.nonzero(bits <= h)
+        x, y, n = left[at + i], right[j], bits[i, j]
+        if a == b:  # both orders of a pair come up
+            once = x < y
+            x, y, n = x[once], y[once], n[once]
+        equal = sum((((x ^ y) & mask) == 0).astype(np.int64) << k for k, mask in enumerate(blocks))
+        first = np.zeros(len(x), np.int64)
+        for _ in range(r):
+            lowest = equal & -equal
+            first, equal = first | lowest, equal ^ lowest
+        keep = first == choice
+        parts.append((np.minimum(x, y)[keep], np.maximum(x, y)[keep], n[keep].astype(np.int32)))
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+    return pa.table(columns, names=["simhash", "other", "bits"])
 
 
 KEYS = {"raw_hash": "exact_raw_sha256", "cleaned_hash": "exact_cleaned_sha256", "normalized_hash": "normalized_sections_sha256"}

@@ -130,3 +130,14 @@ def test_containment_with_thousands_of_items(spark):
     began = time.time()
     items = spark.createDataFrame([(1, n, t) for n, t in enumerate(texts)], "query_id long, rank long, text string")
     assert D.distinct_items(items).count() == 4000 and time.time() - began < 60
+
+
+def test_near_pairs_of_a_crowded_key_meet_in_slices_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(D, "SLICE", 7, raising=False)
+    rng = random.Random(3)
+    base = rng.getrandbits(63)
+    values = list({base ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(5))) for _ in range(80)} | {base - (1 << 63), -1, 0})
+    pairs = D.near_pairs(spark.createDataFrame([(n, v) for n, v in enumerate(values)] + [(1000, values[0]), (1001, None)], "doc_id long, simhash long"))
+    want = sorted((x, y, round(1 - ((x ^ y) & (1 << 64) - 1).bit_count() / 64, 6)) for x in values for y in values if x < y and ((x ^ y) & (1 << 64) - 1).bit_count() <= 5)
+    assert sorted(tuple(p) for p in pairs.collect()) == want
+    assert "BroadcastExchange" not in pairs._jdf.queryExecution().executedPlan().toString()
