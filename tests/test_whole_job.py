@@ -112,3 +112,14 @@ def test_selection_by_rounds_is_the_greedy_one(spark):
         assert {r.identity: (r.retained_identity, r.method, r.similarity) for r in got} == want and len(got) == len(rows)
         assert all((r.outcome == "retained") == (r.identity == r.retained_identity) for r in got)
     assert "applyInPandas" not in inspect.getsource(dedup.select_canonical)
+
+
+def test_blocks_of_a_large_batch_are_handed_on_in_small_frames():
+    import pandas as pd
+
+    from lexiloom.sources import markup
+
+    pages = pd.DataFrame({"page_id": range(1000), "html": ["<p>a</p><p>b</p>"] * 1000})
+    frames = list(markup._block_frames(iter([pages]), "tables"))
+    assert max(map(len, frames)) <= 2 * markup.PAGES and sum(map(len, frames)) == 2000
+    assert [*pd.concat(frames)["page_id"]] == [n for n in range(1000) for _ in range(2)]
