@@ -9,9 +9,10 @@ from __future__ import annotations
 import ipaddress
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lexiloom.session import table
 
@@ -124,33 +125,40 @@ def findings(text: str, classes=CLASSES) -> list[tuple[int, int, str, str]]:
     return out
 
 
-_FOUND = "struct<text: string, findings: array<struct<start_char: int, end_char: int, entity_class: string, detector: string>>>"
+#: Texts whose findings are handed on together: besides its batch of texts, a task holds what was made of so many.
+TEXTS = 256
+
+
+def _redacted(batches, classes, actions):
+    """Batches of TEXTS rows at most, with the redacted text in place of the text, and its findings."""
+    for batch in batches:
+        where = batch.schema.get_field_index("text")
+        for at in range(0, batch.num_rows, TEXTS):
+            part, texts, all_found = batch.slice(at, TEXTS), [], []
+            for text in part.column(where).to_pylist():
+                text = text or ""
+                out, past, found = [], 0, findings(text, classes)
+                for s, e, cls, _ in found:
+                    if actions.get(cls, "redact") == "redact":
+                        out += [text[past:s], PLACEHOLDERS[cls]]
+                        past = e
+                texts.append("".join([*out, text[past:]]))
+                all_found.append([dict(zip(_FINDING.names, f, strict=True)) for f in found])
+            columns = [pa.array(texts, pa.string()) if k == where else c for k, c in enumerate(part.columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(all_found, pa.list_(_FINDING))], names=[*part.schema.names, "findings"])
+
+
+_FINDING = pa.struct([("start_char", pa.int32()), ("end_char", pa.int32()), ("entity_class", pa.string()), ("detector", pa.string())])
+_SPARK_FINDING = StructType([StructField("start_char", IntegerType()), StructField("end_char", IntegerType()), StructField("entity_class", StringType()), StructField("detector", StringType())])
 
 
 def redact(docs: DataFrame, classes=CLASSES, actions=None) -> DataFrame:
     """Text with placeholders, findings, and whether a ``drop_document`` action dropped the document."""
     actions = actions or {}
-
-    @F.pandas_udf(_FOUND)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts.fillna(""):
-            out, past, found = [], 0, findings(text, classes)
-            for s, e, cls, _ in found:
-                if actions.get(cls, "redact") == "redact":
-                    out += [text[past:s], PLACEHOLDERS[cls]]
-                    past = e
-            rows.append(("".join([*out, text[past:]]), found))
-        return pd.DataFrame(rows, columns=["text", "findings"])
-
     dropping = [c for c, a in actions.items() if a == "drop_document"]
-    return (
-        docs.withColumn("found", run("text"))
-        .withColumn("text", F.col("found.text"))
-        .withColumn("findings", F.col("found.findings"))
-        .withColumn("dropped", F.exists("findings", lambda f: f["entity_class"].isin(*dropping)) if dropping else F.lit(False))
-        .drop("found")
-    )
+    schema = StructType([*docs.schema.fields, StructField("findings", ArrayType(_SPARK_FINDING))])
+    found = docs.mapInArrow(lambda batches: _redacted(batches, classes, actions), schema)
+    return found.withColumn("dropped", F.exists("findings", lambda f: f["entity_class"].isin(*dropping)) if dropping else F.lit(False))
 
 
 def q_findings(spark, sf):

@@ -123,3 +123,15 @@ def test_blocks_of_a_large_batch_are_handed_on_in_small_frames():
     frames = list(markup._block_frames(iter([pages]), "tables"))
     assert max(map(len, frames)) <= 2 * markup.PAGES and sum(map(len, frames)) == 2000
     assert [*pd.concat(frames)["page_id"]] == [n for n in range(1000) for _ in range(2)]
+
+
+def test_redacted_texts_of_a_large_batch_are_handed_on_in_small_ones():
+    import pyarrow as pa
+
+    from lexiloom.operators import sensitive
+
+    texts = [None if n == 3 else f"{n} mail a@b.com" for n in range(1000)]
+    batches = list(sensitive._redacted(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": texts})]), sensitive.CLASSES, {}))
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert max(b.num_rows for b in batches) <= sensitive.TEXTS and [r["doc_id"] for r in rows] == list(range(1000))
+    assert [r["text"] for r in rows] == ["" if n == 3 else f"{n} mail [EMAIL]" for n in range(1000)]
