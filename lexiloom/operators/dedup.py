@@ -55,26 +55,43 @@ def _blocks(count: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def near_pairs(hashes: DataFrame, threshold: float = 0.92) -> DataFrame:
-    """(simhash, other, similarity) of all pairs of distinct hashes at or above the threshold.
+def _keyed(count: int, threshold: float):
+    """(bits that may differ, number of equal blocks, masks of blocks, a function that gives hashes their keys) for so many distinct hashes.
 
     At most h bits differ, so of h + r blocks of bits r or more are equal: candidates are the hashes that
     share a choice of r blocks. r follows the number of hashes, so that a key holds few of
-    them; the result is the same for every r. A pair comes up once, at its first r equal blocks.
-    Hashes of a key are compared as matrices. A key of many hashes is dealt into slices that meet in
-    pairs, each in a group of its own, so no group holds more than about two slices and nothing is broadcast.
-    Documents of one hash are one row; ``simhash64`` tells which they are.
+    them; the result is the same for every r.
     """
     h = max(d for d in range(65) if round(1 - d / 64, 6) >= threshold)
-    distinct = materialize(hashes.where("simhash IS NOT NULL").select("simhash").distinct(), "hashes")
-    count = distinct.count()
     r = next((r for r in range(1, 5) if count >> (64 * r // (h + r)) <= BUCKET), 4)
     blocks = _blocks(h + r)
     # Blocks share no bit, so sums of masks are their unions.
     choices = [F.struct(F.lit(sum(1 << k for k in c)).alias("choice"), F.lit(sum(blocks[k] for k in c)).alias("mask")) for c in combinations(range(h + r), r)]
-    keyed = distinct.withColumn("c", F.explode(F.array(*choices))).select("simhash", "c.choice", F.col("simhash").bitwiseAND(F.col("c.mask")).alias("key"))
+
+    def keyed(hashes: DataFrame) -> DataFrame:
+        return hashes.withColumn("c", F.explode(F.array(*choices))).select("simhash", "c.choice", F.col("simhash").bitwiseAND(F.col("c.mask")).alias("key"))
+
+    return h, r, blocks, keyed
+
+
+def _slices(n: str):
+    return F.ceil(F.col(n) / SLICE).cast("int")
+
+
+def near_pairs(hashes: DataFrame, threshold: float = 0.92) -> DataFrame:
+    """(simhash, other, similarity) of all pairs of distinct hashes at or above the threshold.
+
+    Candidates share a key (:func:`_keyed`). A pair comes up once, at its first r equal blocks.
+    Hashes of a key are compared as matrices. A key of many hashes is dealt into slices that meet in
+    pairs, each in a group of its own, so no group holds more than about two slices and nothing is broadcast.
+    Documents of one hash are one row; ``simhash64`` tells which they are.
+    """
+    distinct = materialize(hashes.where("simhash IS NOT NULL").select("simhash").distinct(), "hashes")
+    count = distinct.count()
+    h, r, blocks, keys_of = _keyed(count, threshold)
+    keyed = keys_of(distinct)
     sizes = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sliced = keyed.join(sizes.withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int")).hint("shuffle_hash"), ["choice", "key"])
+    sliced = keyed.join(sizes.withColumn("slices", _slices("n")).hint("shuffle_hash"), ["choice", "key"])
     own = sliced.withColumn("own", F.pmod(F.xxhash64("simhash"), F.col("slices")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     dealt = own.select("choice", "key", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"), "own", "simhash")
     # The small table is dealt to many tasks: its bytes say nothing of the comparisons.
@@ -84,26 +101,63 @@ def near_pairs(hashes: DataFrame, threshold: float = 0.92) -> DataFrame:
     return found.select("simhash", "other", F.round(1 - F.col("bits") / 64, 6).alias("similarity"))
 
 
+def near_to(hashes: DataFrame, chosen: DataFrame, threshold: float = 0.92) -> DataFrame:
+    """(simhash, other, similarity) of distinct hashes of ``hashes`` and of ``chosen`` (other) that differ, at or above the threshold.
+
+    As :func:`near_pairs`, but only slices of the one side meet slices of the other: pairs follow the
+    number of chosen hashes near a hash, not the number of all.
+    """
+    left = hashes.where("simhash IS NOT NULL").select("simhash").distinct()
+    right = materialize(chosen.where("simhash IS NOT NULL").select("simhash").distinct(), "chosen")
+    count = left.count()
+    h, r, blocks, keys_of = _keyed(count, threshold)
+    sides = []
+    for df, n in ((left, "n"), (right, "m")):
+        keyed = keys_of(df)
+        sides.append((keyed, keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias(n))))
+    (keyed, n), (picked, m) = sides
+    both = m.join(n, ["choice", "key"]).select("choice", "key", _slices("n").alias("of"), _slices("m").alias("by")).hint("shuffle_hash")
+    part = lambda c: F.pmod(F.xxhash64("simhash"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    asked = keyed.join(both, ["choice", "key"]).select("choice", "key", part("of").alias("a"), every("by").alias("b"), F.lit(False).alias("is_chosen"), "simhash")
+    by = picked.join(both, ["choice", "key"]).select("choice", "key", every("of").alias("a"), part("by").alias("b"), F.lit(True).alias("is_chosen"), "simhash")
+    tasks = max(int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // 4096)
+    keys = ["choice", "key", "a", "b"]
+
+    def compared(group: pa.Table) -> pa.Table:
+        values, is_chosen = group["simhash"].to_numpy(), group["is_chosen"].to_numpy()
+        return _met(values[~is_chosen], values[is_chosen], group["choice"][0].as_py(), blocks, h, r)
+
+    found = asked.unionByName(by).repartition(tasks, *keys).groupBy(*keys).applyInArrow(compared, "simhash long, other long, bits int")
+    return found.where("simhash <> other").select("simhash", "other", F.round(1 - F.col("bits") / 64, 6).alias("similarity"))
+
+
 def _compared(group: pa.Table, blocks: list[int], h: int, r: int) -> pa.Table:
-    """The near pairs of one group, of a slice with itself or of two slices, whose first r equal blocks are the group's choice."""
+    """The near pairs of one group, of a slice with itself or of two slices, the smaller hash first."""
     choice, a, b = (group[c][0].as_py() for c in ("choice", "a", "b"))
     values, own = group["simhash"].to_numpy(), group["own"].to_numpy()
-    left, right = values[own == a], values[own == b]
+    found = _met(values[own == a], values[own == b], choice, blocks, h, r, once=a == b)
+    x, y = found["simhash"].to_numpy(), found["other"].to_numpy()
+    return pa.table([np.minimum(x, y), np.maximum(x, y), found["bits"]], names=["simhash", "other", "bits"])
+
+
+def _met(left: np.ndarray, right: np.ndarray, choice: int, blocks: list[int], h: int, r: int, once: bool = False) -> pa.Table:
+    """Pairs of two slices at most h bits apart whose first r equal blocks are the choice; of both orders of a pair one, if ``once``."""
     step, parts = max(1, CELLS // max(1, len(right))), []
     for at in range(0, len(left), step):
         bits = np.bitwise_count((left[at : at + step, None] ^ right[None, :]).view(np.uint64))
         i, j = np.nonzero(bits <= h)
         x, y, n = left[at + i], right[j], bits[i, j]
-        if a == b:  # both orders of a pair come up
-            once = x < y
-            x, y, n = x[once], y[once], n[once]
+        if once:
+            smaller = x < y
+            x, y, n = x[smaller], y[smaller], n[smaller]
         equal = sum((((x ^ y) & mask) == 0).astype(np.int64) << k for k, mask in enumerate(blocks))
         first = np.zeros(len(x), np.int64)
         for _ in range(r):
             lowest = equal & -equal
             first, equal = first | lowest, equal ^ lowest
         keep = first == choice
-        parts.append((np.minimum(x, y)[keep], np.maximum(x, y)[keep], n[keep].astype(np.int32)))
+        parts.append((x[keep], y[keep], n[keep].astype(np.int32)))
     columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
     return pa.table(columns, names=["simhash", "other", "bits"])
 
@@ -111,71 +165,131 @@ def _compared(group: pa.Table, blocks: list[int], h: int, r: int) -> pa.Table:
 KEYS = {"raw_hash": "exact_raw_sha256", "cleaned_hash": "exact_cleaned_sha256", "normalized_hash": "normalized_sections_sha256"}
 
 
+#: Classes of rows that the first batch of a selection by near matches takes, about.
+BATCH = 16_384
+
+
 def _first_of(rows: DataFrame, key: str) -> DataFrame:
     """The best rank of each value of a key: (f_<key>, m_<key>)."""
-    return rows.groupBy(F.col(key).alias(f"f_{key}")).agg(F.min("rank_key").alias(f"m_{key}"))
+    return rows.groupBy(F.col(key).alias(f"f_{key}")).agg(F.min("rank").alias(f"m_{key}"))
 
 
-def select_canonical(rows: DataFrame, threshold: float | None = None) -> DataFrame:
-    """Greedy selection in priority order: a row is compared with retained rows only.
+def _retained(undecided: DataFrame, linked: list[str], near: DataFrame | None) -> DataFrame:
+    """The retained classes of a batch, by rounds of joins.
 
-    ``rows`` has identity, pinned, connector_rank, stable_order, raw_hash, cleaned_hash,
-    normalized_hash and simhash. The first exact match in priority order wins, else the best near
-    score. Rows equal in all hashes are one row while rounds of joins decide: a row is retained once
-    no undecided linked row ranks before it, and excluded once linked to a retained one. No task
-    gathers a group; the first undecided row is retained in every round, so rounds end.
+    A class is retained once no undecided linked one ranks before it, and excluded once linked to a
+    retained one. The first undecided class is retained in every round, so rounds end.
     """
-    rank = F.struct(F.when(F.col("pinned"), 0).otherwise(1).alias("p"), "connector_rank", "stable_order", "identity")
-    rows = materialize(rows.select("identity", rank.alias("rank_key"), *[F.coalesce(k, F.lit("")).alias(k) for k in KEYS], "simhash"), "selection")
-    undecided = materialize(rows.groupBy(*KEYS, "simhash").agg(F.min("rank_key").alias("rank_key")), "undecided")
-    linked, near = list(KEYS), None
-    if threshold is not None:
-        linked.append("simhash")
-        pairs = near_pairs(undecided.select(F.col("rank_key.identity").alias("doc_id"), "simhash"), threshold)
-        back = pairs.select(F.col("other").alias("simhash"), F.col("simhash").alias("other"), "similarity")
-        near = materialize(pairs.unionByName(back), "near")
-    kept = None
+    parts, columns = [], undecided.columns
     while not undecided.isEmpty():
         best = undecided
         for key in linked:
-            best = best.join(_first_of(undecided, key), F.col(key) == F.col(f"f_{key}")).where(F.col("rank_key") <= F.col(f"m_{key}")).drop(f"f_{key}", f"m_{key}")
+            best = best.join(_first_of(undecided, key), F.col(key) == F.col(f"f_{key}"), "left").where(f"m_{key} IS NULL OR rank <= m_{key}").drop(f"f_{key}", f"m_{key}")
         if near is not None:
             around = near.join(_first_of(undecided, "simhash"), F.col("other") == F.col("f_simhash")).groupBy(F.col("simhash").alias("n_simhash")).agg(F.min("m_simhash").alias("n"))
-            best = best.join(around, F.col("simhash") == F.col("n_simhash"), "left").where("n IS NULL OR rank_key < n").drop("n_simhash", "n")
-        best = materialize(best, "retained")
-        rest = undecided
-        for key in linked:
-            rest = rest.join(best.select(key).distinct(), key, "left_anti")
-        if near is not None:
-            gone = near.join(best.select(F.col("simhash").alias("b")), F.col("other") == F.col("b")).select("simhash").distinct()
-            rest = rest.join(gone, "simhash", "left_anti")
-        before, undecided = undecided, materialize(rest.select(*best.columns), "undecided")
-        kept = best if kept is None else kept.unionByName(best)  # one table a round
+            best = best.join(around, F.col("simhash") == F.col("n_simhash"), "left").where("n IS NULL OR rank < n").drop("n_simhash", "n")
+        best = materialize(best.select(*columns), "retained")
+        parts.append(best)
+        before, undecided = undecided, materialize(_beyond(undecided, best, linked, near), "undecided")
         discard(before)
-    if kept is None:
-        kept = undecided
+    out = undecided
+    for part in parts:
+        out = out.unionByName(part)
+    out = materialize(out, "kept")
+    for df in (undecided, *parts):
+        discard(df)
+    return out
+
+
+def _beyond(rows: DataFrame, kept: DataFrame, linked: list[str], near: DataFrame | None) -> DataFrame:
+    """The rows that are linked to none of the retained ones."""
+    for key in linked:
+        rows = rows.join(kept.select(F.col(key).alias("k")), F.col(key) == F.col("k"), "left_anti")
+    if near is not None:
+        gone = near.join(kept.select(F.col("simhash").alias("b")), F.col("other") == F.col("b")).select(F.col("simhash").alias("k"))
+        rows = rows.join(gone, F.col("simhash") == F.col("k"), "left_anti")
+    return rows
+
+
+def select_canonical(rows: DataFrame, threshold: float | None = None) -> DataFrame:
+    """Greedy selection in priority order: a row is compared with retained rows only.
+
+    ``rows`` has identity, pinned, connector_rank, stable_order, raw_hash, cleaned_hash and
+    normalized_hash, and with a threshold simhash. The first exact match in priority order wins, else the
+    best near score. Rows are numbered in priority order by range partitions, and rows equal in all hashes
+    are one class. With near matches, classes are decided in batches by rank, each twice as large
+    as the one before: what is near to a class retained earlier is out before its batch begins, so
+    the pairs within batches and those with retained classes grow with the rows, where all pairs grow with
+    their square. No task gathers a group.
+    """
+    spark, close = rows.sparkSession, None
+    linked = [*KEYS] if threshold is None else [*KEYS, "simhash"]
+    order = [F.when(F.col("pinned"), 0).otherwise(1), F.col("connector_rank"), F.col("stable_order"), F.col("identity")]
+    rows = rows.select("identity", *[o.alias(f"o{n}") for n, o in enumerate(order)], *[F.coalesce(k, F.lit("")).alias(k) for k in KEYS], *linked[len(KEYS) :])
+    places = ["o0", "o1", "o2", "o3"]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered = rows.repartitionByRange(tasks, *places).sortWithinPartitions(*places).withColumn("rank", F.monotonically_increasing_id())
+    rows = materialize(numbered.select("identity", "rank", *linked), "selection")
+    classes = materialize(rows.groupBy(*linked).agg(F.min("rank").alias("rank")), "classes")
+    if threshold is None:
+        kept = _retained(materialize(classes, "undecided"), linked, None)
+    else:
+        count = F.count(F.lit(1)).alias("n")
+        sizes = sorted((r.part, r.n) for r in classes.groupBy(F.shiftright("rank", 33).alias("part")).agg(count).collect())  # a row a partition
+        kept, hashes, closes = None, materialize(classes.select("simhash").distinct(), "hashes"), []
+        for low, high in _batches(sizes):
+            batch = classes.where(F.shiftright("rank", 33).between(low, high))
+            batch = materialize(batch if kept is None else _beyond(batch, kept, linked, close), "undecided")
+            pairs = near_pairs(batch, threshold)
+            near = materialize(pairs.unionByName(pairs.select(F.col("other").alias("simhash"), F.col("simhash").alias("other"), "similarity")), "near")
+            new = _retained(batch, linked, near)
+            discard(near)
+            closes.append(materialize(near_to(hashes, new, threshold), "close"))
+            kept = new if kept is None else kept.unionByName(new)  # one table a batch
+            close = closes[0]
+            for other in closes[1:]:
+                close = close.unionByName(other)
+        if kept is None:
+            kept = classes
+    names = rows.select(F.col("rank").alias("k_rank"), F.col("identity").alias("k_identity")).join(kept.select("rank"), F.col("k_rank") == F.col("rank"), "left_semi")
     # A value of a key has one retained row at most, so these joins multiply nothing.
     for key in KEYS:
         rows = rows.join(_first_of(kept, key), F.col(key) == F.col(f"f_{key}"), "left").drop(f"f_{key}")
-    found = [F.when(F.col(f"m_{key}") < F.col("rank_key"), F.struct(F.col(f"m_{key}").alias("m"), F.lit(k).alias("k"))) for k, key in enumerate(KEYS)]
-    rows = rows.withColumn("exact", F.least(*found))
-    has = F.col("exact.m.identity").isNotNull()
-    method = F.when(has, F.element_at(F.array(*map(F.lit, KEYS.values())), F.col("exact.k") + 1))
-    match, score = F.col("exact.m.identity"), F.lit(1.0)
-    if near is not None:
+    found = [F.when(F.col(f"m_{key}") < F.col("rank"), F.struct(F.col(f"m_{key}").alias("m"), F.lit(k).alias("k"))) for k, key in enumerate(KEYS)]
+    rows = rows.withColumn("exact", F.least(*found)).select("identity", "rank", *linked[len(KEYS) :], "exact")
+    method = F.when(F.col("exact").isNotNull(), F.element_at(F.array(*map(F.lit, KEYS.values())), F.col("exact.k") + 1))
+    match, score = F.col("exact.m"), F.lit(1.0)
+    if close is not None:
         own = kept.select("simhash", F.col("simhash").alias("other"), F.lit(1.0).alias("similarity"))
-        close = near.select("simhash", "other", "similarity").unionByName(own).join(_first_of(kept, "simhash"), F.col("other") == F.col("f_simhash"))
-        asked = rows.where(~has).select("identity", "rank_key", "simhash").join(close, "simhash").where("m_simhash < rank_key")
-        nearest = asked.groupBy(F.col("identity").alias("n_id")).agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("m_simhash").alias("m"))).alias("nearest"))
-        rows = rows.join(nearest, F.col("identity") == F.col("n_id"), "left")
-        method, match = F.coalesce(method, F.when(F.col("nearest.m.identity").isNotNull(), "simhash64")), F.coalesce(match, F.col("nearest.m.identity"))
+        around = close.unionByName(own).join(_first_of(kept, "simhash"), F.col("other") == F.col("f_simhash")).drop("other", "f_simhash")
+        asked = rows.where("exact IS NULL").select("rank", "simhash").join(around, "simhash").where("m_simhash < rank")
+        nearest = asked.groupBy(F.col("rank").alias("n_rank")).agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("m_simhash").alias("m"))).alias("nearest"))
+        rows = rows.join(nearest, F.col("rank") == F.col("n_rank"), "left")
+        method, match = F.coalesce(method, F.when(F.col("nearest").isNotNull(), "simhash64")), F.coalesce(match, F.col("nearest.m"))
         score = F.coalesce(-F.col("nearest.s"), score)
+    rows = rows.select("identity", "rank", match.alias("match"), method.alias("method"), score.alias("similarity"))
+    rows = rows.join(names, F.col("match") == F.col("k_rank"), "left")
+    # A row that was given twice is no copy of itself.
+    other = F.when(F.col("k_identity") != F.col("identity"), F.col("k_identity"))
     return rows.select(
-        "identity", F.when(match.isNull(), "retained").otherwise("excluded").alias("outcome"), F.coalesce(match, F.col("identity")).alias("retained_identity"),
-        F.coalesce(method, F.lit("unique")).alias("method"), score.alias("similarity"),
+        "identity", F.when(other.isNull(), "retained").otherwise("excluded").alias("outcome"), F.coalesce(other, F.col("identity")).alias("retained_identity"),
+        F.when(other.isNull(), "unique").otherwise(F.col("method")).alias("method"), F.when(other.isNull(), 1.0).otherwise(F.col("similarity")).alias("similarity"),
     )
 
 
+def _batches(sizes: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """First and last parts of batches of about BATCH classes, then twice as many each; ``sizes`` are (part, classes)."""
+    out, want, held, low = [], BATCH, 0, None
+    for part, n in sizes:
+        low, held = part if low is None else low, held + n
+        if held >= want:
+            out.append((low, part))
+            want, held, low = want * 2, 0, None
+    if low is not None:
+        out.append((low, sizes[-1][0]))
+    return out
+
+
 def with_provenance(decisions: DataFrame, sources: DataFrame) -> DataFrame:
     """Retained rows with the sources of what they stand for, sorted; (identity, source) given."""
     also = decisions.where("outcome = 'excluded'").join(sources, "identity").groupBy("retained_identity").agg(F.array_sort(F.collect_set("source")).alias("also_found"))
