@@ -369,7 +369,7 @@ def q_canonical(spark, sf):
     return best.select("content_hash", F.col("m.doc_id").alias("canonical_doc_id"))
 
 
-def _candidates(spark, sf):
+def _candidates(spark, sf, near: bool = False):
     docs = table(spark, sf, "documents")
     rank = F.when(F.col("source") == "src3", 0).when(F.col("source") == "src1", 1).otherwise(2)
     clean = F.trim(F.regexp_replace("text", r"\s+", " "))
@@ -377,7 +377,7 @@ def _candidates(spark, sf):
         F.col("doc_id").alias("identity"), (F.col("doc_id") == 11).alias("pinned"), rank.alias("connector_rank"), F.col("doc_id").alias("stable_order"),
         F.sha2("text", 256).alias("raw_hash"), F.sha2(clean, 256).alias("cleaned_hash"), normalized_fingerprint("text").alias("normalized_hash"), "source",
     )
-    return rows.join(simhash64(docs), F.col("identity") == F.col("doc_id")).drop("doc_id")
+    return rows if not near else rows.join(simhash64(docs), F.col("identity") == F.col("doc_id")).drop("doc_id")
 
 
 def q_select_exact(spark, sf):
@@ -385,7 +385,7 @@ def q_select_exact(spark, sf):
 
 
 def q_select_near(spark, sf):
-    return select_canonical(materialize(_candidates(spark, sf).drop("source"), "candidates"), 0.92)
+    return select_canonical(materialize(_candidates(spark, sf, near=True).drop("source"), "candidates"), 0.92)
 
 
 def q_provenance(spark, sf):

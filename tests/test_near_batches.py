@@ -60,3 +60,9 @@ def test_near_selection_in_batches(spark, monkeypatch, size):
     assert {r.identity: (r.retained_identity, r.method, r.similarity) for r in got} == _greedy(rows, 0.92) and len(got) == len(rows)
     if size == 10:  # later batches are free of what earlier ones excluded
         assert len(seen) > 1 and sum(seen) < dedup.near_to(spark.createDataFrame(rows, _SCHEMA), spark.createDataFrame(rows, _SCHEMA)).count() / 8
+
+
+def test_exact_selection_counts_no_bits(spark):
+    """Candidates of the exact selection carry no SimHash, so no text is split into tokens for it."""
+    assert "simhash" not in dedup._candidates(spark, "/root/testdata/sf0.001").columns
+    assert "simhash" in dedup._candidates(spark, "/root/testdata/sf0.001", near=True).columns
