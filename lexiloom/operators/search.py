@@ -1,14 +1,18 @@
-"""BM25 over impact-ordered postings, and keyword search over a positional index.
+"""BM25 over impact-ordered postings or over blocks of documents, and keyword search over a positional index.
 
-Both read the corpus once and keep postings of the query set's words only. Searches never pair all
-queries of a word with all its documents: BM25 finds a threshold for each query first and then reads
-only those impact levels that can reach it; keyword search starts from a query's rarest word and looks
-other words up by (word, document). Postings of a frequent word are dealt over slices in proportion to
-their number, so that no key is hot.
+Searches of few queries never pair all queries of a word with all its documents: BM25 finds a threshold
+for each query first and then reads only those impact levels that can reach it; keyword search starts
+from a query's rarest word and looks other words up by (word, document). Postings of a frequent word are
+dealt over slices in proportion to their number, so that no key is hot. Where the queries grow with the
+corpus, BM25 scores blocks of documents as arrays, and only the best of a block leave it.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +22,10 @@ from lexiloom.session import discard, materialize
 K1, B = 1.2, 0.75
 #: Impact levels of a word, and postings in a slice of one.
 LEVELS, SLICE = 256, 50_000
+#: Queries that are looked up by impact levels; more are scored against blocks of documents.
+FEW = 200
+#: Documents and tokens of a block, tokens that are counted at a time, and classes of queries that meet a block together.
+BLOCK, BLOCK_TOKENS, CHUNK_TOKENS, ASKED = 32_768, 1 << 24, 1 << 20, 32_768
 #: More than scores can differ by rounding to six digits.
 ROUNDING = 1e-6
 
@@ -68,12 +76,151 @@ def _read(asked: DataFrame, postings: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The k best documents of each query (query_id, query); any word may match.
 
-    First, the highest levels of each word, down to k documents, are scored whole: the k-th best score is a
-    query's threshold. Of its words, those that together cannot reach it bring no candidates; of the
+    Many queries go through :func:`bm25_blocks`. Of few, the highest levels of each word, down to k documents, are
+    scored whole first: the k-th best score is a query's threshold. Of its words, those that together cannot reach it bring no candidates; of the
     others only levels that can reach it with the tops of all other words are read, and these scored whole.
     Documents without an id are not found.
     """
-    return candidates(docs, queries, k)[1]
+    many = queries.limit(FEW + 1).count() > FEW
+    return bm25_blocks(docs, queries, k) if many else candidates(docs, queries, k)[1]
+
+
+_INDEX = "ids array<long>, lengths binary, n_docs long, with_text long, n_tokens long, words array<string>, dfs array<int>, ends binary, docs binary, counts binary"
+
+
+def _block_index(batches, size: int, tokens: int, chunk: int):
+    """Blocks of documents (doc_id, t) as arrays: of each word the documents, by place, and how often it occurs there."""
+    ids, lengths, chunks, places, waiting, texts, total = [], [], [], {}, [], 0, 0
+
+    def counted():
+        """The tokens that wait become (word, document, count)."""
+        words = pa.concat_arrays([w for w, _ in waiting]).dictionary_encode()
+        codes = np.array([places.setdefault(w, len(places)) for w in words.dictionary.to_pylist()], dtype=np.int64)
+        key, n = np.unique(codes[words.indices.to_numpy()] * size + np.concatenate([d for _, d in waiting]), return_counts=True)
+        chunks.append((key, n.astype(np.uint32)))
+        waiting.clear()
+
+    def whole():
+        if waiting:
+            counted()
+        key = np.concatenate([np.zeros(0, np.int64), *(c[0] for c in chunks)])
+        order = np.argsort(key, kind="stable")  # a document is in one chunk
+        n = np.concatenate([np.zeros(0, np.uint32), *(c[1] for c in chunks)])[order]
+        word, doc = np.divmod(key[order], size)
+        ends = np.searchsorted(word, np.arange(len(places)), side="right")
+        row = {"ids": [ids], "lengths": [np.array(lengths, np.int64).tobytes()], "n_docs": [len(ids)], "with_text": [texts], "n_tokens": [sum(lengths)], "words": [list(places)],
+               "dfs": [np.diff(ends, prepend=0).tolist()], "ends": [ends.tobytes()], "docs": [doc.astype(np.uint16).tobytes()], "counts": [n.tobytes()]}
+        return pa.RecordBatch.from_pydict(row, schema=schema)
+
+    binary = pa.binary()
+    schema = pa.schema([("ids", pa.list_(pa.int64())), ("lengths", binary), ("n_docs", pa.int64()), ("with_text", pa.int64()), ("n_tokens", pa.int64()),
+                        ("words", pa.list_(pa.string())), ("dfs", pa.list_(pa.int32())), ("ends", binary), ("docs", binary), ("counts", binary)])
+    pending = 0
+    for batch in batches:
+        widths = batch["t"].value_lengths()
+        has, widths = widths.is_valid().to_numpy(zero_copy_only=False), widths.fill_null(0).to_numpy()
+        values, ends, at = batch["t"].flatten(), np.cumsum(widths), 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            # As many documents as fill the chunk or the block, one at least.
+            upto = min(max(at + 1, int(np.searchsorted(ends, before + chunk - pending, side="right"))), at + size - len(ids), batch.num_rows)
+            some = widths[at:upto]
+            waiting.append((values.slice(before, ends[upto - 1] - before), np.repeat(np.arange(len(ids), len(ids) + len(some)), some)))
+            ids += batch["doc_id"].slice(at, len(some)).to_pylist()
+            lengths += some.tolist()
+            texts += int(has[at:upto].sum())
+            pending, total, at = pending + int(some.sum()), total + int(some.sum()), upto
+            if pending >= chunk:
+                counted()
+                pending = 0
+            if len(ids) >= size or total >= tokens:
+                yield whole()
+                ids, lengths, texts, total, pending = [], [], 0, 0, 0
+                chunks.clear()
+                places.clear()
+    if ids:
+        yield whole()
+
+
+def _best_of_block(block: pa.Table, asked: pa.Table, mean: float, k: int) -> pa.Table:
+    """The k best documents of a block for every class of queries (class, terms, idfs).
+
+    A class's rare words are added up over the block first. If what its other words can add is less than
+    the k-th best sum then, only documents that can still reach that sum are looked up for these.
+    """
+    row = {c: block[c][0].as_py() for c in ("ids", "lengths", "words", "ends", "docs", "counts")} if block.num_rows else None
+    out = ([], [], [])
+    if row is not None:
+        docs, counts, length = np.frombuffer(row["docs"], np.uint16), np.frombuffer(row["counts"], np.uint32).astype(float), np.frombuffer(row["lengths"], np.int64)
+        weight = counts * (K1 + 1) / (counts + K1 * (1 - B + B * length[docs] / mean))
+        ends = np.frombuffer(row["ends"], np.int64)
+        starts = np.concatenate([[0], ends[:-1]])
+        most = np.maximum.reduceat(weight, starts) if len(starts) else weight
+        place = {w: n for n, w in enumerate(row["words"])}
+        found = np.array([i is not None for i in row["ids"]])
+        ids, n_docs = np.array([i or 0 for i in row["ids"]], np.int64), len(row["ids"])
+        for label, terms, idfs in zip(asked["class"].to_pylist(), asked["terms"].to_pylist(), asked["idfs"].to_pylist(), strict=True):
+            here = sorted((int(ends[p] - starts[p]), p, idf) for p, idf in ((place.get(t), i) for t, i in zip(terms, idfs, strict=True)) if p is not None)
+            if not here:
+                continue
+            rare = [h for h in here if h[0] * 16 <= n_docs] or here[:1]
+            frequent, total = here[len(rare) :], np.zeros(n_docs)
+            for _, p, idf in rare:
+                total[docs[starts[p] : ends[p]]] += idf * weight[starts[p] : ends[p]]
+            near = None
+            if frequent:
+                near = np.flatnonzero((total > 0) & found)
+                rest = sum(idf * most[p] for _, p, idf in frequent)
+                least = np.partition(total[near], len(near) - k)[len(near) - k] if len(near) >= k else 0.0
+                if least > rest + ROUNDING:
+                    near = near[total[near] >= least - rest - ROUNDING]
+                    for _, p, idf in frequent:
+                        mine = docs[starts[p] : ends[p]]
+                        at = np.minimum(np.searchsorted(mine, near.astype(np.uint16)), len(mine) - 1)
+                        hit = mine[at] == near
+                        total[near[hit]] += idf * weight[starts[p] + at[hit]]
+                else:
+                    near = None
+                    for _, p, idf in frequent:
+                        total[docs[starts[p] : ends[p]]] += idf * weight[starts[p] : ends[p]]
+            near = np.flatnonzero((total > 0) & found) if near is None else near
+            score = total[near]
+            if len(near) > k:
+                some = score >= np.partition(score, len(near) - k)[len(near) - k] - ROUNDING
+                near, score = near[some], score[some]
+            best = np.lexsort((ids[near], -np.round(score, 6)))[:k]
+            for column, values in zip(out, (np.full(len(best), label), ids[near[best]], score[best]), strict=True):
+                column.append(values)
+    columns = [np.concatenate([np.zeros(0, t), *c]) for c, t in zip(out, (np.int64, np.int64, float), strict=True)]
+    return pa.table(columns, names=["class", "doc_id", "whole"])
+
+
+def bm25_blocks(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """The result of :func:`bm25` for query sets that grow with the corpus.
+
+    Documents become blocks of postings where they are: no token is shuffled. Queries of the same words are
+    one class. Every block meets the classes in parts of about ``ASKED``, and its k best documents of each
+    class leave it, so rows between tasks are k a class and block, however many documents share a word.
+    """
+    index = partial(_block_index, size=BLOCK, tokens=BLOCK_TOKENS, chunk=CHUNK_TOKENS)
+    blocks = materialize(docs.select("doc_id", tokens("text").alias("t")).mapInArrow(index, _INDEX).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    corpus = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_docs", "with_text", "n_tokens")]).first()
+    n, mean = corpus.n_docs, corpus.n_tokens / corpus.with_text if corpus.n_tokens else 1.0
+    asked = queries.select("query_id", F.array_sort(F.array_distinct(tokens("query"))).alias("terms")).where("size(terms) > 0")
+    classes = materialize(asked.select("terms").distinct().withColumn("class", F.monotonically_increasing_id()), "classes")
+    df = blocks.select(F.explode(F.arrays_zip("words", "dfs")).alias("w")).groupBy(F.col("w.words").alias("term")).agg(F.sum("w.dfs").alias("df"))
+    idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    held = classes.select("class", F.explode("terms").alias("term")).join(df.select("term", idf.alias("idf")), "term").groupBy("class").agg(F.collect_list(F.struct("term", "idf")).alias("t"))
+    parts = max(1, -(-classes.count() // ASKED))
+    # A row a block of documents is broadcast: its number.
+    held = held.select("class", F.col("t.term").alias("terms"), F.col("t.idf").alias("idfs"), F.pmod(F.xxhash64("class"), F.lit(parts)).cast("int").alias("part")).crossJoin(F.broadcast(blocks.select("block")))
+    whole = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "ids", "lengths", "words", "ends", "docs", "counts")
+    best = lambda block, some: _best_of_block(block, some, mean, k)
+    found = whole.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInArrow(best, "class long, doc_id long, whole double")
+    rank = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("score"), "doc_id"))
+    ranked = materialize(found.select("class", "doc_id", F.round("whole", 6).alias("score")).withColumn("rank", rank).where(F.col("rank") <= k), "ranked")
+    discard(blocks)
+    return asked.join(classes, "terms").select("query_id", "class").join(ranked, "class").select("query_id", "doc_id", "score", "rank")
 
 
 def candidates(docs: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
