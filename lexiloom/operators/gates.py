@@ -113,19 +113,33 @@ def language_vote(docs: DataFrame) -> DataFrame:
 SCRIPTS = {"ru": "Cyrillic", "ar": "Arabic", "hi": "Devanagari", "ja": "Hiragana", "ko": "Hangul", "zh": "Han", "latin": "Latin"}
 
 
+def _scripts(docs: DataFrame) -> DataFrame:
+    """``docs`` (text) with ``parts``, the letters of each script, and ``letters``.
+
+    Latin letters and common signs are taken out first: scripts that are rare are counted in what is left.
+    """
+    left = lambda text, cls: F.regexp_replace(text, cls, "")
+    pattern = {code: rf"[^\p{{Is{name}}}]+" for code, name in SCRIPTS.items() if code != "latin"}
+    pattern["ja"] = r"[^\p{IsHiragana}\p{IsKatakana}]+"
+    docs = docs.withColumn("no_latin", left("text", r"\p{IsLatin}+")).withColumn("letters", F.length(left("text", r"[^\p{L}]+")))
+    docs = docs.withColumn("others", left("no_latin", r"[\p{IsCommon}\p{IsInherited}]+"))
+    counts = {code: F.length(left("others", p)) for code, p in pattern.items()} | {"latin": F.length("text") - F.length("no_latin")}
+    parts = F.array(*[F.struct(counts[code].alias("n"), F.lit(code).alias("script")) for code in SCRIPTS])
+    return docs.withColumn("parts", parts).drop("no_latin", "others")
+
+
+#: Two scripts reach a fifth of all letters.
+_MIXED = "size(filter(parts, s -> s.n >= 0.2D * greatest(letters, 1))) > 1"
+
+
 def script_histogram(docs: DataFrame) -> DataFrame:
     """Letters of each script, the dominant one and whether two reach a fifth of all letters."""
-    count = lambda cls: F.length(F.regexp_replace("text", cls, ""))
-    pattern = {code: rf"[^\p{{Is{name}}}]" for code, name in SCRIPTS.items()}
-    pattern["ja"] = r"[^\p{IsHiragana}\p{IsKatakana}]"
-    parts = F.array(*[F.struct(count(p).alias("n"), F.lit(code).alias("script")) for code, p in pattern.items()])
-    letters = count(r"[^\p{L}]")
-    return docs.withColumn("parts", parts).withColumn("letters", letters).select(
+    return _scripts(docs).select(
         "doc_id",
         F.col("letters").cast("long").alias("letters"),
         F.when(F.col("letters") == 0, "und").otherwise(F.array_max("parts")["script"]).alias("script"),
         F.coalesce(F.round(F.array_max("parts")["n"] / F.nullif(F.col("letters"), F.lit(0)), 4), F.lit(0.0)).alias("share"),
-        (F.size(F.filter("parts", lambda s: s["n"] >= 0.2 * F.greatest(F.col("letters"), F.lit(1)))) > 1).alias("mixed"),
+        F.expr(_MIXED).alias("mixed"),
     )
 
 
@@ -136,12 +150,22 @@ def page_languages(blocks: DataFrame, page_lines: int = 10) -> DataFrame:
     return language_vote(pages.agg(text.alias("text"))).select("doc_id", "page", "language", "confidence")
 
 
-def with_mixed(docs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The documents with ``mixed``: two scripts reach a fifth of their letters, or their pages differ in language."""
-    pages = page_languages(blocks).where("language <> 'und'").groupBy(F.col("doc_id").alias("p_id")).agg(F.countDistinct("language").alias("languages"))
-    scripts = script_histogram(docs.select("doc_id", "text")).select(F.col("doc_id").alias("s_id"), F.col("mixed").alias("s_mixed"))
-    joined = docs.join(pages, F.col("doc_id") == F.col("p_id"), "left").join(scripts, F.col("doc_id") == F.col("s_id"), "left")
-    return joined.withColumn("mixed", F.coalesce("s_mixed", F.lit(False)) | (F.coalesce("languages", F.lit(0)) > 1)).drop("p_id", "languages", "s_id", "s_mixed")
+def line_pages(docs: DataFrame, page_lines: int = 10) -> DataFrame:
+    """doc_id and text of every page of ``page_lines`` lines, cut where the document is."""
+    lines = docs.select("doc_id", F.split("text", "\n").alias("lines")).where("lines IS NOT NULL")
+    first = F.sequence(F.lit(1), F.size("lines"), F.lit(page_lines))
+    return lines.select("doc_id", F.explode(F.transform(first, lambda n: F.array_join(F.slice("lines", n, F.lit(page_lines)), "\n"))).alias("text"))
+
+
+def with_mixed(docs: DataFrame) -> DataFrame:
+    """The documents without their texts and with ``mixed``: two scripts reach a fifth of their letters, or their pages of lines differ in language.
+
+    Scripts are counted and pages are judged where the document is; what is joined are ids and languages.
+    """
+    pages = language_vote(line_pages(docs)).where("language <> 'und'").groupBy(F.col("doc_id").alias("p_id")).agg((F.min("language") != F.max("language")).alias("differ"))
+    scripts = _scripts(docs).withColumn("s_mixed", F.coalesce(F.expr(_MIXED), F.lit(False))).drop("text", "parts", "letters")
+    joined = scripts.join(pages, F.col("doc_id") == F.col("p_id"), "left")
+    return joined.withColumn("mixed", F.col("s_mixed") | F.coalesce("differ", F.lit(False))).drop("p_id", "differ", "s_mixed")
 
 
 def language_policy(docs: DataFrame, allowlist=("en", "de"), minimum_confidence: float = 0.6, disallowed: str = "exclude", mixed_action: str = "warn") -> DataFrame:
@@ -205,7 +229,7 @@ def q_page_languages(spark, sf):
 
 
 def q_language_policy(spark, sf):
-    found = with_mixed(language_vote(table(spark, sf, "documents")), document_blocks(spark, sf))
+    found = with_mixed(language_vote(table(spark, sf, "documents").select("doc_id", "text")))
     return language_policy(found).select("doc_id", "language", "mixed", "findings", "decision")
 
 
