@@ -2,10 +2,12 @@ import hashlib
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
 
+from lexiloom.llm.boosting import binned, boost, histogram
 from lexiloom.llm.pii import KINDS, Selector, _Cover, base_spans, candidates, features, find_spans, labelled, luhn, op7_pii_spans, plant, redact, redacted, train
 
 PATTERNS = {
@@ -133,3 +135,37 @@ def test_many_candidates_take_near_linear_time(selector):
     began = time.process_time()
     assert len(selector.added(text, base_spans(text))) == 10_000
     assert time.process_time() - began < 10
+
+
+def test_trees_and_thresholds_come_from_all_candidates_of_all_texts(spark):
+    """The fit over Spark's parts is the fit over one array of every candidate, however the texts are dealt."""
+    rng = random.Random(11)
+    words = ["plain", "words", "of", "text", "key=", "0123 456 789", "a.b@c", "x/y/zz/longer_names/still"]
+    rows = [(None if n % 500 == 7 else n, " ".join(rng.choices(words, k=12))) for n in range(5000)]
+    x, y, g, held = [], [], [], []
+    for doc_id, text in rows:
+        seed = zlib.crc32(text.encode()) if doc_id is None else doc_id
+        changed, found = labelled(text, random.Random(seed))
+        for s, e, generator, label in found:
+            x.append(features(changed, s, e, generator))
+            y.append(float(label))
+            g.append(generator)
+            held.append(seed % 3 == 0)
+    bins, y, g, held = binned(np.array(x)).T, np.array(y), np.array(g), np.array(held)
+    assert len(y) > 20_000
+    model = boost(lambda model, top: histogram(model, top, bins[:, ~held], y[~held]))
+    score, thresholds = model.scores(bins), []
+    for k in range(4):
+        mine = sorted(((np.floor(s * 64), t) for s, t in zip(score[held & (g == k)], y[held & (g == k)], strict=True) if s >= 0), reverse=True)
+        least = [lv for n, (lv, _) in enumerate(mine, 1) if (n == len(mine) or mine[n][0] < lv) and sum(t for _, t in mine[:n]) >= 0.95 * n]
+        thresholds.append(1 / (1 + np.exp(-least[-1] / 64)) if least else 2.0)
+    for parts in (1, 5):
+        got = train(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts))
+        assert (got.model.base, got.model.trees) == (model.base, model.trees)
+        assert np.allclose(got.thresholds, thresholds, atol=1e-6)
+
+
+def test_one_kind_of_fold_or_label_still_fits(spark):
+    rows = [(3 * n, "some plain words of a text " * 9) for n in range(60)]
+    assert len(train(spark.createDataFrame(rows, "doc_id long, text string")).model.trees) == 24
+    assert train(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).model is None
