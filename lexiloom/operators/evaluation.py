@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import zip_longest
 
 import numpy as np
@@ -100,8 +101,20 @@ def _edits(reference: str, hypothesis: str) -> int:
     reference to the next; a character of the hypothesis turns a column into the next by a few operations on
     whole integers. Memory follows the reference's length alone. The first row stays zero and the least
     value of the last row counts, so both ends of the hypothesis are free.
+
+    No table is needed where bounds meet: each character of the hypothesis matches one of the reference at most and
+    every other one of the reference is an edit, so a hypothesis that leaves characters of the reference out, and
+    no more, takes as many edits. For the same reason the scan ends once the characters that the hypothesis lacks
+    are the only edits.
     """
     size = least = now = len(reference)
+    if reference in hypothesis:
+        return 0
+    if len(hypothesis) < size:
+        rest = iter(reference)
+        if all(c in rest for c in hypothesis):
+            return size - len(hypothesis)
+    bound = (Counter(reference) - Counter(hypothesis)).total()
     places: dict[str, int] = {}
     for n, c in enumerate(dict.fromkeys(reference)):
         if n > 256:
@@ -120,6 +133,8 @@ def _edits(reference: str, hypothesis: str) -> int:
         up, down = falls | (every & ~(diagonal | rises)), rises & diagonal
         now += bool(up & last) - bool(down & last)
         least = min(least, now)
+        if least == bound:
+            break
         up, down, level = up << 1 & every, down << 1 & every, same | falls
         rises, falls = down | (every & ~(level | up)), up & level
     return least

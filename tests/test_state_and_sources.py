@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 import shutil
+import time
 from collections import defaultdict, deque
 
 import pytest
@@ -160,3 +161,25 @@ def test_edits_equal_the_plain_table(spark):
     long = "".join(rng.choices("abcdefgh ", k=30_000))
     df = spark.createDataFrame([(long, long[:15_000] + "QQQ" + long[15_010:]), ("", "x"), (None, None)], "reference string, hypothesis string")
     assert [round(x.error_rate, 7) for x in error_rate(df).collect()] == [round(10 / 30_000, 7), 0.0, 0.0]
+
+
+def test_lines_with_characters_left_out_take_linear_time():
+    rng = random.Random(3)
+
+    def plain(reference, hypothesis):
+        row = [0] * (len(hypothesis) + 1)
+        for n, r in enumerate(reference, 1):
+            last, row = row, [n]
+            for m, h in enumerate(hypothesis, 1):
+                row.append(min(last[m] + 1, row[-1] + 1, last[m - 1] + (r != h)))
+        return min(row)
+
+    for _ in range(3000):
+        reference = "".join(rng.choices("abc", k=rng.randrange(9)))
+        kept = "".join(c for c in reference if rng.random() < 0.7)
+        for hypothesis in (kept, "".join(rng.choices("abcd", k=rng.randrange(9))), kept + "ab", reference[2:] + "c"):
+            assert _edits(reference, hypothesis) == plain(reference, hypothesis), (reference, hypothesis)
+    line = "".join(rng.choices("abcdefgh ", k=400_000))
+    began = time.process_time()
+    assert _edits(line, line.replace("e", "")) == line.count("e")
+    assert time.process_time() - began < 3
