@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.operators.nearest import vector_topk
-from lexiloom.operators.search import bm25, cover_density, keyword_search, match_all, tokens
+from lexiloom.operators.search import bm25, cover_density, keyword_matches, keyword_search, match_all, tokens
 from lexiloom.session import materialize, table
 
 RRF = 60
@@ -230,8 +230,8 @@ def q_web(spark, sf):
 def _web_queries(spark, sf):
     """Web-style queries of the query set: a document's longest words, its first two words as a phrase, an alternative, an exclusion."""
     asked = table(spark, sf, "documents").where(F.col("doc_id") % QUERY_STEP == 0).select(F.col("doc_id").alias("query_id"), tokens("text").alias("t"))
-    longest = F.array_sort(F.array_distinct("t"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    w = lambda n: F.coalesce(F.get("w", F.lit(n)), F.lit(""))
+    longest = F.array_sort(F.transform(F.array_distinct("t"), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("w"))))
+    w = lambda n: F.coalesce(F.get("w", F.lit(n))["w"], F.lit(""))
     phrase = F.array_join(F.slice("t", 1, 2), " ")
     query = F.concat(w(0), F.lit(' "'), phrase, F.lit('" OR '), w(1), F.lit(" "), w(2), F.lit(" -"), w(3))
     return asked.withColumn("w", longest).where("size(t) >= 2 AND size(w) >= 4").select("query_id", query.alias("query"))
@@ -243,7 +243,7 @@ def q_web_ranked(spark, sf):
 
 
 def q_web_matches(spark, sf):
-    return keyword_search(table(spark, sf, "documents"), _web_queries(spark, sf), k=None).select("query_id", "doc_id")
+    return keyword_matches(table(spark, sf, "documents"), _web_queries(spark, sf))
 
 
 def q_bm25(spark, sf):

@@ -1,15 +1,16 @@
-"""BM25 over impact-ordered postings or over blocks of documents, and keyword search over a positional index.
+"""BM25 over impact-ordered postings or over blocks of documents, keyword search over a positional index or over such blocks.
 
 Searches of few queries never pair all queries of a word with all its documents: BM25 finds a threshold
 for each query first and then reads only those impact levels that can reach it; keyword search starts
 from a query's rarest word and looks other words up by (word, document). Postings of a frequent word are
 dealt over slices in proportion to their number, so that no key is hot. Where the queries grow with the
-corpus, BM25 scores blocks of documents as arrays, and only the best of a block leave it.
+corpus, BM25 and web-style search work on blocks of documents as arrays, and only results of a block leave it.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from decimal import ROUND_HALF_UP, Decimal
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ LEVELS, SLICE = 256, 50_000
 FEW = 200
 #: Documents and tokens of a block, tokens that are counted at a time, and classes of queries that meet a block together.
 BLOCK, BLOCK_TOKENS, CHUNK_TOKENS, ASKED = 32_768, 1 << 24, 1 << 20, 32_768
+#: Tokens of a block of keyword search, and classes of its queries that meet a block together.
+STREAM_TOKENS, CLASSES = 1 << 23, 262_144
 #: More than scores can differ by rounding to six digits.
 ROUNDING = 1e-6
 
@@ -326,18 +329,205 @@ def covers(index: DataFrame, words: DataFrame, items: DataFrame, found: DataFram
     return flat.select("query_id", "doc_id", F.round(F.expr(fold), 6).alias("score")).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
 
 
+_STREAMS = "ids binary, lengths binary, codes binary, words array<string>, ends binary, docs binary"
+
+
+def _streams(batches, size: int, tokens: int):
+    """Blocks of documents (doc_id, t) as arrays: their words by number, in order, and of each word the documents, by place."""
+    schema = pa.schema([(c, pa.binary()) for c in ("ids", "lengths", "codes")] + [("words", pa.list_(pa.string())), ("ends", pa.binary()), ("docs", pa.binary())])
+    ids, lengths, codes, places, total = [], [], [], {}, 0
+
+    def whole():
+        length, code = np.concatenate(lengths), np.concatenate(codes)
+        word, doc = np.divmod(np.unique(code.astype(np.int64) * size + np.repeat(np.arange(len(length)), length)), size)
+        ends = np.searchsorted(word, np.arange(len(places)), side="right")
+        row = {"ids": [np.concatenate(ids).tobytes()], "lengths": [length.tobytes()], "codes": [code.tobytes()], "words": [list(places)], "ends": [ends.tobytes()], "docs": [doc.astype(np.uint16).tobytes()]}
+        return pa.RecordBatch.from_pydict(row, schema=schema)
+
+    for batch in batches:
+        widths, values = batch["t"].value_lengths().to_numpy(), batch["t"].flatten()
+        ends, at = np.cumsum(widths), 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            # As many documents as fill the block, one at least.
+            upto = min(max(at + 1, int(np.searchsorted(ends, before + tokens - total, side="right"))), at + size - sum(map(len, ids)), batch.num_rows)
+            words = values.slice(before, ends[upto - 1] - before).dictionary_encode()
+            numbers = np.array([places.setdefault(w, len(places)) for w in words.dictionary.to_pylist()], dtype=np.int32)
+            codes.append(numbers[words.indices.to_numpy()])
+            ids.append(batch["doc_id"].slice(at, upto - at).to_numpy().astype(np.int64))
+            lengths.append(widths[at:upto].astype(np.int64))
+            total, at = total + len(codes[-1]), upto
+            if sum(map(len, ids)) >= size or total >= tokens:
+                yield whole()
+                ids, lengths, codes, places, total = [], [], [], {}, 0
+    if ids:
+        yield whole()
+
+
+def _half_up(score: float) -> float:
+    """Rounded to six digits like Spark's round."""
+    return float(Decimal(repr(score)).quantize(Decimal("1e-6"), ROUND_HALF_UP))
+
+
+class _Block:
+    """The documents of a block and the words in them."""
+
+    def __init__(self, row):
+        self.ids, self.length, self.codes = (np.frombuffer(row[c], t) for c, t in (("ids", np.int64), ("lengths", np.int64), ("codes", np.int32)))
+        self.docs, self.ends = np.frombuffer(row["docs"], np.uint16), np.frombuffer(row["ends"], np.int64)
+        self.starts, self.first = np.concatenate([[0], self.ends[:-1]]), np.cumsum(self.length) - self.length
+        self.place = {w: n for n, w in enumerate(row["words"])}
+
+    def holding(self, words) -> np.ndarray:
+        """Places of the documents that hold all words (numbers), from the rarest word's on."""
+        lists = sorted((self.docs[self.starts[w] : self.ends[w]] for w in set(words)), key=len)
+        out = lists[0]
+        for other in lists[1:]:
+            if len(out) == 0:
+                break
+            out = out[other[np.minimum(np.searchsorted(other, out), len(other) - 1)] == out]
+        return out
+
+    def with_phrase(self, docs, words) -> np.ndarray:
+        """Those of the documents in which the words follow each other."""
+        keep = np.zeros(len(docs), bool)
+        rare = min(range(len(words)), key=lambda n: self.ends[words[n]] - self.starts[words[n]])
+        for at, which, low, spots in self._places(docs, words[rare]):
+            start, high = spots - rare, low + self.length[docs[which]]
+            inside = (start >= low) & (start + len(words) <= high)
+            which, start = which[inside], start[inside]
+            for n, w in enumerate(words):
+                same = self.codes[start + n] == w
+                which, start = which[same], start[same]
+            keep[which] = True
+        return docs[keep]
+
+    def _places(self, docs, *words):
+        """(number of the first, number among ``docs``, where that document begins, place in the block) of words, some documents at a time."""
+        at = 0
+        sizes = np.cumsum(self.length[docs])
+        while at < len(docs):
+            upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK_TOKENS, side="right")))
+            n = self.length[docs[at:upto]]
+            which = np.repeat(np.arange(at, min(upto, len(docs))), n)
+            low = self.first[docs[which]]
+            spots = low + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            hit = np.isin(self.codes[spots], words)
+            yield at, which[hit], low[hit], spots[hit]
+            at = upto
+
+    def matching(self, items) -> tuple[np.ndarray, list[int]] | None:
+        """(documents, wanted words) of an alternative, whose items are (minus, words)."""
+        numbers = [(minus, [self.place.get(w, -1) for w in words]) for minus, words in items]
+        wanted = [w for minus, words in numbers if not minus for w in words]
+        if not wanted or -1 in wanted:
+            return None
+        docs = self.holding(wanted)
+        for minus, words in numbers:
+            if len(docs) == 0:
+                return None
+            if minus and -1 not in words:
+                bad = self.holding(words)
+                bad = docs[np.isin(docs, bad)] if len(bad) else docs[:0]
+                docs = docs[~np.isin(docs, self.with_phrase(bad, words) if len(words) > 1 and len(bad) else bad)]
+            elif not minus and len(words) > 1:
+                docs = self.with_phrase(docs, words)
+        return (docs, wanted) if len(docs) else None
+
+    def covers(self, docs, wanted) -> list[float]:
+        """How closely the wanted words stand together in each document (see :func:`covers`)."""
+        terms = {w: n for n, w in enumerate(dict.fromkeys(wanted))}
+        out = [0.0] * len(docs)
+        for _, which, _, spots in self._places(docs, *terms):
+            cuts = np.flatnonzero(np.diff(which, prepend=-1))
+            which, kinds, spots = which[cuts].tolist(), [terms[w] for w in self.codes[spots].tolist()], spots.tolist()
+            for doc, low, high in zip(which, cuts.tolist(), [*cuts[1:].tolist(), len(spots)], strict=True):
+                last, begun, score = [-1] * len(terms), -1, 0.0
+                for n in range(low, high):
+                    last[kinds[n]] = n
+                    m = min(last)
+                    if m > begun:
+                        score, begun = score + 0.1 / (1 + spots[n] - spots[m] - (n - m)), m
+                out[doc] = score
+        return out
+
+
+def _alternatives(terms, keys):
+    """The items (minus, words) of each alternative of a query, from its words in order and their keys."""
+    out: dict[int, dict[int, tuple[bool, list[str]]]] = {}
+    for term, key in zip(terms, keys, strict=True):
+        out.setdefault(key >> 40, {}).setdefault(key, (bool(key & 1), []))[1].append(term)
+    return [list(items.values()) for items in out.values()]
+
+
+def _matches_in_block(block: pa.Table, asked: pa.Table, k: int | None, scored: bool) -> pa.Table:
+    """(class, doc_ids, scores) of the documents of a block that match a class of queries (class, terms, keys), the k best if scored."""
+    out = {"class": [], "doc_ids": [], "scores": []}
+    if block.num_rows and asked.num_rows:
+        held = _Block({c: block[c][0].as_py() for c in ("ids", "lengths", "codes", "words", "ends", "docs")})
+        rounded = lru_cache(1 << 16)(_half_up)
+        for part in asked.to_batches(1024):
+            for label, terms, keys in zip(part["class"].to_pylist(), part["terms"].to_pylist(), part["keys"].to_pylist(), strict=True):
+                found = [f for f in map(held.matching, _alternatives(terms, keys)) if f]
+                if not found:
+                    continue
+                if scored:
+                    best: dict[int, float] = {}
+                    for docs, wanted in found:
+                        for doc, score in zip(docs.tolist(), map(rounded, held.covers(docs, wanted)), strict=True):
+                            best[doc] = max(score, best.get(doc, 0.0))
+                    rows = sorted((-score, int(held.ids[doc])) for doc, score in best.items())[:k]
+                    ids, scores = [i for _, i in rows], [-x for x, _ in rows]
+                else:
+                    ids, scores = held.ids[np.unique(np.concatenate([docs for docs, _ in found]))], None
+                out["class"].append(label)
+                out["doc_ids"].append(ids)
+                out["scores"].append(scores)
+    return pa.table(out, schema=pa.schema([("class", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))]))
+
+
+def _keyword_blocks(docs: DataFrame, queries: DataFrame, k: int | None, scored: bool) -> tuple[DataFrame, DataFrame]:
+    """(queries (query_id, class), what :func:`_matches_in_block` finds in all blocks).
+
+    Documents become blocks where they are; of these a shuffle carries the arrays once for about ``CLASSES``
+    classes of queries, which are distinct texts of queries. Neither words nor candidates are shuffled.
+    """
+    whole = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", tokens("text").alias("t"))
+    blocks = materialize(whole.mapInArrow(partial(_streams, size=BLOCK, tokens=STREAM_TOKENS), _STREAMS).withColumn("block", F.monotonically_increasing_id()), "streams")
+    queries = materialize(queries.where("query IS NOT NULL").select("query_id", "query"), "queries")
+    classes = materialize(queries.select("query").distinct().withColumn("class", F.monotonically_increasing_id()), "classes")
+    key = F.shiftleft(F.col("alternative").cast("long"), 40).bitwiseOR(F.shiftleft(F.col("item").cast("long"), 1)).bitwiseOR(F.col("minus").cast("long"))
+    items = parsed(classes.select(F.col("class").alias("query_id"), "query")).select(F.col("query_id").alias("class"), key.alias("key"), "offset", "term")
+    held = items.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("key", "offset", "term"))).alias("t"))
+    parts = max(1, -(-classes.count() // CLASSES))
+    # A row a block of documents is broadcast: its number.
+    held = held.select("class", F.col("t.term").alias("terms"), F.col("t.key").alias("keys"), F.pmod(F.xxhash64("class"), F.lit(parts)).cast("int").alias("p")).crossJoin(F.broadcast(blocks.select(F.col("block").alias("b"))))
+    dealt = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    find = lambda block, some: _matches_in_block(block, some, k, scored)
+    found = dealt.groupBy("block", "part").cogroup(held.groupBy("b", "p")).applyInArrow(find, "class long, doc_ids array<long>, scores array<double>")
+    return queries.join(classes, "query").select("query_id", "class"), found
+
+
+def keyword_matches(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of the documents that match web-style queries (query_id, query), a row for each row of both.
+
+    Null and empty queries, and those without letters or digits, match nothing; null texts, and documents
+    without an id, match no query.
+    """
+    asked, found = _keyword_blocks(docs, queries, None, scored=False)
+    return asked.join(found.select("class", "doc_ids"), "class").select("query_id", F.explode("doc_ids").alias("doc_id"))
+
+
 def keyword_search(docs: DataFrame, queries: DataFrame, k: int | None = 10) -> DataFrame:
-    """query_id, doc_id, score, rank of the documents that match web-style queries (query_id, query).
+    """query_id, doc_id, score, rank of the documents that match web-style queries (see :func:`keyword_matches`).
 
-    The k closest covers of each query, ties by doc_id; all matches if k is None. Null and empty queries, and
-    those without letters or digits, match nothing; null texts match no query.
+    The k closest covers of each query, ties by doc_id; all matches if k is None. Only the k best of a block leave it.
     """
-    items = materialize(parsed(queries), "items")
-    index, words = positional_index(docs, items.select("term"))
-    scored = covers(index, words, items, matches(index, words, items))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    ranked = scored.withColumn("rank", rank)
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+    asked, found = _keyword_blocks(docs, queries, k, scored=True)
+    rows = found.select("class", F.explode(F.arrays_zip("doc_ids", "scores")).alias("m")).select("class", F.col("m.doc_ids").alias("doc_id"), F.col("m.scores").alias("score"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("score"), "doc_id")))
+    ranked = ranked if k is None else ranked.where(F.col("rank") <= k)
+    return asked.join(ranked, "class").select("query_id", "doc_id", "score", "rank")
 
 
 def match_all(docs: DataFrame, queries: DataFrame) -> DataFrame:

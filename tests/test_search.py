@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 from lexiloom.operators import search
-from lexiloom.operators.search import bm25, candidates, keyword_search, parsed
+from lexiloom.operators.search import bm25, candidates, keyword_matches, keyword_search, parsed
 
 
 def words(text):
@@ -95,3 +95,21 @@ def test_closer_words_rank_first(spark):
     docs = [(1, "red x x x dog"), (2, "red dog"), (3, "dog x red dog"), (4, "red"), (5, "cat")]
     got = keyword_search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, "red dog or cat")], "query_id long, query string")).orderBy("rank").collect()
     assert [(r.doc_id, r.score) for r in got] == [(3, 0.15), (2, 0.1), (5, 0.1), (1, 0.025)]
+
+
+def test_keyword_search_over_many_small_blocks_and_parts(spark, monkeypatch):
+    """Results are those of reading every text, and no more than the k best of a block leave it for a class of queries."""
+    for name, value in (("BLOCK", 16), ("STREAM_TOKENS", 90), ("CLASSES", 3), ("CHUNK_TOKENS", 7)):
+        monkeypatch.setattr(search, name, value)
+    rng = random.Random(17)
+    texts = [(n, " ".join(rng.choices("abcdefgh", k=rng.randrange(0, 14)))) for n in range(90)] + [(200 + n, "a b c a b") for n in range(40)] + [(900, None)]
+    made = ['a "b c"', '"a b" -c', "a or h -b", '"a a b" or "b c a"', "-a", "zzz", '-"a b" c or "h h"', "x-y or a-b", "a"] * 2
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2).unionByName(spark.createDataFrame([(None, "a b c")], "doc_id long, text string"))
+    queries = spark.createDataFrame(list(enumerate(made)), "query_id long, query string")
+    want = sorted((n, d) for n, q in enumerate(made) for d, t in texts if t is not None and brute_match(q, t))
+    assert sorted((r.query_id, r.doc_id) for r in keyword_matches(docs, queries).collect()) == want
+    whole = sorted(tuple(r) for r in keyword_search(docs, queries, None).collect())
+    assert sorted((r[0], r[1]) for r in whole) == want
+    assert sorted(tuple(r) for r in keyword_search(docs, queries, 3).collect()) == [r for r in whole if r[3] <= 3]
+    found = search._keyword_blocks(docs, queries, 3, scored=True)[1].collect()
+    assert len(found) > 9 and max(len(r.doc_ids) for r in found) == 3
