@@ -3,6 +3,7 @@ from urllib.robotparser import RobotFileParser
 
 from lexiloom.functions import citations, in_scope, parse_order, safe_cell, strip_tracking
 from lexiloom.operators import retrieval as R
+from lexiloom.operators.blocks import select_blocks
 from lexiloom.plans import StageCache, identity, run_steps
 from lexiloom.sources import delimited, markup, urls
 from pyspark.sql import functions as F
@@ -173,6 +174,20 @@ def test_roles_and_selectors_come_from_the_element():
     assert got["x y"] == (True, "note", ["#m", ".a", ".b", "div", "main", "p"]) and got["z"][1] == "complementary" and got["tail"] == (False, None, [])
 
 
+def test_selectors_and_headings_are_whole(spark, monkeypatch):
+    """Names sort with dots first, so the element's own comes after those of 60 classes."""
+    many = " ".join(f"c{n:02}" for n in range(60))
+    page = f'<nav class="{many}"><p>links</p></nav><div class="{many} x-ad"><h2>{"long " * 200}end</h2><p id="z">text</p></div><p>kept</p>'
+    got = {b[1]: (b[2], b[5]) for b in markup.scan_html(page, "structured")}
+    assert len(got["links"][1]) == 62 and "nav" in got["links"][1] and {".x-ad", "#z", "div", "p"} < set(got["text"][1])
+    assert got["text"][0] == ("long " * 200 + "end",)
+    blocks = markup.html_blocks(spark.createDataFrame([(1, page)], "page_id long, html string"))
+    assert [r.text for r in select_blocks(blocks, exclude=(".x-ad", "nav")).collect()] == ["kept"]
+    monkeypatch.setattr(markup, "SELECTORS", 100)
+    split = markup.html_blocks(spark.createDataFrame([(1, page)], "page_id long, html string"))
+    assert sorted(split.collect()) == sorted(blocks.collect()) and blocks.count() == 4
+
+
 def test_cover_density(spark):
     docs = spark.createDataFrame([(1, "red fox and a red hen, the fox"), (2, "fox fox red"), (3, "red only"), (4, None), (5, "red x x x fox")], "doc_id long, text string")
     ask = spark.createDataFrame([(7, "Red fox"), (8, "red"), (9, "")], "query_id long, query string")
