@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from lexiloom.session import materialize
 
 #: Pivots (the vectors with the smallest hash of vec_id), vectors of a block, queries of a block.
-PIVOTS, BLOCK, ASKED = 64, 1024, 128
+PIVOTS, BLOCK, ASKED = 64, 1024, 1024
+#: Vectors that are dealt to cells at a time, so that blocks are full, and queries that are compared with a block at a time.
+DEALT, SCREENED = 1 << 16, 256
 #: More than distances can differ by rounding to six digits.
 SLACK = 1e-6
 _BLOCKS = "dim int, cell int, ids array<long>, low double, high double, radii binary, vectors binary"
@@ -43,6 +45,20 @@ def _units(batch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _dealt(batches):
+    """(dimensions, ids, unit vectors) of about DEALT vectors at a time, of fewer if they are long, whatever the batches are."""
+    waiting: dict[int, list] = {}
+    for batch in batches:
+        for dim, part in _units(batch).items():
+            parts = waiting.setdefault(dim, [])
+            parts.append(part)
+            if sum(len(ids) for ids, _ in parts) >= DEALT * 64 // max(64, dim):
+                del waiting[dim]
+                yield dim, *map(np.concatenate, zip(*parts, strict=True))
+    for dim, parts in waiting.items():
+        yield dim, *map(np.concatenate, zip(*parts, strict=True))
+
+
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Distances of unit vectors."""
     return np.sqrt(np.maximum(2 - 2 * (x @ y.T), 0))
@@ -52,25 +68,52 @@ def _blocks(rows: DataFrame, pivots: dict[int, np.ndarray], size: int) -> DataFr
     """Blocks of vectors of one cell and of like distance to its pivot, made where the vectors are."""
 
     def run(batches):
-        for batch in batches:
-            for dim, (ids, x) in _units(batch).items():
-                apart = _apart(x, pivots[dim]) if dim in pivots else np.zeros((len(x), 1))
-                cell = apart.argmin(axis=1)
-                radius = apart[np.arange(len(x)), cell]
-                order = np.lexsort((radius, cell))
-                edges = np.flatnonzero(np.diff(cell[order])) + 1
-                for part in np.split(order, edges):
-                    for at in range(0, len(part), size):
-                        some = part[at : at + size]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([dim], pa.int32()), pa.array([cell[some[0]]], pa.int32()), pa.array([ids[some]], pa.list_(pa.int64())), pa.array([radius[some[0]]]), pa.array([radius[some[-1]]]),
-                             pa.array([radius[some].tobytes()], pa.binary()), pa.array([x[some].tobytes()], pa.binary())],
-                            ["dim", "cell", "ids", "low", "high", "radii", "vectors"],
-                        )
+        for dim, ids, x in _dealt(batches):
+            apart = _apart(x, pivots[dim]) if dim in pivots else np.zeros((len(x), 1))
+            cell = apart.argmin(axis=1)
+            radius = apart[np.arange(len(x)), cell]
+            order = np.lexsort((radius, cell))
+            edges = np.flatnonzero(np.diff(cell[order])) + 1
+            for part in np.split(order, edges):
+                for at in range(0, len(part), size):
+                    some = part[at : at + size]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([dim], pa.int32()), pa.array([cell[some[0]]], pa.int32()), pa.array([ids[some]], pa.list_(pa.int64())), pa.array([radius[some[0]]]), pa.array([radius[some[-1]]]),
+                         pa.array([radius[some].tobytes()], pa.binary()), pa.array([x[some].tobytes()], pa.binary())],
+                        ["dim", "cell", "ids", "low", "high", "radii", "vectors"],
+                    )
 
     return rows.mapInArrow(run, _BLOCKS)
 
 
+def _nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int):
+    """(places of queries, places of vectors, distances) of the k best vectors of each query within its bound, some queries at a time.
+
+    Short numbers tell which pairs can be meant, by more than they can err; distances come from the long ones.
+    """
+    short, err = x.astype(np.float32), 2 * SLACK + 2e-7 * (x.shape[1] + 4)
+    yield np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for at in range(0, len(q), SCREENED):
+        some = q[at : at + SCREENED]
+        alike = some.astype(np.float32) @ short.T
+        least = (1 - bound[at : at + SCREENED] ** 2 / 2 - err).astype(np.float32)
+        least = np.nextafter(least, np.float32(-np.inf))
+        meant = alike >= least[:, None]
+        full = np.flatnonzero(np.count_nonzero(meant, axis=1) > k)
+        if len(full):
+            least[full] = np.maximum(least[full], np.partition(alike[full], len(x) - k, axis=1)[:, len(x) - k] - np.float32(2 * err))
+            meant[full] = alike[full] >= least[full, None]
+        asker, best = np.divmod(np.flatnonzero(meant), len(x))
+        found = 1 - np.einsum("ij,ij->i", some[asker], x[best])
+        inside = found <= bound[at + asker] ** 2 / 2 + 2 * SLACK
+        asker, best, found = asker[inside], best[inside], found[inside]
+        # The k best of each query, by rounded distance and id.
+        order = np.lexsort((ids[best], np.round(found, 6), asker))
+        asker, best, found = asker[order], best[order], found[order]
+        first = np.arange(len(asker)) - np.searchsorted(asker, asker) < k
+        yield at + asker[first], best[first], found[first]
+
+
 def _compared(pairs: DataFrame, k: int) -> DataFrame:
     """The k best of every (query, block of vectors), and a row that tells how many were compared.
 
@@ -86,22 +129,12 @@ def _compared(pairs: DataFrame, k: int) -> DataFrame:
                 q = np.frombuffer(b"".join(row["q_vectors"])).reshape(-1, row["dim"])
                 away, bound = np.array(row["q_apart"]), np.array(row["q_bounds"])
                 near = np.flatnonzero((away - row["high"] <= bound) & (row["low"] - away <= bound))
-                out_q, out_v, out_d = [], [], []
-                if len(near):
-                    raw = 1 - q[near] @ x.T
-                    limit = np.partition(raw, k - 1, axis=1)[:, k - 1] + 2 * SLACK if raw.shape[1] > k else np.full(len(near), np.inf)
-                    limit = np.minimum(limit, bound[near] ** 2 / 2 + 2 * SLACK)
-                    for n, asker in enumerate(near.tolist()):
-                        best = np.flatnonzero(raw[n] <= limit[n])
-                        best = best[np.lexsort((ids[best], np.round(raw[n, best], 6)))[:k]]
-                        out_q.append(np.full(len(best), asked[asker]))
-                        out_v.append(ids[best])
-                        out_d.append(raw[n, best])
-                joined = lambda parts, kind: np.concatenate([np.zeros(0, dtype=kind), *parts])
-                qs, vs, ds = joined(out_q, np.int64), joined(out_v, np.int64), joined(out_d, float)
-                n = len(qs)
+                asker, best, found = (np.concatenate(c) for c in zip(*_nearest(x, ids, q[near], bound[near], k), strict=True))
+                n, none = len(asker), np.zeros(len(asker) + 1, bool)
+                none[n] = True
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([*qs.tolist(), None], pa.int64()), pa.array([*vs.tolist(), None], pa.int64()), pa.array([*ds.tolist(), None], pa.float64()), pa.array([None] * n + [len(near) * len(x)], pa.int64())],
+                    [pa.array(np.append(asked[near[asker]], 0), mask=none), pa.array(np.append(ids[best], 0), mask=none), pa.array(np.append(found, 0.0), mask=none),
+                     pa.array(np.append(np.zeros(n, np.int64), len(near) * len(x)), mask=~none)],
                     ["query_id", "vec_id", "raw", "looked"],
                 )
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.operators.nearest import vector_topk
-from lexiloom.operators.search import bm25, cover_density, keyword_matches, keyword_search, match_all, tokens
+from lexiloom.operators.search import bm25, cover_density, keyword_matches, keyword_search, match_all
+from lexiloom.operators.words import leading, tokens
 from lexiloom.session import materialize, table
 
 RRF = 60
@@ -254,7 +255,7 @@ def _branches(spark, sf):
     """Vector and keyword rankings of the query set: a document's own vector and first words."""
     vector = vector_topk(table(spark, sf, "embeddings"), _queries(spark, sf), k=30).select("query_id", F.col("vec_id").alias("item"), "rank")
     docs = table(spark, sf, "documents")
-    asked = docs.where(F.col("doc_id") % QUERY_STEP == 0).select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(tokens("text"), 1, 8), " ").alias("query"))
+    asked = docs.where(F.col("doc_id") % QUERY_STEP == 0).select(F.col("doc_id").alias("query_id"), F.array_join(leading("text", 8), " ").alias("query"))
     keyword = bm25(docs, asked, k=30).select("query_id", F.col("doc_id").alias("item"), "rank")
     return vector, keyword
 

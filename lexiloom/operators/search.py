@@ -14,10 +14,12 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.operators.dedup import folded
+from lexiloom.operators.words import Cutter, tokens, word_ranges
 from lexiloom.session import discard, materialize
 
 K1, B = 1.2, 0.75
@@ -26,17 +28,17 @@ LEVELS, SLICE = 256, 50_000
 #: Queries that are looked up by impact levels; more are scored against blocks of documents.
 FEW = 200
 #: Documents and tokens of a block, tokens that are counted at a time, and classes of queries that meet a block together.
-BLOCK, BLOCK_TOKENS, CHUNK_TOKENS, ASKED = 32_768, 1 << 24, 1 << 20, 32_768
+BLOCK, BLOCK_TOKENS, CHUNK_TOKENS, ASKED = 32_768, 1 << 24, 1 << 20, 262_144
+#: Shares of the blocks after which the k-th best scores so far become bounds for the rest, and the fewest blocks for that.
+ROUNDS, FEWEST = (64, 16, 4), 9
+#: Tasks that few blocks are dealt to, and the fewest classes for that; words of a block whose weights are kept for all its documents.
+TASKS, SOME, DENSE = 16, 2048, 256
 #: Tokens of a block of keyword search, and classes of its queries that meet a block together.
 STREAM_TOKENS, CLASSES = 1 << 23, 262_144
 #: More than scores can differ by rounding to six digits.
 ROUNDING = 1e-6
 
 
-def tokens(text) -> Column:
-    return F.regexp_extract_all(folded(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
-
-
 def _slice(doc: str, slices: str) -> Column:
     return F.pmod(F.xxhash64(doc), F.col(slices))
 
@@ -91,8 +93,17 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 _INDEX = "ids array<long>, lengths binary, n_docs long, with_text long, n_tokens long, words array<string>, dfs array<int>, ends binary, docs binary, counts binary"
 
 
-def _block_index(batches, size: int, tokens: int, chunk: int):
-    """Blocks of documents (doc_id, t) as arrays: of each word the documents, by place, and how often it occurs there."""
+def _cut(batches, ranges: np.ndarray):
+    """(ids, which have a text, words, how many each has) of some documents (doc_id, folded text) at a time."""
+    cutter = Cutter(ranges)
+    for batch in batches:
+        has = batch["text"].is_valid().to_numpy(zero_copy_only=False)
+        for at, words, widths in cutter.pieces(batch["text"]):
+            yield batch["doc_id"].slice(at, len(widths)), has[at : at + len(widths)], words, widths
+
+
+def _block_index(batches, ranges: np.ndarray, size: int, tokens: int, chunk: int):
+    """Blocks of documents (doc_id, folded text) as arrays: of each word the documents, by place, and how often it occurs there."""
     ids, lengths, chunks, places, waiting, texts, total = [], [], [], {}, [], 0, 0
 
     def counted():
@@ -109,6 +120,7 @@ def _block_index(batches, size: int, tokens: int, chunk: int):
         key = np.concatenate([np.zeros(0, np.int64), *(c[0] for c in chunks)])
         order = np.argsort(key, kind="stable")  # a document is in one chunk
         n = np.concatenate([np.zeros(0, np.uint32), *(c[1] for c in chunks)])[order]
+        n = n if n.max(initial=0) >> 16 else n.astype(np.uint16)
         word, doc = np.divmod(key[order], size)
         ends = np.searchsorted(word, np.arange(len(places)), side="right")
         row = {"ids": [ids], "lengths": [np.array(lengths, np.int64).tobytes()], "n_docs": [len(ids)], "with_text": [texts], "n_tokens": [sum(lengths)], "words": [list(places)],
@@ -119,17 +131,15 @@ def _block_index(batches, size: int, tokens: int, chunk: int):
     schema = pa.schema([("ids", pa.list_(pa.int64())), ("lengths", binary), ("n_docs", pa.int64()), ("with_text", pa.int64()), ("n_tokens", pa.int64()),
                         ("words", pa.list_(pa.string())), ("dfs", pa.list_(pa.int32())), ("ends", binary), ("docs", binary), ("counts", binary)])
     pending = 0
-    for batch in batches:
-        widths = batch["t"].value_lengths()
-        has, widths = widths.is_valid().to_numpy(zero_copy_only=False), widths.fill_null(0).to_numpy()
-        values, ends, at = batch["t"].flatten(), np.cumsum(widths), 0
-        while at < batch.num_rows:
+    for given, has, values, widths in _cut(batches, ranges):
+        ends, at = np.cumsum(widths), 0
+        while at < len(widths):
             before = ends[at - 1] if at else 0
             # As many documents as fill the chunk or the block, one at least.
-            upto = min(max(at + 1, int(np.searchsorted(ends, before + chunk - pending, side="right"))), at + size - len(ids), batch.num_rows)
+            upto = min(max(at + 1, int(np.searchsorted(ends, before + chunk - pending, side="right"))), at + size - len(ids), len(widths))
             some = widths[at:upto]
             waiting.append((values.slice(before, ends[upto - 1] - before), np.repeat(np.arange(len(ids), len(ids) + len(some)), some)))
-            ids += batch["doc_id"].slice(at, len(some)).to_pylist()
+            ids += given.slice(at, len(some)).to_pylist()
             lengths += some.tolist()
             texts += int(has[at:upto].sum())
             pending, total, at = pending + int(some.sum()), total + int(some.sum()), upto
@@ -145,55 +155,131 @@ def _block_index(batches, size: int, tokens: int, chunk: int):
         yield whole()
 
 
+class _Postings:
+    """The documents of a block, and the weights of the words in them."""
+
+    def __init__(self, block: pa.Table, mean: float):
+        row = {c: block[c][0].as_py() for c in ("ids", "lengths", "ends", "docs", "counts")}
+        self.docs, length = np.frombuffer(row["docs"], np.uint16), np.frombuffer(row["lengths"], np.int64)
+        counts = np.frombuffer(row["counts"], np.uint16 if len(row["counts"]) == len(row["docs"]) else np.uint32).astype(float)
+        self.weight = counts * (K1 + 1) / (counts + (K1 * (1 - B + B * length / mean))[self.docs])
+        self.words, self.ends = block["words"].combine_chunks()[0].values, np.frombuffer(row["ends"], np.int64)
+        self.starts = np.concatenate([[0], self.ends[:-1]]) if len(self.ends) else self.ends
+        self.most = np.maximum.reduceat(self.weight, self.starts) if len(self.starts) else self.weight
+        self.without_id = np.array([n for n, i in enumerate(row["ids"]) if i is None], np.int64)
+        self.ids, self.n_docs = np.array([i or 0 for i in row["ids"]], np.int64), len(row["ids"])
+        self.total, self.product, self.dense = np.zeros(self.n_docs), np.zeros(self.n_docs), {}
+
+    def everywhere(self, p: int) -> np.ndarray | None:
+        """Weights of a frequent word in all documents, where these are kept."""
+        low, high = self.starts[p], self.ends[p]
+        if p not in self.dense and (high - low) * 8 > self.n_docs and len(self.dense) < DENSE:
+            self.dense[p] = np.zeros(self.n_docs)
+            self.dense[p][self.docs[low:high]] = self.weight[low:high]
+        return self.dense.get(p)
+
+    def add(self, p: int, idf: float) -> None:
+        weights = self.everywhere(p)
+        if weights is None:
+            low, high = self.starts[p], self.ends[p]
+            self.total[self.docs[low:high]] += idf * self.weight[low:high]
+        else:
+            np.multiply(weights, idf, out=self.product)
+            np.add(self.total, self.product, out=self.total)
+
+    def looked_up(self, p: int, idf: float, near: np.ndarray) -> np.ndarray:
+        """What a word adds to the scores of some documents."""
+        weights = self.everywhere(p)
+        if weights is not None:
+            return idf * weights[near]
+        low, high = self.starts[p], self.ends[p]
+        mine = self.docs[low:high]
+        if len(near) * 16 > len(mine):
+            self.product.fill(0)
+            self.product[mine] = self.weight[low:high]
+            return idf * self.product[near]
+        at = np.minimum(np.searchsorted(mine, near.astype(np.uint16)), len(mine) - 1)
+        return np.where(mine[at] == near, idf * self.weight[low + at], 0.0)
+
+    def over(self, places, least: float) -> np.ndarray:
+        """Documents of the words whose total is above ``least``, and above zero."""
+        n = sum(int(self.ends[p] - self.starts[p]) for p in places)
+        if n * 8 > self.n_docs:
+            return np.flatnonzero(self.total >= least if least > 0 else self.total > 0)
+        docs = np.concatenate([self.docs[self.starts[p] : self.ends[p]] for p in places])
+        docs = np.sort(docs[self.total[docs] >= least])
+        return docs[np.diff(docs, prepend=-1) != 0].astype(np.int64) if len(docs) else docs.astype(np.int64)
+
+    def clear(self, places) -> None:
+        if any(p in self.dense for p in places):
+            self.total.fill(0)
+        else:
+            for p in places:
+                self.total[self.docs[self.starts[p] : self.ends[p]]] = 0
+
+    def best(self, places, idfs, reach, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scores) of the k best with a score of ``least``, for words from the rarest on; ``reach`` is what a word and those after it can add at most."""
+        upto = 0
+        if least == -np.inf:
+            # The k-th best sum of the rare words is a bound.
+            while upto < len(places) and (upto == 0 or (self.ends[places[upto]] - self.starts[places[upto]]) * 16 <= self.n_docs):
+                self.add(places[upto], idfs[upto])
+                upto += 1
+            near = self.over(places[:upto], -np.inf)
+            near = near[~np.isin(near, self.without_id)] if len(self.without_id) else near
+            if len(near) >= k:
+                least = np.partition(self.total[near], len(near) - k)[len(near) - k]
+        while upto < len(places) and reach[upto] >= least - ROUNDING:
+            self.add(places[upto], idfs[upto])
+            upto += 1
+        near = self.over(places[:upto], least - (reach[upto] if upto < len(places) else 0.0) - 2 * ROUNDING)
+        score = self.total[near]
+        self.clear(places[:upto])
+        for n in range(upto, len(places)):
+            if len(near) == 0:
+                break
+            score += self.looked_up(places[n], idfs[n], near)
+            some = score >= least - (reach[n + 1] if n + 1 < len(places) else 0.0) - 2 * ROUNDING
+            near, score = near[some], score[some]
+        if len(self.without_id):
+            some = ~np.isin(near, self.without_id)
+            near, score = near[some], score[some]
+        if len(near) > k:
+            some = score >= np.partition(score, len(near) - k)[len(near) - k] - ROUNDING
+            near, score = near[some], score[some]
+        first = np.lexsort((self.ids[near], -np.round(score, 6)))[:k]
+        return near[first], score[first]
+
+
 def _best_of_block(block: pa.Table, asked: pa.Table, mean: float, k: int) -> pa.Table:
-    """The k best documents of a block for every class of queries (class, terms, idfs).
+    """The k best documents of a block for every class of queries (class, terms, idfs, least) that can be among its k best.
 
-    A class's rare words are added up over the block first. If what its other words can add is less than
-    the k-th best sum then, only documents that can still reach that sum are looked up for these.
+    A score below ``least`` is of no use. A class's words are taken from the rarest on and added up over the block, until what
+    the others can add stays below that bound; these are looked up for the documents that can still reach it only.
     """
-    row = {c: block[c][0].as_py() for c in ("ids", "lengths", "words", "ends", "docs", "counts")} if block.num_rows else None
     out = ([], [], [])
-    if row is not None:
-        docs, counts, length = np.frombuffer(row["docs"], np.uint16), np.frombuffer(row["counts"], np.uint32).astype(float), np.frombuffer(row["lengths"], np.int64)
-        weight = counts * (K1 + 1) / (counts + K1 * (1 - B + B * length[docs] / mean))
-        ends = np.frombuffer(row["ends"], np.int64)
-        starts = np.concatenate([[0], ends[:-1]])
-        most = np.maximum.reduceat(weight, starts) if len(starts) else weight
-        place = {w: n for n, w in enumerate(row["words"])}
-        found = np.array([i is not None for i in row["ids"]])
-        ids, n_docs = np.array([i or 0 for i in row["ids"]], np.int64), len(row["ids"])
-        for label, terms, idfs in zip(asked["class"].to_pylist(), asked["terms"].to_pylist(), asked["idfs"].to_pylist(), strict=True):
-            here = sorted((int(ends[p] - starts[p]), p, idf) for p, idf in ((place.get(t), i) for t, i in zip(terms, idfs, strict=True)) if p is not None)
-            if not here:
-                continue
-            rare = [h for h in here if h[0] * 16 <= n_docs] or here[:1]
-            frequent, total = here[len(rare) :], np.zeros(n_docs)
-            for _, p, idf in rare:
-                total[docs[starts[p] : ends[p]]] += idf * weight[starts[p] : ends[p]]
-            near = None
-            if frequent:
-                near = np.flatnonzero((total > 0) & found)
-                rest = sum(idf * most[p] for _, p, idf in frequent)
-                least = np.partition(total[near], len(near) - k)[len(near) - k] if len(near) >= k else 0.0
-                if least > rest + ROUNDING:
-                    near = near[total[near] >= least - rest - ROUNDING]
-                    for _, p, idf in frequent:
-                        mine = docs[starts[p] : ends[p]]
-                        at = np.minimum(np.searchsorted(mine, near.astype(np.uint16)), len(mine) - 1)
-                        hit = mine[at] == near
-                        total[near[hit]] += idf * weight[starts[p] + at[hit]]
-                else:
-                    near = None
-                    for _, p, idf in frequent:
-                        total[docs[starts[p] : ends[p]]] += idf * weight[starts[p] : ends[p]]
-            near = np.flatnonzero((total > 0) & found) if near is None else near
-            score = total[near]
-            if len(near) > k:
-                some = score >= np.partition(score, len(near) - k)[len(near) - k] - ROUNDING
-                near, score = near[some], score[some]
-            best = np.lexsort((ids[near], -np.round(score, 6)))[:k]
-            for column, values in zip(out, (np.full(len(best), label), ids[near[best]], score[best]), strict=True):
-                column.append(values)
+    if block.num_rows and asked.num_rows:
+        held = _Postings(block, mean)
+        terms, idf = asked["terms"].combine_chunks(), asked["idfs"].combine_chunks().flatten().to_numpy()
+        place = pc.fill_null(pc.index_in(terms.flatten(), value_set=held.words), -1).to_numpy()
+        label, n = asked["class"].to_numpy(), asked.num_rows
+        owner = np.repeat(np.arange(n), terms.value_lengths().to_numpy())
+        found = place >= 0
+        place, idf, owner = place[found], idf[found], owner[found]
+        order = np.lexsort((place, held.ends[place] - held.starts[place], owner))
+        place, idf, owner = place[order], idf[order], owner[order]
+        edges = np.searchsorted(owner, np.arange(n + 1))
+        upto = np.concatenate([[0], np.cumsum(idf * held.most[place])])
+        reach = upto[edges[owner + 1]] - upto[:-1]
+        least = pc.fill_null(asked["least"].combine_chunks(), -np.inf).to_numpy()
+        wanted = np.flatnonzero(edges[1:] > edges[:-1])
+        wanted = wanted[reach[edges[wanted]] >= least[wanted] - 2 * ROUNDING]
+        for c in wanted.tolist():
+            low, high = edges[c], edges[c + 1]
+            near, score = held.best(place[low:high].tolist(), idf[low:high].tolist(), reach[low:high].tolist(), float(least[c]), k)
+            if len(near):
+                for column, values in zip(out, (np.full(len(near), label[c]), held.ids[near], score), strict=True):
+                    column.append(values)
     columns = [np.concatenate([np.zeros(0, t), *c]) for c, t in zip(out, (np.int64, np.int64, float), strict=True)]
     return pa.table(columns, names=["class", "doc_id", "whole"])
 
@@ -202,27 +288,46 @@ def bm25_blocks(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The result of :func:`bm25` for query sets that grow with the corpus.
 
     Documents become blocks of postings where they are: no token is shuffled. Queries of the same words are
-    one class. Every block meets the classes in parts of about ``ASKED``, and its k best documents of each
-    class leave it, so rows between tasks are k a class and block, however many documents share a word.
+    one class. Every block meets the classes in parts of ``ASKED`` at most, and its k best documents of each
+    class leave it, so rows between tasks are k a class and block at most, however many documents share a word. Many blocks are
+    met in rounds: the k-th best score of a class in those before bounds what later blocks add up and hand on.
     """
-    index = partial(_block_index, size=BLOCK, tokens=BLOCK_TOKENS, chunk=CHUNK_TOKENS)
-    blocks = materialize(docs.select("doc_id", tokens("text").alias("t")).mapInArrow(index, _INDEX).withColumn("block", F.monotonically_increasing_id()), "blocks")
-    corpus = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_docs", "with_text", "n_tokens")]).first()
+    spark = docs.sparkSession
+    index = partial(_block_index, ranges=word_ranges(spark), size=BLOCK, tokens=BLOCK_TOKENS, chunk=CHUNK_TOKENS)
+    blocks = materialize(docs.select("doc_id", folded("text").alias("text")).mapInArrow(index, _INDEX).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    corpus = blocks.agg(F.count(F.lit(1)).alias("blocks"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_docs", "with_text", "n_tokens")]).first()
     n, mean = corpus.n_docs, corpus.n_tokens / corpus.with_text if corpus.n_tokens else 1.0
-    asked = queries.select("query_id", F.array_sort(F.array_distinct(tokens("query"))).alias("terms")).where("size(terms) > 0")
+    asked = materialize(queries.select("query_id", F.array_sort(F.array_distinct(tokens("query"))).alias("terms")).where("size(terms) > 0"), "asked")
     classes = materialize(asked.select("terms").distinct().withColumn("class", F.monotonically_increasing_id()), "classes")
-    df = blocks.select(F.explode(F.arrays_zip("words", "dfs")).alias("w")).groupBy(F.col("w.words").alias("term")).agg(F.sum("w.dfs").alias("df"))
+    words = classes.select("class", F.explode("terms").alias("term"))
+    df = blocks.select(F.explode(F.arrays_zip("words", "dfs")).alias("w")).select(F.col("w.words").alias("term"), "w.dfs").join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("dfs").alias("df"))
     idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    held = classes.select("class", F.explode("terms").alias("term")).join(df.select("term", idf.alias("idf")), "term").groupBy("class").agg(F.collect_list(F.struct("term", "idf")).alias("t"))
-    parts = max(1, -(-classes.count() // ASKED))
-    # A row a block of documents is broadcast: its number.
-    held = held.select("class", F.col("t.term").alias("terms"), F.col("t.idf").alias("idfs"), F.pmod(F.xxhash64("class"), F.lit(parts)).cast("int").alias("part")).crossJoin(F.broadcast(blocks.select("block")))
-    whole = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "ids", "lengths", "words", "ends", "docs", "counts")
-    best = lambda block, some: _best_of_block(block, some, mean, k)
-    found = whole.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInArrow(best, "class long, doc_id long, whole double")
-    rank = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("score"), "doc_id"))
-    ranked = materialize(found.select("class", "doc_id", F.round("whole", 6).alias("score")).withColumn("rank", rank).where(F.col("rank") <= k), "ranked")
+    held = words.join(df.select("term", idf.alias("idf")), "term").groupBy("class").agg(F.collect_list(F.struct("term", "idf")).alias("t"))
+    held = materialize(held.select("class", F.col("t.term").alias("terms"), F.col("t.idf").alias("idfs")), "class-words")
+    numbers = materialize(blocks.select(F.col("block").alias("b"), F.row_number().over(Window.orderBy(F.xxhash64("block"), "block")).alias("nth")), "numbers")  # a row a block
+    ends = {-(-corpus.blocks // r) for r in ROUNDS} if corpus.blocks >= FEWEST else set()
+    n_classes, ranked, low = classes.count(), None, 0
+    for high in sorted({*ends, corpus.blocks}):
+        some = numbers.where(F.col("nth").between(low + 1, high)).select("b")
+        parts = max(1, -(-n_classes // ASKED), min(TASKS // max(1, high - low), n_classes // SOME))
+        bounds = F.lit(None).cast("double").alias("least")
+        if ranked is not None:
+            bounds = (F.col("score") - 2 * ROUNDING).alias("least")
+            reached = ranked.where(F.col("rank") == k).select(F.col("class").alias("r_class"), "score")
+        of = held if ranked is None else held.join(reached, F.col("class") == F.col("r_class"), "left")
+        # A row a block of documents is broadcast: its number.
+        met = of.select("class", "terms", "idfs", bounds, F.pmod(F.xxhash64("class"), F.lit(parts)).cast("int").alias("part")).crossJoin(F.broadcast(some))
+        whole = blocks.join(F.broadcast(some), F.col("block") == F.col("b")).select("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "ids", "lengths", "words", "ends", "docs", "counts")
+        best = lambda block, some: _best_of_block(block, some, mean, k)
+        found = whole.groupBy("block", "part").cogroup(met.groupBy("b", "part")).applyInArrow(best, "class long, doc_id long, whole double")
+        found = found.select("class", "doc_id", F.round("whole", 6).alias("score"))
+        before, found = ranked, found if ranked is None else ranked.select("class", "doc_id", "score").unionByName(found)
+        rank = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("score"), "doc_id"))
+        ranked, low = materialize(found.withColumn("rank", rank).where(F.col("rank") <= k), "ranked"), high
+        if before is not None:
+            discard(before)
     discard(blocks)
+    discard(held)
     return asked.join(classes, "terms").select("query_id", "class").join(ranked, "class").select("query_id", "doc_id", "score", "rank")
 
 
