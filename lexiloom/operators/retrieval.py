@@ -7,13 +7,17 @@ checked size, never as pairs of all rows with all rows. Every ranking ends in a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
+from heapq import nsmallest
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.operators.dedup import folded
 from lexiloom.operators.nearest import vector_topk
 from lexiloom.operators.search import bm25, cover_density, keyword_matches, keyword_search, match_all
-from lexiloom.operators.words import leading, tokens
+from lexiloom.operators.words import Cutter, leading, tokens, word_ranges
 from lexiloom.session import materialize, table
 
 RRF = 60
@@ -230,12 +234,24 @@ def q_web(spark, sf):
 
 def _web_queries(spark, sf):
     """Web-style queries of the query set: a document's longest words, its first two words as a phrase, an alternative, an exclusion."""
-    asked = table(spark, sf, "documents").where(F.col("doc_id") % QUERY_STEP == 0).select(F.col("doc_id").alias("query_id"), tokens("text").alias("t"))
-    longest = F.array_sort(F.transform(F.array_distinct("t"), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("w"))))
-    w = lambda n: F.coalesce(F.get("w", F.lit(n))["w"], F.lit(""))
-    phrase = F.array_join(F.slice("t", 1, 2), " ")
-    query = F.concat(w(0), F.lit(' "'), phrase, F.lit('" OR '), w(1), F.lit(" "), w(2), F.lit(" -"), w(3))
-    return asked.withColumn("w", longest).where("size(t) >= 2 AND size(w) >= 4").select("query_id", query.alias("query"))
+    asked = table(spark, sf, "documents").where((F.col("doc_id") % QUERY_STEP == 0) & F.col("text").isNotNull()).select("doc_id", folded("text").alias("text"))
+    return asked.mapInArrow(partial(_web_query_rows, ranges=word_ranges(spark)), "query_id long, query string")
+
+
+def _web_query_rows(batches, ranges):
+    """The queries of folded texts (doc_id, text) with two words and four different ones."""
+    cutter = Cutter(ranges)
+    for batch in batches:
+        for first, words, widths in cutter.pieces(batch["text"]):
+            ids, queries, at = [], [], 0
+            for doc_id, n in zip(batch["doc_id"].slice(first, len(widths)).to_pylist(), widths.tolist(), strict=True):
+                t = words.slice(at, n).to_pylist()
+                at += n
+                w = nsmallest(4, set(t), key=lambda x: (-len(x), x))
+                if len(w) == 4:
+                    ids.append(doc_id)
+                    queries.append(f'{w[0]} "{t[0]} {t[1]}" OR {w[1]} {w[2]} -{w[3]}')
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(queries, pa.string())], ["query_id", "query"])
 
 
 def q_web_ranked(spark, sf):

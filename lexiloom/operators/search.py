@@ -437,8 +437,8 @@ def covers(index: DataFrame, words: DataFrame, items: DataFrame, found: DataFram
 _STREAMS = "ids binary, lengths binary, codes binary, words array<string>, ends binary, docs binary"
 
 
-def _streams(batches, size: int, tokens: int):
-    """Blocks of documents (doc_id, t) as arrays: their words by number, in order, and of each word the documents, by place."""
+def _streams(batches, ranges: np.ndarray, size: int, tokens: int):
+    """Blocks of documents (doc_id, folded text) as arrays: their words by number, in order, and of each word the documents, by place."""
     schema = pa.schema([(c, pa.binary()) for c in ("ids", "lengths", "codes")] + [("words", pa.list_(pa.string())), ("ends", pa.binary()), ("docs", pa.binary())])
     ids, lengths, codes, places, total = [], [], [], {}, 0
 
@@ -449,17 +449,16 @@ def _streams(batches, size: int, tokens: int):
         row = {"ids": [np.concatenate(ids).tobytes()], "lengths": [length.tobytes()], "codes": [code.tobytes()], "words": [list(places)], "ends": [ends.tobytes()], "docs": [doc.astype(np.uint16).tobytes()]}
         return pa.RecordBatch.from_pydict(row, schema=schema)
 
-    for batch in batches:
-        widths, values = batch["t"].value_lengths().to_numpy(), batch["t"].flatten()
+    for given, _, values, widths in _cut(batches, ranges):
         ends, at = np.cumsum(widths), 0
-        while at < batch.num_rows:
+        while at < len(widths):
             before = ends[at - 1] if at else 0
             # As many documents as fill the block, one at least.
-            upto = min(max(at + 1, int(np.searchsorted(ends, before + tokens - total, side="right"))), at + size - sum(map(len, ids)), batch.num_rows)
+            upto = min(max(at + 1, int(np.searchsorted(ends, before + tokens - total, side="right"))), at + size - sum(map(len, ids)), len(widths))
             words = values.slice(before, ends[upto - 1] - before).dictionary_encode()
             numbers = np.array([places.setdefault(w, len(places)) for w in words.dictionary.to_pylist()], dtype=np.int32)
             codes.append(numbers[words.indices.to_numpy()])
-            ids.append(batch["doc_id"].slice(at, upto - at).to_numpy().astype(np.int64))
+            ids.append(given.slice(at, upto - at).to_numpy().astype(np.int64))
             lengths.append(widths[at:upto].astype(np.int64))
             total, at = total + len(codes[-1]), upto
             if sum(map(len, ids)) >= size or total >= tokens:
@@ -591,22 +590,35 @@ def _matches_in_block(block: pa.Table, asked: pa.Table, k: int | None, scored: b
     return pa.table(out, schema=pa.schema([("class", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))]))
 
 
+def _meetings(blocks: DataFrame, items: DataFrame) -> DataFrame:
+    """(class, b): the blocks (block, words) that hold the wanted word of an alternative (class, alternative, minus, term) which the fewest blocks hold.
+
+    An alternative with a wanted word that no block holds meets none.
+    """
+    wanted = items.where("NOT minus").select("class", "alternative", "term").distinct()
+    holding = materialize(blocks.select(F.col("block").alias("b"), F.explode("words").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi"), "holding")
+    spread = wanted.join(holding.groupBy("term").agg(F.count(F.lit(1)).alias("blocks")), "term", "left")
+    rarest = spread.groupBy("class", "alternative").agg(F.bool_and(F.col("blocks").isNotNull()).alias("known"), F.min(F.struct("blocks", "term")).alias("rare")).where("known")
+    return rarest.select("class", F.col("rare.term").alias("term")).join(holding, "term").select("class", "b").distinct()
+
+
 def _keyword_blocks(docs: DataFrame, queries: DataFrame, k: int | None, scored: bool) -> tuple[DataFrame, DataFrame]:
     """(queries (query_id, class), what :func:`_matches_in_block` finds in all blocks).
 
     Documents become blocks where they are; of these a shuffle carries the arrays once for about ``CLASSES``
-    classes of queries, which are distinct texts of queries. Neither words nor candidates are shuffled.
+    classes of queries, which are distinct texts of queries. Neither words of documents nor candidates are shuffled, and
+    a class is sent to the blocks that can match it only (:func:`_meetings`).
     """
-    whole = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", tokens("text").alias("t"))
-    blocks = materialize(whole.mapInArrow(partial(_streams, size=BLOCK, tokens=STREAM_TOKENS), _STREAMS).withColumn("block", F.monotonically_increasing_id()), "streams")
+    whole = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", folded("text").alias("text"))
+    made = partial(_streams, ranges=word_ranges(docs.sparkSession), size=BLOCK, tokens=STREAM_TOKENS)
+    blocks = materialize(whole.mapInArrow(made, _STREAMS).withColumn("block", F.monotonically_increasing_id()), "streams")
     queries = materialize(queries.where("query IS NOT NULL").select("query_id", "query"), "queries")
     classes = materialize(queries.select("query").distinct().withColumn("class", F.monotonically_increasing_id()), "classes")
+    items = materialize(parsed(classes.select(F.col("class").alias("query_id"), "query")).withColumnRenamed("query_id", "class"), "items")
     key = F.shiftleft(F.col("alternative").cast("long"), 40).bitwiseOR(F.shiftleft(F.col("item").cast("long"), 1)).bitwiseOR(F.col("minus").cast("long"))
-    items = parsed(classes.select(F.col("class").alias("query_id"), "query")).select(F.col("query_id").alias("class"), key.alias("key"), "offset", "term")
-    held = items.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("key", "offset", "term"))).alias("t"))
+    held = items.groupBy("class").agg(F.array_sort(F.collect_list(F.struct(key.alias("key"), "offset", "term"))).alias("t"))
     parts = max(1, -(-classes.count() // CLASSES))
-    # A row a block of documents is broadcast: its number.
-    held = held.select("class", F.col("t.term").alias("terms"), F.col("t.key").alias("keys"), F.pmod(F.xxhash64("class"), F.lit(parts)).cast("int").alias("p")).crossJoin(F.broadcast(blocks.select(F.col("block").alias("b"))))
+    held = held.select("class", F.col("t.term").alias("terms"), F.col("t.key").alias("keys"), F.pmod(F.xxhash64("class"), F.lit(parts)).cast("int").alias("p")).join(_meetings(blocks, items), "class")
     dealt = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     find = lambda block, some: _matches_in_block(block, some, k, scored)
     found = dealt.groupBy("block", "part").cogroup(held.groupBy("b", "p")).applyInArrow(find, "class long, doc_ids array<long>, scores array<double>")

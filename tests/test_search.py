@@ -113,3 +113,14 @@ def test_keyword_search_over_many_small_blocks_and_parts(spark, monkeypatch):
     assert sorted(tuple(r) for r in keyword_search(docs, queries, 3).collect()) == [r for r in whole if r[3] <= 3]
     found = search._keyword_blocks(docs, queries, 3, scored=True)[1].collect()
     assert len(found) > 9 and max(len(r.doc_ids) for r in found) == 3
+
+
+def test_queries_go_to_blocks_that_can_match_only(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 10)
+    docs = spark.createDataFrame([(n, f"all own{n} blk{n // 10}") for n in range(50)], "doc_id long, text string").coalesce(1)
+    asked = [(n, f'own{n} all "own{n} blk{n // 10}" or gone all or own{(n + 25) % 50} -all') for n in range(50)] + [(90, "all -own3"), (91, "-all"), (92, "gone")]
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    met, real = [], search._meetings
+    monkeypatch.setattr(search, "_meetings", lambda *given: met.append(real(*given)) or met[0])
+    assert sorted(tuple(r) for r in keyword_matches(docs, queries).collect()) == sorted([(n, n) for n in range(50)] + [(90, n) for n in range(50) if n != 3])
+    assert met[0].count() == 50 * 2 + 5 and met[0].select("b").distinct().count() == 5

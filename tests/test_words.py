@@ -31,3 +31,12 @@ def test_words_equal_the_engine(spark, monkeypatch, cut):
     some = list(cutter.pieces(rows["f"].chunk(0).slice(10, 20)))
     assert [w for _, found, _ in some for w in found.to_pylist()] == [w for t in want[10:30] for w in t]
     assert df.select(F.array_join(words.leading("text", 3), " ")).collect()[0][0] is None
+
+
+def test_web_queries_take_the_longest_words(spark, tmp_path):
+    from lexiloom.operators.retrieval import _web_queries
+
+    texts = {0: "Bee a ccc dddd \u00e9\u00e9\u00e9 ccc", 20: "one two three", 40: None, 60: "", 80: "x y y Stra\u00dfe zz, \U0001d4b3\U0001d4b3 zz-y", 5: "no query of this one", 100: "a a a a b c d"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.query_id: r["query"] for r in _web_queries(spark, str(tmp_path)).collect()}
+    assert got == {0: 'dddd "bee a" OR bee ccc -\u00e9\u00e9\u00e9', 80: 'strasse "x y" OR zz \U0001d4b3\U0001d4b3 -x', 100: 'a "a a" OR b c -d'}
