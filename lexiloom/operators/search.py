@@ -10,7 +10,7 @@ corpus, BM25 and web-style search work on blocks of documents as arrays, and onl
 from __future__ import annotations
 
 from decimal import ROUND_HALF_UP, Decimal
-from functools import lru_cache, partial
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -444,7 +444,8 @@ def _streams(batches, ranges: np.ndarray, size: int, tokens: int):
 
     def whole():
         length, code = np.concatenate(lengths), np.concatenate(codes)
-        word, doc = np.divmod(np.unique(code.astype(np.int64) * size + np.repeat(np.arange(len(length)), length)), size)
+        key = np.sort(code.astype(np.int64) * size + np.repeat(np.arange(len(length)), length))
+        word, doc = np.divmod(key[np.diff(key, prepend=-1) != 0], size)
         ends = np.searchsorted(word, np.arange(len(places)), side="right")
         row = {"ids": [np.concatenate(ids).tobytes()], "lengths": [length.tobytes()], "codes": [code.tobytes()], "words": [list(places)], "ends": [ends.tobytes()], "docs": [doc.astype(np.uint16).tobytes()]}
         return pa.RecordBatch.from_pydict(row, schema=schema)
@@ -474,7 +475,7 @@ def _half_up(score: float) -> float:
 
 
 class _Block:
-    """The documents of a block and the words in them."""
+    """The documents of a block, the words in them and, once asked for, the places of each word."""
 
     def __init__(self, row):
         self.ids, self.length, self.codes = (np.frombuffer(row[c], t) for c, t in (("ids", np.int64), ("lengths", np.int64), ("codes", np.int32)))
@@ -482,6 +483,12 @@ class _Block:
         self.starts, self.first = np.concatenate([[0], self.ends[:-1]]), np.cumsum(self.length) - self.length
         self.place = {w: n for n, w in enumerate(row["words"])}
 
+    @cached_property
+    def spots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places in the block, by word; where a word's begin and the last word's end; the document of each place in the block)."""
+        order = np.argsort(self.codes, kind="stable")
+        return order, np.concatenate([[0], np.cumsum(np.bincount(self.codes, minlength=len(self.place)))]), np.repeat(np.arange(len(self.ids)), self.length)
+
     def holding(self, words) -> np.ndarray:
         """Places of the documents that hold all words (numbers), from the rarest word's on."""
         lists = sorted((self.docs[self.starts[w] : self.ends[w]] for w in set(words)), key=len)
@@ -494,31 +501,27 @@ class _Block:
 
     def with_phrase(self, docs, words) -> np.ndarray:
         """Those of the documents in which the words follow each other."""
-        keep = np.zeros(len(docs), bool)
         rare = min(range(len(words)), key=lambda n: self.ends[words[n]] - self.starts[words[n]])
-        for at, which, low, spots in self._places(docs, words[rare]):
-            start, high = spots - rare, low + self.length[docs[which]]
-            inside = (start >= low) & (start + len(words) <= high)
-            which, start = which[inside], start[inside]
-            for n, w in enumerate(words):
-                same = self.codes[start + n] == w
-                which, start = which[same], start[same]
-            keep[which] = True
-        return docs[keep]
-
-    def _places(self, docs, *words):
-        """(number of the first, number among ``docs``, where that document begins, place in the block) of words, some documents at a time."""
-        at = 0
-        sizes = np.cumsum(self.length[docs])
-        while at < len(docs):
-            upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK_TOKENS, side="right")))
-            n = self.length[docs[at:upto]]
-            which = np.repeat(np.arange(at, min(upto, len(docs))), n)
-            low = self.first[docs[which]]
-            spots = low + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            hit = np.isin(self.codes[spots], words)
-            yield at, which[hit], low[hit], spots[hit]
-            at = upto
+        holders, spots = self._places(docs, [words[rare]])
+        low, start = self.first[holders], spots - rare
+        inside = (start >= low) & (start + len(words) <= low + self.length[holders])
+        holders, start = holders[inside], start[inside]
+        for n, w in enumerate(words):
+            same = self.codes[start + n] == w
+            holders, start = holders[same], start[same]
+        return holders[np.diff(holders, prepend=-1) != 0]
+
+    def _places(self, docs, words) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, places in the block) of words in some of the documents, in order; a word's places in a document are looked up."""
+        order, edges, owner = self.spots
+        low, found = self.first[docs], []
+        for w in words:
+            mine = order[edges[w] : edges[w + 1]]
+            begin = np.searchsorted(mine, low)
+            n = np.searchsorted(mine, low + self.length[docs]) - begin
+            found.append(mine[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        spots = found[0] if len(found) == 1 else np.sort(np.concatenate(found))
+        return owner[spots], spots
 
     def matching(self, items) -> tuple[np.ndarray, list[int]] | None:
         """(documents, wanted words) of an alternative, whose items are (minus, words)."""
@@ -538,22 +541,41 @@ class _Block:
                 docs = self.with_phrase(docs, words)
         return (docs, wanted) if len(docs) else None
 
-    def covers(self, docs, wanted) -> list[float]:
-        """How closely the wanted words stand together in each document (see :func:`covers`)."""
-        terms = {w: n for n, w in enumerate(dict.fromkeys(wanted))}
-        out = [0.0] * len(docs)
-        for _, which, _, spots in self._places(docs, *terms):
-            cuts = np.flatnonzero(np.diff(which, prepend=-1))
-            which, kinds, spots = which[cuts].tolist(), [terms[w] for w in self.codes[spots].tolist()], spots.tolist()
-            for doc, low, high in zip(which, cuts.tolist(), [*cuts[1:].tolist(), len(spots)], strict=True):
-                last, begun, score = [-1] * len(terms), -1, 0.0
-                for n in range(low, high):
-                    last[kinds[n]] = n
-                    m = min(last)
-                    if m > begun:
-                        score, begun = score + 0.1 / (1 + spots[n] - spots[m] - (n - m)), m
-                out[doc] = score
-        return out
+    def covers(self, docs, wanted) -> np.ndarray:
+        """How closely the wanted words stand together in each document, before rounding (see :func:`covers`).
+
+        The last places of all words up to a place begin a cover there, if the earliest of them has not begun one before.
+        """
+        words = list(dict.fromkeys(wanted))
+        holders, spots = self._places(docs, words)
+        at, code = np.arange(len(spots)), self.codes[spots]
+        new = np.diff(holders, prepend=-1) != 0
+        low = np.maximum.accumulate(np.where(new, at, 0))
+        earliest = at.copy()
+        for w in words:
+            np.minimum(earliest, np.maximum.accumulate(np.where(code == w, at, -1)), out=earliest)
+        whole = earliest >= low
+        begins = whole.copy()
+        begins[1:] &= new[1:] | ~whole[:-1] | (earliest[1:] != earliest[:-1])
+        n = np.flatnonzero(begins)
+        m = earliest[n]
+        # Added up in order, like a fold; every document has a place of each word.
+        return np.bincount((np.cumsum(new) - 1)[n], weights=0.1 / (1 + spots[n] - spots[m] - (n - m)), minlength=len(docs))
+
+    def ranked(self, found, k: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, rounded scores) of the k best of (documents, wanted words) of alternatives; all if k is None."""
+        docs = found[0][0] if len(found) == 1 else np.unique(np.concatenate([docs for docs, _ in found]))
+        score = np.zeros(len(docs))
+        for mine, wanted in found:
+            at = np.searchsorted(docs, mine)
+            score[at] = np.maximum(score[at], self.covers(mine, wanted))
+        if k is not None and len(docs) > k:
+            some = score >= np.partition(score, len(docs) - k)[len(docs) - k] - 2 * ROUNDING
+            docs, score = docs[some], score[some]
+        values, which = np.unique(score, return_inverse=True)
+        score = np.array([_half_up(x) for x in values.tolist()])[which]
+        order = np.lexsort((self.ids[docs], -score))[:k]
+        return self.ids[docs[order]], score[order]
 
 
 def _alternatives(terms, keys):
@@ -569,19 +591,13 @@ def _matches_in_block(block: pa.Table, asked: pa.Table, k: int | None, scored: b
     out = {"class": [], "doc_ids": [], "scores": []}
     if block.num_rows and asked.num_rows:
         held = _Block({c: block[c][0].as_py() for c in ("ids", "lengths", "codes", "words", "ends", "docs")})
-        rounded = lru_cache(1 << 16)(_half_up)
         for part in asked.to_batches(1024):
             for label, terms, keys in zip(part["class"].to_pylist(), part["terms"].to_pylist(), part["keys"].to_pylist(), strict=True):
                 found = [f for f in map(held.matching, _alternatives(terms, keys)) if f]
                 if not found:
                     continue
                 if scored:
-                    best: dict[int, float] = {}
-                    for docs, wanted in found:
-                        for doc, score in zip(docs.tolist(), map(rounded, held.covers(docs, wanted)), strict=True):
-                            best[doc] = max(score, best.get(doc, 0.0))
-                    rows = sorted((-score, int(held.ids[doc])) for doc, score in best.items())[:k]
-                    ids, scores = [i for _, i in rows], [-x for x, _ in rows]
+                    ids, scores = held.ranked(found, k)
                 else:
                     ids, scores = held.ids[np.unique(np.concatenate([docs for docs, _ in found]))], None
                 out["class"].append(label)

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lexiloom.operators import search
@@ -124,3 +125,28 @@ def test_queries_go_to_blocks_that_can_match_only(spark, monkeypatch):
     monkeypatch.setattr(search, "_meetings", lambda *given: met.append(real(*given)) or met[0])
     assert sorted(tuple(r) for r in keyword_matches(docs, queries).collect()) == sorted([(n, n) for n in range(50)] + [(90, n) for n in range(50) if n != 3])
     assert met[0].count() == 50 * 2 + 5 and met[0].select("b").distinct().count() == 5
+
+
+def test_covers_of_a_block_equal_the_fold():
+    """Scores before rounding are those of a fold over the places of the words, to the last bit."""
+    rng = random.Random(12)
+    codes = [[rng.randrange(6) for _ in range(rng.randrange(1, 60))] for _ in range(200)]
+    flat = np.array([c for t in codes for c in t], np.int32)
+    key = np.unique(flat.astype(np.int64) * 1000 + np.repeat(np.arange(200), [len(t) for t in codes]))
+    row = {"ids": np.arange(200), "lengths": np.array([len(t) for t in codes]), "codes": flat, "docs": (key % 1000).astype(np.uint16), "ends": np.searchsorted(key // 1000, np.arange(6), side="right")}
+    block = search._Block({c: v.tobytes() for c, v in row.items()} | {"words": list("abcdef")})
+    for wanted in ([0], [1, 2], [3, 3, 5], [0, 1, 2, 4]):
+        docs, want = block.holding(wanted), []
+        assert docs.tolist() == [n for n, t in enumerate(codes) if set(wanted) <= set(t)]
+        for n in docs.tolist():
+            hits = [(at, c) for at, c in enumerate(codes[n]) if c in wanted]
+            last, begun, score = dict.fromkeys(wanted, -1), -1, 0.0
+            for at, (spot, c) in enumerate(hits):
+                last[c] = at
+                m = min(last.values())
+                if m > begun:
+                    score, begun = score + 0.1 / (1 + spot - hits[m][0] - (at - m)), m
+            want.append(score)
+        assert block.covers(docs, wanted).tolist() == want
+        pair = [c for c in wanted[:2]]
+        assert block.with_phrase(docs, pair).tolist() == [n for n in docs.tolist() if any(codes[n][i : i + len(pair)] == pair for i in range(len(codes[n])))]
